@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from helixframe.llm import exact_dedup
+from helixframe.llm import byte_bpe, decontaminate, exact_dedup, simhash
 
-QUERIES = {"op7_exact_dedup": exact_dedup.op7_exact_dedup}
-SQL = {"op7_exact_dedup": exact_dedup.OP7_SQL}
+QUERIES = {
+    "op5_decontamination": decontaminate.op5_decontamination,
+    "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op9_simhash": simhash.op9_simhash,
+    "op10_byte_bpe": byte_bpe.op10_byte_bpe,
+}
+SQL = {"op5_decontamination": decontaminate.OP5_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL}
