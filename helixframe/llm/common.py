@@ -69,6 +69,7 @@ def free_name(df: DataFrame, base: str) -> str:
 def per_text(make: Callable[[], Callable[[bytes], tuple]], schema: str):
     """An Arrow UDF from text bytes to a struct: make() runs once for each task and returns what maps one text.
 
+    If what it returns has a function prepare, that gets the texts of each batch first.
     Declared nondeterministic so that a filter on the result doesn't evaluate it a second time.
     """
     from pyspark.sql.functions import arrow_udf
@@ -80,7 +81,10 @@ def per_text(make: Callable[[], Callable[[bytes], tuple]], schema: str):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         one = make()
         for texts in batches:
-            rows = [one(x) for x in texts.to_pylist()]
+            texts = texts.to_pylist()
+            if prepare := getattr(one, "prepare", None):
+                prepare(texts)
+            rows = [one(x) for x in texts]
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(kind)
             yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], names=[f.name for f in kind])
 
@@ -107,3 +111,11 @@ def durable(df: DataFrame) -> DataFrame:
     if df.sparkSession.sparkContext.getCheckpointDir() is None:
         df.sparkSession.sparkContext.setCheckpointDir(path)
     return df.checkpoint(eager=True)
+
+
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, with Arrow batches held to so many rows in its session: texts can be long, and a worker holds a batch at a time."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return df
