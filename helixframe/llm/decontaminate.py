@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import LOWER, UPPER, alnum_words, free_name, per_text, table, utf8
+from helixframe.llm.common import LOWER, UPPER, alnum_words, free_name, per_text, small_batches, table, utf8
 
 WIDTH = 10
 #: Bytes of item text in one index.  A larger benchmark is split into as many blocks, each held against all documents.
@@ -95,7 +95,7 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     sc = docs.sparkSession.sparkContext
     schema = "n_words bigint, n_hit bigint, n_items bigint, spans array<struct<a:int,b:int>>, items array<string>, contaminated boolean"
     parts: list[str] = []
-    out = docs
+    out = small_batches(docs)
     blocks = list(_indexed(docs, items, text_col, item_id, item_text, width, block_bytes, sc))
     for shared in blocks:
         parts.append(free_name(out, f"{name}_{len(parts)}" if len(blocks) > 1 else name))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import durable, free_name, per_text, space_words, table, utf8
+from helixframe.llm.common import durable, free_name, per_text, small_batches, space_words, table, utf8
 from helixframe.llm.components import connected_components, send_back
 
 #: Table rows of one slot in one task; the queries of a larger slot are dealt over several copies of it.
@@ -40,7 +40,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 4, name
         return lambda text: (fingerprint(text, shingle),)
 
     held = free_name(docs, f"{name}_struct")
-    return docs.withColumn(held, per_text(make, "f bigint")(utf8(text_col))).withColumn(name, F.col(f"`{held}`.f")).drop(held)
+    return small_batches(docs).withColumn(held, per_text(make, "f bigint")(utf8(text_col))).withColumn(name, F.col(f"`{held}`.f")).drop(held)
 
 
 def segments(distance: int, n: int) -> list[tuple[int, int, int]]:
