@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from helixframe.llm import byte_bpe, decontaminate, exact_dedup, lm_score, simhash, token_counts
+from helixframe.llm import byte_bpe, decontaminate, exact_dedup, lm_score, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
