@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helixframe.llm import byte_bpe, decontaminate, exact_dedup, lm_score, simhash, token_counts, toxicity
+from helixframe.llm import byte_bpe, decontaminate, exact_dedup, lm_score, quality, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_quality": quality.op8_quality,
     "op9_simhash": simhash.op9_simhash,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
