@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from helixframe.llm import byte_bpe, decontaminate, exact_dedup, lm_score, quality, simhash, token_counts, toxicity
+from helixframe.llm import byte_bpe, decontaminate, exact_dedup, license_scan, lm_score, pseudonyms, quality, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_license_scan": license_scan.op3_license_scan,
+    "op4_pseudonyms": pseudonyms.op4_pseudonyms,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
