@@ -38,10 +38,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
 
 
-def send_back(rows: DataFrame, key: str, values: DataFrame) -> DataFrame:
-    """rows (with a column run) joined with one row of values for each key, left outer.
+def send_back(rows: DataFrame, key: list[str], values: DataFrame) -> DataFrame:
+    """rows (with a column run) joined with one row of values for each key, left outer; keys have no nulls.
 
     A key may hold a third of the rows: values first go to the runs that have the key, then to those runs' rows.
     """
-    homes = rows.select("run", key).distinct().join(values, key)
-    return rows.join(homes, ["run", key], "left")
+    homes = rows.select("run", *key).distinct().join(values, key)
+    return rows.join(homes, ["run", *key], "left")

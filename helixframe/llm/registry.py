@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from helixframe.llm import byte_bpe, decontaminate, exact_dedup, license_scan, lm_score, pseudonyms, quality, simhash, token_counts, toxicity
 
 QUERIES = {
@@ -15,5 +16,8 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_simhash": simhash.op9_simhash,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
+    "pipeline": corpus_pipeline.run,
 }
 SQL = {"op5_decontamination": decontaminate.OP5_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
