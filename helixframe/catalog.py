@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from helixframe.plans import align_queries
+
+QUERIES: dict = {**align_queries.QUERIES}
+SQL: dict = {**align_queries.SQL}
