@@ -11,7 +11,7 @@ from helixframe.llm.common import per_text, small_batches, table, utf8
 from helixframe.llm.pieces import BYTE_PENALTY, SPACE, default_path, piece_weights
 
 #: Distinct pre-tokens whose counts a worker remembers.
-MEMO = 400_000
+MEMO = 800_000
 
 
 class TrieCounter:
@@ -23,32 +23,42 @@ class TrieCounter:
     """
 
     def __init__(self, weights: dict[str, float]):
-        self.weights = weights
-        self.longest = max(map(len, weights), default=1)
+        # every suffix of a piece, with the weight of those that are pieces: a longer arc can't exist beyond an absent suffix
+        self.arcs: dict[str, float | None] = {p[i:]: None for p in weights for i in range(len(p))}
+        self.arcs.update(weights)
         self.byte = min(weights.values(), default=0.0) - BYTE_PENALTY
         self.counts: dict[str, int] = {}
 
     def insert(self, words) -> None:
-        get, path = self.weights.get, ""
-        best: list[tuple[float, int]] = [(0.0, 0)]  # weight, minus the tokens
+        get, path = self.arcs.get, ""
+        weight, tokens = [0.0], [0]
         for word in sorted(words):
-            del best[len(commonprefix((path, word))) + 1 :]
-            for j in range(len(best), len(word) + 1):
-                top = None
-                for i in range(max(0, j - self.longest), j):
-                    if (w := get(word[i:j])) is not None:
-                        before = best[i]
-                        state = (before[0] + w, before[1] - 1)
-                        if top is None or state > top:
-                            top = state
-                if get(word[j - 1 : j]) is None:
+            keep = len(commonprefix((path, word))) + 1
+            del weight[keep:], tokens[keep:]
+            for j in range(len(weight), len(word) + 1):
+                top, least = _NONE, 0
+                for i in range(j - 1, -1, -1):
+                    w = get(word[i:j], _ABSENT)
+                    if w is None:
+                        continue
+                    if w is _ABSENT:
+                        break
+                    w += weight[i]
+                    if w > top or w == top and tokens[i] < least - 1:
+                        top, least = w, tokens[i] + 1
+                if get(word[j - 1]) is None:
                     n = len(word[j - 1].encode("utf-8", "replace"))
-                    state = (best[j - 1][0] + n * self.byte, best[j - 1][1] - n)
-                    if top is None or state > top:
-                        top = state
-                best.append(top)
+                    w = weight[j - 1] + n * self.byte
+                    if w > top or w == top and tokens[j - 1] + n < least:
+                        top, least = w, tokens[j - 1] + n
+                weight.append(top)
+                tokens.append(least)
             path = word
-            self.counts[word] = -best[len(word)][1]
+            self.counts[word] = tokens[len(word)]
+
+
+_ABSENT = object()
+_NONE = float("-inf")
 
 
 def split(text: bytes) -> list[str]:
