@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helixframe.plans import align_queries
+from helixframe.plans import align_queries, model_queries, profile_queries, resample_queries, sequence_queries, vector_queries  # noqa: F401  they register
+from helixframe.plans.registry import QUERIES, SQL
 
-QUERIES: dict = {**align_queries.QUERIES}
-SQL: dict = {**align_queries.SQL}
+__all__ = ["QUERIES", "SQL"]

@@ -71,7 +71,7 @@ def residual(df: DataFrame, by: list[str], y: str, x: str, out: str) -> DataFram
     d = df.withColumns({"_n": n, "_sx": sx, "_sy": sy, "_sxx": sxx, "_sxy": sxy})
     v = F.col("_n") * F.col("_sxx") - F.col("_sx") * F.col("_sx")
     slope = F.when(F.abs(v) > 1e-9, (F.col("_n") * F.col("_sxy") - F.col("_sx") * F.col("_sy")) / v).otherwise(F.lit(0.0))
-    return d.withColumn("_b", slope).withColumn(out, F.col(y) - F.col("_sy") / F.col("_n") - F.col("_b") * (F.col(x) - F.col("_sx") / F.col("_n"))).drop("_n", "_sx", "_sy", "_sxx", "_sxy", "_b")
+    return d.withColumn("_slope", slope).withColumn(out, F.col(y) - F.col("_sy") / F.col("_n") - F.col("_slope") * (F.col(x) - F.col("_sx") / F.col("_n"))).drop("_n", "_sx", "_sy", "_sxx", "_sxy", "_slope")
 
 
 def percentile_of(df: DataFrame, value: str, q: float, by: tuple[str, ...] = (), out: str = "threshold") -> DataFrame:

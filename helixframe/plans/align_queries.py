@@ -7,22 +7,9 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import stats
 from helixframe.operators import alignment as A
+from helixframe.plans.registry import query
 from helixframe.sources import tables as T
 
-QUERIES: dict = {}
-SQL: dict = {}
-
-
-def query(sql: str | None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
 _LOCI = f"""real AS ({T.align_sql('R')}), nul AS ({T.align_sql('N')}), other AS ({T.align_sql('A')}),
 rl AS (SELECT feature_id, locus, round(avg(a_f) + 1e-12, 9) AS a_f, avg(mass) AS mass FROM real GROUP BY ALL),
 nl AS (SELECT feature_id, locus, round(avg(a_f) + 1e-12, 9) AS a_f, avg(mass) AS mass FROM nul GROUP BY ALL),
