@@ -15,8 +15,8 @@ from helixframe.llm.pieces import SPACE, default_path, piece_weights
 
 #: Bytes of the longest piece in the lattice.
 MAX_PIECE = 16
-#: Words whose scores are broadcast: the most frequent ones.  All others are joined.
-HEAD = 100_000
+#: Words with at least one in so many of all tokens have their scores broadcast: no more words than that.  All others are joined.
+HEAD = 500_000
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 400_000
 #: Classes of documents with word probabilities of their own; what is left shares the last.
@@ -47,11 +47,6 @@ def lattice_pieces(path: str) -> tuple[list[bytes], np.ndarray]:
     return names, p / p.sum()
 
 
-def _spans(n: int) -> list[tuple[int, int]]:
-    """(start, end) of the lattice's arcs in a word of n bytes, by end."""
-    return [(i, j) for j in range(1, n + 1) for i in range(max(0, j - MAX_PIECE), j)]
-
-
 class Lattice:
     """Probabilities of words under pieces drawn one by one until a stop, for each of several classes.
 
@@ -60,15 +55,37 @@ class Lattice:
     """
 
     def __init__(self, names: list[bytes], p: np.ndarray, stop: np.ndarray):
-        self.index = {name: i for i, name in enumerate(names) if i}
+        code = np.array([_hash(x) for x in names[1:]], np.uint64)
+        order = np.argsort(code)
+        self.code, self.piece = code[order], order.astype(np.int32) + 1
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[_slot(code)] = True
         with np.errstate(divide="ignore"):
             self.log_p = np.log(p) + np.log1p(-stop)[:, None]
         self.close = np.log(stop) - np.log1p(-stop)
 
     def arcs(self, words: list[bytes]) -> np.ndarray:
-        """Piece numbers of the arcs (arc, word) of words that have one length."""
-        get, spans = self.index.get, _spans(len(words[0]))
-        return np.array([[get(w[i:j], 0) for i, j in spans] for w in words], np.int32).T
+        """Piece numbers of the arcs (arc, word) of words that have one length, by end and then start; 0 for none.
+
+        All words at once: an arc's hash grows from that of the arc a byte shorter, and a table of hashed pieces
+        says first which arcs can be one.
+        """
+        n = len(words[0])
+        raw = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), n).T.astype(np.uint64) + np.uint64(1)
+        out = np.zeros((sum(min(j, MAX_PIECE) for j in range(1, n + 1)), len(words)), np.int32)
+        first = np.cumsum([0] + [min(j, MAX_PIECE) for j in range(1, n)])  # of the arcs that end at j = 1, 2, ...
+        code = np.zeros((n, len(words)), np.uint64)
+        for size in range(1, min(n, MAX_PIECE) + 1):
+            code = code[: n - size + 1] * _BASE + raw[size - 1 :]
+            start, word = np.nonzero(self.maybe[_slot(code)])
+            if len(start):
+                found = code[start, word]
+                at = np.minimum(np.searchsorted(self.code, found), len(self.code) - 1)
+                hit = self.code[at] == found
+                start, word = start[hit], word[hit]
+                end = start + size
+                out[first[end - 1] + np.minimum(end, MAX_PIECE) - size, word] = self.piece[at[hit]]
+        return out
 
     def forward(self, ids: np.ndarray, n: int, z: int) -> np.ndarray:
         """Log forward sums (position, word) in class z."""
@@ -76,7 +93,9 @@ class Lattice:
         at, log_p = 0, self.log_p[z]
         for j in range(1, n + 1):
             k = min(j, MAX_PIECE)
-            alpha[j] = np.logaddexp.reduce(alpha[j - k : j] + log_p[ids[at : at + k]], axis=0)
+            x = alpha[j - k : j] + log_p[ids[at : at + k]]
+            top = x.max(axis=0)  # every byte is a piece, so one arc at least is finite
+            alpha[j] = top + np.log(np.exp(x - top).sum(axis=0))
             at += k
         return alpha
 
@@ -92,17 +111,45 @@ class Lattice:
         alpha = self.forward(ids, n, z)
         beta = np.full((n + 1, len(words)), -np.inf)
         beta[n] = 0.0
-        spans = _spans(n)
-        use = np.zeros(len(log_p))
-        for a in range(len(spans) - 1, -1, -1):
-            i, j = spans[a]
-            step = log_p[ids[a]] + beta[j]
-            use += np.bincount(ids[a], np.exp(alpha[i] + step - alpha[n]), len(use))
-            beta[i] = np.logaddexp(beta[i], step)
-        return use
+        weight = np.empty(ids.shape)
+        at = len(ids)
+        for j in range(n, 0, -1):
+            k = min(j, MAX_PIECE)
+            at -= k
+            step = log_p[ids[at : at + k]] + beta[j]
+            weight[at : at + k] = np.exp(alpha[j - k : j] + step - alpha[n])
+            beta[j - k : j] = np.logaddexp(beta[j - k : j], step)
+        return np.bincount(ids.ravel(), weight.ravel(), len(log_p))
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
 
+def _hash(piece: bytes) -> int:
+    code = 0
+    for b in piece:
+        code = (code * int(_BASE) + b + 1) & 0xFFFFFFFFFFFFFFFF
+    return code
 
-def _by_length(words: list[bytes], most: int = 2_000_000):
+
+def _slot(code: np.ndarray) -> np.ndarray:
+    return (code ^ code >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(44)
+
+
+def _merged(batches, rows: int = 20_000):
+    """Batches of so many words at least, but for the last: words of one length are computed together."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
+
+
+def _by_length(words: list[bytes], most: int = 200_000):
     """Indexes of words of one length, at most so many arcs at once."""
     groups: dict[int, list[int]] = {}
     for i, w in enumerate(words):
@@ -153,7 +200,7 @@ def fit_lattice(words: DataFrame, classes: int, path: str, rounds: int = ROUNDS,
 
         def use(batches, shared=shared):
             total, n = np.zeros(shared.value.log_p.shape), np.zeros(classes)
-            for b in batches:
+            for b in _merged(batches):
                 of = b.column(0).to_pylist()
                 for z in range(classes):
                     mine = [of[i] for i in np.flatnonzero(b.column(1 + z).to_numpy())]
@@ -188,8 +235,8 @@ def lm_scores(docs: DataFrame, learn_col: str, id_col: str = "doc_id", text_col:
     Null texts are empty: an end alone.  A null in learn_col means no; a null class is one of its own.  Repeated rows
     count and are scored as rows of their own.  Without rows to learn from the pieces decide alone.
 
-    Words are counted over all rows.  The most frequent `head` are broadcast, a fixed bound; every other word of a document
-    is joined with its score, and as a tail word is rarer than all of the head, no key of that join is hot.
+    Words are counted over all rows.  Those that make up one in `head` tokens or more, so `head` words at most, are broadcast; every other word of a document
+    is joined with its score, and as such a word is rare, no key of that join is hot.
     """
     sc = small_batches(docs).sparkSession.sparkContext
     kind = F.coalesce(F.col(f"`{class_col}`").cast("string"), F.lit("")) if class_col else F.lit("")
@@ -217,7 +264,7 @@ def lm_scores(docs: DataFrame, learn_col: str, id_col: str = "doc_id", text_col:
     word_total = max(n_z.sum(), 1.0)
 
     def marginal(batches):
-        for b in batches:
+        for b in _merged(batches):
             words = b.column(0).to_pylist()
             out = np.zeros((classes, len(words)))
             for group in _by_length(words):
@@ -233,7 +280,8 @@ def lm_scores(docs: DataFrame, learn_col: str, id_col: str = "doc_id", text_col:
 
     each = ", ".join(f"s{z} double" for z in range(classes))
     scored = durable(counts.mapInArrow(marginal, f"word binary, n bigint, known boolean, base double, {each}"))
-    top = scored.orderBy(F.desc("n"), "word").limit(head).collect()
+    tokens = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    top = scored.where(F.col("n") * head >= tokens).collect()
     shared = sc.broadcast(({bytes(r["word"]): i for i, r in enumerate(top)}, np.array([[r["known"], r["base"], *[r[f"s{z}"] for z in range(classes)]] for r in top], float).reshape(len(top), 2 + classes)))
     end = np.array([float(ends.sum() > 0), math.log10((ends.sum() + 1) / (total + distinct + 1)), *np.log10((ends + 1) / below)])
 
