@@ -109,7 +109,8 @@ def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Differing bits of fingerprints, whose parts are on the first axis."""
-    return sum(np.bitwise_count(x ^ y).astype(np.int16) for x, y in zip(a, b, strict=True))
+    # as unsigned numbers: of a negative one, bitwise_count takes the absolute value
+    return sum(np.bitwise_count((x ^ y).view(np.uint64)).astype(np.int16) for x, y in zip(a, b, strict=True))
 
 
 def _match(distance: int, parts: int):
