@@ -18,15 +18,17 @@ SLOT_ROWS = 20_000
 SEED = 42
 
 
-def fingerprint(text: bytes, shingle: int = 4, seeds: tuple[int, ...] = (SEED,)) -> tuple[int, ...]:
+def fingerprint(text: bytes, shingle: int = 4, seeds: tuple[int, ...] = (SEED,), repeats: bool = True) -> tuple[int, ...]:
     """64 bits for each seed, as signed numbers: a bit is set if more than half of the shingles' XXH64 have it.
 
-    Shingles are runs of so many words, repeats included; fewer words make one shingle, none the number 0.
+    Shingles are runs of so many words, with repeats or each once; fewer words make one shingle, none the number 0.
     """
     words = space_words(text)
     if not words:
         return (0,) * len(seeds)
     shingles = list(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))) if len(words) >= shingle else [b" ".join(words)]
+    if not repeats:
+        shingles = list(set(shingles))
     return tuple(_majority(shingles, seed) for seed in seeds)
 
 
@@ -38,11 +40,11 @@ def _majority(shingles: list[bytes], seed: int) -> int:
     return int(np.packbits(counts * 2 > len(shingles)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 4, seeds: tuple[int, ...] = (SEED,), name: str = "fp") -> DataFrame:
+def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 4, seeds: tuple[int, ...] = (SEED,), name: str = "fp", repeats: bool = True) -> DataFrame:
     """docs with columns <name>0, <name>1, ...: a fingerprint as a bigint for each seed; null texts count as empty."""
 
     def make():
-        return lambda text: fingerprint(text, shingle, seeds)
+        return lambda text: fingerprint(text, shingle, seeds, repeats)
 
     held = free_name(docs, f"{name}_struct")
     parts = range(len(seeds))
@@ -204,7 +206,7 @@ def hamming_links(prints: DataFrame, plan: list[tuple[int, int, int, int]], dist
     return spread.mapInArrow(_match(distance, len(fps)), "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, seeds: tuple[int, ...] = (SEED,), wide: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, seeds: tuple[int, ...] = (SEED,), wide: bool = False, repeats: bool = True) -> DataFrame:
     """One row for each row of docs: rid, <id_col>, fp0 (and fp1, ... for more seeds), root, component_id.
 
     Fingerprints of 64 bits a seed link at distance bits or fewer; root names the component and component_id is the smallest id reachable, the row's
@@ -214,7 +216,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = [f"fp{i}" for i in range(len(seeds))]
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    rows = fingerprints(rows, "text", shingle, seeds).select("id", *fps, F.spark_partition_id().alias("run"), F.monotonically_increasing_id().alias("rid"))
+    rows = fingerprints(rows, "text", shingle, seeds, repeats=repeats).select("id", *fps, F.spark_partition_id().alias("run"), F.monotonically_increasing_id().alias("rid"))
     # one part is its own node; several are named by the first row that has them
     rows = durable(rows)
     prints = rows.groupBy(*fps).agg(F.min("id").alias("least"), F.min("rid").alias("first"))
@@ -231,11 +233,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 26, seeds: tuple[int, ...] = (SEED, SEED + 1), wide: bool = True) -> DataFrame:
     """docs with the row of the smallest id of each component only (of repeated ids the first row); columns as they were.
 
-    By default fingerprints of 128 bits over five-word shingles: two texts of similarity 0.8 differ in 19 of them on average
+    By default fingerprints of 128 bits over distinct five-word shingles: two texts of similarity 0.8 differ in 19 of them on average
     and in 26 or fewer mostly; unrelated texts in 64.  docs must read alike twice, as a table's scan does.
     """
     rid = free_name(docs, "rid")
-    found = near_duplicates(docs, id_col, text_col, shingle, distance, seeds, wide)
+    found = near_duplicates(docs, id_col, text_col, shingle, distance, seeds, wide, repeats=False)
     first = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), "rid")).alias("x")).select(F.col("x.rid").alias(rid))
     return docs.withColumn(rid, F.monotonically_increasing_id()).join(first, rid, "left_semi").drop(rid)
 
