@@ -81,3 +81,43 @@ def signal_audit(spark, sf_dir):
 @query(None)
 def encoder_training(spark, sf_dir):
     return _values(spark, P.train_and_test(T.vectors(spark, sf_dir), 32, 8, 5))
+
+
+@query(None)
+def subspace_permutation(spark, sf_dir):
+    """R9 on two samples of embeddings: the observed overlap, its bootstrap interval, and the share of relabellings that reach it."""
+    from helixframe.operators import audit
+
+    a, b = (V.matrix(d)[1] for d in _two(spark, sf_dir))
+    x, y = a[: len(a) // 2], b[: len(b) // 2]
+    seen = V.subspace_overlap(audit._basis(x), audit._basis(y))
+    boot = audit.overlap_replicates(spark, [x, y], 100).agg(F.percentile("overlap", F.lit(0.025)).alias("lo"), F.percentile("overlap", F.lit(0.975)).alias("hi")).first()
+    null = audit.overlap_replicates(spark, [x, y], 100, [a, b], 1).agg(F.avg((F.col("overlap") >= seen).cast("double"))).first()[0]
+    return _values(spark, {"overlap": seen, "lo": boot["lo"], "hi": boot["hi"], "p": null})
+
+
+@query(None)
+def sensitivity_probe(spark, sf_dir):
+    """G9 on synthetic elements: hidden changes under leave-one-element-out ridge."""
+    from helixframe.operators import audit, toy
+    from helixframe.sources import genome
+
+    elements = toy.elements_of(genome.synthetic_corpus(spark, 12, 120, weights={"ccre": 1.0, "background": 0.0}))
+    blocks = audit.sensitivity_blocks(elements, toy.ToyModel(d_model=32, layers=2), 1)
+    rows = blocks.withColumn("grp", F.substring("elem_id", 4, 7).cast("bigint"))
+    return M.group_folds(rows, lambda n, s, g: M.ridge(n, s, g, 10.0))[0].withColumn("rho", F.round("rho", 5))
+
+
+@query("SELECT CAST(CASE WHEN l_discount < 0 THEN 0 WHEN l_discount >= 0.08 THEN 9 ELSE floor(round(l_discount * 100) / 1.0) + 1 END AS BIGINT) AS bin, count(*) AS n FROM lineitem GROUP BY 1")
+def histogram(spark, sf_dir):
+    from helixframe.operators import audit
+
+    d = T.read(spark, sf_dir, "lineitem").select(F.round(F.col("l_discount") * 100).alias("v"))
+    return audit.histogram(d, "v", 0.0, 8.0, 8)
+
+
+@query("SELECT l_returnflag, min(l_quantity) AS low, quantile_cont(l_quantity, 0.25) AS q1, median(l_quantity) AS mid, quantile_cont(l_quantity, 0.75) AS q3, max(l_quantity) AS high FROM lineitem GROUP BY 1")
+def box_summary(spark, sf_dir):
+    from helixframe.operators import audit
+
+    return audit.box(T.read(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity")
