@@ -136,14 +136,14 @@ def layer_candidates(n: int) -> list[int]:
 
 
 def elements_of(corpus: DataFrame) -> DataFrame:
-    """Elements (elem_id, seq, e_mean, e_signed, e_max) of windows with planted motifs."""
+    """Elements (elem_id, seq, e_mean, e_signed, e_max, e_alt by position and base) of windows with planted motifs."""
 
     def one(seq, planted):
         e = S.motif_effect(S.codes(seq), [(p["start"], p["motif"]) for p in planted])
         total = e.sum(axis=1)
-        return (total / 3).tolist(), (-total / 3).tolist(), e.max(axis=1).tolist()
+        return (total / 3).tolist(), (-total / 3).tolist(), e.max(axis=1).tolist(), e.tolist()
 
-    u = row_struct(one, "e_mean array<double>, e_signed array<double>, e_max array<double>")
+    u = row_struct(one, "e_mean array<double>, e_signed array<double>, e_max array<double>, e_alt array<array<double>>")
     return corpus.select(F.col("seq_id").alias("elem_id"), "seq", u("seq", "planted").alias("e")).select("elem_id", "seq", "e.*")
 
 
@@ -178,6 +178,45 @@ def alignments(elements: DataFrame, model, encode, layer: int, metric: str = "sp
     return r.select("elem_id", F.explode("s.a").alias("a")).select("a.feature_id", "elem_id", "a.a_f", "a.mass")
 
 
+def alignments_subst(elements: DataFrame, model, encode, layer: int) -> DataFrame:
+    """C2 with X9: (feature_id, elem_id, a_f, a_f_subst, mass): the precision-weighted score by position and by substitution."""
+    from helixframe.plans.programs import _weighted_precision
+
+    others = np.array([[b for b in range(4) if b != c] for c in range(4)])
+
+    def one(seq, e_mean, e_alt):
+        x, e, by_base = S.codes(seq), np.array(e_mean), np.array(e_alt)
+        d, z = sensitivity(x, model, encode, layer)
+        flat = by_base[np.arange(len(x))[:, None], others[x]].ravel()
+        rows = []
+        for f in np.flatnonzero(z.max(axis=0) > 0):
+            i = d[:, :, f]
+            rows.append({"feature_id": int(f), "a_f": _weighted_precision(i.mean(axis=1), e), "a_f_subst": _weighted_precision(i.ravel(), flat), "mass": float(z[:, f].sum())})
+        return (rows,)
+
+    u = row_struct(one, "a array<struct<feature_id:int,a_f:double,a_f_subst:double,mass:double>>")
+    r = elements.where("length(seq) > 0 AND e_alt IS NOT NULL").select("elem_id", u("seq", "e_mean", "e_alt").alias("s"))
+    return r.select("elem_id", F.explode("s.a").alias("a")).select("a.feature_id", "elem_id", "a.a_f", "a.a_f_subst", "a.mass")
+
+
+def subspace_tracks(elements: DataFrame, model, layer: int, basis: np.ndarray) -> DataFrame:
+    """G19 with L11: for each element what the size of a row's projection onto the basis follows: AUROC of the repeat mask, rank
+    correlation with the GC share around and with the measured effect; null or 0 where a side is constant."""
+    from helixframe.plans.programs import _rank
+
+    def one(seq, e_mean):
+        x = S.codes(seq)
+        m = np.linalg.norm(model.hidden(x, layer) @ basis, axis=1)
+        mask = S.repeat_mask(seq)
+        p, n = int(mask.sum()), int((~mask).sum())
+        auc = float((_rank(m)[mask].sum() - p * (p + 1) / 2) / (p * n)) if p and n else None
+        gc = S.moving_average(((x == 1) | (x == 2)).astype(float), 25)
+        return auc, _spearman(m, gc), _spearman(m, np.array(e_mean))
+
+    u = row_struct(one, "repeat_auroc double, gc_rho double, effect_rho double")
+    return elements.where("length(seq) > 0").select("elem_id", u("seq", "e_mean").alias("t")).select("elem_id", "t.*")
+
+
 def loglik_baseline(elements: DataFrame) -> DataFrame:
     """Precision-weighted alignment of the bigram log-likelihood's sensitivity, one feature with unit weights."""
     from helixframe.plans.programs import _weighted_precision

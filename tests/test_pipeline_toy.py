@@ -65,3 +65,16 @@ def test_pipeline_smoke(spark, tmp_path):
     assert out["elements"] == 5 and sum(out["seed_0"]["labels"].values()) > 0
     assert "layer" in pipeline.report(out)
     assert pipeline.run(spark, s, str(tmp_path))["seed_0"]["labels"] == out["seed_0"]["labels"]  # from the written tables
+
+
+def test_substitution_alignment_and_tracks(spark):
+    e = toy.elements_of(G.synthetic_corpus(spark, 4, 64, weights={"ccre": 1.0, "background": 0.0}))
+    model = toy.ToyModel(d_model=8, layers=2)
+    # one direction: the first motif channel's own
+    w = model.rotation[:, :1].T
+    got = toy.alignments_subst(e, model, toy.relu_encoder(w), 1).collect()
+    assert len(got) == 4 and all(-1 <= r.a_f <= 1 and -1 <= r.a_f_subst <= 1 for r in got)
+    plain = {r.elem_id: r.a_f for r in toy.alignments(e, model, toy.relu_encoder(w), 1, "precision_weighted").collect()}
+    assert all(plain[r.elem_id] == pytest.approx(r.a_f) for r in got)
+    t = toy.subspace_tracks(e, model, 1, np.eye(8)[:, :3]).collect()
+    assert len(t) == 4 and all(-1 <= r.gc_rho <= 1 and (r.repeat_auroc is None or 0 <= r.repeat_auroc <= 1) for r in t)
