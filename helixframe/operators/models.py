@@ -174,37 +174,104 @@ def wilcoxon(values, centre: float = 0.5) -> float | None:
     return float(erfc((w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) / sqrt(2)) / 2)
 
 
-def train_topk(acts: DataFrame, width: int, k: int, epochs: int = 3, rate: float = 1e-2, seed: int = 0) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """Decoder (feature, dimension), bias and the loss by epoch of a top-k encoder with tied weights.
+#: Weights of the sparsity and auxiliary losses, width of the step's kernel.
+SPARSITY, AUXILIARY, KERNEL = 1e-3, 1 / 32, 1e-2
+
+
+def encoder_start(family: str, width: int, d: int, seed: int = 0) -> dict[str, np.ndarray]:
+    """M6: random unit directions (feature, dimension) that encode and decode, and what the family has besides."""
+    w = np.random.default_rng(seed).standard_normal((width, d))
+    p = {"w": w / np.linalg.norm(w, axis=1, keepdims=True)}
+    if family == "gated":
+        return p | {"r_mag": np.zeros(width), "b_gate": np.zeros(width), "b_mag": np.zeros(width)}
+    if family == "jumprelu":
+        return p | {"b": np.zeros(width), "log_theta": np.full(width, np.log(1e-2))}
+    if family == "topk":
+        return p
+    raise ValueError(f"unknown family {family!r}")
+
+
+def encoder_gradient(family: str, p: dict[str, np.ndarray], x: np.ndarray, k: int, dead: np.ndarray) -> tuple[dict[str, np.ndarray], float, np.ndarray]:
+    """Gradients of the family's loss summed over the rows of x, the summed squared residual, and how often each feature fired.
 
-    Each epoch every partition returns the gradient of its rows, which are summed: a driver loop of d x m numbers, the rows
-    stay distributed.  The bias starts at the geometric median, directions at random on the sphere, renormalised each step.
+    topk (M7): residual, plus what the k strongest dead features leave of it.  gated (M8): residual, L1 of the open gates and the
+    residual of the gates alone through a frozen decoder.  jumprelu (M9): residual and L0, the step's slope by a box kernel.
+    """
+    w = p["w"]
+    pre = x @ w.T
+    g = {n: np.zeros_like(v) for n, v in p.items()}
+    if family == "topk":
+        z = np.maximum(pre, 0)
+        np.put_along_axis(z, np.argsort(-z, axis=1, kind="stable")[:, k:], 0.0, axis=1)
+        e = z @ w - x
+        g["w"] = 2 * (z.T @ e + ((e @ w.T) * (z > 0)).T @ x)
+        if dead.any():
+            q = np.where(dead, np.maximum(pre, 0), 0)
+            np.put_along_axis(q, np.argsort(-q, axis=1, kind="stable")[:, k:], 0.0, axis=1)
+            left = q @ w + e
+            g["w"] += 2 * AUXILIARY * (q.T @ left + ((left @ w.T) * (q > 0)).T @ x)
+    elif family == "gated":
+        gate, scale = pre + p["b_gate"], np.exp(p["r_mag"])
+        mag = pre * scale + p["b_mag"]
+        z = np.where(gate > 0, np.maximum(mag, 0), 0)
+        e = z @ w - x
+        d_mag = 2 * (e @ w.T) * (z > 0)
+        open_gate = np.maximum(gate, 0)
+        d_gate = (SPARSITY + 2 * ((open_gate @ w - x) @ w.T)) * (gate > 0)
+        g |= {"r_mag": (d_mag * pre * scale).sum(axis=0), "b_mag": d_mag.sum(axis=0), "b_gate": d_gate.sum(axis=0), "w": 2 * z.T @ e + (d_mag * scale + d_gate).T @ x}
+    else:
+        pi, theta = np.maximum(pre + p["b"], 0), np.exp(p["log_theta"])
+        z = np.where(pi > theta, pi, 0)
+        e = z @ w - x
+        d_z = 2 * (e @ w.T)
+        d_pi = d_z * (z > 0)
+        box = (np.abs((pi - theta) / KERNEL) < 0.5) / KERNEL
+        g |= {"b": d_pi.sum(axis=0), "log_theta": (-(d_z * theta + SPARSITY) * box).sum(axis=0) * theta, "w": 2 * z.T @ e + d_pi.T @ x}
+    return g, float((e * e).sum()), (z > 0).sum(axis=0)
+
+
+def train(acts: DataFrame, width: int, k: int = 16, epochs: int = 3, family: str = "topk", rate: float = 1e-2, seed: int = 0) -> tuple[dict[str, np.ndarray], np.ndarray, list[float]]:
+    """An encoder's parameters, the bias taken off its input, and the mean squared residual by epoch.
+
+    Each epoch every partition returns the summed gradient of its rows: numbers of the size of the model travel, the rows stay
+    where they are.  Adam on the driver, unit directions after each step; a feature that an epoch never fired is dead in the next.
+    The bias is the geometric median of the activations.
     """
     import pyarrow as pa
 
     b = V.geometric_median(acts, rounds=20)
-    d = len(b)
-    w = np.random.default_rng(seed).standard_normal((width, d))
-    w /= np.linalg.norm(w, axis=1, keepdims=True)
-    m, v, losses = np.zeros_like(w), np.zeros_like(w), []
+    p = encoder_start(family, width, len(b), seed)
+    m, v = ({n: np.zeros_like(x) for n, x in p.items()} for _ in range(2))
+    dead, losses, names = np.zeros(width, bool), [], list(p)
     for t in range(1, epochs + 1):
+        shared = acts.sparkSession.sparkContext.broadcast((p, dead))
 
-        def run(batches, w=w):
-            grad, loss, n = np.zeros_like(w), 0.0, 0
+        def run(batches, shared=shared):
+            now, gone = shared.value
+            total, loss, fired, n = {c: np.zeros_like(x) for c, x in now.items()}, 0.0, np.zeros(width), 0
             for batch in batches:
                 if batch.num_rows:
                     x = V._dense(batch.column(0)) - b
-                    z = np.maximum(x @ w.T, 0)
-                    np.put_along_axis(z, np.argsort(-z, axis=1, kind="stable")[:, k:], 0.0, axis=1)
-                    e = z @ w - x
-                    grad += z.T @ e + ((e @ w.T) * (z > 0)).T @ x
-                    loss, n = loss + float((e * e).sum()), n + len(x)
-            yield pa.RecordBatch.from_arrays([pa.array([[*grad.ravel(), loss, float(n)]], pa.list_(pa.float64()))], names=["g"])
+                    g, e, f = encoder_gradient(family, now, x, k, gone)
+                    total = {c: total[c] + g[c] for c in total}
+                    loss, fired, n = loss + e, fired + f, n + len(x)
+            flat = np.concatenate([*(total[c].ravel() for c in names), fired, [loss, n]])
+            yield pa.RecordBatch.from_arrays([pa.array([flat.tolist()], pa.list_(pa.float64()))], names=["g"])
 
         total = np.sum([r[0] for r in acts.select("h").mapInArrow(run, "g array<double>").toLocalIterator()], axis=0)
-        losses.append(float(total[-2] / total[-1]))
-        g = 2 * total[:-2].reshape(w.shape) / total[-1]
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w /= np.linalg.norm(w, axis=1, keepdims=True) + 1e-9
-    return w, b, losses
+        n = max(1.0, total[-1])
+        losses.append(float(total[-2] / n))
+        dead, at = total[-2 - width : -2] == 0, 0
+        for c in names:
+            g = total[at : at + p[c].size].reshape(p[c].shape) / n
+            at += p[c].size
+            m[c], v[c] = 0.9 * m[c] + 0.1 * g, 0.999 * v[c] + 0.001 * g * g
+            p[c] = p[c] - rate * (m[c] / (1 - 0.9**t)) / (np.sqrt(v[c] / (1 - 0.999**t)) + 1e-8)
+        p["w"] = p["w"] / (np.linalg.norm(p["w"], axis=1, keepdims=True) + 1e-9)
+    return p, b, losses
+
+
+def train_topk(acts: DataFrame, width: int, k: int, epochs: int = 3, rate: float = 1e-2, seed: int = 0) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """M10 for the top-k family: directions, bias, losses."""
+    p, b, losses = train(acts, width, k, epochs, "topk", rate, seed)
+    return p["w"], b, losses

@@ -105,3 +105,49 @@ def test_too_large_a_model_is_refused(spark, monkeypatch):
     monkeypatch.setattr(V, "MOST", 3)
     with pytest.raises(ValueError):
         V.matrix(weights(spark, np.eye(2)))
+
+
+@pytest.mark.parametrize("family", ["topk", "gated", "jumprelu"])
+def test_gradients_by_differences(family):
+    rng = np.random.default_rng(5)
+    x, p = rng.standard_normal((6, 4)), M.encoder_start(family, 7, 4, 1)
+    if family == "jumprelu":
+        p["b"] = p["b"] + 0.1
+    for c in ("r_mag", "b_gate", "b_mag"):
+        if c in p:
+            p[c] = p[c] + 0.05
+    none = np.zeros(7, bool)
+    g, _, fired = M.encoder_gradient(family, p, x, 3, none)
+    assert fired.shape == (7,)
+
+    def loss(q):
+        w = q["w"]
+        pre = x @ w.T
+        if family == "topk":
+            z = np.maximum(pre, 0)
+            np.put_along_axis(z, np.argsort(-z, axis=1, kind="stable")[:, 3:], 0.0, axis=1)
+            return ((z @ w - x) ** 2).sum()
+        if family == "gated":
+            gate = pre + q["b_gate"]
+            z = np.where(gate > 0, np.maximum(pre * np.exp(q["r_mag"]) + q["b_mag"], 0), 0)
+            return ((z @ w - x) ** 2).sum() + M.SPARSITY * np.maximum(gate, 0).sum() + ((np.maximum(gate, 0) @ p["w"] - x) ** 2).sum()
+        pi = np.maximum(pre + q["b"], 0)
+        return ((np.where(pi > np.exp(q["log_theta"]), pi, 0) @ w - x) ** 2).sum()
+
+    for c in p:
+        if c == "log_theta":
+            continue  # the step has no slope of its own
+        for i in np.ndindex(p[c].shape):
+            up, down = ({n: v.copy() for n, v in p.items()} for _ in range(2))
+            up[c][i] += 1e-6
+            down[c][i] -= 1e-6
+            assert (loss(up) - loss(down)) / 2e-6 == pytest.approx(g[c][i], abs=1e-3)
+
+
+@pytest.mark.parametrize("family", ["topk", "gated", "jumprelu"])
+def test_every_family_trains(spark, family):
+    x = np.abs(np.random.default_rng(6).standard_normal((120, 6)))
+    _, _, losses = M.train(frame(spark, x), 9, 3, 12, family)
+    assert losses[-1] < losses[0]
+    with pytest.raises(ValueError):
+        M.encoder_start("other", 2, 2)
