@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from helixframe.operators import alignment as A
 from helixframe.operators import resample as R
 from helixframe.plans import programs as P
-from helixframe.plans.align_queries import _LOCI
+from helixframe.plans.align_queries import _LOCI, _features_sql
 from helixframe.plans.registry import query
 from helixframe.sources import tables as T
 
@@ -24,9 +24,10 @@ def bootstrap_ci(spark, sf_dir):
     return out.withColumns({"lo": F.round(F.col("lo") + 1e-12, 8), "hi": F.round(F.col("hi") + 1e-12, 8), "se": F.round("se", 8)})
 
 
-@query(None)
+@query(f"""{_BOOT}, {_features_sql('rf', 'rl')}, se AS (SELECT feature_id, stddev_samp(m) AS se FROM md GROUP BY 1)
+SELECT feature_id, A_f, round(CASE WHEN n_active >= 3 AND se > 1e-9 THEN A_f / se END, 5) AS t FROM rf LEFT JOIN se USING (feature_id)""")
 def studentised(spark, sf_dir):
-    return P.calibration(T.align(spark, sf_dir), 50).select("feature_id", F.round("A_f", 8).alias("A_f"), F.round("t", 6).alias("t"))
+    return P.calibration(T.align(spark, sf_dir), 50).select("feature_id", "A_f", F.round("t", 5).alias("t"))
 
 
 def _loci(spark, sf_dir):
@@ -34,7 +35,13 @@ def _loci(spark, sf_dir):
     return a, a.select("locus").distinct()
 
 
-@query(None)
+_SUB = f"""WITH {_LOCI}, lo AS (SELECT DISTINCT locus FROM rl), pk AS (SELECT locus, rep, row_number() OVER (PARTITION BY rep ORDER BY {T.lcg('rep', 'locus')}, locus) AS i FROM lo, range(30) t(rep)),
+sz AS (SELECT * FROM (VALUES (4), (8), (12), (16), (21)) t(size)), a AS (SELECT size, rep, feature_id, a_f AS v, mass AS w FROM pk JOIN sz ON i <= size JOIN rl USING (locus)),
+c AS (SELECT size, rep, feature_id, v, sum(w) AS w FROM a GROUP BY ALL), k AS (SELECT *, sum(w) OVER (PARTITION BY size, rep, feature_id ORDER BY v ROWS UNBOUNDED PRECEDING) AS cum, sum(w) OVER (PARTITION BY size, rep, feature_id) AS tot FROM c),
+m AS (SELECT size, rep, feature_id, min(v) FILTER (cum >= tot / 2) AS m FROM k GROUP BY ALL), e AS (SELECT size, rep, avg(CASE WHEN m > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS share FROM m GROUP BY ALL)"""
+
+
+@query(f"{_SUB} SELECT size, round(avg(share), 6) AS mean_share, round(min(share), 6) AS least, round(max(share), 6) AS most FROM e GROUP BY 1")
 def subsample_curve(spark, sf_dir):
     out = R.subsample_curve(*_loci(spark, sf_dir), [4, 8, 12, 16, 21], 30)
     return out.withColumns({c: F.round(c, 6) for c in ("mean_share", "least", "most")})

@@ -128,12 +128,24 @@ def ism_variants(spark, sf_dir):
     return Q.variants(T.corpus(spark, sf_dir)).groupBy("seq_id").agg(F.count(F.lit(1)).alias("n_variants"), F.count_distinct("pos").alias("n_pos"))
 
 
-@query(None)
+_HIT, _MISS = f"({S.HIT!r})::DOUBLE", f"({S.MISS!r})::DOUBLE"
+# every start that covers a mutated position, the best start before and after those that do
+_ISM = f"""{_C}, {_MOT}, {_matches_sql()}, lr AS (SELECT *, max(m) OVER (PARTITION BY seq_id, motif ORDER BY start ROWS UNBOUNDED PRECEDING) AS lm,
+  max(m) OVER (PARTITION BY seq_id, motif ORDER BY start DESC ROWS UNBOUNDED PRECEDING) AS rm, max(m) OVER (PARTITION BY seq_id, motif) AS top FROM mt),
+co AS (SELECT lr.seq_id, lr.motif, lr.w, lr.top, lr.start + o AS pos, m, c.seq[lr.start + o + 1] AS ref, cons[o + 1] AS want FROM lr JOIN mot USING (motif) JOIN corpus c USING (seq_id), range(9) t(o) WHERE o < lr.w),
+va AS (SELECT seq_id, motif, w, top, pos, alt, max(m - CAST(ref = want AS INT) + CAST(alt = want AS INT)) AS bm FROM co, (VALUES ('A'), ('C'), ('G'), ('T')) t(alt) WHERE alt <> ref GROUP BY ALL),
+de AS (SELECT va.seq_id, va.motif, va.pos, va.alt, va.w, va.top, greatest(bm, coalesce(l.lm, -1), coalesce(r.rm, -1)) AS b FROM va
+  LEFT JOIN lr l ON l.seq_id = va.seq_id AND l.motif = va.motif AND l.start = va.pos - va.w LEFT JOIN lr r ON r.seq_id = va.seq_id AND r.motif = va.motif AND r.start = va.pos + 1),
+dl AS (SELECT seq_id, motif, pos, alt, abs(greatest(top * {_HIT} + (w - top) * {_MISS}, 0) - greatest(b * {_HIT} + (w - b) * {_MISS}, 0)) AS delta FROM de)"""
+
+
+@query(f"""{_ISM}, av AS (SELECT seq_id, motif, pos, avg(delta) AS v FROM dl GROUP BY ALL), s AS (SELECT seq_id, motif, sum(v) AS t, count(*) FILTER (v > 1e-9) AS k FROM av GROUP BY ALL)
+SELECT corpus.seq_id, mot.motif, round(coalesce(t, 0), 6) AS total, coalesce(k, 0) AS n_sensitive FROM corpus CROSS JOIN mot LEFT JOIN s ON s.seq_id = corpus.seq_id AND s.motif = mot.motif""")
 def ism_sensitivity(spark, sf_dir):
-    return Q.ism(T.corpus(spark, sf_dir)).withColumn("total", F.round("total", 6))
+    return Q.ism(T.corpus(spark, sf_dir)).withColumn("total", F.round("total", 6)).drop("peak")
 
 
-@query(None)
+@query(f"{_ISM} SELECT motif, CAST(strpos('ACGT', alt) - 1 AS INT) AS alt, count(*) AS n, round(avg(delta), 6) AS mean_delta FROM dl WHERE delta > 1e-9 GROUP BY ALL")
 def ism_per_alt(spark, sf_dir):
     p = Q.ism_profiles(T.corpus(spark, sf_dir))
     return p.groupBy("motif", "alt").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("delta"), 6).alias("mean_delta"))
