@@ -16,6 +16,8 @@ from helixframe.llm.components import connected_components, send_back
 #: Table rows of one slot in one task; the queries of a larger slot are dealt over several copies of it.
 SLOT_ROWS = 20_000
 SEED = 42
+#: Copies of a component's id.
+SALTS = 8
 
 
 def fingerprint(text: bytes, shingle: int = 4, seeds: tuple[int, ...] = (SEED,), repeats: bool = True) -> tuple[int, ...]:
@@ -224,9 +226,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n = prints.count()
     plan = bands(n, len(seeds)) if wide else segments(distance, n, len(seeds))
     roots = durable(connected_components(hamming_links(prints.select("node", *fps), plan, distance, fps)))
-    own = prints.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    values = own.select(*fps, "root").join(ids, "root").select(*fps, "root", "component_id")
+    own = prints.join(roots, "node", "left")
+    # one component may hold many fingerprints: its id goes to them by salted copies; those without a link need none
+    linked = own.where("root IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    ids = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    alone = own.where("root IS NULL").select(*fps, F.col("node").alias("root"), F.col("least").alias("component_id"))
+    values = linked.join(ids, ["root", "salt"]).select(*fps, "root", "component_id").unionByName(alone)
     return send_back(rows, fps, values).select("rid", F.col("id").alias(id_col), *fps, "root", "component_id")
 
 
