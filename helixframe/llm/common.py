@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.shipping import ship
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -114,7 +116,11 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """df, with Arrow batches held to so many rows in its session: texts can be long, and a worker holds a batch at a time."""
+    """df, with Arrow batches held to so many rows in its session: texts can be long, and a worker holds a batch at a time.
+
+    All operators that run Python pass here, so it also sees to it that workers can import them.
+    """
+    ship(df.sparkSession)
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= rows:
         conf.set(key, str(rows))
