@@ -66,12 +66,13 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """df without the rows that another row of equal text replaces; columns as they were.
 
-    Only numbers of rows travel: the dropped ones are joined out by id, and rows that share an id by their text's digest too.
+    Rows are named by their place in the input, so df must read alike twice, as a table's scan does.  The join gets the
+    dropped rows, as they are the fewer: where their numbers are small enough, Spark leaves the texts where they are.
     """
     groups = exact_duplicates(df, id_col, text_col, keep)
     rid = free_name(df, "rid")
-    kept = groups.where("kept").select(F.col("rid").alias(rid))
-    return df.withColumn(rid, F.monotonically_increasing_id()).join(kept, rid, "left_semi").drop(rid)
+    dropped = groups.where("NOT kept").select(F.col("rid").alias(rid))
+    return df.withColumn(rid, F.monotonically_increasing_id()).join(dropped, rid, "left_anti").drop(rid)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -243,8 +243,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     rid = free_name(docs, "rid")
     found = near_duplicates(docs, id_col, text_col, shingle, distance, seeds, wide, repeats=False)
-    first = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), "rid")).alias("x")).select(F.col("x.rid").alias(rid))
-    return docs.withColumn(rid, F.monotonically_increasing_id()).join(first, rid, "left_semi").drop(rid)
+    found = durable(found.select(F.col(f"`{id_col}`").alias("id"), F.col("rid").alias(rid), "root"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col(rid))).alias("x")).select(F.col(f"x.{rid}").alias(rid))
+    # the dropped rows are the fewer; where their numbers are small enough, Spark leaves the texts where they are
+    dropped = found.select(rid).join(first, rid, "left_anti")
+    return docs.withColumn(rid, F.monotonically_increasing_id()).join(dropped, rid, "left_anti").drop(rid)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
