@@ -218,6 +218,16 @@ def test_pseudonyms(docs, awkward):
     assert got[n + 7].text == texts[n + 7]
 
 
+def test_pseudonyms_without_digits(docs):
+    secret = "abcdefabcdefabcdefabcdefabcdefabcdefabcd"
+    texts = ["write to jane.doe@example.com", "write to jane.doe@example.com 7", f"token {secret} end", f"token {secret} end 7", "mail @ noon", "beef cafe"]
+    got = sorted(pseudonyms.pseudonymise(docs(texts), "k").collect(), key=lambda r: r.doc_id)
+    assert [r.found for r in got] == [["email"], ["email"], ["secret"], ["secret"], [], []]
+    assert got[0].text + " 7" == got[1].text and got[2].text + " 7" == got[3].text
+    assert "jane" not in got[0].text and got[0].text.endswith("@example.com") and secret not in got[2].text
+    assert [r.text for r in got[4:]] == texts[4:]
+
+
 def test_pseudonyms_are_permutations(spark):
     from pyspark.sql import functions as F
 
