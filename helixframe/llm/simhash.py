@@ -67,11 +67,13 @@ def segments(distance: int, n: int, parts: int = 1) -> list[tuple[int, int, int,
     return [(i // m, sum(widths[i // m * m : i]), w, r) for i, w in enumerate(widths) if (r := radius if i <= extra else radius - 1) >= 0]
 
 
-def bands(n: int, parts: int, radius: int = 1) -> list[tuple[int, int, int, int]]:
-    """Segments of one radius all through, for distances too wide to enumerate: a pair must come so near in one of them."""
-    m = next(m for m in (4, 3, 2) if 64 // m >= min(32, n.bit_length() - 4) or m == 2)
-    widths = [64 // m + (i < 64 % m) for i in range(m)]
-    return [(part, sum(widths[:i]), w, radius) for part in range(parts) for i, w in enumerate(widths)]
+def bands(parts: int, bits: int = 16, radius: int = 1) -> list[tuple[int, int, int, int]]:
+    """Segments of one width and radius all through, for distances too wide to enumerate: a pair must come so near in one of them.
+
+    Unlike in segments(), the width decides which pairs are found, so it doesn't follow the number of fingerprints: slots
+    fill up as a corpus grows, and hamming_links deals large ones over copies.
+    """
+    return [(part, shift, bits, radius) for part in range(parts) for shift in range(0, 64, bits)]
 
 
 def _slots(plan: list[tuple[int, int, int, int]], prints: DataFrame, fps: list[str]) -> DataFrame:
@@ -223,8 +225,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = durable(rows)
     prints = rows.groupBy(*fps).agg(F.min("id").alias("least"), F.min("rid").alias("first"))
     prints = durable(prints.select(F.col("fp0" if len(fps) == 1 else "first").alias("node"), *fps, "least"))
-    n = prints.count()
-    plan = bands(n, len(seeds)) if wide else segments(distance, n, len(seeds))
+    plan = bands(len(seeds)) if wide else segments(distance, prints.count(), len(seeds))
     roots = durable(connected_components(hamming_links(prints.select("node", *fps), plan, distance, fps)))
     own = prints.join(roots, "node", "left")
     # one component may hold many fingerprints: its id goes to them by salted copies; those without a link need none

@@ -124,6 +124,19 @@ def test_near_copies_go_and_others_stay(docs):
     assert kept == set(range(20))
 
 
+def test_near_copies_do_not_depend_on_the_corpus_size(docs, monkeypatch):
+    rng = random.Random(11)
+    base = [[f"v{rng.randrange(5000)}" for _ in range(200)] for _ in range(40)]
+    near = [[f"new{i}" if i in (30, 80, 130, 180) else w for i, w in enumerate(t)] for t in base]  # similarity 176 / 216
+    d = docs([" ".join(t) for t in base + near])
+    links = lambda: {r.doc_id: r.component_id for r in simhash.near_duplicates(d, "doc_id", "text", 5, 26, (42, 43), True, False).collect()}
+    small = links()
+    assert sum(small[i + 40] == i for i in range(40)) >= 34
+    for n in (2**20, 2**25):
+        monkeypatch.setattr(type(d), "count", lambda self, n=n: n)
+        assert links() == small
+
+
 def test_null_ids_stay_apart(docs):
     d = docs([" ".join(f"{k}{i}" for i in range(50)) for k in "abc"], [None, None, None])
     assert simhash.drop_near_duplicates(d).count() == 3
