@@ -140,15 +140,20 @@ def cosine_nearest(a: DataFrame, b: DataFrame, signed: bool = False) -> DataFram
     """L3 and L4: each vector of a with its nearest of b by (absolute) cosine, ties by id; b is the model that is held."""
     keys, w = matrix(b)
     w = w / (np.linalg.norm(w, axis=1, keepdims=True) + 1e-9)
+    step = max(1, 4_000_000 // max(1, len(w)))  # rows whose cosines are held at once
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 h = _dense(batch.column(1))
-                c = h / (np.linalg.norm(h, axis=1, keepdims=True) + 1e-9) @ w.T
-                c = c if signed else np.abs(c)
-                j = c.argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys[j]), pa.array(c[np.arange(len(j)), j])], names=["feature_id", "nearest", "cosine"])
+                h = h / (np.linalg.norm(h, axis=1, keepdims=True) + 1e-9)
+                j, best = np.zeros(len(h), np.int64), np.zeros(len(h))
+                for at in range(0, len(h), step):
+                    c = h[at : at + step] @ w.T
+                    c = c if signed else np.abs(c)
+                    j[at : at + step] = c.argmax(axis=1)
+                    best[at : at + step] = c.max(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys[j]), pa.array(best)], names=["feature_id", "nearest", "cosine"])
 
     return a.select("feature_id", "w").mapInArrow(run, "feature_id bigint, nearest bigint, cosine double")
 

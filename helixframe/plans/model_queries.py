@@ -19,8 +19,9 @@ def _probe(spark, sf_dir):
 
 
 def _two(spark, sf_dir):
+    """All embeddings as two sets of directions, by the parity of their number."""
     v = T.vectors(spark, sf_dir).select(F.col("token").alias("feature_id"), F.col("h").alias("w"))
-    return v.where("feature_id % 4 = 0"), v.where("feature_id % 4 = 1")
+    return v.where("feature_id % 2 = 0"), v.where("feature_id % 2 = 1")
 
 
 def _values(spark, values: dict) -> object:

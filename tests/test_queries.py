@@ -47,3 +47,13 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_two_sets_hold_all_vectors(spark):
+    from helixframe.plans import model_queries
+
+    a, b = model_queries._two(spark, SF)
+    n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    assert a.count() + b.count() == n and a.join(b, "feature_id").isEmpty()
+    rows = catalog.QUERIES["hungarian_match"](spark, SF).collect()
+    assert len({r.a_id for r in rows} | {r.b_id for r in rows}) == 2 * len(rows) == n
