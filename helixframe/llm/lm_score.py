@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from helixframe.llm.common import crc_remainder, durable, small_batches, space_words, table, utf8
 from helixframe.llm.pieces import SPACE, default_path, piece_weights
 
-#: Bytes of the longest piece in the lattice.
-MAX_PIECE = 16
 #: Words with at least one in so many of all tokens have their scores broadcast: no more words than that.  All others are joined.
 HEAD = 500_000
 #: Distinct words that a task counts before it hands them on.
@@ -37,7 +35,7 @@ def lattice_pieces(path: str) -> tuple[list[bytes], np.ndarray]:
     prior: Counter = Counter()
     for piece, weight in piece_weights(path).items():
         raw = piece.replace(SPACE, "").encode()
-        if raw and len(raw) <= MAX_PIECE and raw == raw.lower():
+        if raw and raw == raw.lower():
             prior[raw] += math.exp(weight)
     floor = min(prior.values()) / 10
     for b in range(256):
@@ -58,6 +56,7 @@ class Lattice:
         code = np.array([_hash(x) for x in names[1:]], np.uint64)
         order = np.argsort(code)
         self.code, self.piece = code[order], order.astype(np.int32) + 1
+        self.longest = max(map(len, names))
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[_slot(code)] = True
         with np.errstate(divide="ignore"):
@@ -72,10 +71,10 @@ class Lattice:
         """
         n = len(words[0])
         raw = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), n).T.astype(np.uint64) + np.uint64(1)
-        out = np.zeros((sum(min(j, MAX_PIECE) for j in range(1, n + 1)), len(words)), np.int32)
-        first = np.cumsum([0] + [min(j, MAX_PIECE) for j in range(1, n)])  # of the arcs that end at j = 1, 2, ...
+        out = np.zeros((sum(min(j, self.longest) for j in range(1, n + 1)), len(words)), np.int32)
+        first = np.cumsum([0] + [min(j, self.longest) for j in range(1, n)])  # of the arcs that end at j = 1, 2, ...
         code = np.zeros((n, len(words)), np.uint64)
-        for size in range(1, min(n, MAX_PIECE) + 1):
+        for size in range(1, min(n, self.longest) + 1):
             code = code[: n - size + 1] * _BASE + raw[size - 1 :]
             start, word = np.nonzero(self.maybe[_slot(code)])
             if len(start):
@@ -84,7 +83,7 @@ class Lattice:
                 hit = self.code[at] == found
                 start, word = start[hit], word[hit]
                 end = start + size
-                out[first[end - 1] + np.minimum(end, MAX_PIECE) - size, word] = self.piece[at[hit]]
+                out[first[end - 1] + np.minimum(end, self.longest) - size, word] = self.piece[at[hit]]
         return out
 
     def forward(self, ids: np.ndarray, n: int, z: int) -> np.ndarray:
@@ -92,7 +91,7 @@ class Lattice:
         alpha = np.zeros((n + 1, ids.shape[1]))
         at, log_p = 0, self.log_p[z]
         for j in range(1, n + 1):
-            k = min(j, MAX_PIECE)
+            k = min(j, self.longest)
             x = alpha[j - k : j] + log_p[ids[at : at + k]]
             top = x.max(axis=0)  # every byte is a piece, so one arc at least is finite
             alpha[j] = top + np.log(np.exp(x - top).sum(axis=0))
@@ -114,7 +113,7 @@ class Lattice:
         weight = np.empty(ids.shape)
         at = len(ids)
         for j in range(n, 0, -1):
-            k = min(j, MAX_PIECE)
+            k = min(j, self.longest)
             at -= k
             step = log_p[ids[at : at + k]] + beta[j]
             weight[at : at + k] = np.exp(alpha[j - k : j] + step - alpha[n])
@@ -149,13 +148,13 @@ def _merged(batches, rows: int = 20_000):
         yield pa.concat_batches(held)
 
 
-def _by_length(words: list[bytes], most: int = 200_000):
+def _by_length(words: list[bytes], longest: int, most: int = 200_000):
     """Indexes of words of one length, at most so many arcs at once."""
     groups: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         groups.setdefault(len(w), []).append(i)
     for n, of in groups.items():
-        step = max(1, most // (n * MAX_PIECE))
+        step = max(1, most // (n * min(n, longest)))
         for at in range(0, len(of), step):
             yield of[at : at + step]
 
@@ -205,7 +204,7 @@ def fit_lattice(words: DataFrame, classes: int, path: str, rounds: int = ROUNDS,
                 for z in range(classes):
                     mine = [of[i] for i in np.flatnonzero(b.column(1 + z).to_numpy())]
                     n[z] += len(mine)
-                    for group in _by_length(mine):
+                    for group in _by_length(mine, shared.value.longest):
                         total[z] += shared.value.expected([mine[i] for i in group], z)
             z, piece = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([*range(classes), *z], pa.int32()), pa.array([*[-1] * classes, *piece], pa.int32()), pa.array([*n, *total[z, piece]], pa.float64())], names=["z", "piece", "used"])
@@ -267,7 +266,7 @@ def lm_scores(docs: DataFrame, learn_col: str, id_col: str = "doc_id", text_col:
         for b in _merged(batches):
             words = b.column(0).to_pylist()
             out = np.zeros((classes, len(words)))
-            for group in _by_length(words):
+            for group in _by_length(words, lattice.value.longest):
                 out[:, group] = lattice.value.log_probability([words[i] for i in group])
             c = np.stack([b.column(2 + z).to_numpy().astype(float) for z in range(classes)])
             # in log space, as a long word's probability is less than the least float

@@ -130,6 +130,26 @@ def test_lattice_adds_all_segmentations():
     assert np.isfinite(lattice.log_probability([b"ab" * 5000])).all()
 
 
+def test_lattice_has_the_longest_pieces():
+    import numpy as np
+
+    path = default_path()
+    want = {raw for piece in piece_weights(path) if (raw := piece.replace(SPACE, "").encode()) and raw == raw.lower()}
+    names, p = lm_score.lattice_pieces(path)
+    assert want <= set(names) and max(map(len, want)) > 16
+    lattice = lm_score.Lattice(names, p[None], np.array([0.3]))
+    long = [w for w in want if len(w) > 16]
+    for w in long:  # the arc over the whole word is among its arcs
+        assert names.index(w) in lattice.arcs([w])[:, 0]
+    # a forward sum over all pieces by their ends, word after word
+    for w in (*long, b"x" + long[0] + b"yz"):
+        sums = [1.0] + [0.0] * len(w)
+        index = {n: p[i] * 0.7 for i, n in enumerate(names) if i}
+        for j in range(1, len(w) + 1):
+            sums[j] = sum(sums[i] * index.get(w[i:j], 0.0) for i in range(j))
+        assert np.allclose(lattice.log_probability([w])[0, 0], math.log(sums[-1] * 0.3 / 0.7))
+
+
 def test_lm_scores(spark, awkward):
     rng = random.Random(6)
     vocabulary = {"en": ["the", "hat", "on", "thering", "wh"], "fr": ["le", "éau", "oi", "réeux", "un"]}
