@@ -49,7 +49,7 @@ def subsample_curve(spark, sf_dir):
 
 @query(None)
 def noise_ceiling(spark, sf_dir):
-    return R.split_half(*_loci(spark, sf_dir), 50).select(F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "splits")
+    return R.split_half(*_loci(spark, sf_dir), 200).select(F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "splits")
 
 
 @query(None)
@@ -57,7 +57,7 @@ def jaccard_bootstrap(spark, sf_dir):
     a = A.aggregate_features(A.collapse_to_loci(T.align(spark, sf_dir, "R"))).select("feature_id", (F.col("A_f") > 0).alias("a_hit"))
     b = A.aggregate_features(A.collapse_to_loci(T.align(spark, sf_dir, "A"))).select("feature_id", (F.col("A_f") > 0).alias("b_hit"))
     pairs = a.join(b, "feature_id").withColumn("pair_id", F.col("feature_id") - 1)
-    return R.pair_bootstrap(pairs, 200).select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+    return R.pair_bootstrap(pairs, 2000).select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
 _ZERO = f"SELECT f, c AS coverage, round((CAST({T.lcg('f', 'k', 'c')} AS DOUBLE) - 0.5) * 0.1, 9) AS v FROM range(500) a(f), (VALUES (4), (8), (16), (21)) b(c), range(1, 22) d(k) WHERE k <= c"

@@ -57,3 +57,13 @@ def test_two_sets_hold_all_vectors(spark):
     assert a.count() + b.count() == n and a.join(b, "feature_id").isEmpty()
     rows = catalog.QUERIES["hungarian_match"](spark, SF).collect()
     assert len({r.a_id for r in rows} | {r.b_id for r in rows}) == 2 * len(rows) == n
+
+
+def test_replicates_of_the_survey(spark, monkeypatch):
+    from helixframe.plans import resample_queries
+
+    assert catalog.QUERIES["noise_ceiling"](spark, SF).first().splits == 200
+    seen, real = [], resample_queries.R.pair_bootstrap
+    monkeypatch.setattr(resample_queries.R, "pair_bootstrap", lambda pairs, reps: seen.append(reps) or real(pairs, reps))
+    catalog.QUERIES["jaccard_bootstrap"](spark, SF)
+    assert seen == [2000]
