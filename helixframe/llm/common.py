@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import tempfile
-import atexit
 from collections.abc import Callable, Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -99,29 +97,70 @@ def with_struct(df: DataFrame, text: str, udf, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; a folder of this machine only where that is unset."""
+    """The folder that the cluster shares, from spark.checkpoint.dir; a folder of this machine only in local mode, where that is unset."""
     if not (path := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="helixframe-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
+        remove_at_exit(spark, path)
     return path
 
 
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Has the session's file system remove a folder when the application ends."""
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a checkpoint in the shared folder, which outlives any executor."""
-    path = shared_dir(df.sparkSession)
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        df.sparkSession.sparkContext.setCheckpointDir(path)
+    """Cuts lineage with a checkpoint in the shared folder, which outlives any executor and goes when the application ends."""
+    spark = df.sparkSession
+    path = shared_dir(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(path)
+        remove_at_exit(spark, spark.sparkContext.getCheckpointDir())
     return df.checkpoint(eager=True)
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """df, with Arrow batches held to so many rows in its session: texts can be long, and a worker holds a batch at a time.
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: it reads alike ever after, by column, however the readers split it."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    remove_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a row number (unique, not dense) that belongs to the row for good: it is written along with it.
+
+    monotonically_increasing_id() names rows by the splits of a scan, and two scans may split a table in different ways.
+    """
+    return stored(df.withColumn(name, F.monotonically_increasing_id()))
+
+
+def small_batches(df: DataFrame, rows: int = 1000, size: str = "16m") -> DataFrame:
+    """df, with Arrow batches held to so many rows and bytes in its session: texts can be long, and a worker holds a batch at a time.
 
-    All operators that run Python pass here, so it also sees to it that workers can import them.
+    The setting stays, as the plan is only run later.  All operators that run Python pass here, so it also sees to it
+    that workers can import them.
     """
     ship(df.sparkSession)
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= rows:
         conf.set(key, str(rows))
+    if conf.get(key := "spark.sql.execution.arrow.maxBytesPerBatch", None) is not None:
+        conf.set(key, size)
     return df

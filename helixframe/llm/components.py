@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.common import durable
 
+#: Copies of a star's centre: its neighbours, which may be a third of all nodes, are dealt over them.
+SALTS = 16
+
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One star step: each node u hands the least node m it sees to its neighbours; large keeps those above u."""
     seen = edges.union(edges.select("v", "u")).toDF("u", "v") if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = seen.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = seen.join(least, "u")
+    salted = seen.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    joined = salted.join(least.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)"))), ["u", "salt"])
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -25,7 +29,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternating large and small stars: each round a few joins on nodes, whose rows never exceed the edges; the
     rounds grow with the logarithm of the longest chain.  Every round is cut by a checkpoint in the shared folder.
-    No group is ever gathered in one task: least neighbours come from partial aggregates, and AQE may split the join.
+    No group is ever gathered in one task: least neighbours come from partial aggregates, and go back by salted copies.
     """
     now = durable(edges.select("u", "v").where("u <> v").distinct())
     mark = None

@@ -15,9 +15,10 @@ ROUNDS = 8
 FIRST_DAY, DAYS, DAY_LEFT, DAY_RIGHT = "1800-01-01", 146_097, 27, 5411
 KINDS = ("email", "secret", "ip", "ssn", "phone", "date", "card")
 
-# The kinds' shapes.  What stands next to a match must not belong to it.
+# The kinds' shapes.  What stands next to a match must not belong to it.  A domain has 127 labels at most: the bound is
+# the name system's own, and it keeps the matcher, which recurses once a label, from using up a task's stack.
 _SHAPES = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]++\.){1,127}[A-Za-z]{2,}",
     "secret": r"(?<![\p{L}\p{N}])[0-9a-fA-F]{32,64}(?![\p{L}\p{N}])",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
     "phone": r"(?<![\d+])\+\d{1,3}[ -]?\(?\d{3}\)?[ -]?\d{3}[ -]?\d{4}(?!\d)|(?<![\p{L}\d(-])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])",

@@ -67,15 +67,6 @@ def segments(distance: int, n: int, parts: int = 1) -> list[tuple[int, int, int,
     return [(i // m, sum(widths[i // m * m : i]), w, r) for i, w in enumerate(widths) if (r := radius if i <= extra else radius - 1) >= 0]
 
 
-def bands(parts: int, bits: int = 16, radius: int = 1) -> list[tuple[int, int, int, int]]:
-    """Segments of one width and radius all through, for distances too wide to enumerate: a pair must come so near in one of them.
-
-    Unlike in segments(), the width decides which pairs are found, so it doesn't follow the number of fingerprints: slots
-    fill up as a corpus grows, and hamming_links deals large ones over copies.
-    """
-    return [(part, shift, bits, radius) for part in range(parts) for shift in range(0, 64, bits)]
-
-
 def _slots(plan: list[tuple[int, int, int, int]], prints: DataFrame, fps: list[str]) -> DataFrame:
     """(seg, k, query, node, fps): query 0 enters a fingerprint in the table of its segment, query 1 asks there for what differs by a mask.
 
@@ -210,12 +201,11 @@ def hamming_links(prints: DataFrame, plan: list[tuple[int, int, int, int]], dist
     return spread.mapInArrow(_match(distance, len(fps)), "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, seeds: tuple[int, ...] = (SEED,), wide: bool = False, repeats: bool = True) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, seeds: tuple[int, ...] = (SEED,), repeats: bool = True) -> DataFrame:
     """One row for each row of docs: rid, <id_col>, fp0 (and fp1, ... for more seeds), root, component_id.
 
     Fingerprints of 64 bits a seed link at distance bits or fewer; root names the component and component_id is the smallest id reachable, the row's
-    own included.  wide is for distances that no enumeration reaches: a link must also agree but for one bit in a
-    segment (see bands).  Null texts count as empty and get fingerprint 0, linked like any other; a null id never is a
+    own included.  No pair within the distance is missed, at any number of rows.  Null texts count as empty and get fingerprint 0, linked like any other; a null id never is a
     component's id unless all its ids are null; rows that repeat are separate rows; an empty table gives an empty table.
     """
     fps = [f"fp{i}" for i in range(len(seeds))]
@@ -225,7 +215,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = durable(rows)
     prints = rows.groupBy(*fps).agg(F.min("id").alias("least"), F.min("rid").alias("first"))
     prints = durable(prints.select(F.col("fp0" if len(fps) == 1 else "first").alias("node"), *fps, "least"))
-    plan = bands(len(seeds)) if wide else segments(distance, prints.count(), len(seeds))
+    plan = segments(distance, prints.count(), len(seeds))
     roots = durable(connected_components(hamming_links(prints.select("node", *fps), plan, distance, fps)))
     own = prints.join(roots, "node", "left")
     # one component may hold many fingerprints: its id goes to them by salted copies; those without a link need none
@@ -236,21 +226,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return send_back(rows, fps, values).select("rid", F.col("id").alias(id_col), *fps, "root", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 26, seeds: tuple[int, ...] = (SEED, SEED + 1), wide: bool = True) -> DataFrame:
-    """docs with the row of the smallest id of each component only (of repeated ids the first row); columns as they were.
-
-    By default fingerprints of 128 bits over distinct five-word shingles: two texts of similarity 0.8 differ in 19 of them on average
-    and in 26 or fewer mostly; unrelated texts in 64.  docs must read alike twice, as a table's scan does.
-    """
-    rid = free_name(docs, "rid")
-    found = near_duplicates(docs, id_col, text_col, shingle, distance, seeds, wide, repeats=False)
-    found = durable(found.select(F.col(f"`{id_col}`").alias("id"), F.col("rid").alias(rid), "root"))
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col(rid))).alias("x")).select(F.col(f"x.{rid}").alias(rid))
-    # the dropped rows are the fewer; where their numbers are small enough, Spark leaves the texts where they are
-    dropped = found.select(rid).join(first, rid, "left_anti")
-    return docs.withColumn(rid, F.monotonically_increasing_id()).join(dropped, rid, "left_anti").drop(rid)
-
-
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")

@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from helixframe.llm import components, exact_dedup, simhash
+from helixframe.llm import components, exact_dedup, near_copies, simhash
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -112,34 +112,103 @@ def test_segments_miss_no_pair():
             assert any((x >> s & (1 << w) - 1).bit_count() <= r for _, s, w, r in plan)
 
 
-def test_near_copies_go_and_others_stay(docs):
-    rng = random.Random(7)
-    base = [" ".join(f"v{rng.randrange(900)}" for _ in range(300)) for _ in range(20)]
-    near = []
-    for t in base[:10]:
-        w = t.split()
-        w[100:101] = ["new"]
-        near.append(" ".join(w))
-    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs(base + near)).collect()}
-    assert kept == set(range(20))
+def edited(rng, words, edits):
+    out = list(words)
+    for i in rng.sample(range(len(words)), edits):
+        out[i] = f"new{rng.randrange(10**6)}"
+    return out
+
+
+def brute_components(texts):
+    """Components of the pairs whose distinct five-word shingles are similar by 0.8 or more, as frozensets of positions."""
+    sets = []
+    for t in texts:
+        w = (t or "").translate(UP).split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)})
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) / len(a | sets[j]) >= 0.8:
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    return {frozenset(i for i, x in enumerate(label) if x == k) for k in label}
+
+
+def corpus(rng, groups=30):
+    """Families of texts from identical to similarity 0.5, that share a passage across families, and short ones."""
+    passage = [f"p{i}" for i in range(60)]
+    out = []
+    for g in range(groups):
+        base = [f"v{rng.randrange(3000)}" for _ in range(rng.choice([6, 30, 200]))] + (passage if g % 3 == 0 else [])
+        out += [" ".join(edited(rng, base, min(len(base), k))) for k in (0, 1, 2, 4, 6, 9)]
+    return [*out, None, "", " ", "One two", "one TWO", "a b c d e", "a b c d e f", out[0].upper()]
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 25, 4000])
+def test_near_copies_equal_brute_force(docs, block_bytes):
+    texts = corpus(random.Random(7))
+    got = near_copies.near_copies(docs(texts).repartition(5), block_bytes=block_bytes).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r.component, set()).add(r.doc_id)
+    assert {frozenset(x) for x in groups.values()} == brute_components(texts)
+    assert all(r.component_id == min(groups[r.component]) for r in got)
 
 
-def test_near_copies_do_not_depend_on_the_corpus_size(docs, monkeypatch):
+def test_near_copies_in_small_and_large_tables(monkeypatch):
+    """The pairs that a table proposes don't depend on how many texts are in it."""
     rng = random.Random(11)
-    base = [[f"v{rng.randrange(5000)}" for _ in range(200)] for _ in range(40)]
-    near = [[f"new{i}" if i in (30, 80, 130, 180) else w for i, w in enumerate(t)] for t in base]  # similarity 176 / 216
-    d = docs([" ".join(t) for t in base + near])
-    links = lambda: {r.doc_id: r.component_id for r in simhash.near_duplicates(d, "doc_id", "text", 5, 26, (42, 43), True, False).collect()}
-    small = links()
-    assert sum(small[i + 40] == i for i in range(40)) >= 34
-    for n in (2**20, 2**25):
-        monkeypatch.setattr(type(d), "count", lambda self, n=n: n)
-        assert links() == small
+    texts = [" ".join(edited(rng, [f"w{i}" for i in range(150)], rng.randrange(40))).encode() for _ in range(60)]
+    f = [near_copies.features(t) for t in texts]
+    pairs = lambda small: {(a, b) for i, j, _ in near_copies.Table([x[1] for x in f], [x[0] for x in f], 0.8, small).candidates() for a, b in zip(i.tolist(), j.tolist())}
+    assert pairs(192) == pairs(1) and len(pairs(1)) > 20
+
+
+def test_near_copies_recall():
+    """Pairs just at 0.8 share an anchor and meet in a segment nearly always."""
+    rng, met, n = random.Random(3), 0, 0
+    for _ in range(400):
+        base = [f"{rng.random()}" for _ in range(rng.choice([40, 100, 400]))]
+        a, b = near_copies.features(" ".join(base).encode()), near_copies.features(" ".join(edited(rng, base, len(base) // 50)).encode())
+        x, y = (np.frombuffer(f[4], np.uint64) for f in (a, b))
+        if not near_copies.similar(x, y, 0.8):
+            continue
+        n += 1
+        met += bool(set(a[2]) & set(b[2])) and any(len(i) for i, *_ in near_copies.Table([a[1], b[1]], [a[0], b[0]], 0.8).candidates())
+    assert n > 100 and met >= 0.98 * n
+
+
+def test_drop_near_copies(docs):
+    texts = corpus(random.Random(9), 8)
+    d = docs(texts)
+    out = near_copies.drop_near_copies(d)
+    assert out.columns == d.columns
+    assert {r.doc_id for r in out.collect()} == {min(g) for g in brute_components(texts)}
+    assert near_copies.drop_near_copies(d.limit(0)).count() == 0
+    twice = near_copies.drop_near_copies(docs(["same words in here today"] * 4, [7, 7, None, None])).collect()
+    assert [r.doc_id for r in twice] == [7]
+
+
+@pytest.mark.parametrize("drop", [exact_dedup.drop_exact_duplicates, near_copies.drop_near_copies])
+def test_dropped_rows_do_not_depend_on_splits(spark, tmp_path, drop):
+    """The table is read with other splits after the operator has numbered its rows."""
+    texts = [f"text number {i % 300} of some words that are its own {i % 300} and no other's" for i in range(400)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(7).write.parquet(str(tmp_path / "t"))
+    d = spark.read.parquet(str(tmp_path / "t"))
+    key = "spark.sql.files.minPartitionNum"
+    spark.conf.set(key, "1")
+    out = drop(d)
+    spark.conf.set(key, "64")
+    try:
+        assert sorted(r.text for r in out.collect()) == sorted(set(texts))
+    finally:
+        spark.conf.unset(key)
 
 
 def test_null_ids_stay_apart(docs):
     d = docs([" ".join(f"{k}{i}" for i in range(50)) for k in "abc"], [None, None, None])
-    assert simhash.drop_near_duplicates(d).count() == 3
+    assert near_copies.drop_near_copies(d).count() == 3
+    assert simhash.near_duplicates(d).count() == 3
     assert simhash.near_duplicates(d.limit(0)).count() == 0
 
 

@@ -248,6 +248,16 @@ def test_pseudonyms_without_digits(docs):
     assert [r.text for r in got[4:]] == texts[4:]
 
 
+def test_pseudonyms_of_very_long_matches(docs):
+    """Nothing in the shapes recurses with the length of a text."""
+    texts = ["x1@" + "a." * 5000 + "com", "x1@" + "ab." * 400000 + "com", "x1@" + "a" * 10**6 + ".com", "1" * 10**6, "f" * 10**6 + "1", "1.2." * 250000, "(555) " * 100000, "9" * 16 + " " + "x" * 10**6]
+    got = sorted(pseudonyms.pseudonymise(docs(texts), "k").collect(), key=lambda r: r.doc_id)
+    assert [len(r.found) for r in got[2:]] == [1, 0, 0, 0, 0, 0] and got[3].text == texts[3]
+    assert pseudonyms.pseudonymise(docs(texts[:0]), "k").count() == 0
+    same = sorted(pseudonyms.pseudonymise(docs(["1.2.3.4"] * 3, [5, 5, None]), "k").collect(), key=lambda r: str(r.doc_id))
+    assert len({r.text for r in same}) == 1 and len(same) == 3
+
+
 def test_pseudonyms_are_permutations(spark):
     from pyspark.sql import functions as F
 
