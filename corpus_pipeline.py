@@ -11,8 +11,8 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm import byte_bpe, decontaminate, exact_dedup, simhash, toxicity as toxic
-from helixframe.llm.common import free_name, shared_dir, table
+from helixframe.llm import byte_bpe, decontaminate, exact_dedup, near_copies as near, toxicity as toxic
+from helixframe.llm.common import free_name, remove, shared_dir, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +26,11 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies by fingerprints of five-word shingles, the document with the smallest id stays."""
-    return simhash.drop_near_duplicates(docs)
+    """Of each group of near copies the document with the smallest id stays.
+
+    SimHash fingerprints propose pairs; five-word shingles with a similarity of 0.8 or more decide.
+    """
+    return near.drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +57,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; what a stage returns is written to the shared folder and read again, and goes once the next is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     out = f"{shared_dir(spark)}/pipeline-{uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{out}/{i}-{name}")
-        docs = spark.read.parquet(f"{out}/{i}-{name}")
+        path = f"{out}/{i}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
