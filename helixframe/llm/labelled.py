@@ -16,24 +16,26 @@ SAMPLE = 30_000
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, mod: int, held: int, id_col: str = "doc_id", text_col: str = "text", bound: int = SAMPLE) -> DataFrame:
     """(text bytes, y 0/1, u in [0, 1)) of at most `bound` labelled ids outside the held-out fold; u deals them into parts.
 
-    Null ids and labels don't count; an id that is labelled twice has its largest label.  Of copies and most near copies,
-    which share their least shingle hash, the one of least id stays: else a text that was copied a thousand times would
-    teach its every word, and its copies in the other part would confirm it.  Only ids and labels are broadcast.
+    Null ids and labels don't count; an id that is labelled twice has its largest label.  Of texts with the same three
+    least shingle hashes (which copies have, near copies mostly, and texts that only share a passage seldom) and the same
+    label the one of least id stays: else a text that was copied a thousand times would teach its every word, and its copies
+    in the other part would confirm it.  u follows the least hash, so that what is like it falls in the same part.  Only ids
+    and labels are broadcast.
     """
     use = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     use = use.where(crc_remainder("id", mod) != held).groupBy("id").agg((F.max("y") > 0).cast("int").alias("y"))
     use = use.orderBy(F.xxhash64(F.col("id"), F.lit("sample")), "id").limit(bound)
     own = docs.select(F.col(f"`{id_col}`").alias("id"), utf8(text_col).alias("text"))
-    rows = own.join(F.broadcast(use), "id").withColumn("k", per_text(lambda: lambda text: (least_shingle(text),), "h bigint")(F.col("text"))["h"])
-    rows = rows.groupBy("k").agg(F.min_by(F.struct("text", "y"), F.struct("id", "text")).alias("r"))
-    return rows.select("r.text", "r.y", (F.pmod(F.xxhash64(F.col("k"), F.lit("part")), F.lit(1000)) / 1000.0).alias("u"))
+    rows = own.join(F.broadcast(use), "id").withColumn("k", per_text(lambda: lambda text: (least_shingles(text),), "h array<bigint>")(F.col("text"))["h"])
+    rows = rows.groupBy("k", "y").agg(F.min_by("text", F.struct("id", "text")).alias("text"))
+    return rows.select("text", "y", (F.pmod(F.xxhash64(F.col("k")[0], F.lit("part")), F.lit(1000)) / 1000.0).alias("u"))
 
 
-def least_shingle(text: bytes, size: int = 5) -> int:
-    """The least hash of the text's runs of five words, as a signed number; of the whole text if it has fewer."""
+def least_shingles(text: bytes, size: int = 5, least: int = 3) -> list[int]:
+    """The least hashes of the text's runs of five words, as signed numbers; of the whole text if it has fewer."""
     words = alnum_words(text)
     runs = map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)) if len(words) >= size else [b" ".join(words)]
-    return min(xxhash.xxh64_intdigest(r) for r in runs) - (1 << 63)
+    return [h - (1 << 63) for h in sorted({xxhash.xxh64_intdigest(r) for r in runs})[:least]]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:

@@ -15,8 +15,10 @@ from helixframe.llm.pieces import SPACE, default_path, piece_weights
 
 #: Words with at least one in so many of all tokens have their scores broadcast: no more words than that.  All others are joined.
 HEAD = 500_000
-#: Distinct words that a task counts before it hands them on.
-FLUSH = 400_000
+#: Distinct words that a task counts before it hands them on, and bytes of text.
+FLUSH, FLUSH_BYTES = 400_000, 128 << 20
+#: Bytes of a word beyond which its lattice is walked with a window instead of being held.
+LONG = 2048
 #: Classes of documents with word probabilities of their own; what is left shares the last.
 CLASSES = 8
 #: Part of a class's backing-off mass that goes to words of any class, the rest to its lattice.
@@ -61,6 +63,7 @@ class Lattice:
         self.maybe[_slot(code)] = True
         with np.errstate(divide="ignore"):
             self.log_p = np.log(p) + np.log1p(-stop)[:, None]
+        self.step = p * (1 - stop)[:, None]
         self.close = np.log(stop) - np.log1p(-stop)
 
     def arcs(self, words: list[bytes]) -> np.ndarray:
@@ -98,8 +101,44 @@ class Lattice:
             at += k
         return alpha
 
+    def ends(self, word: bytes, a: int, b: int) -> np.ndarray:
+        """Piece numbers (end, start) of the arcs that end after a and not after b; the starts are the `longest` places before an end."""
+        low = max(0, a - self.longest)
+        raw = np.frombuffer(word, np.uint8, b - low, low).astype(np.uint64) + np.uint64(1)
+        out = np.zeros((b - a, self.longest), np.int32)
+        code = np.zeros(len(raw), np.uint64)
+        for size in range(1, min(len(raw), self.longest) + 1):
+            code = code[: len(raw) - size + 1] * _BASE + raw[size - 1 :]
+            start = np.flatnonzero(self.maybe[_slot(code)])
+            end = start + (low + size - 1 - a)
+            start, end = start[end >= 0], end[end >= 0]
+            if len(start):
+                at = np.minimum(np.searchsorted(self.code, code[start]), len(self.code) - 1)
+                hit = self.code[at] == code[start]
+                out[end[hit], self.longest - size] = self.piece[at[hit]]
+        return out
+
+    def walk(self, word: bytes, chunk: int = LONG) -> np.ndarray:
+        """Natural-log marginal probability in each class of one word of any length: forward sums of the last places only, scaled as they shrink."""
+        span = self.longest
+        alpha, scale = np.zeros((len(self.close), span + chunk + 1)), np.zeros(len(self.close))
+        alpha[:, span] = 1.0
+        for a in range(0, len(word), chunk):
+            b = min(len(word), a + chunk)
+            steps = self.step[:, self.ends(word, a, b)]
+            for i in range(b - a):
+                if i % 8 == 0:
+                    top = alpha[:, i : i + span + 1].max(axis=1)
+                    alpha[:, i : i + span + 1] /= top[:, None]
+                    scale += np.log(top)
+                alpha[:, i + span + 1] = (alpha[:, i + 1 : i + span + 1] * steps[:, i]).sum(axis=1)
+            alpha[:, : span + 1] = alpha[:, b - a : b - a + span + 1].copy()
+        return np.log(alpha[:, span]) + scale + self.close
+
     def log_probability(self, words: list[bytes]) -> np.ndarray:
         """Natural-log marginal probability (class, word) of words of one length."""
+        if len(words[0]) > LONG:
+            return np.stack([self.walk(w) for w in words], axis=1)
         ids, n = self.arcs(words), len(words[0])
         return np.stack([self.forward(ids, n, z)[-1] + self.close[z] for z in range(len(self.close))])
 
@@ -159,6 +198,11 @@ def _by_length(words: list[bytes], longest: int, most: int = 200_000):
             yield of[at : at + step]
 
 
+def sections(words: list[bytes]) -> list[bytes]:
+    """Words to re-estimate pieces from: one of more than LONG bytes by sections of so many, whose arcs don't cross the borders."""
+    return [w for w in words if len(w) <= LONG] + [w[i : i + LONG] for w in words if len(w) > LONG for i in range(0, len(w), LONG)]
+
+
 def word_counts(rows: DataFrame, classes: int) -> DataFrame:
     """(word, n, c0, c1, ...): occurrences in all rows, and in those of each class to learn from (z < 0: none).
 
@@ -172,14 +216,15 @@ def word_counts(rows: DataFrame, classes: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array(z, pa.int32()), pa.array(k, pa.int64()), pa.array(m, pa.int64())], names=["word", "z", "c", "n"])
 
     def count(batches):
-        n, c = Counter(), {}
+        n, c, size = Counter(), {}, 0
         for b in batches:
             for text, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = space_words(text)
                 (n if z < 0 else c.setdefault(z, Counter())).update(words)
-            if len(n) + sum(map(len, c.values())) > FLUSH:
-                yield batch(n, c)
-                n, c = Counter(), {}
+                size += len(text)
+                if size > FLUSH_BYTES or len(n) + sum(map(len, c.values())) > FLUSH:
+                    yield batch(n, c)
+                    n, c, size = Counter(), {}, 0
         yield batch(n, c)
 
     parts = rows.select(utf8("text").alias("t"), "z").mapInArrow(count, "word binary, z int, c bigint, n bigint")
@@ -204,6 +249,7 @@ def fit_lattice(words: DataFrame, classes: int, path: str, rounds: int = ROUNDS,
                 for z in range(classes):
                     mine = [of[i] for i in np.flatnonzero(b.column(1 + z).to_numpy())]
                     n[z] += len(mine)
+                    mine = sections(mine)
                     for group in _by_length(mine, shared.value.longest):
                         total[z] += shared.value.expected([mine[i] for i in group], z)
             z, piece = np.nonzero(total)
@@ -232,14 +278,18 @@ def lm_scores(docs: DataFrame, learn_col: str, id_col: str = "doc_id", text_col:
     pieces, for the rest its share of all words.  The end has (c + 1) / (N + 2).  All strings' probabilities add up to one.
 
     Null texts are empty: an end alone.  A null in learn_col means no; a null class is one of its own.  Repeated rows
-    count and are scored as rows of their own.  Without rows to learn from the pieces decide alone.
+    count and are scored as rows of their own.  Without rows to learn from the pieces decide alone; an empty table gives an
+    empty table.  Columns of docs other than those named don't matter.
 
     Words are counted over all rows.  Those that make up one in `head` tokens or more, so `head` words at most, are broadcast; every other word of a document
-    is joined with its score, and as such a word is rare, no key of that join is hot.
+    is joined with its score.  Such a word makes up one in `head` tokens at most, and a key that still is large is split by
+    AQE, as the side that has it is the outer join's left one.  A document's own columns travel with its first row, so rows
+    are numbered and read in one scan and never matched with another.
     """
     sc = small_batches(docs).sparkSession.sparkContext
     kind = F.coalesce(F.col(f"`{class_col}`").cast("string"), F.lit("")) if class_col else F.lit("")
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.coalesce(F.col(f"`{learn_col}`"), F.lit(False)).alias("learn"), kind.alias("kind"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{k}`") for k in keep]).alias("kept"), F.monotonically_increasing_id().alias("rid"))
+    own = F.struct(F.col(f"`{id_col}`").alias("id"), *[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)])
+    rows = docs.select(own.alias("own"), F.col(f"`{text_col}`").alias("text"), F.coalesce(F.col(f"`{learn_col}`"), F.lit(False)).alias("learn"), kind.alias("kind"))
     sizes = rows.where("learn").groupBy("kind").count().orderBy(F.desc("count"), "kind")
     top = sizes.limit(CLASSES).collect()
     names = [r["kind"] for r in top][: CLASSES - 1 if len(top) == CLASSES else CLASSES]
@@ -303,15 +353,18 @@ def lm_scores(docs: DataFrame, learn_col: str, id_col: str = "doc_id", text_col:
             rest = np.zeros(len(rid))
             columns = [pa.array(rid + rids, pa.int64()), pa.array(word + [b" " + r.to_bytes(8, "big") for r in rids], pa.binary()), pa.array(k + [0] * len(rids), pa.int64()), pa.array([0] * len(rid) + n, pa.int64())]
             columns += [pa.array(np.concatenate([rest, x])) for x in sums]
-            yield pa.RecordBatch.from_arrays(columns, names=["rid", "word", "k", "n", "n_known", "base", *[f"s{z}" for z in range(classes)]])
+            columns.append(b.column(2).take(pa.array([None] * len(rid) + [*range(len(rids))], pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, names=["rid", "word", "k", "n", "n_known", "base", *[f"s{z}" for z in range(classes)], "own"])
 
-    parts = rows.select("rid", utf8("text").alias("t")).mapInArrow(split, f"rid bigint, word binary, k bigint, n bigint, n_known double, base double, {each}")
+    numbered = rows.select(F.monotonically_increasing_id().alias("rid"), utf8("text").alias("t"), "own")
+    parts = numbered.mapInArrow(split, f"rid bigint, word binary, k bigint, n bigint, n_known double, base double, {each}, own {rows.schema['own'].dataType.simpleString()}")
     tail = scored.select("word", F.col("known").alias("w_known"), F.col("base").alias("w_base"), *[F.col(f"s{z}").alias(f"w{z}") for z in range(classes)])
     plus = lambda own, of: F.sum(F.col(own) + F.coalesce(F.col("k") * F.col(of), F.lit(0.0)))
     sums = (
         parts.join(tail, "word", "left")
         .groupBy("rid")
         .agg(
+            F.first("own", ignorenulls=True).alias("own"),
             F.sum("n").alias("n_tokens"),
             F.sum(F.col("n_known") + F.when(F.col("w_known"), F.col("k")).otherwise(0)).cast("bigint").alias("n_known"),
             plus("base", "w_base").alias("base_score"),
@@ -323,7 +376,7 @@ def lm_scores(docs: DataFrame, learn_col: str, id_col: str = "doc_id", text_col:
     parts_z = [F.col(f"s{z}") + F.lit(float(prior[z])) for z in range(classes)]
     best = F.greatest(*parts_z) if classes > 1 else parts_z[0]
     mixed = best + F.log10(sum((F.pow(F.lit(10.0), x - best) for x in parts_z), F.lit(0.0)))
-    return rows.select("rid", "id", "kept").join(sums, "rid").select("rid", F.col("id").alias(id_col), *[F.col(f"kept.`{k}`") for k in keep], "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", mixed.alias("score"))
+    return sums.select("rid", F.col("own.id").alias(id_col), *[F.col(f"own.k{i}").alias(k) for i, k in enumerate(keep)], "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", mixed.alias("score"))
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,16 +8,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import crc_remainder, per_text, small_batches, table, utf8
+from helixframe.llm.common import crc_remainder, free_name, per_text, small_batches, table, utf8
 from helixframe.llm.labelled import fit_logistic, labelled_sample
 
 #: Labelled documents that the field is fitted on, at most.
 SAMPLE = 10_000
-#: Lines of a chain when fitting; a longer document makes several chains.  Scoring takes whole documents.
-CHAIN = 64
+#: Lines that it is fitted on, at most: documents in the order of a hash of their text, while their lines add up to so many.
+LINES = 400_000
+#: A bad line makes its document bad with this probability, each on its own.
+SPOILS = 0.3
 _UPPER = bytes(range(0x41, 0x5B))
 _DIGIT = bytes(range(0x30, 0x3A))
 _SYMBOL = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
@@ -97,20 +99,19 @@ class LineField:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def fit_chains(x: np.ndarray, length: np.ndarray, y: np.ndarray, rounds: int = 150, ridge: float = 1e-3, rate: float = 0.08) -> tuple[np.ndarray, np.ndarray]:
-    """w and move that maximise the chains' mean conditional log-likelihood, by Adam.
-
-    x is (chain, line, feature) padded with zeros, chains sorted by falling length; all lines of a chain carry its label y.
-    """
-    chains, most, width = x.shape
-    live = [int((length > t).sum()) for t in range(most)]
-    mask = np.arange(most) < length[:, None]
-    theta, m, v = np.zeros(width + 4), np.zeros(width + 4), np.zeros(width + 4)
-    pairs = np.array([[((length - 1) * ((1 - y) if a == b == 0 else y if a == b else 0)).sum() for b in (0, 1)] for a in (0, 1)], float)
-    lines = max(1, mask.sum())
-    for step in range(1, rounds + 1):
-        w, move = theta[:width], theta[width:].reshape(2, 2)
-        s = x @ w
+@dataclass
+class Chains:
+    """Documents as whole chains of lines, padded: x is (chain, line, feature), sorted by falling length; y the documents' labels."""
+
+    x: np.ndarray
+    length: np.ndarray
+    y: np.ndarray
+
+    def expect(self, w: np.ndarray, move: np.ndarray, spare: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each chain log Z, P(good) of its lines and its expected moves, by forward-backward; bad lines weigh e^-spare."""
+        chains, most, _ = self.x.shape
+        live = [int((self.length > t).sum()) for t in range(most)]
+        s = self.x @ w + spare
         alpha, beta = np.zeros((chains, most, 2)), np.zeros((chains, most, 2))
         alpha[:, 0, 1] = s[:, 0]
         for t in range(1, most):
@@ -121,23 +122,66 @@ def fit_chains(x: np.ndarray, length: np.ndarray, y: np.ndarray, rounds: int = 1
             k = live[t + 1]
             after = beta[:k, t + 1] + np.stack([np.zeros(k), s[:k, t + 1]], axis=1)
             beta[:k, t] = np.logaddexp(after[:, :1] + move[:, 0], after[:, 1:] + move[:, 1])
-        log_z = np.logaddexp(*np.moveaxis(alpha[np.arange(chains), length - 1], 1, 0))
+        log_z = np.logaddexp(*np.moveaxis(alpha[np.arange(chains), self.length - 1], 1, 0))
+        mask = np.arange(most) < self.length[:, None]
         good = np.where(mask, np.exp(np.minimum(alpha[..., 1] + beta[..., 1] - log_z[:, None], 0)), 0)
-        expected = np.zeros((2, 2))
+        moves = np.zeros((chains, 2, 2))
         for t in range(1, most):
             k = live[t]
             after = beta[:k, t] + np.stack([np.zeros(k), s[:k, t]], axis=1)
             for a in (0, 1):
-                expected[a] += np.exp(np.minimum(alpha[:k, t - 1, a : a + 1] + move[a] + after - log_z[:k, None], 0)).sum(axis=0)
-        slope = np.where(mask, y[:, None], 0) - good
-        grad = np.concatenate([np.einsum("ct,ctf->f", slope, x), (pairs - expected).ravel()]) / lines - ridge * theta
+                moves[:k, a] += np.exp(np.minimum(alpha[:k, t - 1, a : a + 1] + move[a] + after - log_z[:k, None], 0))
+        return log_z - spare * self.length, good, moves
+
+    def gradient(self, w: np.ndarray, move: np.ndarray, spoils: float = SPOILS) -> tuple[float, np.ndarray]:
+        """Log-likelihood of the documents' labels with the lines' kinds summed out, and its slope in w and move."""
+        z1, good1, moves1 = self.expect(w, move, -math.log(1 - spoils))
+        z0, good0, moves0 = self.expect(w, move, 0.0)
+        gap = np.maximum(z0 - z1, 1e-12)  # minus the log of P(the document is good)
+        value = np.where(self.y == 1, -gap, np.log(-np.expm1(-gap)))
+        weight = np.where(self.y == 1, 1.0, -1 / np.expm1(np.minimum(gap, 500)))
+        slope = np.concatenate([np.einsum("c,ct,ctf->f", weight, good1 - good0, self.x, optimize=True), np.einsum("c,cab->ab", weight, moves1 - moves0).ravel()])
+        return float(value.sum()), slope
+
+
+def chains_of(docs: list[tuple[np.ndarray, int]], cells: int = 4_000_000) -> list[Chains]:
+    """Documents (line features, label) as whole chains; those of like length are padded together, so many numbers at once."""
+    out, of = [], sorted(docs, key=lambda d: -len(d[0]))
+    at = 0
+    while at < len(of):
+        most, width = of[at][0].shape
+        # no chain is padded to more than twice its length
+        n = next((k for k in range(1, len(of) - at) if (k + 1) * most * width > cells or len(of[at + k][0]) * 2 < most), len(of) - at)
+        part = of[at : at + n]
+        x = np.zeros((n, most, width), np.float32)
+        for i, (f, _) in enumerate(part):
+            x[i, : len(f)] = f
+        out.append(Chains(x, np.array([len(f) for f, _ in part]), np.array([y for _, y in part])))
+        at += n
+    return out
+
+
+def fit_chains(docs: list[tuple[np.ndarray, int]], rounds: int = 150, ridge: float = 1e-4, rate: float = 0.08, spoils: float = SPOILS) -> tuple[np.ndarray, np.ndarray]:
+    """w and move that maximise the documents' labels' mean log-likelihood, by Adam.
+
+    A line's kind isn't observed.  A document is good if none of its bad lines spoils it, and the kinds are summed out:
+    so a bad document may have good lines, and the field sees where one kind ends and the other begins.
+    """
+    parts = chains_of(docs)
+    width = docs[0][0].shape[1]
+    theta, m, v = np.zeros(width + 4), np.zeros(width + 4), np.zeros(width + 4)
+    for step in range(1, rounds + 1):
+        grad = sum(p.gradient(theta[:width], theta[width:].reshape(2, 2), spoils)[1] for p in parts) / len(docs) - ridge * theta
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return theta[:width], theta[width:].reshape(2, 2)
 
 
-def fit(sample: DataFrame) -> LineField:
-    """Fitted on the sample's line features, which is all that comes to the driver; then calibrated on documents."""
+def fit(sample: DataFrame, most_lines: int = LINES) -> LineField:
+    """Fitted on the sample's line features, which is all that comes to the driver; then calibrated on documents.
+
+    Of the sample, documents count in the order of a hash of their text while their lines add up to most_lines or fewer.
+    """
 
     def measure(batches):
         for b in batches:
@@ -147,15 +191,16 @@ def fit(sample: DataFrame) -> LineField:
                     y.append(label), n.append([len(i) for i in lines]), x.append(line_features(lines).ravel())
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(n, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float32()))], names=["y", "n", "x"])
 
-    got = sample.select("text", "y").mapInArrow(measure, "y int, n array<int>, x array<float>").toArrow()
+    # the window is over the sample's rows, whose number is bounded, without their texts
+    size = sample.select(F.xxhash64("text").alias("h"), F.expr("regexp_count(cast(text as string), '\\n') + 1").alias("k"))
+    size = size.groupBy("h").agg(F.sum("k").alias("k")).withColumn("total", F.sum("k").over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, 0)))
+    last = size.where(F.col("total") <= most_lines).agg(F.max("h")).first()[0]
+    use = sample.where(F.xxhash64("text") <= F.lit(last if last is not None else -(1 << 63)))
+    got = use.select("text", "y").mapInArrow(measure, "y int, n array<int>, x array<float>").toArrow()
     model = LineField()
     docs = [(y, n, np.array(x, np.float32).reshape(len(n), WIDTH)) for y, n, x in zip(got["y"].to_pylist(), got["n"].to_pylist(), (v.values.to_numpy() if v.values is not None else [] for v in got["x"]), strict=True)]
-    chains = sorted(((x[i : i + CHAIN], y) for y, _, x in docs for i in range(0, len(x), CHAIN)), key=lambda c: -len(c[0]))
-    if chains:
-        padded = np.zeros((len(chains), len(chains[0][0]), WIDTH), np.float32)
-        for i, (x, _) in enumerate(chains):
-            padded[i, : len(x)] = x
-        model.w, model.move = fit_chains(padded, np.array([len(x) for x, _ in chains]), np.array([y for _, y in chains], float))
+    if docs:
+        model.w, model.move = fit_chains([(x, y) for y, _, x in docs])
     summaries = np.array([model.summary(n, model.marginals(x)) for _, n, x in docs]).reshape(len(docs), 3)
     model.weights = fit_logistic(summaries, np.array([y for y, *_ in docs], float), ridge=0.1)
     return model
@@ -164,7 +209,9 @@ def fit(sample: DataFrame) -> LineField:
 def score_texts(docs: DataFrame, model: LineField, text_col: str = "text", name: str = "quality") -> DataFrame:
     """docs with a struct column <name>: score (0 to 1), predicted (1 if score >= 0.5), lines (length in bytes and P(good) of each).
 
-    Lines without a word don't count; null and empty texts have none and score as an undecided document.
+    Lines without a word don't count; null and empty texts have none and score as an undecided document.  Rows are scored
+    one by one, so repeats and ties don't matter and an empty table gives an empty one.  If docs has a column <name>,
+    underscores go in front of the new one's.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -180,11 +227,14 @@ def score_texts(docs: DataFrame, model: LineField, text_col: str = "text", name:
 
         return one
 
-    return small_batches(docs).withColumn(name, per_text(make, "score double, predicted int, lines array<struct<n_bytes:int,good:double>>")(utf8(text_col)))
+    return small_batches(docs).withColumn(free_name(docs, name), per_text(make, "score double, predicted int, lines array<struct<n_bytes:int,good:double>>")(utf8(text_col)))
 
 
 def fit_from_labels(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> LineField:
-    """Fitted on labelled documents outside the fold crc32(doc_id) mod 3 = 1; `bound` of them at most."""
+    """Fitted on labelled documents outside the fold crc32(doc_id) mod 3 = 1; `bound` of them and LINES lines at most.
+
+    What labelled_sample says holds for nulls and repeats.  Without labels, or with one only, the score is their share.
+    """
     return fit(labelled_sample(small_batches(docs), labels, "quality", 3, 1, bound=bound))
 
 

@@ -150,6 +150,56 @@ def test_lattice_has_the_longest_pieces():
         assert np.allclose(lattice.log_probability([w])[0, 0], math.log(sums[-1] * 0.3 / 0.7))
 
 
+def test_long_words_walk_the_same_lattice():
+    import numpy as np
+
+    names, p = lm_score.lattice_pieces(default_path())
+    lattice = lm_score.Lattice(names, np.stack([p, p[::-1].copy() + 1e-9]), np.array([0.3, 0.4]))
+    rng = random.Random(1)
+    words = ["".join(rng.choice("thionaerséñ") for _ in range(n)).encode() for n in (1, 2, 40, 700, 1500)]
+    for w in words:
+        for chunk in (1, 7, 64, 2048):
+            if len(w) < 800 or chunk > 7:
+                assert np.allclose(lattice.walk(w, chunk), lattice.log_probability([w])[:, 0])
+    assert np.isfinite(lattice.log_probability([b"base64/" * 40000])).all()
+    assert b"".join(lm_score.sections([b"ab", b"xyz" * 2000])[1:]) == b"xyz" * 2000
+
+
+def test_score_equals_brute_force(spark):
+    """Two classes, every word's segmentations by enumeration, the mixture by hand."""
+    texts = ["the hat", "the then at", None, "le chat", "le hat le", "unseen the", "hatch"]
+    kind = ["en", "en", "en", "fr", "fr", None, None]
+    d = spark.createDataFrame(list(zip(range(7), texts, kind, [k is not None for k in kind])), "doc_id int, text string, lang string, learn boolean")
+    got = {r.doc_id: r.score for r in lm_score.lm_scores(d, "learn", class_col="lang", rounds=0).collect()}
+    names, p = lm_score.lattice_pieces(default_path())
+    index = {n: p[i] for i, n in enumerate(names) if i}
+
+    def marginal(w, stop=0.3):
+        total = 0.0
+        for cuts in itertools.product((0, 1), repeat=len(w) - 1):
+            at = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(w)]
+            parts = [index.get(w[a:b], 0.0) for a, b in zip(at, at[1:])]
+            total += math.prod(parts) * (1 - stop) ** (len(parts) - 1) * stop
+        return total
+
+    words = [space_words((t or "").encode()) for t in texts]
+    c = {z: Counter(w for ws, k in zip(words, kind) if k == z for w in ws) for z in ("en", "fr")}
+    both = c["en"] + c["fr"]
+    once, twice = (sum(n == k for n in both.values()) for k in (1, 2))
+    discount = once / (once + 2 * twice)
+    ends = {"en": 3, "fr": 2}
+    for i, ws in enumerate(words):
+        total = 0.0
+        for z in ("en", "fr"):
+            reserve, below = discount * len(c[z]) + 1, sum(c[z].values()) + ends[z] + 2
+            q = (ends[z] + 1) / below
+            for w in ws:
+                share = lm_score.SHARED * both[w] / sum(both.values()) + (1 - lm_score.SHARED) * marginal(w)
+                q *= (max(c[z][w] - discount, 0) + reserve * share) / below
+            total += q * (ends[z] + 1) / (5 + 2)
+        assert got[i] == pytest.approx(math.log10(total))
+
+
 def test_lm_scores(spark, awkward):
     rng = random.Random(6)
     vocabulary = {"en": ["the", "hat", "on", "thering", "wh"], "fr": ["le", "éau", "oi", "réeux", "un"]}
