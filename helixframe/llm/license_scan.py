@@ -1,4 +1,4 @@
-"""Licence scan: a positional index of each template's rarest words, aligned by relative position and verified by key phrases."""
+"""Licence scan: a positional index of licence texts' rare words, aligned by relative position and verified by key phrases."""
 
 from __future__ import annotations
 
@@ -11,53 +11,44 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.common import alnum_words, free_name, per_text, small_batches, table, utf8
 from helixframe.llm.decontaminate import word_frequency
+from helixframe.llm.licence_texts import PHRASES, TEMPLATES
 
-# Phrases that name a licence wherever their words stand consecutively.
-PHRASES = {
-    "under the mit license": "mit",
-    "apache license version 2": "apache-2",
-    "cc by nc": "cc-by-nc",
-}
-# Wordings of public licences and of notices that point to them, each with the phrases that it must hold.
-TEMPLATES = [
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", ("permission is hereby granted", "without restriction")),
-    ("mit", "Released under the MIT License", ("the mit license",)),
-    ("apache-2", "Licensed under the Apache License, Version 2.0", ("apache license version 2",)),
-    ("apache-2", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", ("apache org licenses license 2",)),
-    ("gpl-2", "This work is licensed under the GNU General Public License, version 2", ("gnu general public license version 2",)),
-    ("gpl-3", "This work is licensed under the GNU General Public License, version 3", ("gnu general public license version 3",)),
-    ("gpl-3", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", ("gnu general public license", "version 3 of the license")),
-    ("lgpl-3", "licensed under the GNU Lesser General Public License, version 3", ("gnu lesser general public license version 3",)),
-    ("agpl-3", "licensed under the GNU Affero General Public License, version 3", ("gnu affero general public license version 3",)),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
-    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla public license v 2",)),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0", ("cc by nc",)),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0", ("cc by sa",)),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", ("creative commons attribution",)),
-    ("unlicense", "This is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
-]
-#: Rarest words of a template that the index holds; words that an alignment may be off; IDF share that must match.
-RARE, SLACK, COVER = 6, 2, 0.6
+#: IDF share of a template's words that must stand where an alignment puts them.
+COVER = 0.6
+
+
+def slack_of(template: list[bytes]) -> int:
+    """Words that a place may be off: two, and one in 25 of a longer template, as wordings vary."""
+    return 2 + len(template) // 25
 
 
 @dataclass
 class LicenceIndex:
+    """Positions of each template's prefix words, which no match can do without.
+
+    A match covers COVER of its template's IDF mass.  Of the template's words in the order of falling IDF, those that make up
+    more than the rest of the mass can't all be missing: they are the ones that are looked up.
+    """
+
     templates: list[tuple[str, list[bytes], list[list[bytes]]]]
     idf: dict[bytes, float]
     postings: dict[bytes, list[tuple[int, int]]]
     phrases: list[tuple[list[bytes], str]]
 
     @classmethod
-    def build(cls, templates, phrases: dict[str, str], frequency: dict[bytes, int], docs: int, rare: int = RARE) -> LicenceIndex:
+    def build(cls, templates, phrases: dict[str, str], frequency: dict[bytes, int], docs: int) -> LicenceIndex:
         """frequency: in how many of the docs each template word occurs."""
         read = [(label, alnum_words(text.encode()), [alnum_words(p.encode()) for p in keys]) for label, text, keys in templates]
         idf = {w: math.log((docs + 1) / (frequency.get(w, 0) + 1)) + 1e-3 for _, words, _ in read for w in words}
         postings: dict[bytes, list[tuple[int, int]]] = {}
         for t, (_, words, _) in enumerate(read):
-            for w in sorted(set(words), key=lambda w: (-idf[w], w))[:rare]:
-                for at, x in enumerate(words):
-                    if x == w:
-                        postings.setdefault(w, []).append((t, at))
+            mass, total = 0.0, sum(map(idf.__getitem__, words))
+            for w in sorted(set(words), key=lambda w: (-idf[w], w)):
+                if mass > (1 - COVER) * total + 1e-9:
+                    break
+                at = [i for i, x in enumerate(words) if x == w]
+                postings.setdefault(w, []).extend((t, i) for i in at)
+                mass += len(at) * idf[w]
         return cls(read, idf, postings, [(alnum_words(p.encode()), label) for p, label in phrases.items()])
 
     def scan(self, text: bytes):
@@ -73,34 +64,46 @@ class LicenceIndex:
         return words, base, self._align(words, places)
 
     def _align(self, words: list[bytes], places: dict[bytes, list[int]]) -> list[tuple[str, int, int, float]]:
-        votes: dict[int, dict[int, set[bytes]]] = {}
-        for w in places.keys() & self.postings.keys():
+        """The file's licence words, highest IDF first, propose where a template may start; each proposal is measured."""
+        starts: dict[int, set[int]] = {}
+        hopeless: set[int] = set()
+        for w in sorted(places.keys() & self.postings.keys(), key=lambda w: (-self.idf[w], w)):
             for t, offset in self.postings[w]:
-                starts = votes.setdefault(t, {})
-                for at in places[w]:
-                    starts.setdefault(at - offset, set()).add(w)
+                template = self.templates[t][1]
+                if t not in starts and t not in hopeless and sum(self.idf[x] for x in template if x in places) < COVER * sum(map(self.idf.__getitem__, template)) - 1e-9:
+                    hopeless.add(t)
+                if t not in hopeless:
+                    d = slack_of(template)
+                    starts.setdefault(t, set()).update(s for at in places[w] for s in range(at - offset - d, at - offset + d + 1))
         found = []
-        for t, starts in votes.items():
-            label, template, keys = self.templates[t]
-            need = max(1, len({w for w in template if (t, template.index(w)) in self.postings.get(w, ())}) // 2)
-            for start in sorted(starts):
-                near = set().union(*(starts.get(start + d, ()) for d in range(-SLACK, SLACK + 1)))
-                if len(near) < need:
-                    continue
-                cover = self._cover(template, places, start)
-                low, high = max(0, start - SLACK), start + len(template) + SLACK
-                if cover >= COVER and all(any(low <= at and words[at : at + len(k)] == k and at + len(k) <= high for at in places.get(k[0], ())) for k in keys):
-                    found.append((label, max(0, start), min(len(words), start + len(template)), cover))
+        for t in sorted(starts):
+            found += self._matches(t, sorted(starts[t]), words, places)
         return found
 
-    def _cover(self, template: list[bytes], places: dict[bytes, list[int]], start: int) -> float:
+    def _matches(self, t: int, starts: list[int], words: list[bytes], places: dict[bytes, list[int]]) -> list[tuple[str, int, int, float]]:
+        """Of the starts that match, the best of each run whose gaps are within the slack; the earliest of equal ones."""
+        label, template, keys = self.templates[t]
+        slack = slack_of(template)
+        runs: list[list[tuple[float, int]]] = []
+        for start in starts:
+            cover = self.cover(template, places, start)
+            low, high = start - slack, start + len(template) + slack
+            if cover >= COVER - 1e-9 and all(any(low <= at and words[at : at + len(k)] == k and at + len(k) <= high for at in places.get(k[0], ())) for k in keys):
+                if not runs or start - runs[-1][-1][1] > slack:
+                    runs.append([])
+                runs[-1].append((cover, start))
+        best = [max(run, key=lambda x: (round(x[0], 9), -x[1])) for run in runs]
+        return [(label, max(0, s), min(len(words), s + len(template)), cover) for cover, s in best]
+
+    def cover(self, template: list[bytes], places: dict[bytes, list[int]], start: int) -> float:
         """IDF share of the template's words that stand where the alignment puts them, give or take the slack."""
         got = total = 0.0
+        slack = slack_of(template)
         for offset, w in enumerate(template):
             total += self.idf[w]
             at = places.get(w, ())
-            i = bisect_left(at, start + offset - SLACK)
-            if i < len(at) and at[i] <= start + offset + SLACK:
+            i = bisect_left(at, start + offset - slack)
+            if i < len(at) and at[i] <= start + offset + slack:
                 got += self.idf[w]
         return got / total
 
@@ -111,7 +114,9 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] |
     Words are runs of letters, digits and non-ASCII characters after lower-casing A-Z; n_base counts the places of the
     phrases, all of them; first_word and last_word are their least and largest start, null without any.  matches are
     alignments of templates (label, start, end, cover); labels has theirs and the base ones.  score is 1 with a base
-    place, else the best cover.  Null and empty texts have no words, no label and score 0.
+    place, else the best cover.  Null and empty texts have no words, no label and score 0; words of equal IDF go by their
+    bytes; rows are scanned one by one, so repeats don't matter, and an empty table gives an empty one.  If docs has a
+    column <name>, underscores go in front of the new one's.
 
     IDF counts all rows; the index is as large as the templates, which are given, not gathered.
     """

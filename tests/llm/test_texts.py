@@ -7,6 +7,7 @@ import struct
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from helixframe.llm import byte_bpe, decontaminate, license_scan, lm_score, pseudonyms, token_counts
@@ -52,8 +53,22 @@ def test_contamination(spark, docs, awkward, block):
         n, hit, met = brute_contamination(t, items)
         assert (got[i].n_words, got[i].n_hit, list(got[i]["items"])) == (n, hit, met), t
         assert got[i].contaminated == (hit > 0) and got[i].n_items == len(met)
-    empty = decontaminate.contamination(d, it.limit(0)).collect()
+    empty = decontaminate.contamination(d, it.limit(0), block_bytes=block).collect()
     assert not any(r.hit.contaminated for r in empty)
+    clash = decontaminate.contamination(d.withColumnRenamed("normal", "hit").withColumnRenamed("rid", "spans"), it, block_bytes=block)
+    assert clash.columns == ["doc_id", "text", "spans", "hit", "_hit"]
+    assert {r.doc_id: r._hit for r in clash.collect()} == got
+
+
+def test_index_is_compact():
+    """A block's index takes at most a dozen times its text."""
+    import pickle
+
+    rng = random.Random(1)
+    words = [f"w{rng.randrange(50000)}" for _ in range(200_000)]
+    items = [(str(i), " ".join(words[i * 100 : i * 100 + 100]).encode()) for i in range(2000)]
+    size = sum(len(t) for _, t in items)
+    assert len(pickle.dumps(decontaminate.WindowIndex(items, 10, np.zeros(1 << decontaminate.CELLS, np.int64)))) < 12 * size
 
 
 @pytest.fixture(scope="module")
@@ -236,6 +251,35 @@ def brute_licence(text):
     return len(w), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), sorted({x for _, x in at})
 
 
+def brute_matches(index, words):
+    """Every template at every start."""
+    places = {}
+    for i, w in enumerate(words):
+        places.setdefault(w, []).append(i)
+    out = []
+    for t, (_, template, _) in enumerate(index.templates):
+        out += index._matches(t, range(-len(template), len(words) + 1), words, places)
+    return out
+
+
+def test_prefix_words_miss_no_match():
+    """Looking up the words that no match can do without finds what trying every start finds."""
+    rng = random.Random(8)
+    frequency = {w: rng.choice([0, 1, 5, 900]) for _, text, _ in license_scan.TEMPLATES for w in alnum_words(text.encode())}
+    index = license_scan.LicenceIndex.build(license_scan.TEMPLATES, license_scan.PHRASES, frequency, 1000)
+    met = 0
+    for _ in range(60):
+        text = []
+        for _ in range(rng.randint(1, 3)):
+            words = alnum_words(rng.choice(license_scan.TEMPLATES)[1].encode())
+            words = words[rng.choice([0, 0, len(words) // 5]) :]
+            text += [b"pad"] * rng.randint(0, 30) + [w if rng.random() > 0.1 else rng.choice([b"x", w, b"the"]) for w in words if rng.random() > 0.03]
+        got = index.scan(b" ".join(text))[2]
+        assert got == brute_matches(index, text)
+        met += len(got)
+    assert met > 60
+
+
 def test_licences(docs, awkward):
     texts = awkward + ["Licensed under CC BY-NC 4.0. x Licensed under the Apache License, Version 2.0", "under-the MIT license!", "This work is licensed under the GNU General Public License, version 3.", "under a mit license, apache version 2", "cc by", "general public version license gnu 3 under", license_scan.TEMPLATES[0][1] + " and more"]
     got = {r.doc_id: r.licence for r in license_scan.license_scan(docs(texts)).collect()}
@@ -246,6 +290,8 @@ def test_licences(docs, awkward):
     n = len(awkward)
     assert list(got[n + 2].labels) == ["gpl-3"] and list(got[n + 3].labels) == [] and list(got[n + 5].labels) == [] and "mit" in got[n + 6].labels
     assert license_scan.license_scan(docs(texts).limit(0)).count() == 0
+    clash = license_scan.license_scan(docs([license_scan.TEMPLATES[0][1]] * 2, [3, 3]).withColumnRenamed("normal", "licence"))
+    assert clash.columns[-1] == "_licence" and [list(r._licence.labels) for r in clash.collect()] == [["mit"]] * 2
 
 
 def feistel(key, kind, size, a, b, m, n):
