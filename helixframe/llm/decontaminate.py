@@ -5,6 +5,7 @@ from __future__ import annotations
 from array import array
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -82,7 +83,7 @@ class WindowIndex:
     Windows are kept once, as ranges of the items' words joined by spaces: a match compares bytes.
     """
 
-    def __init__(self, items: list[tuple[str | None, bytes]], width: int, frequency: np.ndarray):
+    def __init__(self, items: list[tuple[str | None, bytes]], width: int, frequency: Callable[[bytes], int]):
         rarity: dict[bytes, tuple] = {}
         code, start, size, owner, parts, at = array("Q"), array("L"), array("L"), array("L"), [], 0
         postings: dict[bytes, set[tuple[int, int]]] = {}
@@ -91,7 +92,7 @@ class WindowIndex:
         for number, (_, text) in enumerate(items):
             words = alnum_words(text)
             for w in set(words).difference(rarity):
-                rarity[w] = (int(frequency[cell(w)]), w)
+                rarity[w] = (frequency(w), w)
             joined = b" ".join(words)
             k = min(width, len(words))
             ends = np.cumsum([len(w) + 1 for w in words]).tolist()
@@ -164,16 +165,19 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     an id hits words but isn't listed.  Empty tables are fine: without items nothing is hit.  Documents that repeat are
     rows of their own.  If docs has a column <name>, underscores go in front of the new one's.
 
-    Rarity is counted over all documents, in one scan.  A worker holds one index at a time, of block_bytes of item
+    Rarity is counted over all documents, in one scan: of the items' words if they make one block, else of cells that words
+    share, as any order of words gives the same result.  A worker holds one index at a time, of block_bytes of item
     text.  With several blocks the documents are numbered and written, each block's hits are written in turn and its
     index is dropped, and the few rows that have hits go back to their documents.
     """
     sc = docs.sparkSession.sparkContext
     name = free_name(small_batches(docs), name)
     n, block = item_blocks(items, item_id, item_text, block_bytes)
-    frequency = cell_frequency(docs, text_col)
     if n == 1:
-        shared = sc.broadcast(WindowIndex(block(0), width, frequency))
+        items_held = block(0)
+        vocabulary = {w for _, text in items_held for w in alnum_words(text)}
+        counts = word_frequency(docs, text_col, vocabulary) if vocabulary else {}
+        shared = sc.broadcast(WindowIndex(items_held, width, lambda w: counts.get(w, 0)))
 
         def make():
             index = shared.value
@@ -185,10 +189,11 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
             return one
 
         return docs.withColumn(name, per_text(make, SCHEMA)(utf8(text_col)))
+    cells = cell_frequency(docs, text_col)
     rid = free_name(docs, "rid")
     rows = numbered(docs, rid)
     texts = rows.select(F.col(rid).alias("rid"), utf8(text_col).alias("text"))
-    hits = [_block_hits(texts, WindowIndex(block(k), width, frequency)) for k in range(n)]
+    hits = [_block_hits(texts, WindowIndex(block(k), width, lambda w: int(cells[cell(w)]))) for k in range(n)]
     every = hits[0]
     for h in hits[1:]:
         every = every.unionByName(h)
