@@ -214,7 +214,9 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", nam
     """docs with a binary column <name>: the ids of the whole text, packed little-endian; see unpack.
 
     Each match of the pattern is encoded by itself; no special tokens.  Null texts count as empty and have no ids.
-    A worker remembers the ids of pre-tokens it has met, so merges run once for each distinct one.
+    A worker remembers the ids of pre-tokens it has met, so merges run once for each distinct one.  Of equal ranks the
+    leftmost pair goes first.  Rows that repeat are encoded alike, and an empty table gives an empty one.  If docs has a
+    column <name>, underscores go in front of the new one's.
     """
 
     def make():
@@ -229,17 +231,21 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", nam
         one.prepare = prepare
         return one
 
-    return small_batches(docs).withColumn(name, per_text(make, "ids binary")(utf8(text_col))["ids"])
+    return small_batches(docs).withColumn(free_name(docs, name), per_text(make, "ids binary")(utf8(text_col))["ids"])
 
 
 def decode(docs: DataFrame, path: str, pattern: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
-    """docs with a binary column <name>: the bytes of the packed ids; null ids give no bytes."""
+    """docs with a binary column <name>: the bytes of the packed ids; null and empty ids give no bytes.
+
+    Rows that repeat are decoded alike, and an empty table gives an empty one.  An id that the vocabulary lacks is an error.  If
+    docs has a column <name>, underscores go in front of the new one's.
+    """
 
     def make():
         one = decoder(path, pattern)
         return lambda ids: (one(ids),)
 
-    return small_batches(docs).withColumn(name, per_text(make, "bytes binary")(F.coalesce(F.col(f"`{ids_col}`"), F.lit(b"")))["bytes"])
+    return small_batches(docs).withColumn(free_name(docs, name), per_text(make, "bytes binary")(F.coalesce(F.col(f"`{ids_col}`"), F.lit(b"")))["bytes"])
 
 
 def unpack(ids: str) -> Column:
@@ -252,7 +258,10 @@ def unpack(ids: str) -> Column:
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """docs with the columns of encode and decode, made by one worker in one pass: the text isn't sent to a second one."""
+    """docs with the columns of encode and decode, made by one worker in one pass: the text isn't sent to a second one.
+
+    What they say of nulls, repeats, empty tables and columns of the same names holds here too.
+    """
 
     def make():
         many, back, ready = encoder(path, pattern), decoder(path, pattern), []
@@ -269,11 +278,16 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
 
     held = free_name(docs, "bpe")
     out = small_batches(docs).withColumn(held, per_text(make, "ids binary, decoded binary")(utf8(text_col)))
-    return out.withColumns({ids: F.col(f"`{held}`.ids"), decoded: F.col(f"`{held}`.decoded")}).drop(held)
+    ids = free_name(docs, ids)
+    out = out.withColumn(ids, F.col(f"`{held}`.ids"))
+    return out.withColumn(free_name(out, decoded), F.col(f"`{held}`.decoded")).drop(held)
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """<id_col>, n_tokens, ids_sha256, decoded_sha256 of each row: encoded, then decoded from the ids."""
+    """<id_col>, n_tokens, ids_sha256, decoded_sha256 of each row: encoded, then decoded from the ids.
+
+    Null texts count as empty; rows that repeat, null ids included, are rows of their own; an empty table gives an empty one.
+    """
     out = round_trip(docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("text")), path, pattern)
     return out.select(id_col, F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -122,13 +122,15 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts: str
     +country and national phone numbers (the country stays), US social security numbers, and dates from 1800 to 2199 as
     yyyy-MM-dd, MM/dd/yyyy or dd.MM.yyyy.  Equal values get equal pseudonyms in all documents, different values different
     ones.  Numbers that don't validate stay, as do dates that the calendar lacks.  E-mail names and long hexadecimal secrets,
-    which are no numbers, become keyed digests of the same length.  Null and empty texts stay as they are.
+    which are no numbers, become keyed digests of the same length: equal ones stay equal, but names of a few letters may
+    meet, and a domain stays readable.  Null and empty texts stay as they are; rows that repeat are treated alike; an empty
+    table gives an empty one.  If docs has a column <counts>, underscores go in front of the new one's.
 
     All is done within the scan's stage: no shuffle, no join.
     """
     text = f"cast(`{text_col}` as string)"
     k = _text(key)
-    gaps, hits = free_name(docs, "gaps"), free_name(docs, "hits")
+    gaps, hits, counts = free_name(docs, "gaps"), free_name(docs, "hits"), free_name(docs, counts)
     shape = _text(SHAPE)
     touched = f"{text} rlike '{MAYBE}'"
     out = docs.withColumns(

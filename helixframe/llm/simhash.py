@@ -184,7 +184,8 @@ def hamming_links(prints: DataFrame, plan: list[tuple[int, int, int, int]], dist
     prints has one row (node, fps) for each distinct fingerprint, which may have several parts.  Each enters the table
     of each segment and asks there for every key within the segment's radius; matches are verified over all bits.
     A slot returns a forest of its links, not its pairs.  A slot whose table exceeds slot_rows is copied, and its
-    queries are dealt over the copies.
+    queries are dealt over the copies.  Ties don't arise, as a forest of any order joins the same; nodes are distinct and
+    not null, and without nodes there are no edges.
     """
     rows = _slots(plan, prints, fps)
     # only a slot's table is copied, silent; its rows ask in one of the copies

@@ -7,7 +7,7 @@ from os.path import commonprefix
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import per_text, small_batches, table, utf8
+from helixframe.llm.common import free_name, per_text, small_batches, table, utf8
 from helixframe.llm.pieces import BYTE_PENALTY, SPACE, default_path, piece_weights
 
 #: Distinct pre-tokens whose counts a worker remembers.
@@ -74,7 +74,9 @@ def token_counts(docs: DataFrame, path: str | None = None, text_col: str = "text
 
     Pre-tokens are runs of characters other than ASCII white space, each with the mark of a word's start in front.
     Null and empty texts have no tokens.  Rows stay where they are: counts are made within each task, for
-    the distinct pre-tokens of a batch of texts that its worker doesn't remember.
+    the distinct pre-tokens of a batch of texts that its worker doesn't remember.  Of segmentations of equal weight the one
+    of fewer tokens counts.  Rows that repeat count alike; an empty table gives an empty one.  If docs has a column <name>,
+    underscores go in front of the new one's.
     """
     path = path or default_path()
 
@@ -98,7 +100,7 @@ def token_counts(docs: DataFrame, path: str | None = None, text_col: str = "text
         one.prepare = prepare
         return one
 
-    return small_batches(docs).withColumn(name, per_text(make, "n_pretokens bigint, n_tokens bigint, longest bigint")(utf8(text_col)))
+    return small_batches(docs).withColumn(free_name(docs, name), per_text(make, "n_pretokens bigint, n_tokens bigint, longest bigint")(utf8(text_col)))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,6 +96,22 @@ def test_bpe_equals_the_library(spark, docs, awkward, bpe):
     assert byte_bpe.digests(docs(texts).limit(0), path, pattern).count() == 0
 
 
+def test_repeated_rows_and_clashing_names(docs, bpe):
+    """Rows of equal id and text are rows of their own; columns of a table keep their names and values."""
+    d = docs(["some text", "some text", None], [4, 4, None]).selectExpr("*", "'i' ids", "'d' decoded", "'t' tokens", "'f' found")
+    path, pattern, _ = bpe
+    out = byte_bpe.round_trip(d, path, pattern)
+    assert out.columns[-2:] == ["_ids", "_decoded"]
+    rows = sorted(out.collect(), key=lambda r: str(r.text))
+    assert [(r.ids, r.decoded, bytes(r._decoded)) for r in rows] == [("i", "d", b"")] + [("i", "d", b"some text")] * 2
+    assert byte_bpe.decode(byte_bpe.encode(d, path, pattern), path, pattern, "_ids").columns[-2:] == ["_ids", "_decoded"]
+    counted = token_counts.token_counts(d)
+    assert counted.columns[-1] == "_tokens" and sorted(r._tokens.n_pretokens for r in counted.collect()) == [0, 2, 2]
+    assert token_counts.token_counts(d.limit(0)).count() == 0
+    assert pseudonyms.pseudonymise(d, "k").columns[-1] == "_found"
+    assert byte_bpe.digests(d, path, pattern).count() == 3
+
+
 def test_segment_tree_and_step_merges_agree(bpe):
     ranks = byte_bpe.read_ranks(bpe[0])
     rng = random.Random(5)
