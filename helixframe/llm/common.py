@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 from uuid import uuid4
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -151,6 +152,55 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return stored(df.withColumn(name, F.monotonically_increasing_id()))
 
 
+class Marks:
+    """A bitmap of fixed size over hashes of some row numbers: a number without a mark is none of them, one with a mark may be.
+
+    8 MB go to the workers whatever the number of rows; when nearly all bits are set it spares nothing, and harms nothing.
+    """
+
+    BITS = 26
+
+    def __init__(self, numbers: DataFrame):
+        """numbers has one column of row numbers without nulls."""
+        at = F.pmod(F.xxhash64(numbers.columns[0]), F.lit(1 << self.BITS)) + 1
+        parts = numbers.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+        held = np.zeros((1 << self.BITS) // 8, np.uint8)
+        for r in parts.toLocalIterator():
+            part = np.frombuffer(bytes(r["bits"]), np.uint8)
+            held[(r["k"] - 1) * len(part) : r["k"] * len(part)] = part
+        self.shared = numbers.sparkSession.sparkContext.broadcast(held)
+
+    @classmethod
+    def place(cls, name: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(f"`{name}`")), F.lit(1 << cls.BITS)).cast("int")
+
+    def has(self, name: str) -> Column:
+        """Whether the row number of a column may be among the marked."""
+        from pyspark.sql.functions import arrow_udf
+
+        shared = self.shared
+
+        def run(places: pa.Array) -> pa.Array:
+            return pa.array(marked(shared.value, places.to_numpy()))
+
+        run.__annotations__ = {"places": pa.Array, "return": pa.Array}
+        return arrow_udf(run, "boolean")(self.place(name))
+
+
+def marked(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (bits[places >> 3] >> (places & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def without(rows: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
+    """rows but those whose number, in a column of that name, dropped has.  Only rows that may be dropped are shuffled.
+
+    rows is read twice, so it has to be a table whose row numbers are written, as numbered() makes it.
+    """
+    dropped = stored(dropped)
+    may = Marks(dropped).has(name)
+    return rows.where(~may).unionByName(rows.where(may).join(dropped, name, "left_anti"))
+
+
 def small_batches(df: DataFrame, rows: int = 1000, size: str = "16m") -> DataFrame:
     """df, with Arrow batches held to so many rows and bytes in its session: texts can be long, and a worker holds a batch at a time.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import LOWER, UPPER, free_name, lower_ascii, numbered, stored, table
+from helixframe.llm.common import LOWER, UPPER, free_name, lower_ascii, numbered, small_batches, stored, table, without
 
 KEY = ["digest", "check", "n_bytes"]
 
@@ -68,13 +68,12 @@ def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """df without the rows that another row of equal text replaces; columns as they were, null and empty texts one group.
 
     Rows are numbered once, in a table written for the purpose, so which rows go doesn't depend on how a scan is split.
-    The join gets the dropped rows, as they are the fewer: where their numbers are small enough, Spark leaves the texts
-    where they are.
+    Texts are shuffled only if a bitmap of the dropped rows, which are the fewer, has a mark for them.
     """
     rid = free_name(df, "rid")
-    rows = numbered(df, rid)
+    rows = numbered(small_batches(df), rid)
     dropped = exact_duplicates(rows, id_col, text_col, keep, rid_col=rid).where("NOT kept").select(F.col("rid").alias(rid))
-    return rows.join(dropped, rid, "left_anti").drop(rid)
+    return without(rows, dropped, rid).drop(rid)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

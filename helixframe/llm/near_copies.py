@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import durable, free_name, numbered, per_text, small_batches, space_words, stored, utf8
+from helixframe.llm.common import Marks, durable, free_name, marked, numbered, per_text, small_batches, space_words, stored, utf8, without
 from helixframe.llm.components import connected_components, send_back
 from helixframe.llm.simhash import _roots
 
@@ -191,7 +191,8 @@ def verified_links(nodes: DataFrame, texts: DataFrame, words: int = WORDS, simil
     """Edges (u, v) that join exactly what the candidate pairs of similarity or more join.
 
     nodes has one row (node, n, fp, anchors, run) for each distinct set of shingles; texts has (node, text) for them and maybe
-    other rows.  Texts are only sent to the groups in which they have a candidate.  The texts of an anchor with more than
+    other rows.  Texts are only sent to the groups in which they have a candidate, as their shingles, and a bitmap keeps most
+    others from being shuffled.  The texts of an anchor with more than
     block_bytes of shingles are dealt into blocks, and each pair of blocks is a task.
     """
     rows = nodes.select("run", "node", "n", "fp", F.explode("anchors").alias("anchor"))
@@ -203,10 +204,17 @@ def verified_links(nodes: DataFrame, texts: DataFrame, words: int = WORDS, simil
     rows = rows.select("anchor", F.explode(deals).alias("x"), "node", "n", "fp").select("anchor", "x.i", "x.j", "node", "n", "fp")
     order = ["anchor", "i", "j"]
     found = durable(rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(_loose(similarity), "anchor bigint, i int, j int, sub bigint, node bigint"))
-    make = lambda: lambda text: features(text, words)
-    wanted = texts.join(found.select("node").distinct(), "node").select("node", per_text(make, FEATURES)(utf8("text")).alias("x"))
+    shared = Marks(found.select("node").distinct()).shared
+
+    def wanted(batches):
+        for b in batches:
+            b = b.filter(pa.array(marked(shared.value, b.column(1).to_numpy())))
+            rows = [features(t, words) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[4] for r in rows], pa.binary())], names=["node", "n", "fp", "shingles"])
+
     order = [*order, "sub"]
-    sets = found.join(wanted, "node").select(*order, "node", "x.n", "x.fp", "x.shingles")
+    sets = texts.select("node", Marks.place("node"), utf8("text")).mapInArrow(wanted, "node bigint, n int, fp binary, shingles binary")
+    sets = found.join(sets, "node").select(*order, "node", "n", "fp", "shingles")
     return sets.repartition(*order).sortWithinPartitions(*order).mapInArrow(_verified(similarity), "u bigint, v bigint")
 
 
@@ -245,6 +253,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = numbered(docs, rid)
     found = stored(near_copies(rows, id_col, text_col, words, similarity, rid).select("rid", F.col(f"`{id_col}`").alias("id"), "component"))
     first = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("null"), F.col("id"), F.col("rid"))).alias("x")).select("x.rid")
-    # the dropped rows are the fewer; where their numbers are small enough, Spark leaves the texts where they are
     dropped = found.select("rid").join(first, "rid", "left_anti").select(F.col("rid").alias(rid))
-    return rows.join(dropped, rid, "left_anti").drop(rid)
+    return without(rows, dropped, rid).drop(rid)

@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from helixframe.llm import components, exact_dedup, near_copies, simhash
+from helixframe.llm import common, components, exact_dedup, near_copies, simhash
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -205,6 +205,16 @@ def test_dropped_rows_do_not_depend_on_splits(spark, tmp_path, drop):
         spark.conf.unset(key)
 
 
+def test_marks(spark):
+    """No marked number is missed, whatever the bitmap's size; without() drops exactly what it is told."""
+    some = spark.range(0, 5000, 7).select(F.col("id").alias("n"))
+    rows = spark.range(5000).select(F.col("id").alias("n"), F.lit("x").alias("text"))
+    seen = {r.n for r in rows.where(common.Marks(some).has("n")).collect()}
+    assert set(range(0, 5000, 7)) <= seen and len(seen) < 720
+    assert sorted(r.n for r in common.without(rows, some, "n").collect()) == [i for i in range(5000) if i % 7]
+    assert common.without(rows, some.limit(0), "n").count() == 5000 and common.without(rows.limit(0), some, "n").count() == 0
+
+
 def test_null_ids_stay_apart(docs):
     d = docs([" ".join(f"{k}{i}" for i in range(50)) for k in "abc"], [None, None, None])
     assert near_copies.drop_near_copies(d).count() == 3
