@@ -32,9 +32,17 @@ def codes(seq: str) -> np.ndarray:
     return _CODE[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
 
 
+class _Complement(dict):
+    def __missing__(self, letter: int) -> str:
+        return "N"
+
+
+_PAIRED = _Complement({ord(a): b for a, b in zip("ACGT", "TGCA", strict=True)})
+
+
 def reverse_complement(seq: str) -> str:
     """unknown letters become N."""
-    return "".join({"A": "T", "C": "G", "G": "C", "T": "A"}.get(c, "N") for c in reversed(seq))
+    return seq[::-1].translate(_PAIRED)
 
 
 def matches(x: np.ndarray, consensus: str) -> np.ndarray:
@@ -73,23 +81,42 @@ def runs(seq: str) -> list[tuple[int, int]]:
     return [(int(s), int(e)) for s, e in zip(edge[:-1], edge[1:], strict=True) if e - s >= RUN]
 
 
-def _kmers(s: str, k: int) -> set[str]:
-    return {s[i : i + k] for i in range(len(s) - k + 1)}
-
-
-ALU_KMERS = frozenset(_kmers(ALU, REPEAT_K) | _kmers(reverse_complement(ALU), REPEAT_K))
-
-
-def repeat_mask(seq: str, kmers: frozenset = ALU_KMERS, k: int = REPEAT_K) -> np.ndarray:
-    """positions that a repeat k-mer covers or that lie in a run."""
-    s = seq.upper()
-    mask = np.zeros(len(s), bool)
-    for i in range(len(s) - k + 1):
-        if s[i : i + k] in kmers:
-            mask[i : i + k] = True
-    for a, b in runs(s):
-        mask[a:b] = True
-    return mask
+def word_codes(seq: str, k: int) -> np.ndarray:
+    """Base-4 numbers of the k letters from each start on; -1 where one of them is no base, in either case."""
+    raw = np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)
+    n = len(raw) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    base = _CODE[raw].astype(np.int64)
+    unknown = np.concatenate([[0], np.cumsum((_CODE[raw] == 0) & (raw | 32 != ord("a")))])
+    code = np.zeros(n, np.int64)
+    for o in range(k):
+        code = code * 4 + base[o : o + n]
+    return np.where(unknown[k:] == unknown[:-k], code, -1)
+
+
+#: Numbers of the consensus's words on both strands, in order.
+REPEAT_WORDS = np.unique(np.concatenate([word_codes(ALU, REPEAT_K), word_codes(reverse_complement(ALU), REPEAT_K)]))
+
+
+def repeat_mask(seq: str) -> np.ndarray:
+    """positions that a word of the repeat covers or that lie in a run; spans are marked at their ends and added up."""
+    code = word_codes(seq, REPEAT_K)
+    start = np.flatnonzero(REPEAT_WORDS[np.minimum(np.searchsorted(REPEAT_WORDS, code), len(REPEAT_WORDS) - 1)] == code)
+    spans = [(start, start + REPEAT_K)]
+    if r := runs(seq.upper() if len(seq.upper()) == len(seq) else seq):
+        spans.append(tuple(np.array(r).T))
+    edge = np.zeros(len(seq) + 1, np.int64)
+    for first, last in spans:
+        np.add.at(edge, first, 1)
+        np.add.at(edge, last, -1)
+    return np.cumsum(edge)[:-1] > 0
+
+
+def probe_features(x: np.ndarray, width: int = 25) -> np.ndarray:
+    """(position, 5): the base as one of four, and the centred GC average around it."""
+    gc = moving_average(((x == 1) | (x == 2)).astype(float), width) - 0.5 if len(x) else np.zeros(0)
+    return np.column_stack([np.eye(4)[x] if len(x) else np.zeros((0, 4)), gc])
 
 
 def motif_effect(x: np.ndarray, planted: list[tuple[int, str]]) -> np.ndarray:

@@ -11,7 +11,8 @@ from helixframe.functions import stats
 def collapse_to_loci(align: DataFrame) -> DataFrame:
     """A3: mean a_f and mass for each feature and locus; partial averages travel, not rows.
 
-    Rounded to 9 digits so that medians and thresholds don't hang on the order of summation; 1e-12 settles halves.
+    Rounded to 9 digits, for all who use it: a median or threshold picks one of these values, and which one must not hang on the
+    order of summation; 1e-12 settles halves.
     """
     return align.groupBy("feature_id", "locus").agg(F.round(F.avg("a_f") + F.lit(1e-12), 9).alias("a_f"), F.avg("mass").alias("mass"))
 
@@ -136,6 +137,51 @@ def locus_representative(elements: DataFrame, order: str = "elem_id") -> DataFra
     return elements.groupBy("locus").agg(F.min(order).alias(order))
 
 
+def loci_per_feature(align: DataFrame) -> DataFrame:
+    """In how many loci each feature has a value; joined to features, the n_loci of coverage_bins."""
+    return align.where("a_f IS NOT NULL").groupBy("feature_id").agg(F.count_distinct("locus").alias("n_loci"))
+
+
+def robust(features: DataFrame, ci: DataFrame, threshold: DataFrame, q: float = 0.10) -> DataFrame:
+    """Features (feature_id, q_value) with ci (feature_id, lo): ci_robust if the interval's lower end is above the
+    threshold, high_confidence if q_value is below q as well.  Without an interval neither holds."""
+    j = features.join(ci.select("feature_id", "lo"), "feature_id", "left").crossJoin(F.broadcast(threshold.select(F.col("threshold").alias("_t"))))
+    # rounded, as both sides are interpolated sums
+    j = j.withColumn("ci_robust", F.coalesce(F.round("lo", 9) > F.round("_t", 9), F.lit(False)))
+    return j.withColumn("high_confidence", F.col("ci_robust") & F.coalesce(F.col("q_value") < q, F.lit(False))).drop("_t")
+
+
+def partners(elements: DataFrame, seed: int = 0) -> DataFrame:
+    """Elements (elem, locus) -> (elem, locus, other, other_locus) with an element of another locus for each.
+
+    Loci stand in a seeded order and each takes the next one's elements, in a seeded order as well and over again if they are
+    fewer: no try can fail, so there is no fallback but for a single locus, whose elements get no partner.  Windows are over loci,
+    and within a locus.
+    """
+    from helixframe.sources.tables import lcg
+
+    order = lambda c: [F.expr(lcg(c, str(seed))), F.col(c)]
+    own = elements.select("elem", "locus").distinct().withColumn("k", F.row_number().over(Window.partitionBy("locus").orderBy(*order("elem"))) - 1)
+    loci = own.groupBy("locus").agg(F.count(F.lit(1)).alias("m"))
+    loci = loci.withColumns({"i": F.row_number().over(Window.orderBy(*order("locus"))) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy())})
+    after = loci.select(F.pmod(F.col("i") - 1, F.col("n")).alias("i"), F.col("locus").alias("other_locus"), F.col("m").alias("other_m"))
+    found = own.join(loci.select("locus", "i"), "locus").join(after, "i").where("locus <> other_locus").withColumn("other_k", F.col("k") % F.col("other_m"))
+    return found.join(own.select(F.col("locus").alias("other_locus"), F.col("k").alias("other_k"), F.col("elem").alias("other")), ["other_locus", "other_k"]).select("elem", "locus", "other", "other_locus")
+
+
+def shuffled_scores(profiles: DataFrame, metric: str = "precision_weighted", seed: int = 0) -> DataFrame:
+    """(elem, locus, other, a_f, mass): profiles (elem, locus, pos, i, e) scored against the partner's effects.
+
+    Positions that both have count, so the longer one is cut; the mass is 1.  What is left to do is A2 over it.
+    """
+    from helixframe.operators.metrics import EXPERIMENT
+
+    pairs = partners(profiles.select("elem", "locus").distinct(), seed)
+    effects = profiles.select(F.col("elem").alias("other"), "pos", "e")
+    crossed = profiles.select("elem", "pos", "i", *[c for c in ("gc",) if c in profiles.columns]).join(pairs, "elem").join(effects, ["other", "pos"])
+    return EXPERIMENT[metric](crossed).withColumnRenamed("score", "a_f").join(pairs, "elem").select("elem", "locus", "other", "a_f", F.lit(1.0).alias("mass"))
+
+
 def shuffle_control(profiles: DataFrame, shift: int = 1) -> DataFrame:
     """Element pairs (elem, other) of different loci, by rotating the loci; elements(elem_id, locus).
 

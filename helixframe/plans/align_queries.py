@@ -129,7 +129,12 @@ def mann_whitney_u(spark, sf_dir):
     return A.mann_whitney(*_pair(spark, sf_dir)).drop("p_value")
 
 
-@query(None)
+@query(f"""{_FEATURES}, c AS (SELECT A_f AS v, sum(x) AS x, sum(y) AS y FROM (SELECT A_f, 1 AS x, 0 AS y FROM rf UNION ALL SELECT A_f, 0, 1 FROM nf) GROUP BY 1),
+u AS (SELECT *, x * (coalesce(sum(y) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + y / 2.0::DOUBLE) AS u FROM c),
+s AS (SELECT sum(u) AS u, CAST(sum(x) AS DOUBLE) AS a, CAST(sum(y) AS DOUBLE) AS b, sum(pow(x + y, 3.0) - (x + y)) AS ties FROM u),
+z AS (SELECT (u - a * b / 2 - 0.5) / sqrt(a * b / 12 * (a + b + 1 - ties / ((a + b) * (a + b - 1)))) AS z FROM s), k AS (SELECT z, 1 / (1 + 0.2316419 * abs(z)) AS t FROM z),
+w AS (SELECT z, exp(-z * z / 2) / 2.5066282746310002 * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))) AS p FROM k)
+SELECT round(CASE WHEN z >= 0 THEN p ELSE 1 - p END, 6) AS p_value FROM w""")
 def mann_whitney_p(spark, sf_dir):
     return A.mann_whitney(*_pair(spark, sf_dir)).select(F.round("p_value", 6).alias("p_value"))
 
@@ -225,6 +230,25 @@ def locus_representative(spark, sf_dir):
     return A.locus_representative(T.align(spark, sf_dir))
 
 
+_PARTNER = f"""el AS (SELECT elem, elem % 21 AS locus, row_number() OVER (PARTITION BY elem % 21 ORDER BY {T.lcg('elem', '7')}, elem) - 1 AS k, count(*) OVER (PARTITION BY elem % 21) AS m FROM (SELECT DISTINCT elem FROM p)),
+lo AS (SELECT locus, any_value(m) AS m, row_number() OVER (ORDER BY {T.lcg('locus', '7')}, locus) - 1 AS i, count(*) OVER () AS n FROM el GROUP BY locus),
+pa AS (SELECT a.elem, a.locus, d.elem AS other, d.locus AS other_locus FROM el a JOIN lo b USING (locus) JOIN lo c ON c.i = (b.i + 1) % b.n JOIN el d ON d.locus = c.locus AND d.k = a.k % c.m WHERE a.locus <> d.locus)"""
+
+
+@query(f"""WITH p AS ({T.PROFILE_SQL}), {_PARTNER}, j AS (SELECT pa.elem, pa.other, x.i, y.e FROM pa JOIN p x ON x.elem = pa.elem JOIN p y ON y.elem = pa.other AND y.pos = x.pos),
+r AS (SELECT elem, other, i, count(*) OVER (PARTITION BY elem) AS m, rank() OVER (PARTITION BY elem ORDER BY e) + (count(*) OVER (PARTITION BY elem, e) - 1) / 2.0::DOUBLE AS b FROM j)
+SELECT elem, other, round(CASE WHEN n >= 3 AND s > 0 THEN 2 * t / s - 1 ELSE 0.0::DOUBLE END, 6) AS a_f FROM (SELECT elem, other, count(*) AS n, sum(i) AS s, sum(i * (b - 1) / (m - 1 + 1e-12)) AS t FROM r GROUP BY ALL)""")
+def shuffled_scores(spark, sf_dir):
+    """Each element's sensitivities against the effects of an element of another locus."""
+    p = T.profile(spark, sf_dir).withColumn("locus", F.col("elem") % 21)
+    return A.shuffled_scores(p, "precision_weighted", 7).select("elem", "other", F.round("a_f", 6).alias("a_f"))
+
+
+@query(f"WITH {_LOCI} SELECT feature_id, count(DISTINCT locus) AS n_loci FROM real GROUP BY 1")
+def loci_per_feature(spark, sf_dir):
+    return A.loci_per_feature(T.align(spark, sf_dir))
+
+
 @query(f"""WITH {_LOCI}, el AS (SELECT DISTINCT elem_id, locus FROM real), lo AS (SELECT locus, min(elem_id) AS other, row_number() OVER (ORDER BY locus) - 1 AS i, count(*) OVER () AS n FROM el GROUP BY 1)
 SELECT el.elem_id, el.locus, b.other, b.locus AS other_locus FROM el JOIN lo a USING (locus) JOIN lo b ON b.i = (a.i + 1) % a.n WHERE b.locus <> el.locus""")
 def shuffle_control(spark, sf_dir):

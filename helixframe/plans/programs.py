@@ -68,6 +68,27 @@ def locus_tests(share: DataFrame) -> tuple[float | None, float | None]:
     return M.wilcoxon([r[0] for r in rows]), M.wilcoxon([r[0] - r[1] for r in rows], 0.0)
 
 
+def high_confidence(real: DataFrame, null: DataFrame, q: float = 0.10, reps: int = 1000, pct: float = 0.95) -> DataFrame:
+    """causal_test's features with their bootstrap interval, ci_robust and high_confidence."""
+    loci = A.collapse_to_loci(real)
+    threshold = stats.percentile_of(A.aggregate_features(A.collapse_to_loci(null)), "A_f", pct)
+    ci = R.bootstrap_ci(loci, "feature_id", "locus", "a_f", "mass", reps)
+    return A.robust(A.causal_test(real, null, pct), ci, threshold, q)
+
+
+def deep_dive(by_seed: dict[int, tuple[DataFrame, DataFrame]], qs=(0.05, 0.10, 0.20), reps: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """G6 over seeds: counts (seed, q, n_fdr, n_robust, n_high) and the share of the first seed's high-confidence set that all others reproduce."""
+    counts, hits = [], []
+    for seed, (real, null) in by_seed.items():
+        tested = high_confidence(real, null, max(qs), reps).withColumn("seed", F.lit(seed)).persist()
+        for q in qs:
+            below = F.col("q_value") < q
+            counts.append(tested.agg(F.lit(seed).alias("seed"), F.lit(q).alias("q"), F.count_if(below).alias("n_fdr"), F.count_if("ci_robust").alias("n_robust"), F.count_if(below & F.col("ci_robust")).alias("n_high")))
+        hits.append(tested.select("feature_id", "seed", F.col("high_confidence").alias("hit")))
+    union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
+    return union(counts), A.seed_reproduced(union(hits))
+
+
 def subspace_stability(a: DataFrame, b: DataFrame, seed: int = 0) -> dict[str, float | None]:
     """Overlap of two sets of directions, of random bases of the same ranks, and the nearest-cosine summary."""
     ua, ub = V.subspace_basis(a), V.subspace_basis(b)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from helixframe.operators import alignment as A
 from helixframe.operators import resample as R
 from helixframe.plans import programs as P
-from helixframe.plans.align_queries import _LOCI, _features_sql
+from helixframe.plans.align_queries import _LOCI, _P, _THR, _features_sql, _q_sql
 from helixframe.plans.registry import query
 from helixframe.sources import tables as T
 
@@ -30,6 +30,14 @@ def studentised(spark, sf_dir):
     return P.calibration(T.align(spark, sf_dir), 50).select("feature_id", "A_f", F.round("t", 5).alias("t"))
 
 
+@query(f"""{_BOOT}, {_features_sql('rf', 'rl')}, {_features_sql('nf', 'nl')}, {_THR}, {_P}, {_q_sql('qv', 'pv')}, ci AS (SELECT feature_id, quantile_cont(m, 0.025) AS lo FROM md GROUP BY 1)
+SELECT feature_id, A_f, round(q, 9) AS q_value, round(lo + 1e-12, 8) AS lo, coalesce(round(lo, 9) > round(t, 9), false) AS ci_robust, coalesce(q < 0.9 AND round(lo, 9) > round(t, 9), false) AS high_confidence FROM qv LEFT JOIN ci USING (feature_id), thr""")
+def high_confidence(spark, sf_dir):
+    """P12 and G6 with 50 replicates and a wide q, as these tables hold no signal."""
+    out = P.high_confidence(T.align(spark, sf_dir, "R"), T.align(spark, sf_dir, "N"), 0.9, 50)
+    return out.select("feature_id", "A_f", F.round("q_value", 9).alias("q_value"), F.round(F.col("lo") + 1e-12, 8).alias("lo"), "ci_robust", "high_confidence")
+
+
 def _loci(spark, sf_dir):
     a = A.collapse_to_loci(T.align(spark, sf_dir))
     return a, a.select("locus").distinct()
@@ -47,12 +55,26 @@ def subsample_curve(spark, sf_dir):
     return out.withColumns({c: F.round(c, 6) for c in ("mean_share", "least", "most")})
 
 
-@query(None)
+def _medians_sql(name: str, source: str, by: str) -> str:
+    """Weighted medians m of (by, v, w) rows."""
+    return f"""{name}_c AS (SELECT {by}, v, sum(w) AS w FROM {source} GROUP BY ALL), {name}_k AS (SELECT *, sum(w) OVER (PARTITION BY {by} ORDER BY v ROWS UNBOUNDED PRECEDING) AS cum, sum(w) OVER (PARTITION BY {by}) AS tot FROM {name}_c),
+{name} AS (SELECT {by}, min(v) FILTER (cum >= tot / 2) AS m FROM {name}_k GROUP BY ALL)"""
+
+
+_HALVES = f"""lo AS (SELECT DISTINCT locus FROM rl), gr AS (SELECT locus, rep, CAST(floor(2 * (row_number() OVER (PARTITION BY rep ORDER BY {T.lcg('rep', 'locus')}, locus) - 1) / (count(*) OVER (PARTITION BY rep))::DOUBLE) AS INT) AS half FROM lo, range(200) t(rep))"""
+
+
+@query(f"""WITH {_LOCI}, {_HALVES}, rw AS (SELECT rep, half, feature_id, a_f AS v, mass AS w FROM rl JOIN gr USING (locus)), {_medians_sql('md', 'rw', 'rep, half, feature_id')},
+f AS (SELECT rep, feature_id, bool_or(m > 0 AND half = 0) AS x, bool_or(m > 0 AND half = 1) AS y FROM md GROUP BY ALL), j AS (SELECT rep, count(*) FILTER (x AND y) AS i, count(*) FILTER (x OR y) AS u FROM f GROUP BY 1)
+SELECT round(avg(i / u::DOUBLE), 6) AS mean, round(stddev_pop(i / u::DOUBLE), 6) AS sd, count(*) AS splits FROM j WHERE u > 0""")
 def noise_ceiling(spark, sf_dir):
     return R.split_half(*_loci(spark, sf_dir), 200).select(F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "splits")
 
 
-@query(None)
+@query(f"""WITH {_LOCI}, {_features_sql('rf', 'rl')}, {_features_sql('of', 'ol')}, pr AS (SELECT feature_id - 1 AS pair_id, rf.A_f > 0 AS a, of.A_f > 0 AS b FROM rf JOIN of USING (feature_id)),
+dr AS (SELECT rep, CAST(floor(CAST({T.lcg('rep', 'pair_id')} AS DOUBLE) * (SELECT count(*) FROM pr)) AS BIGINT) AS pair_id FROM pr, range(2000) t(rep)),
+j AS (SELECT rep, count(*) FILTER (a AND b) AS i, count(*) FILTER (a OR b) AS u FROM dr JOIN pr USING (pair_id) GROUP BY 1)
+SELECT round(quantile_cont(i / u::DOUBLE, 0.025), 6) AS lo, round(quantile_cont(i / u::DOUBLE, 0.975), 6) AS hi FROM j WHERE u > 0""")
 def jaccard_bootstrap(spark, sf_dir):
     a = A.aggregate_features(A.collapse_to_loci(T.align(spark, sf_dir, "R"))).select("feature_id", (F.col("A_f") > 0).alias("a_hit"))
     b = A.aggregate_features(A.collapse_to_loci(T.align(spark, sf_dir, "A"))).select("feature_id", (F.col("A_f") > 0).alias("b_hit"))
@@ -82,14 +104,20 @@ def power_least_n(spark, sf_dir):
     return R.smallest_reaching(R.power_curve(spark, [0.0, 0.1, 0.2], [4, 16, 64], 150), "effect", "n", "power")
 
 
-@query(None)
+def _survivors_sql(name: str, part: str) -> str:
+    p = f"{name}p AS (SELECT rf.feature_id, (1.0::DOUBLE + (SELECT count(*) FROM {part} n WHERE n.A_f >= rf.A_f)) / (1 + (SELECT count(*) FROM {part})) AS p FROM rf)"
+    return f"{p}, {_q_sql(name, name + 'p')}"
+
+
+@query(f"""WITH {_LOCI}, {_features_sql('rf', 'rl')}, {_features_sql('nf', 'nl')}, nt AS (SELECT * FROM nf WHERE {T.lcg('feature_id')} < 0.1), {_survivors_sql('qt', 'nt')}, {_survivors_sql('qa', 'nf')}
+SELECT 'tenth' AS "null", count(*) FILTER (q < 0.5) AS survivors FROM qt UNION ALL SELECT 'all', count(*) FILTER (q < 0.5) FROM qa""")
 def null_size_sweep(spark, sf_dir):
     """Survivors at q < 0.5 against a tenth of the null and all of it, in one plan."""
     from helixframe.functions import stats
 
     real, null = (A.aggregate_features(A.collapse_to_loci(T.align(spark, sf_dir, f))) for f in "RN")
     out = []
-    for name, part in (("tenth", null.where(F.pmod(F.xxhash64("feature_id"), F.lit(10)) == 0)), ("all", null)):
+    for name, part in (("tenth", null.where(F.expr(f"{T.lcg('feature_id')} < 0.1"))), ("all", null)):
         q = stats.bh_qvalue(stats.empirical_pvalue(real.select("feature_id", "A_f"), "A_f", part, "A_f"), "p_value")
         out.append(q.agg(F.lit(name).alias("null"), F.count_if(F.col("q_value") < 0.5).alias("survivors")))
     return out[0].unionByName(out[1])

@@ -60,13 +60,16 @@ def kmer_set(spark, sf_dir):
     return Q.kmer_set_size(T.corpus(spark, sf_dir), 11)
 
 
-_ALU = ", ".join(f"('{k}')" for k in sorted(S.ALU_KMERS))
+_ALU = ", ".join(f"('{k}')" for k in sorted({s[i : i + 11] for s in (S.ALU, S.reverse_complement(S.ALU)) for i in range(len(s) - 10)}))
 
 
-@query(f"""{_C}, alu AS (SELECT * FROM (VALUES {_ALU}) t(k)), ch AS (SELECT seq_id, seq, unnest(range(1, length(seq) + 1)) AS p FROM corpus),
+_MASKED = f"""alu AS (SELECT * FROM (VALUES {_ALU}) t(k)), ch AS (SELECT seq_id, seq, unnest(range(1, length(seq) + 1)) AS p FROM corpus),
 hit AS (SELECT seq_id, unnest(range(p, p + 11)) AS p FROM ch SEMI JOIN alu ON alu.k = ch.seq[p:p + 10] WHERE p + 10 <= length(seq)),
 isl AS (SELECT seq_id, p, b, p - row_number() OVER (PARTITION BY seq_id, b ORDER BY p) AS g FROM (SELECT seq_id, p, seq[p] AS b FROM ch)),
-hom AS (SELECT seq_id, p FROM (SELECT seq_id, p, count(*) OVER (PARTITION BY seq_id, b, g) AS n FROM isl) WHERE n >= 6)
+hom AS (SELECT seq_id, p FROM (SELECT seq_id, p, count(*) OVER (PARTITION BY seq_id, b, g) AS n FROM isl) WHERE n >= 6)"""
+
+
+@query(f"""{_C}, {_MASKED}
 SELECT seq_id, coalesce(n, 0) AS n_masked FROM corpus LEFT JOIN (SELECT seq_id, count(DISTINCT p) AS n FROM (SELECT * FROM hit UNION ALL SELECT * FROM hom) GROUP BY 1) USING (seq_id)""")
 def repeat_mask(spark, sf_dir):
     return Q.repeat_masks(T.corpus(spark, sf_dir)).select("seq_id", "n_masked")
@@ -115,7 +118,15 @@ def motif_effect(spark, sf_dir):
     return Q.motif_effects(T.corpus(spark, sf_dir)).withColumn("effect", F.round("effect", 6))
 
 
-@query(None)
+_CHOOSE = lambda n, r: f"(lgamma({n} + 1) - lgamma({r} + 1) - lgamma({n} - {r} + 1))"
+
+
+@query(f"""{_C}, {_MOT}, {_matches_sql()}, h AS (SELECT seq_id, motif, max(m * ({S.HIT!r})::DOUBLE + (w - m) * ({S.MISS!r})::DOUBLE) > 4 AS has FROM mt GROUP BY ALL),
+s AS (SELECT mot.motif, count(*) FILTER (cls = 'en') AS k, count(*) FILTER (cls <> 'en') AS n_bg, count(*) FILTER (cls = 'en' AND has) AS hits, count(*) FILTER (cls <> 'en' AND has) AS bg_hits
+  FROM corpus CROSS JOIN mot LEFT JOIN h ON h.seq_id = corpus.seq_id AND h.motif = mot.motif GROUP BY 1),
+g AS (SELECT *, n_bg + k AS total, greatest(1, bg_hits) + hits AS good FROM s),
+t AS (SELECT motif, sum(exp({_CHOOSE('good', 'i')} + {_CHOOSE('(total - good)', '(k - i)')} - {_CHOOSE('total', 'k')})) AS p FROM (SELECT g.*, unnest(range(hits, least(k, good) + 1)) AS i FROM g) WHERE k - i <= total - good GROUP BY 1)
+SELECT motif, k, n_bg, hits, bg_hits, round(least(1.0, coalesce(p, 0)), 8) AS p_value FROM s LEFT JOIN t USING (motif)""")
 def motif_enrichment(spark, sf_dir):
     c = T.corpus(spark, sf_dir)
     hits = Q.motif_hits(c).fillna(False, ["has"]).join(c.select("seq_id", "cls"), "seq_id")
@@ -159,7 +170,21 @@ def loglik_ism(spark, sf_dir):
     return Q.loglik_ism(T.corpus(spark, sf_dir)).withColumns({"total": F.round("total", 6), "greatest": F.round("greatest", 6)})
 
 
-@query(None)
+# by channel and sequence: sensitivities averaged over alternatives against the planted effects' ranks over the kept positions
+_ALIGN = f"""pl AS (SELECT seq_id, weight, p - 1 AS start, length(cons) AS w FROM (SELECT seq_id, seq, cons, weight, unnest(range(1, length(seq) - length(cons) + 2)) AS p FROM corpus, mot) WHERE seq[p:p + length(cons) - 1] = cons),
+ef AS (SELECT seq_id, pos, sum(weight * {S.HIT - S.MISS!r}) AS e FROM (SELECT seq_id, weight, unnest(range(start, start + w)) AS pos FROM pl) GROUP BY ALL),
+rk AS (SELECT seq_id, pos, n, rank() OVER (PARTITION BY seq_id ORDER BY round(e, 9)) + (count(*) OVER (PARTITION BY seq_id, round(e, 9)) - 1) / 2.0::DOUBLE AS r
+  FROM (SELECT kp.seq_id, kp.pos, coalesce(e, 0) AS e, count(*) OVER (PARTITION BY kp.seq_id) AS n FROM kp LEFT JOIN ef USING (seq_id, pos))),
+sz AS (SELECT seq_id, any_value(n) AS n FROM rk GROUP BY 1),
+av AS (SELECT seq_id, motif, pos, avg(delta) AS v FROM dl GROUP BY ALL),
+sc AS (SELECT av.seq_id, motif, sum(v) AS s, sum(v * (r - 1) / (n - 1 + 1e-12)) AS t FROM av JOIN rk USING (seq_id, pos) GROUP BY ALL),
+ma AS (SELECT seq_id, motif, sum(greatest(m * {_HIT} + (w - m) * {_MISS}, 0)) AS mass, max(m * {_HIT} + (w - m) * {_MISS}) AS top FROM mt GROUP BY ALL),
+nu AS (SELECT * FROM (VALUES {', '.join(f"('{n}', {i})" for i, n in enumerate(S.MOTIFS))}) t(motif, feature_id))
+SELECT ma.seq_id, CAST(feature_id AS INT) AS feature_id, round(CASE WHEN s > 0 THEN 2 * t / s - 1 ELSE 0 END, 6) AS a_f, round(mass, 6) AS mass
+FROM ma JOIN nu USING (motif) JOIN sz USING (seq_id) LEFT JOIN sc ON sc.seq_id = ma.seq_id AND sc.motif = ma.motif WHERE top > 0 AND ma.seq_id IN (SELECT seq_id FROM pl)"""
+
+
+@query(f"{_ISM}, kp AS (SELECT seq_id, unnest(range(length(seq))) AS pos FROM corpus), {_ALIGN} AND n >= 3")
 def compute_alignments(spark, sf_dir):
     """C1 over sequences that have planted motifs: precision-weighted alignment of each motif channel with the planted effects."""
     from helixframe.plans.programs import ism_alignment
@@ -167,14 +192,15 @@ def compute_alignments(spark, sf_dir):
     return ism_alignment(T.corpus(spark, sf_dir)).withColumn("a_f", F.round("a_f", 6)).withColumn("mass", F.round("mass", 6))
 
 
-@query(None)
+@query(f"{_ISM}, {_MASKED}, kp AS (SELECT seq_id, pos FROM (SELECT seq_id, unnest(range(length(seq))) AS pos FROM corpus) ANTI JOIN (SELECT seq_id, p - 1 AS pos FROM hit UNION SELECT seq_id, p - 1 FROM hom) USING (seq_id, pos)), {_ALIGN} AND n >= 10")
 def repeat_masked_alignment(spark, sf_dir):
     from helixframe.plans.programs import ism_alignment
 
     return ism_alignment(T.corpus(spark, sf_dir), masked=True).withColumn("a_f", F.round("a_f", 6)).withColumn("mass", F.round("mass", 6))
 
 
-@query(None)
+@query(f"""WITH w AS (SELECT id, CASE WHEN id < 120 THEN 'ccre' WHEN id < 210 THEN 'genic' ELSE 'background' END AS cls FROM range(300) t(id))
+SELECT cls, count(*) AS n, CAST(sum(CASE cls WHEN 'ccre' THEN 2 + CAST(floor(CAST({T.lcg('id', '1', '1')} AS DOUBLE) * 3) AS INT) WHEN 'genic' THEN 1 + CAST(floor(CAST({T.lcg('id', '2', '1')} AS DOUBLE) * 2) AS INT) ELSE 0 END) AS BIGINT) AS planted, 256 AS length FROM w GROUP BY 1""")
 def synthetic_corpus(spark, sf_dir):
     c = G.synthetic_corpus(spark, 300, 256)
     return c.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("planted")).alias("planted"), F.min(F.length("seq")).alias("length"))

@@ -112,10 +112,10 @@ def geometric_median(spark, sf_dir):
     return spark.createDataFrame([(i, round(float(v), 6)) for i, v in enumerate(m)], "j int, value double")
 
 
-@query(None)
+@query(f"WITH acts AS ({T.VECTORS_SQL}), dirs AS ({T.directions_sql(8, D)}) SELECT token, round(sqrt(sum(pow(list_dot_product(h, w), 2))), 6) AS magnitude FROM acts, dirs GROUP BY 1")
 def projection_magnitude(spark, sf_dir):
-    a = _acts(spark, sf_dir)
-    return _r(V.projection_magnitude(a, V.subspace_basis(a.withColumnRenamed("h", "w"))), "magnitude")
+    """L11 on eight fixed directions, as SQL has no basis of its own to offer."""
+    return _r(V.projection_magnitude(_acts(spark, sf_dir), V.matrix(T.directions(spark, 8, D), "r")[1].T), "magnitude")
 
 
 @query(None)
