@@ -160,7 +160,9 @@ def partners(elements: DataFrame, seed: int = 0) -> DataFrame:
     """
     from helixframe.sources.tables import lcg
 
-    order = lambda c: [F.expr(lcg(c, str(seed))), F.col(c)]
+    kinds = dict(elements.dtypes)
+    draw = lambda c: F.expr(lcg(f"cast({c} as bigint)", str(seed))) if kinds[c] in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(c, F.lit(seed))
+    order = lambda c: [draw(c), F.col(c)]
     own = elements.select("elem", "locus").distinct().withColumn("k", F.row_number().over(Window.partitionBy("locus").orderBy(*order("elem"))) - 1)
     loci = own.groupBy("locus").agg(F.count(F.lit(1)).alias("m"))
     loci = loci.withColumns({"i": F.row_number().over(Window.orderBy(*order("locus"))) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy())})

@@ -230,48 +230,85 @@ def encoder_gradient(family: str, p: dict[str, np.ndarray], x: np.ndarray, k: in
     return g, float((e * e).sum()), (z > 0).sum(axis=0)
 
 
-def train(acts: DataFrame, width: int, k: int = 16, epochs: int = 3, family: str = "topk", rate: float = 1e-2, seed: int = 0) -> tuple[dict[str, np.ndarray], np.ndarray, list[float]]:
+def train(acts: DataFrame, width: int, k: int = 16, epochs: int = 3, family: str = "topk", rate: float = 3e-3, seed: int = 0, batch: int = 256, idle: int = 20_000) -> tuple[dict[str, np.ndarray], np.ndarray, list[float]]:
     """An encoder's parameters, the bias taken off its input, and the mean squared residual by epoch.
 
-    Each epoch every partition returns the summed gradient of its rows: numbers of the size of the model travel, the rows stay
-    where they are.  Adam on the driver, unit directions after each step; a feature that an epoch never fired is dead in the next.
-    The bias is the geometric median of the activations.
+    A step of Adam for every `batch` rows, unit directions after each; a feature that hasn't fired for `idle` tokens is dead.
+    Every partition makes an epoch's steps on its own rows from common parameters, and at the epoch's end parameters and
+    moments are averaged by rows: numbers of the size of the model travel once an epoch, and rows stay where they are.  With one
+    partition this is plain mini-batch training.  Rows come in another order in each epoch.  The bias is the geometric
+    median of the activations.
     """
     import pyarrow as pa
+    from pyspark import StorageLevel
 
-    b = V.geometric_median(acts, rounds=20)
+    held = acts.where("h IS NOT NULL").select("h").persist(StorageLevel.DISK_ONLY)
+    b = V.geometric_median(held, rounds=20)
     p = encoder_start(family, width, len(b), seed)
+    names, shapes = list(p), {n: x.shape for n, x in p.items()}
     m, v = ({n: np.zeros_like(x) for n, x in p.items()} for _ in range(2))
-    dead, losses, names = np.zeros(width, bool), [], list(p)
-    for t in range(1, epochs + 1):
-        shared = acts.sparkSession.sparkContext.broadcast((p, dead))
+    quiet, steps, losses = np.zeros(width), 0.0, []
+    for epoch in range(epochs):
+        shared = acts.sparkSession.sparkContext.broadcast((p, m, v, quiet, steps))
 
         def run(batches, shared=shared):
-            now, gone = shared.value
-            total, loss, fired, n = {c: np.zeros_like(x) for c, x in now.items()}, 0.0, np.zeros(width), 0
-            for batch in batches:
-                if batch.num_rows:
-                    x = V._dense(batch.column(0)) - b
-                    g, e, f = encoder_gradient(family, now, x, k, gone)
-                    total = {c: total[c] + g[c] for c in total}
-                    loss, fired, n = loss + e, fired + f, n + len(x)
-            flat = np.concatenate([*(total[c].ravel() for c in names), fired, [loss, n]])
-            yield pa.RecordBatch.from_arrays([pa.array([flat.tolist()], pa.list_(pa.float64()))], names=["g"])
-
-        total = np.sum([r[0] for r in acts.select("h").mapInArrow(run, "g array<double>").toLocalIterator()], axis=0)
-        n = max(1.0, total[-1])
-        losses.append(float(total[-2] / n))
-        dead, at = total[-2 - width : -2] == 0, 0
-        for c in names:
-            g = total[at : at + p[c].size].reshape(p[c].shape) / n
-            at += p[c].size
-            m[c], v[c] = 0.9 * m[c] + 0.1 * g, 0.999 * v[c] + 0.001 * g * g
-            p[c] = p[c] - rate * (m[c] / (1 - 0.9**t)) / (np.sqrt(v[c] / (1 - 0.999**t)) + 1e-8)
+            now, first, second, since, t = shared.value
+            now, first, second = ({c: x.copy() for c, x in d.items()} for d in (now, first, second))
+            since, loss, n = since.copy(), 0.0, 0
+            for part in batches:
+                rows = V._dense(part.column(0)) - b if part.num_rows else np.zeros((0, len(b)))
+                for at in range(0, len(rows), batch):
+                    x = rows[at : at + batch]
+                    g, e, fired = encoder_gradient(family, now, x, k, since > idle)
+                    loss, n, t = loss + e, n + len(x), t + 1
+                    since = np.where(fired > 0, 0, since + len(x))
+                    for c in names:
+                        d = g[c] / len(x)
+                        first[c], second[c] = 0.9 * first[c] + 0.1 * d, 0.999 * second[c] + 0.001 * d * d
+                        now[c] = now[c] - rate * (first[c] / (1 - 0.9**t)) / (np.sqrt(second[c] / (1 - 0.999**t)) + 1e-8)
+                    now["w"] = now["w"] / (np.linalg.norm(now["w"], axis=1, keepdims=True) + 1e-9)
+            if n:
+                flat = np.concatenate([*(d[c].ravel() for d in (now, first, second) for c in names), since, [t]]) * n
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([[*flat.tolist(), loss, n]], pa.list_(pa.float64()))], names=["k", "v"])
+
+        order = held.sortWithinPartitions(F.xxhash64("h", F.lit(epoch)))
+        got = V.tree_sum(order.mapInArrow(run, "k bigint, v array<double>"))
+        if not got:
+            break
+        total = got[0]
+        losses.append(float(total[-2] / total[-1]))
+        mean, at = total[:-2] / total[-1], 0
+        for d in (p, m, v):
+            for c in names:
+                size = int(np.prod(shapes[c]))
+                d[c] = mean[at : at + size].reshape(shapes[c])
+                at += size
         p["w"] = p["w"] / (np.linalg.norm(p["w"], axis=1, keepdims=True) + 1e-9)
+        quiet, steps = mean[at:-1], float(round(mean[-1]))
+    held.unpersist()
     return p, b, losses
 
 
-def train_topk(acts: DataFrame, width: int, k: int, epochs: int = 3, rate: float = 1e-2, seed: int = 0) -> tuple[np.ndarray, np.ndarray, list[float]]:
+def codes_of(family: str, p: dict[str, np.ndarray], bias: np.ndarray, k: int):
+    """M7-M9 of a trained encoder as a function of a matrix of hidden rows."""
+    w = p["w"]
+
+    def z(h: np.ndarray) -> np.ndarray:
+        pre = (h - bias) @ w.T
+        if family == "gated":
+            return np.where(pre + p["b_gate"] > 0, np.maximum(np.exp(p["r_mag"]) * pre + p["b_mag"], 0), 0)
+        if family == "jumprelu":
+            pi = np.maximum(pre + p["b"], 0)
+            return np.where(pi > np.exp(p["log_theta"]), pi, 0)
+        out = np.maximum(pre, 0)
+        if k < out.shape[1]:
+            np.put_along_axis(out, np.argsort(-out, axis=1, kind="stable")[:, k:], 0.0, axis=1)
+        return out
+
+    return z
+
+
+def train_topk(acts: DataFrame, width: int, k: int, epochs: int = 3, rate: float = 3e-3, seed: int = 0) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """M10 for the top-k family: directions, bias, losses."""
     p, b, losses = train(acts, width, k, epochs, "topk", rate, seed)
     return p["w"], b, losses

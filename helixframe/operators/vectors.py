@@ -29,6 +29,27 @@ def _dense(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def tree_sum(parts: DataFrame, lanes: int = 64) -> dict[int, np.ndarray]:
+    """{k: sum of v} of parts (k bigint, v array<double>): tasks first add up in lanes, so the driver adds `lanes` arrays a key at most.
+
+    Arrays of a key have one length; a task holds one array a key.
+    """
+
+    def add(batches):
+        out: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                v = v.values.to_numpy(zero_copy_only=False)
+                out[k] = out[k] + v if k in out else v.copy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([v.tolist() for v in out.values()], pa.list_(pa.float64()))], names=["k", "v"])
+
+    laid = parts.withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(lanes))).repartition("lane").select("k", "v").mapInArrow(add, "k bigint, v array<double>")
+    total: dict[int, np.ndarray] = {}
+    for r in laid.collect():
+        total[r["k"]] = total.get(r["k"], 0.0) + np.array(r["v"])
+    return total
+
+
 def _codes(acts: DataFrame, keys: np.ndarray, z) -> DataFrame:
     """Long sparse codes (token, feature_id, z) of z(h) > 0, a batch of tokens at a time."""
 
@@ -55,8 +76,11 @@ def project(acts: DataFrame, weights: DataFrame) -> DataFrame:
     return acts.where("h IS NOT NULL").select("token", "h").mapInArrow(run, f"token {acts.schema['token'].dataType.simpleString()}, feature_id bigint, dot double")
 
 
-def encode_topk(acts: DataFrame, weights: DataFrame, k: int, bias: float = 0.0) -> DataFrame:
-    """M7 with T4: ReLU projections, the k largest of each token, ties by feature; fewer if fewer are positive."""
+def encode_topk(acts: DataFrame, weights: DataFrame, k: int, bias=0.0) -> DataFrame:
+    """M7 with T4: ReLU(w h + bias), the k largest of each token, ties by feature; fewer if fewer are positive.
+
+    bias is a number, or an array with one for each feature in the order of their ids.
+    """
     keys, w = matrix(weights)
 
     def z(h):
@@ -69,21 +93,66 @@ def encode_topk(acts: DataFrame, weights: DataFrame, k: int, bias: float = 0.0)
     return _codes(acts, keys, z)
 
 
-def encode_gated(acts: DataFrame, weights: DataFrame, r_mag: float, b_gate: float, b_mag: float) -> DataFrame:
-    """M8: ReLU(exp(r_mag) w h + b_mag) where w h + b_gate > 0."""
+def encode_gated(acts: DataFrame, weights: DataFrame, r_mag=0.0, b_gate=0.0, b_mag=0.0, bias=0.0) -> DataFrame:
+    """M8: ReLU(exp(r_mag) w (h - bias) + b_mag) where w (h - bias) + b_gate > 0.
+
+    Each is a number for all features, or an array with one for each in the order of their ids; bias is one for each dimension.
+    """
     keys, w = matrix(weights)
 
     def z(h):
-        p = h @ w.T
+        p = (h - bias) @ w.T
         return np.where(p + b_gate > 0, np.maximum(np.exp(r_mag) * p + b_mag, 0), 0)
 
     return _codes(acts, keys, z)
 
 
-def encode_jumprelu(acts: DataFrame, weights: DataFrame, theta: float) -> DataFrame:
-    """M9: w h where it exceeds theta."""
+def encode_jumprelu(acts: DataFrame, weights: DataFrame, theta=0.0, b=0.0, bias=0.0) -> DataFrame:
+    """M9: ReLU(w (h - bias) + b) where it exceeds theta; theta and b as encode_gated's."""
     keys, w = matrix(weights)
-    return _codes(acts, keys, lambda h: np.where(h @ w.T > theta, h @ w.T, 0))
+
+    def z(h):
+        p = np.maximum((h - bias) @ w.T + b, 0)
+        return np.where(p > theta, p, 0)
+
+    return _codes(acts, keys, z)
+
+
+def encode(acts: DataFrame, family: str, p: dict[str, np.ndarray], bias: np.ndarray, k: int = 16) -> DataFrame:
+    """Codes of a trained encoder (models.train), whichever its family."""
+    w = acts.sparkSession.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(p["w"])], "feature_id bigint, w array<double>")
+    if family == "gated":
+        return encode_gated(acts, w, p["r_mag"], p["b_gate"], p["b_mag"], bias)
+    if family == "jumprelu":
+        return encode_jumprelu(acts, w, np.exp(p["log_theta"]), p["b"], bias)
+    keys, d = matrix(w)
+    return encode_topk(acts, w, k, -(d @ bias))
+
+
+def reconstruction(acts: DataFrame, z, w: np.ndarray, bias=0.0) -> tuple[float, np.ndarray, int]:
+    """(A11's FVU, in how many tokens each feature is active, tokens) of the codes z(h) rebuilt as z w + bias.
+
+    Residuals are summed where tokens are encoded: what travels is a few numbers a dimension and task.
+    """
+
+    def run(batches):
+        total = None
+        for b in batches:
+            if b.num_rows:
+                x = _dense(b.column(0))
+                c = z(x)
+                e = x - (c @ w + bias)
+                v = np.concatenate([[len(x), (e * e).sum()], x.sum(axis=0), (x * x).sum(axis=0), (c > 0).sum(axis=0)])
+                total = v if total is None else total + v
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([total.tolist()], pa.list_(pa.float64()))], names=["k", "v"])
+
+    got = tree_sum(acts.where("h IS NOT NULL").select("h").mapInArrow(run, "k bigint, v array<double>"))
+    if not got:
+        return 0.0, np.zeros(len(w)), 0
+    v, d = got[0], w.shape[1]
+    n, s, xx = v[0], v[2 : 2 + d], v[2 + d : 2 + 2 * d]
+    return float(v[1] / ((xx - s * s / n).sum() + 1e-9)), v[2 + 2 * d :], int(n)
 
 
 def decode(codes: DataFrame, weights: DataFrame) -> DataFrame:
@@ -121,8 +190,29 @@ def top_activating(codes: DataFrame, n: int, block: int | None = None) -> DataFr
 
 
 def moments(acts: DataFrame) -> DataFrame:
-    """Mean and population variance of each dimension."""
-    return acts.select(F.posexplode("h").alias("j", "x")).groupBy("j").agg(F.avg("x").alias("mean"), F.var_pop("x").alias("var"))
+    """(j, mean, var) of each dimension (population variance); tasks return sums, deviations are taken from the mean."""
+
+    def sums(centre):
+        def run(batches):
+            total = None
+            for b in batches:
+                if b.num_rows:
+                    x = _dense(b.column(0)) - centre
+                    v = np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
+                    total = v if total is None else total + v
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([total.tolist()], pa.list_(pa.float64()))], names=["k", "v"])
+
+        return tree_sum(acts.where("h IS NOT NULL").select("h").mapInArrow(run, "k bigint, v array<double>")).get(0)
+
+    if (v := sums(0.0)) is None:
+        return acts.sparkSession.createDataFrame([], "j int, mean double, var double")
+    d = len(v) // 2
+    mean = v[1 : 1 + d] / v[0]
+    v = sums(mean)
+    off = v[1 : 1 + d] / v[0]
+    rows = [(j, float(m + o), float(s / v[0] - o * o)) for j, (m, o, s) in enumerate(zip(mean, off, v[1 + d :], strict=True))]
+    return acts.sparkSession.createDataFrame(rows, "j int, mean double, var double")
 
 
 def matched_null_theta(acts: DataFrame, weights: DataFrame, density: float) -> DataFrame:
@@ -170,25 +260,24 @@ def projection_magnitude(acts: DataFrame, basis: np.ndarray) -> DataFrame:
 
 
 def gram(vectors: DataFrame, vec: str = "w", by: str | None = None) -> dict:
-    """{key: (n, sum, X'X)} of the vectors; partitions add up, one d x d matrix a key and task travels."""
+    """{key: (n, sum, X'X)} of the vectors; partitions add up, one d x d matrix a key and task travels, summed as a tree."""
 
     def run(batches):
         out: dict = {}
         for b in batches:
             if not b.num_rows:
                 continue
-            x, keys = _dense(b.column(0)), b.column(1).to_pylist()
-            for k in set(keys):
-                part = x[[i for i, v in enumerate(keys) if v == k]]
-                n, s, g = out.get(k, (0, 0.0, 0.0))
-                out[k] = n + len(part), s + part.sum(axis=0), g + part.T @ part
-        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([v[0] for v in out.values()], pa.int64()), pa.array([v[1].tolist() for v in out.values()], pa.list_(pa.float64())), pa.array([v[2].ravel().tolist() for v in out.values()], pa.list_(pa.float64()))], names=["k", "n", "s", "g"])
+            x, keys = _dense(b.column(0)), b.column(1).to_numpy()
+            for k in np.unique(keys):
+                part = x[keys == k]
+                v = np.concatenate([[len(part)], part.sum(axis=0), (part.T @ part).ravel()])
+                out[int(k)] = out[int(k)] + v if int(k) in out else v
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([v.tolist() for v in out.values()], pa.list_(pa.float64()))], names=["k", "v"])
 
     key = F.col(by).cast("bigint") if by else F.lit(0).cast("bigint")
-    parts = vectors.select(vec, key.alias("k")).mapInArrow(run, "k bigint, n bigint, s array<double>, g array<double>")
-    add = lambda c: F.expr(f"aggregate(collect_list({c}), cast(array() as array<double>), (t, x) -> if(size(t) = 0, x, zip_with(t, x, (a, b) -> a + b)))").alias(c)
-    rows = parts.groupBy("k").agg(F.sum("n").alias("n"), add("s"), add("g")).collect()
-    return {r["k"]: (r["n"], np.array(r["s"]), np.array(r["g"]).reshape(len(r["s"]), -1)) for r in rows}
+    total = tree_sum(vectors.where(F.col(vec).isNotNull() & key.isNotNull()).select(vec, key.alias("k")).mapInArrow(run, "k bigint, v array<double>"))
+    width = {k: int(round((4 * len(v) - 3) ** 0.5 - 1)) // 2 for k, v in total.items()}  # 1 + d + d * d numbers
+    return {k: (int(v[0]), v[1 : 1 + width[k]], v[1 + width[k] :].reshape(width[k], width[k])) for k, v in total.items()}
 
 
 def subspace_basis(vectors: DataFrame, energy: float = 0.9, most: int = 50) -> np.ndarray:
@@ -219,25 +308,28 @@ def eigen_spectrum(vectors: DataFrame, vec: str = "w", top: int = 50) -> np.ndar
 
 
 def geometric_median(vectors: DataFrame, vec: str = "h", rounds: int = 100, eps: float = 1e-7) -> np.ndarray:
-    """Weiszfeld's iteration from the mean; each round is one aggregate over the vectors, of d + 1 numbers a task."""
-    n, s, _ = gram(vectors, vec)[0]
+    """Weiszfeld's iteration from the mean; each round is one aggregate over the vectors, which are kept on disk for it."""
+    from pyspark import StorageLevel
+
+    held = vectors.where(F.col(vec).isNotNull()).select(vec).persist(StorageLevel.DISK_ONLY)
+    n, s, _ = gram(held, vec)[0]
     centre = s / n
     for _ in range(rounds):
 
         def run(batches, centre=centre):
-            top, bottom = np.zeros(len(centre)), 0.0
+            v = np.zeros(len(centre) + 1)
             for b in batches:
                 if b.num_rows:
                     x = _dense(b.column(0))
                     w = 1 / np.maximum(np.linalg.norm(x - centre, axis=1), 1e-12)
-                    top, bottom = top + w @ x, bottom + w.sum()
-            yield pa.RecordBatch.from_arrays([pa.array([*top, bottom])], names=["v"])
+                    v += np.append(w @ x, w.sum())
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([v.tolist()], pa.list_(pa.float64()))], names=["k", "v"])
 
-        rows = vectors.select(vec).mapInArrow(run, "v double").collect()
-        total = np.array([r[0] for r in rows]).reshape(-1, len(centre) + 1).sum(axis=0)
+        total = tree_sum(held.mapInArrow(run, "k bigint, v array<double>"))[0]
         new = total[:-1] / total[-1]
         moved = np.linalg.norm(new - centre)
         centre = new
         if moved < eps:
             break
+    held.unpersist()
     return centre

@@ -244,6 +244,30 @@ def shuffled_scores(spark, sf_dir):
     return A.shuffled_scores(p, "precision_weighted", 7).select("elem", "other", F.round("a_f", 6).alias("a_f"))
 
 
+@query(f"""{_HITS}, s AS (SELECT (SELECT avg(CAST(A_f > t AS INT)) FROM rf, thr) AS real, (SELECT avg(CAST(A_f > t AS INT)) FROM nf, thr) AS "null", (SELECT avg(CAST(A_f > t AS INT)) FROM of, thr) AS shuffled)
+SELECT round(real, 9) AS real, round("null", 9) AS "null", round(shuffled, 9) AS shuffled, real > "null" AS g1, shuffled <= "null" + 0.03 AS g2, shuffled < real AS g3 FROM s""")
+def metric_gate(spark, sf_dir):
+    """G30, the second run standing for the shuffled side."""
+    from helixframe.plans import programs as P
+
+    out = P.metric_gate(*(T.align(spark, sf_dir, f) for f in "RNA"))
+    return out.withColumns({c: F.round(c, 9) for c in ("real", "null", "shuffled")})
+
+
+def _headline_sql(level: str, real: str, null: str) -> str:
+    return f"""SELECT '{level}' AS level, (SELECT count(*) FROM {real}) AS n, (SELECT round(median(A_f), 9) FROM {real}) AS median_A, round(hi, 9) AS threshold, (SELECT avg(CAST(A_f > hi AS INT)) FROM {real}) AS upper, (SELECT avg(CAST(A_f < lo AS INT)) FROM {real}) AS lower,
+(SELECT round(avg(CASE WHEN a.A_f > b.A_f THEN 1.0::DOUBLE WHEN a.A_f = b.A_f THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END), 9) FROM {real} a, {null} b) AS prob_greater FROM (SELECT quantile_cont(A_f, 0.95) AS hi, quantile_cont(A_f, 0.05) AS lo FROM {null})"""
+
+
+@query(f"{_FEATURES}, {_features_sql('re', 'real')}, {_features_sql('ne', 'nul')} {_headline_sql('element', 're', 'ne')} UNION ALL {_headline_sql('locus', 'rf', 'nf')}")
+def headline(spark, sf_dir):
+    """G28 without the counts of survivors, which mirror_fdr has."""
+    from helixframe.plans import programs as P
+
+    out = P.headline(T.align(spark, sf_dir, "R"), T.align(spark, sf_dir, "N"))
+    return out.select("level", "n", F.round("median_A", 9).alias("median_A"), F.round("threshold", 9).alias("threshold"), "upper", "lower", F.round("prob_greater", 9).alias("prob_greater"))
+
+
 @query(f"WITH {_LOCI} SELECT feature_id, count(DISTINCT locus) AS n_loci FROM real GROUP BY 1")
 def loci_per_feature(spark, sf_dir):
     return A.loci_per_feature(T.align(spark, sf_dir))

@@ -35,14 +35,21 @@ def encode_topk(spark, sf_dir):
     return _r(V.encode_topk(_acts(spark, sf_dir), _dirs(spark), K), "z")
 
 
-@query(f"{_P} SELECT token, feature_id, round(z, 6) AS z FROM (SELECT token, feature_id, dot, exp(0.1::DOUBLE) * dot + 0.05 AS z FROM pr) WHERE dot - 0.1 > 0 AND z > 0")
+@query(f"{_P} SELECT token, feature_id, round(z, 6) AS z FROM (SELECT token, feature_id, dot, exp(feature_id / 100.0::DOUBLE) * dot + 0.05 AS z FROM pr) WHERE dot - 0.1 + feature_id / 1000.0::DOUBLE > 0 AND z > 0")
 def encode_gated(spark, sf_dir):
-    return _r(V.encode_gated(_acts(spark, sf_dir), _dirs(spark), 0.1, -0.1, 0.05), "z")
+    """M8 with a scale and a gate for each feature."""
+    import numpy as np
 
+    f = np.arange(M)
+    return _r(V.encode_gated(_acts(spark, sf_dir), _dirs(spark), f / 100.0, -0.1 + f / 1000.0, 0.05), "z")
 
-@query(f"{_P} SELECT token, feature_id, round(dot, 6) AS z FROM pr WHERE dot > 0.2")
+
+@query(f"{_P} SELECT token, feature_id, round(greatest(dot + 0.01, 0), 6) AS z FROM pr WHERE dot + 0.01 > 0.1 + feature_id / 640.0::DOUBLE")
 def encode_jumprelu(spark, sf_dir):
-    return _r(V.encode_jumprelu(_acts(spark, sf_dir), _dirs(spark), 0.2), "z")
+    """M9 with a threshold for each feature."""
+    import numpy as np
+
+    return _r(V.encode_jumprelu(_acts(spark, sf_dir), _dirs(spark), 0.1 + np.arange(M) / 640.0, 0.01), "z")
 
 
 _CODES = f"{_P}, codes AS (SELECT token, feature_id, z FROM (SELECT token, feature_id, greatest(dot, 0) AS z, row_number() OVER (PARTITION BY token ORDER BY greatest(dot, 0) DESC, feature_id) AS k FROM pr) WHERE k <= {K} AND z > 0)"
@@ -85,7 +92,11 @@ def matched_null_theta(spark, sf_dir):
 bk AS (SELECT token, j, sum(z * v) AS y FROM codes JOIN w ON r = feature_id GROUP BY ALL), s AS (SELECT j, sum(pow(x - coalesce(y, 0), 2)) AS r, sum(x * x) - sum(x) * sum(x) / count(*) AS d FROM lng LEFT JOIN bk USING (token, j) GROUP BY 1)
 SELECT round(sum(r) / (sum(d) + 1e-9), 6) AS fvu FROM s""")
 def fvu(spark, sf_dir):
-    return _r(V.fvu(_acts(spark, sf_dir), V.decode(_codes(spark, sf_dir), _dirs(spark))), "fvu")
+    from helixframe.operators.toy import topk_encoder
+
+    w = V.matrix(_dirs(spark))[1]
+    f, _, _ = V.reconstruction(_acts(spark, sf_dir), topk_encoder(w, 0.0, K), w)
+    return spark.createDataFrame([(round(f, 6),)], "fvu double")
 
 
 _AB = f"acts AS ({T.VECTORS_SQL}), u AS (SELECT token, list_transform(h, lambda x: x / (sqrt(list_dot_product(h, h)) + 1e-9)) AS w FROM acts), c AS (SELECT a.token AS feature_id, b.token AS nearest, abs(list_dot_product(a.w, b.w)) AS c FROM u a, u b WHERE a.token % 2 = 0 AND b.token % 2 = 1)"

@@ -63,7 +63,7 @@ VECTORS_SQL = "SELECT vec_id AS token, label, list_transform(embedding, lambda x
 
 def lcg(*terms: str) -> str:
     """SQL, for either engine, of a number in [0, 1) drawn from integer terms; two steps of the generator."""
-    seed = " + ".join(f"({t}) * {m}" for t, m in zip(terms, (7919, 104729, 1299709, 15485863), strict=False))
+    seed = " + ".join(f"cast(({t}) as bigint) * {m}" for t, m in zip(terms, (7919, 104729, 1299709, 15485863), strict=False))
     return f"(((({seed} + 12345) * {LCG_A} % {LCG_M}) * {LCG_A} % {LCG_M}) / {LCG_M}.0)"
 
 
