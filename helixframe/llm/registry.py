@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from helixframe.llm import byte_bpe, decontaminate, exact_dedup, license_scan, lm_score, pseudonyms, quality, simhash, token_counts, toxicity
+from helixframe.llm import byte_bpe, decontaminate, exact_dedup, license_scan, lm_score, pseudonyms, quality, simhash, spelling, token_counts, toxicity
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_simhash": simhash.op9_simhash,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
+    "op11_spelling": spelling.op11_spelling,
     "pipeline": corpus_pipeline.run,
 }
 SQL = {"op5_decontamination": decontaminate.OP5_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL}
