@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from helixframe.llm import byte_bpe, decontaminate, exact_dedup, license_scan, lm_score, pseudonyms, quality, simhash, spelling, token_counts, toxicity
+from helixframe.llm import byte_bpe, decontaminate, exact_dedup, license_scan, lm_score, pseudonyms, quality, simhash, spelling, token_counts, token_output, toxicity
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
     "op11_spelling": spelling.op11_spelling,
+    "op12_token_output": token_output.op12_token_output,
     "pipeline": corpus_pipeline.run,
 }
 SQL = {"op5_decontamination": decontaminate.OP5_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL}
