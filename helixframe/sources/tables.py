@@ -45,8 +45,12 @@ PROFILE_SQL = """SELECT user_id AS elem, row_number() OVER (PARTITION BY user_id
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D1 from documents: letters other than A, C, G, T are left out of the upper-cased text."""
-    d = read(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("seq_id"), F.col("lang").alias("cls"), F.regexp_replace(F.translate("text", "acgt", "ACGT"), "[^ACGT]", "").alias("seq"))
+    return sequences(read(spark, sf_dir, "documents"))
+
+
+def sequences(documents: DataFrame) -> DataFrame:
+    """(seq_id, cls, seq) of documents(doc_id, lang, text): the bases among a text's letters."""
+    return documents.select(F.col("doc_id").alias("seq_id"), F.col("lang").alias("cls"), F.regexp_replace(F.translate("text", "acgt", "ACGT"), "[^ACGT]", "").alias("seq"))
 
 
 CORPUS_SQL = "SELECT doc_id AS seq_id, lang AS cls, regexp_replace(translate(text, 'acgt', 'ACGT'), '[^ACGT]', '', 'g') AS seq FROM documents"
