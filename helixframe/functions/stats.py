@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.functions import prefix
 
 def weighted_median(df: DataFrame, by: list[str], value: str, weight: str, out: str = "wmedian") -> DataFrame:
     """A1: the lowest value whose cumulative weight reaches half the total; a total of zero or less gives the plain median."""
@@ -21,11 +22,8 @@ def weighted_median(df: DataFrame, by: list[str], value: str, weight: str, out:
 
 
 def average_rank(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
-    """Rank within the group, ties sharing their mean rank; null for a null value."""
-    w = Window.partitionBy(*by)
-    order = F.rank().over(w.orderBy(F.col(value).asc_nulls_last()))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
-    return df.withColumn(out, F.when(F.col(value).isNotNull(), order + (ties - 1) / F.lit(2.0)))
+    """Rank within the group, ties sharing their mean rank; null for a null value.  A hot group is ranked by several tasks."""
+    return prefix.average_rank(df, by, value, out)
 
 
 def _correlation(n: Column, x: Column, y: Column, xx: Column, yy: Column, xy: Column) -> Column:
@@ -49,10 +47,9 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str, out: str = "rho") ->
 def precision_weighted(df: DataFrame, by: list[str], i: str, e: str, out: str = "score") -> DataFrame:
     """2 sum(i r(e)) / sum(i) - 1, r the average rank scaled to 0..1; fewer than 3 rows or no weight gives 0."""
     ranked = average_rank(df.where(F.col(i).isNotNull() & F.col(e).isNotNull()), by, e, "_r")
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    part = ranked.withColumn("_q", (F.col("_r") - 1) / (n - 1 + F.lit(1e-12)))
-    s = part.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.sum(i).alias("_s"), F.sum(F.col(i) * F.col("_q")).alias("_t"))
-    return s.select(*by, F.when((F.col("_n") >= 3) & (F.col("_s") > 0), 2 * F.col("_t") / F.col("_s") - 1).otherwise(F.lit(0.0)).alias(out))
+    # the scale of a rank is its group's, so it is applied to the sum
+    s = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.sum(i).alias("_s"), F.sum(F.col(i) * (F.col("_r") - 1)).alias("_t"))
+    return s.select(*by, F.when((F.col("_n") >= 3) & (F.col("_s") > 0), 2 * F.col("_t") / (F.col("_n") - 1 + F.lit(1e-12)) / F.col("_s") - 1).otherwise(F.lit(0.0)).alias(out))
 
 
 def auroc(df: DataFrame, by: list[str], score: str, positive: str, out: str = "auroc") -> DataFrame:
@@ -79,14 +76,6 @@ def percentile_of(df: DataFrame, value: str, q: float, by: tuple[str, ...] = (),
     return df.groupBy(*by).agg(F.coalesce(F.percentile(value, F.lit(q)), F.lit(0.0)).alias(out))
 
 
-def null_values(null: DataFrame, value: str, most: int = 100_000) -> Column:
-    """The null distribution as one sorted array literal; its size is checked, since it goes to every task."""
-    got = [r[0] for r in null.where(F.col(value).isNotNull()).select(F.col(value).cast("double")).orderBy(value).limit(most + 1).collect()]
-    if len(got) > most:
-        raise ValueError(f"more than {most} null values; bin them first")
-    return F.array(*map(F.lit, got)) if got else F.array().cast("array<double>")
-
-
 def empirical_pvalue(df: DataFrame, value: str, null: DataFrame, null_value: str, upper: bool = True, out: str = "p_value") -> DataFrame:
     """(1 + null values at least (at most) as extreme) / (1 + null values); null for a null value or an empty null.
 
@@ -96,29 +85,29 @@ def empirical_pvalue(df: DataFrame, value: str, null: DataFrame, null_value: str
     cells = df.where(v.isNotNull()).groupBy(v.alias("_v")).agg(F.lit(0).cast("bigint").alias("_n"))
     cells = cells.unionByName(null.where(F.col(null_value).isNotNull()).groupBy(F.col(null_value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
     cells = cells.groupBy("_v").agg(F.sum("_n").alias("_n"))
-    order = F.col("_v").desc() if upper else F.col("_v").asc()
-    # one row for each distinct value: aggregated by now, however many rows the tables have
-    cells = cells.withColumns({"_k": F.sum("_n").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_n").over(Window.partitionBy())})
-    cells = cells.select("_v", F.when(F.col("_all") > 0, (1 + F.col("_k")) / (1 + F.col("_all"))).alias(out))
-    return df.join(cells, v.eqNullSafe(F.col("_v")), "left").drop("_v")
+    cells = prefix.running(prefix.blocked(cells, "_v"), [], "_v", "_n", "_k", descending=upper)
+    cells = prefix.totals(cells, [], "_n", "_all").select("_v", F.when(F.col("_all") > 0, (1 + F.col("_k")) / (1 + F.col("_all"))).alias(out))
+    return prefix.attach(df, cells, [], v, "_v", out)
+
+
+def harmonic(n: Column) -> Column:
+    """1 + 1/2 + ... + 1/n: added up as far as 64, by Euler's and Maclaurin's formula, exact to the last digits, beyond."""
+    few = F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.least(n, F.lit(64).cast("bigint"))), F.lit(0.0), lambda t, i: t + F.lit(1.0) / i)
+    x = n.cast("double")
+    return F.when(n <= 64, few).otherwise(F.log(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * F.pow(x, F.lit(4))))
 
 
 def bh_qvalue(df: DataFrame, p: str, out: str = "q_value", dependent: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """X3 (X4 with dependent): least of p_j n / j over j from the row's rank on, clipped to 0..1; null for a null p.
 
-    A q-value depends on p alone, so the running minimum goes over distinct p-values: no more than null values plus one
-    for empirical ones.
+    A q-value depends on p alone, so both scans, of ranks upwards and of minima downwards, go over distinct p-values, block by block.
     """
+    by = list(by)
     cells = df.where(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*by)
-    cells = cells.withColumns({"_j": F.sum("_c").over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_c").over(w)})
-    scale = F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.col("_n")), F.lit(0.0), lambda t, i: t + F.lit(1.0) / i) if dependent else F.lit(1.0)
-    raw = F.col("_p") * F.col("_n") / F.col("_j") * scale
-    q = F.min("_raw").over(w.orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    cells = cells.withColumn("_raw", raw).select(*by, "_p", F.least(F.greatest(q, F.lit(0.0)), F.lit(1.0)).alias(out))
-    on = [F.col("d._p_").eqNullSafe(F.col("c._p"))] + [F.col(f"d.{b}").eqNullSafe(F.col(f"c.{b}")) for b in by]
-    left = df.withColumn("_p_", F.col(p))
-    return left.alias("d").join(cells.alias("c"), on, "left").select(*[F.col(f"d.`{c}`") for c in df.columns], F.col(f"c.{out}"))
+    cells = prefix.totals(prefix.running(prefix.blocked(cells, "_p"), by, "_p", "_c", "_j"), by, "_c", "_n")
+    raw = F.col("_p") * F.col("_n") / F.col("_j") * (harmonic(F.col("_n")) if dependent else F.lit(1.0))
+    cells = prefix.running(cells.withColumn("_raw", raw), by, "_p", "_raw", "_q", how="min", descending=True)
+    return prefix.attach(df, cells.withColumn(out, F.least(F.greatest("_q", F.lit(0.0)), F.lit(1.0))), by, F.col(p), "_p", out)
 
 
 def moving_average_same(df: DataFrame, by: list[str], order: str, value: str, width: int, out: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions import stats
+from helixframe.functions import prefix, stats
 
 
 def collapse_to_loci(align: DataFrame) -> DataFrame:
@@ -62,8 +62,8 @@ def mann_whitney(a: DataFrame, b: DataFrame, value: str = "A_f") -> DataFrame:
     """
     side = lambda d, x, y: d.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), F.lit(x).alias("x"), F.lit(y).alias("y"))
     cells = side(a, 1, 0).union(side(b, 0, 1)).groupBy("v").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    below = F.coalesce(F.sum("y").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = cells.withColumn("u", F.col("x") * (below + F.col("y") / 2.0)).withColumn("t", F.col("x") + F.col("y"))
+    cells = prefix.running(prefix.blocked(cells, "v"), [], "v", "y", "upto")
+    cells = cells.withColumn("u", F.col("x") * (F.col("upto") - F.col("y") / 2.0)).withColumn("t", F.col("x") + F.col("y"))
     s = cells.agg(F.sum("u").alias("u"), F.sum("x").cast("double").alias("n1"), F.sum("y").cast("double").alias("n0"), F.sum(F.pow(F.col("t"), F.lit(3.0)) - F.col("t")).alias("ties"))
     n = F.col("n1") + F.col("n0")
     var = F.col("n1") * F.col("n0") / 12 * (n + 1 - F.col("ties") / (n * (n - 1)))
