@@ -36,11 +36,11 @@ def blocked(cells: DataFrame, value: str, cells_a_block: int = CELLS) -> DataFra
 
 
 def running(cells: DataFrame, by: list[str], value: str, column: str, out: str, how: str = "sum", descending: bool = False) -> DataFrame:
-    """cells of blocked() with <out>: the sum or min of <column> over the group's cells from the first in value order to this one.
+    """cells of blocked() with <out>: the sum, min or max of <column> over the group's cells from the first in value order to this one.
 
     Each (by, value) is one cell, and by may hold nulls.
     """
-    total, join = {"sum": (F.sum, lambda a, b: a + b), "min": (F.min, F.least)}[how]
+    total, join = {"sum": (F.sum, lambda a, b: a + b), "min": (F.min, F.least), "max": (F.max, F.greatest)}[how]
     turn = (lambda c: c.desc()) if descending else (lambda c: c.asc())
     own = Window.partitionBy(*by, BLOCK).orderBy(turn(F.col(value))).rowsBetween(Window.unboundedPreceding, 0)
     blocks = cells.groupBy(*by, BLOCK).agg(total(column).alias("_total"))
@@ -75,3 +75,63 @@ def average_rank(df: DataFrame, by: list[str], value: str, out: str, cells_a_blo
     cells = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
     cells = running(blocked(cells, "_c", cells_a_block), by, "_c", "_n", "_to")
     return attach(df, cells.withColumn("_rank", F.col("_to") - (F.col("_n") - 1) / F.lit(2.0)), by, F.col(value), "_c", "_rank").withColumnRenamed("_rank", out)
+
+
+def row_ranks(df: DataFrame, order: str, key: str, out: str, cells_a_block: int = CELLS) -> DataFrame:
+    """df with each row's number from 1 on in the order of a column without nulls, rows of equal values in that of the key.
+
+    Only rows of equal values are brought together, so the order should have few such: a draw, say.
+    """
+    cells = running(blocked(df.groupBy(F.col(order).alias("_c")).agg(F.count(F.lit(1)).alias("_n")), "_c", cells_a_block), [], "_c", "_n", "_to")
+    ties = df.withColumn("_i", F.row_number().over(Window.partitionBy(order).orderBy(key)))
+    return attach(ties, cells, [], F.col(order), "_c", "_to", "_n").withColumn(out, F.col("_to") - F.col("_n") + F.col("_i")).drop("_to", "_n", "_i")
+
+
+def last_at_or_before(points: DataFrame, marks: DataFrame, at: str, mark: str, out: str, cells_a_block: int = CELLS) -> DataFrame:
+    """points with <out>: the largest mark that is no larger than the point's <at>; null where there is none or <at> is null.
+
+    One scan over the union of both sides' distinct values, so neither side is held in one place.
+    """
+    side = lambda d, c, m: d.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("_c")).agg(m.alias("_m"))
+    cells = side(points, at, F.max(F.lit(None).cast(marks.schema[mark].dataType))).unionByName(side(marks, mark, F.max(mark)))
+    cells = running(blocked(cells.groupBy("_c").agg(F.max("_m").alias("_m")), "_c", cells_a_block), [], "_c", "_m", "_last", how="max")
+    return attach(points, cells, [], F.col(at), "_c", "_last").withColumnRenamed("_last", out)
+
+
+def least_rows(df: DataFrame, draw: str, key: str, n: int, most: int = 20_000) -> DataFrame:
+    """Exactly n rows of df (all if fewer): those of least (draw, key).
+
+    draw is a bigint, key an order among rows of equal draws; rows with a null in either don't count.  The n-th least draw is found by
+    counting in digits of 16 bits, the top one first, then those below what was found, until `most` rows or fewer are left in question; these
+    few draws and keys come to the driver and decide, and the rows are filtered where they are.  More than `most` rows with one draw
+    are an error: they aren't draws.  Of rows that repeat both draw and key any may be taken.
+    """
+    known = df.where(F.col(draw).isNotNull() & F.col(key).isNotNull())
+    digits = F.col(draw).cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))  # ordered as unsigned numbers are
+    left, prefix, bits = n, 0, 64
+    while True:
+        # rows in question: those whose digits above `bits` are the prefix
+        least = (prefix << bits) - (1 << 63)
+        asked = known if bits == 64 else known.where(F.col(draw).between(least, least + (1 << bits) - 1))
+        if bits == 0:
+            raise ValueError(f"more than {most} rows have the draw {least}")
+        bits -= 16
+        counts = sorted(asked.groupBy(F.shiftrightunsigned(digits, bits).bitwiseAND(F.lit(0xFFFF)).alias("d")).agg(F.count(F.lit(1)).alias("n")).collect())
+        if left >= sum(c for _, c in counts):
+            return known  # all of them; below the top digit fewer are left than there are
+        for d, c in counts:
+            if left < c:
+                break
+            left -= c
+        prefix = prefix << 16 | d
+        if c <= most:
+            break
+    least = (prefix << bits) - (1 << 63)
+    below, asked = known.where(F.col(draw) < least), known.where(F.col(draw).between(least, least + (1 << bits) - 1))
+    if not left:
+        return below
+    pairs = sorted(tuple(r) for r in asked.select(draw, key).collect())
+    last = pairs[left - 1]
+    first = asked.where((F.col(draw) < last[0]) | ((F.col(draw) == last[0]) & (F.col(key) < F.lit(last[1]))))
+    ties = asked.where((F.col(draw) == last[0]) & (F.col(key) == F.lit(last[1])))
+    return below.unionByName(first).unionByName(ties.limit(left - sum(p < last for p in pairs)))

@@ -103,6 +103,20 @@ def jaccard(df: DataFrame, key: str, a: str, b: str, by: tuple[str, ...] = ()) -
     return s.withColumn("jaccard", F.when(F.col("n_either") > 0, F.col("n_both") / F.col("n_either")))
 
 
+def jaccard_by_q(a: DataFrame, b: DataFrame, key: str = "feature_id", q: str = "q_value") -> DataFrame:
+    """(q, n_both, n_either, jaccard) at every distinct q of two runs: of the keys with a q-value of q or less in both or in either.
+
+    A key joins the union at the lesser of its two q-values and the intersection at the greater, so one scan over the distinct
+    values serves all thresholds.  Null q-values never join; a key of one run alone never joins the intersection.
+    """
+    j = a.select(F.col(key).alias("k"), F.col(q).alias("x")).join(b.select(F.col(key).alias("k"), F.col(q).alias("y")), "k", "full")
+    one = F.struct(F.least("x", "y").alias("q"), F.lit(0).alias("both"), F.lit(1).alias("either"))  # least skips nulls
+    two = F.struct(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.greatest("x", "y")).alias("q"), F.lit(1).alias("both"), F.lit(0).alias("either"))
+    cells = j.select(F.inline(F.array(one, two))).where("q IS NOT NULL").groupBy("q").agg(F.sum("both").alias("both"), F.sum("either").alias("either"))
+    cells = prefix.running(prefix.running(prefix.blocked(cells, "q"), [], "q", "both", "n_both"), [], "q", "either", "n_either")
+    return cells.select("q", "n_both", "n_either", (F.col("n_both") / F.col("n_either")).alias("jaccard"))
+
+
 def matched_jaccard(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """U2 and U3 over pairs(a_id, b_id): both / either among pairs, and both / union of the raw ids; a, b are (id, hit)."""
     j = pairs.join(a.select(F.col("id").alias("a_id"), F.col("hit").alias("a_hit")), "a_id").join(b.select(F.col("id").alias("b_id"), F.col("hit").alias("b_hit")), "b_id")

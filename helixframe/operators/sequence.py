@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.functions import prefix
 from helixframe.functions import sequences as S
 from helixframe.functions.arrow import row_struct
 
@@ -116,6 +117,20 @@ def flank_windows(hits: DataFrame, corpus: DataFrame, flank: int = 15) -> DataFr
     return hits.join(corpus.select("seq_id", "seq"), "seq_id").withColumn("window", F.substring("seq", a + 1, b - a)).drop("seq")
 
 
+def token_positions(tokens: DataFrame, corpus: DataFrame, token: str = "token") -> DataFrame:
+    """Tokens with seq_id and pos, where tokens number the bases of all sequences in order of seq_id, from 0 on.
+
+    seq_id is unique and not null.  Each sequence's first token is a running sum of lengths; a token belongs to the last one at or before it.
+    Tokens beyond the end, below 0 or null get nulls; empty and null sequences have no tokens.
+    """
+    own = corpus.select("seq_id", F.length("seq").cast("bigint").alias("_length")).where("_length > 0")
+    own = prefix.running(prefix.blocked(own, "seq_id"), [], "seq_id", "_length", "_end").withColumn("_start", F.col("_end") - F.col("_length"))
+    found = prefix.last_at_or_before(tokens, own, token, "_start", "_first")
+    out = prefix.attach(found, own, [], F.col("_first"), "_start", "seq_id", "_end")
+    inside = F.col(token) < F.col("_end")
+    return out.select(*tokens.columns, F.when(inside, F.col("seq_id")).alias("seq_id"), F.when(inside, F.col(token) - F.col("_first")).alias("pos"))
+
+
 def motif_effects(corpus: DataFrame) -> DataFrame:
     """F9 over motifs planted where their whole consensus stands: summed effect and the positions that have one."""
 

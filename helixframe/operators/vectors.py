@@ -215,9 +215,92 @@ def moments(acts: DataFrame) -> DataFrame:
     return acts.sparkSession.createDataFrame(rows, "j int, mean double, var double")
 
 
+def projection_quantiles(acts: DataFrame, weights: DataFrame, q: float, few: int = 64, counts: int = 200_000) -> DataFrame:
+    """(feature_id, value): the exact q-quantile, by linear interpolation, of each direction's projections; null vectors don't count.
+
+    Projections never leave the task that makes them.  Each direction has two ranks to find, and each rank a bracket of values, at first from
+    the least to the greatest.  A pass counts, in every task, the projections in the bins of each bracket; what is added up are the counts,
+    `counts` numbers or so, and the bin with the rank is the next bracket.  Once a bracket holds `few` values or none between
+    its ends, its values are fetched.  Without vectors there are no rows.
+    """
+    keys, w = matrix(weights)
+    known = acts.where("h IS NOT NULL").select("h")
+
+    def ends(batches):
+        lo, hi, n = np.full(len(keys), np.inf), np.full(len(keys), -np.inf), 0
+        for b in batches:
+            if b.num_rows:
+                v = _dense(b.column(0)) @ w.T
+                lo, hi, n = np.minimum(lo, v.min(axis=0)), np.maximum(hi, v.max(axis=0)), n + len(v)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(keys))), pa.array(lo), pa.array(hi), pa.array(np.full(len(keys), n))], names=["j", "lo", "hi", "n"])
+
+    got = known.mapInArrow(ends, "j bigint, lo double, hi double, n bigint").groupBy("j").agg(F.min("lo"), F.max("hi"), F.sum("n")).orderBy("j").collect()
+    spark = acts.sparkSession
+    if not got:
+        return spark.createDataFrame([], "feature_id bigint, value double")
+    n = got[0][3]
+    # probes: two ranks a direction, each with its bracket [lo, hi], the number of values below it and in it
+    at = (n - 1) * q
+    rank = np.tile([int(np.floor(at)), int(np.ceil(at))], len(keys))
+    direction = np.repeat(np.arange(len(keys)), 2)
+    lo, hi = np.repeat([r[1] for r in got], 2), np.repeat([r[2] for r in got], 2)
+    below, inside = np.zeros(len(rank), np.int64), np.full(len(rank), n)
+    bins = int(np.clip(counts // len(rank), 16, 1024))
+    # rounding may put a value in the bin beside its own, so brackets are a little wider; what is below is counted anew at last
+    slack = 4 * np.spacing(np.maximum(np.abs(lo), np.abs(hi)))
+    while len(wide := np.flatnonzero((inside > few) & (np.nextafter(lo, np.inf) < hi))):
+        d, a, z = direction[wide], lo[wide], hi[wide]
+
+        def bin_counts(batches, d=d, a=a, z=z):
+            out = np.zeros(len(d) * bins, np.int64)
+            for b in batches:
+                if b.num_rows:
+                    v = (_dense(b.column(0)) @ w.T)[:, d]
+                    bin_ = (v - a) / (z - a) * bins
+                    i, j = np.nonzero((v >= a) & (v <= z))
+                    out += np.bincount(j * bins + np.clip(bin_[i, j], 0, bins - 1).astype(np.int64), minlength=len(out))
+            cell = np.flatnonzero(out)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(out[cell])], names=["cell", "n"])
+
+        total = known.mapInArrow(bin_counts, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        held = np.zeros(len(d) * bins, np.int64)
+        held[total["cell"].to_numpy()] = total["n"].to_numpy()
+        upto = below[wide][:, None] + np.cumsum(held.reshape(-1, bins), axis=1)
+        k = (upto <= rank[wide][:, None]).sum(axis=1)
+        step = (z - a) / bins
+        new_lo, new_hi = np.maximum(a, a + k * step - slack[wide]), np.minimum(z, a + (k + 1) * step + slack[wide])
+        stuck = (new_lo <= a) & (new_hi >= z)
+        below[wide] = np.where(k > 0, upto[np.arange(len(k)), np.maximum(k - 1, 0)], below[wide])
+        inside[wide] = np.where(stuck, 0, held.reshape(-1, bins)[np.arange(len(k)), k])
+        lo[wide], hi[wide] = new_lo, new_hi
+
+    def last(batches):
+        under, values = np.zeros(len(rank), np.int64), {}
+        for b in batches:
+            if b.num_rows:
+                v = (_dense(b.column(0)) @ w.T)[:, direction]
+                under += (v < lo).sum(axis=0)
+                for j in np.flatnonzero(((v >= lo) & (v <= hi)).any(axis=0)):
+                    x, m = np.unique(v[(v[:, j] >= lo[j]) & (v[:, j] <= hi[j]), j], return_counts=True)
+                    for one, times in zip(x.tolist(), m.tolist(), strict=True):
+                        values[j, one] = values.get((j, one), 0) + times
+        rows = [(j, None, int(m)) for j, m in enumerate(under) if m] + [(int(j), x, m) for (j, x), m in values.items()]
+        j, x, m = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(j, pa.int64()), pa.array(x, pa.float64()), pa.array(m, pa.int64())], names=["j", "x", "m"])
+
+    found, passed = np.full(len(rank), np.nan), np.zeros(len(rank), np.int64)
+    for r in known.mapInArrow(last, "j bigint, x double, m bigint").groupBy("j", "x").agg(F.sum("m").alias("m")).orderBy("j", F.col("x").asc_nulls_first()).collect():
+        passed[r["j"]] += r["m"]
+        if r["x"] is not None and np.isnan(found[r["j"]]) and passed[r["j"]] > rank[r["j"]]:
+            found[r["j"]] = r["x"]
+    share = at - np.floor(at)
+    return spark.createDataFrame([(int(k), float(a + share * (b - a))) for k, (a, b) in zip(keys, found.reshape(-1, 2), strict=True)], "feature_id bigint, value double")
+
+
 def matched_null_theta(acts: DataFrame, weights: DataFrame, density: float) -> DataFrame:
     """For each direction the (1 - density) quantile of its projections, so that it fires as rarely."""
-    return project(acts, weights).groupBy("feature_id").agg(F.percentile("dot", F.lit(1 - density)).alias("theta"))
+    return projection_quantiles(acts, weights, 1 - density).withColumnRenamed("value", "theta")
 
 
 def unit_norm(vectors: DataFrame, vec: str = "w") -> DataFrame:

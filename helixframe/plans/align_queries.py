@@ -112,6 +112,17 @@ def by_qvalue(spark, sf_dir):
     return _q(spark, sf_dir, dependent=True).select("feature_id", "p_value", F.round("q_value", 9).alias("q_value"))
 
 
+@query(f"""{_FEATURES}, {_features_sql('of', 'ol')}, {_P}, po AS (SELECT of.*, (1.0::DOUBLE + (SELECT count(*) FROM nf WHERE nf.A_f >= of.A_f)) / (1 + (SELECT count(*) FROM nf)) AS p FROM of),
+{_q_sql('qa', 'pv')}, {_q_sql('qb', 'po')}, j AS (SELECT round(qa.q, 9) AS x, round(qb.q, 9) AS y FROM qa FULL JOIN qb USING (feature_id)),
+t AS (SELECT x AS q FROM j WHERE x IS NOT NULL UNION SELECT y FROM j WHERE y IS NOT NULL)
+SELECT q, count(*) FILTER (x <= q AND y <= q) AS n_both, count(*) FILTER (x <= q OR y <= q) AS n_either, count(*) FILTER (x <= q AND y <= q) / count(*) FILTER (x <= q OR y <= q)::DOUBLE AS jaccard FROM t, j GROUP BY q""")
+def jaccard_by_q(spark, sf_dir):
+    real, null = _pair(spark, sf_dir)
+    other = A.aggregate_features(A.collapse_to_loci(T.align(spark, sf_dir, "A")))
+    q = lambda f: stats.bh_qvalue(stats.empirical_pvalue(f.select("feature_id", "A_f"), "A_f", null, "A_f"), "p_value").withColumn("q_value", F.round("q_value", 9))
+    return A.jaccard_by_q(q(real), q(other))
+
+
 @query(f"{_FEATURES}, {_P}, {_MIRROR}, {_q_sql('qu', 'pv')}, {_q_sql('ql', 'mv')} SELECT (SELECT count(*) FROM qu WHERE q < 0.5) AS n_upper, (SELECT count(*) FROM ql WHERE q < 0.5) AS n_lower")
 def mirror_fdr(spark, sf_dir):
     up = _q(spark, sf_dir).agg(F.count_if(F.col("q_value") < 0.5).alias("n_upper"))

@@ -206,3 +206,27 @@ def synthetic_corpus(spark, sf_dir):
     return c.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("planted")).alias("planted"), F.min(F.length("seq")).alias("length"))
 
 
+
+
+_DRAW = T.lcg("l_orderkey", "l_linenumber")
+
+
+@query(f"SELECT l_orderkey, l_linenumber FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY CAST(floor({_DRAW} * 2147483647) AS BIGINT), l_orderkey * 8 + l_linenumber) AS k FROM lineitem) WHERE k <= 2500")
+def sample_exact(spark, sf_dir):
+    rows = T.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr("l_orderkey * 8 + l_linenumber").alias("row"))
+    return G.sample_exact(rows, "row", 2500, draw=F.expr(f"cast(floor({_DRAW} * 2147483647) as bigint)")).drop("row")
+
+
+_EPOCH = T.lcg("vec_id", "3")
+
+
+@query(f"""SELECT batch, count(*) AS n, sum(vec_id) AS ids FROM (SELECT vec_id, (row_number() OVER (ORDER BY CAST(floor({_EPOCH} * 2147483647) AS BIGINT), vec_id) - 1) // 64 AS batch FROM embeddings) GROUP BY 1""")
+def exact_batches(spark, sf_dir):
+    rows = T.read(spark, sf_dir, "embeddings").select("vec_id")
+    return G.batches(rows, "vec_id", 64, draw=F.expr(f"cast(floor({_EPOCH} * 2147483647) as bigint)")).groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.sum("vec_id").alias("ids"))
+
+
+@query(f"""WITH c AS ({T.CORPUS_SQL}), s AS (SELECT seq_id, length(seq) AS n, sum(length(seq)) OVER (ORDER BY seq_id ROWS UNBOUNDED PRECEDING) AS e FROM c WHERE length(seq) > 0)
+SELECT o_orderkey AS token, seq_id, CAST(o_orderkey - (e - n) AS BIGINT) AS pos FROM orders LEFT JOIN s ON o_orderkey >= e - n AND o_orderkey < e""")
+def token_positions(spark, sf_dir):
+    return Q.token_positions(T.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("token")), T.corpus(spark, sf_dir))

@@ -6,9 +6,10 @@ import hashlib
 import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.functions import prefix
 from helixframe.functions.sequences import MOTIFS
 from helixframe.sources.tables import lcg
 
@@ -144,15 +145,20 @@ def save_weights(weights: DataFrame, folder: str) -> None:
     weights.write.mode("append").partitionBy("family", "m", "seed").parquet(folder)
 
 
-def sample_exact(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """Exactly n rows (all if fewer), chosen by a hash of the key."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+def sample_exact(df: DataFrame, key: str, n: int, seed: int = 0, draw: Column | None = None) -> DataFrame:
+    """Exactly n rows (all if fewer), those of least draw: a hash of the key if none is given.  Rows stay where they are."""
+    held = df.withColumn("_draw", F.xxhash64(F.col(key), F.lit(seed)) if draw is None else draw)
+    return prefix.least_rows(held, "_draw", key, n).drop("_draw")
 
 
-def batches(df: DataFrame, key: str, size: int, epoch: int = 0) -> DataFrame:
-    """A batch number for each row, dealt by a hash of key and epoch; sizes are `size` on average and need no global order."""
-    n = max(1, -(-df.count() // size))
-    return df.withColumn("batch", F.pmod(F.xxhash64(F.col(key), F.lit(epoch)), F.lit(n)))
+def batches(df: DataFrame, key: str, size: int, epoch: int = 0, draw: Column | None = None) -> DataFrame:
+    """A batch number for each row: `size` rows each but for the last, in an order drawn anew for every epoch.
+
+    The order is that of a draw, by default a hash of key and epoch, and so the same however the rows are partitioned.
+    """
+    held = df.withColumn("_draw", F.xxhash64(F.col(key), F.lit(epoch)) if draw is None else draw)
+    ranked = prefix.row_ranks(held, "_draw", key, "_rank")
+    return ranked.withColumn("batch", F.floor((F.col("_rank") - 1) / size)).drop("_draw", "_rank")
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:
