@@ -18,6 +18,8 @@ from helixframe.llm.labelled import fit_logistic, labelled_sample
 SAMPLE = 10_000
 #: Lines that it is fitted on, at most: documents in the order of a hash of their text, while their lines add up to so many.
 LINES = 400_000
+#: A document of more lines isn't fitted on; it is scored like any other.
+LONGEST = 20_000
 #: A bad line makes its document bad with this probability, each on its own.
 SPOILS = 0.3
 _UPPER = bytes(range(0x41, 0x5B))
@@ -177,22 +179,25 @@ def fit_chains(docs: list[tuple[np.ndarray, int]], rounds: int = 150, ridge: flo
     return theta[:width], theta[width:].reshape(2, 2)
 
 
-def fit(sample: DataFrame, most_lines: int = LINES) -> LineField:
+def fit(sample: DataFrame, most_lines: int = LINES, longest: int = LONGEST) -> LineField:
     """Fitted on the sample's line features, which is all that comes to the driver; then calibrated on documents.
 
-    Of the sample, documents count in the order of a hash of their text while their lines add up to most_lines or fewer.
+    Of the sample, documents of `longest` lines or fewer count, in the order of a hash of their text, while their lines add up to
+    most_lines or fewer: so no document leaves out more than itself, and all but `longest` of most_lines are made use of.  Lines
+    are those that the field reads, not blank ones.
     """
 
     def measure(batches):
         for b in batches:
             y, n, x = [], [], []
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if lines := lines_of(text):
+                if 0 < len(lines := lines_of(text)) <= longest:
                     y.append(label), n.append([len(i) for i in lines]), x.append(line_features(lines).ravel())
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(n, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float32()))], names=["y", "n", "x"])
 
     # the window is over the sample's rows, whose number is bounded, without their texts
-    size = sample.select(F.xxhash64("text").alias("h"), F.expr("regexp_count(cast(text as string), '\\n') + 1").alias("k"))
+    n_lines = per_text(lambda: lambda text: (len(lines_of(text)),), "k int")(F.col("text"))["k"]
+    size = sample.select(F.xxhash64("text").alias("h"), n_lines.alias("k")).where(F.col("k") <= longest)
     size = size.groupBy("h").agg(F.sum("k").alias("k")).withColumn("total", F.sum("k").over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, 0)))
     last = size.where(F.col("total") <= most_lines).agg(F.max("h")).first()[0]
     use = sample.where(F.xxhash64("text") <= F.lit(last if last is not None else -(1 << 63)))

@@ -91,6 +91,19 @@ def test_lines_bound(spark):
     assert (quality.fit(sample, 0).w == 0).all()
 
 
+def test_a_long_document_leaves_the_fit_alone(spark):
+    """Wherever its hash puts it in the order: blank lines don't count, and too many lines leave out that document only."""
+    rows = [(f"a good line of words {i}\nand another one {i}" if i % 2 else f"$$ {i} !!\n## {i}", i % 2) for i in range(40)]
+    frame = lambda rows: spark.createDataFrame([(t.encode(), y) for t, y in rows], "text binary, y int")
+    plain = quality.fit(frame(rows), 300, longest=90)
+    assert np.abs(plain.w).max() > 0.1
+    for i in range(12):
+        with_long = quality.fit(frame([*rows, (f"word {i}\n" * 100 + "x\n" * 300, i % 2)]), 300, longest=90)
+        assert np.allclose(with_long.w, plain.w, atol=1e-6)
+        with_blank = quality.fit(frame([*rows, (f"good words {i}" + "\n" * 450_000, 1)]), 300, longest=90) if i < 2 else plain
+        assert np.abs(with_blank.w).max() > 0.1
+
+
 def test_toxic_score_equals_brute_force(spark):
     """Shares, log-odds, segments, E-values and the probability, from the counts on."""
     train = [("you vile scum today", 1), ("vile scumbag here", 1), ("a kind word today", 0), ("kind words are here", 0), ("words of today", 0)]
