@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.durable import durable
 from helixframe.functions import stats
 from helixframe.operators import vectors as V
 
@@ -43,23 +45,83 @@ def pls(n: int, s: np.ndarray, g: np.ndarray, rank: int) -> tuple[np.ndarray, fl
     return coef, float(mean[d] - coef @ mean[:d])
 
 
-def group_folds(probe: DataFrame, fit, x: str = "x", y: str = "y", group: str = "grp") -> tuple[DataFrame, np.ndarray]:
-    """(grp, rho) of leave-one-group-out predictions by Spearman, and the folds' weights (fold, dimension).
+def fold_scores(probe: DataFrame, fits: dict, x: str = "x", y: str = "y", group: str = "grp", lanes: int = 16) -> tuple[DataFrame, DataFrame]:
+    """(grp, fit, rho) of leave-one-group-out predictions by Spearman, and the folds' weights (grp, fit, w).
 
-    One pass gives every group's sums; a fold's are the total less the group's.  Values are centred by the grand mean first.
+    fits names functions of a fold's row count, sums and Gram matrix, all fitted in one pass: a fold's are the total, which the
+    driver knows, less the group's.  A group's matrix stays on the executors: tasks add up what they have of it, lanes of tasks are added
+    up next, and whoever has a group's sum fits its fold.  Weights meet the rows by a join on the group, so a hot group is
+    split there.  Values are centred by the grand mean first.  Null groups, features and responses don't count.
     """
-    both = probe.select(group, F.concat(x, F.array(F.col(y))).alias("_v"))
-    n, s, _ = V.gram(both, "_v")[0]
-    centre = F.array(*[F.lit(float(v)) for v in s / n])
-    centred = both.select(group, F.zip_with("_v", centre, lambda a, b: a - b).alias("_v"))
-    sums = V.gram(centred, "_v", group)
-    total = [sum(v[i] for v in sums.values()) for i in range(3)]
-    fits = {k: fit(total[0] - v[0], total[1] - v[1], total[2] - v[2]) for k, v in sums.items()}
-    table = probe.sparkSession.createDataFrame([(int(k), [float(i) for i in w], float(b)) for k, (w, b) in fits.items()], "_g bigint, _w array<double>, _b double")
-    rows = centred.select(F.col(group).cast("bigint").alias("_g"), F.slice("_v", 1, len(s) - 1).alias("_x"), F.element_at("_v", -1).alias("_y")).join(F.broadcast(table), "_g")
-    guess = F.aggregate(F.zip_with("_x", "_w", lambda a, b: a * b), F.col("_b"), lambda t, v: t + v)
-    rho = stats.spearman(rows.withColumn("_p", F.round(guess, 9)), ["_g"], "_p", "_y", "rho")
-    return rho.withColumnRenamed("_g", group), np.array([w for w, _ in fits.values()])
+    spark = probe.sparkSession
+    known = probe.where(F.col(group).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull())
+    both = known.select(F.col(group).cast("bigint").alias("k"), F.concat(x, F.array(F.col(y))).alias("v"))
+    whole = V.gram(both, "v").get(0)
+    if whole is None:
+        return spark.createDataFrame([], f"{group} bigint, fit string, rho double"), spark.createDataFrame([], f"{group} bigint, fit string, w array<double>")
+    n, s, g = whole
+    mean = s / n
+    # sums of centred values
+    total = np.concatenate([[n], np.zeros(len(s)), (g - n * np.outer(mean, mean)).ravel()])
+    d, names = len(s), list(fits)
+
+    def parts(batches):
+        for b in batches:
+            if b.num_rows:
+                v, keys = V._dense(b.column(1)) - mean, b.column(0).to_numpy()
+                found = [(k, v[keys == k]) for k in np.unique(keys)]
+                rows = [np.concatenate([[len(p)], p.sum(axis=0), (p.T @ p).ravel()]).tolist() for _, p in found]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array(rows, pa.list_(pa.float64()))], names=["k", "v"])
+
+    def added(batches):
+        """Sums of runs of equal keys, which come one after the other."""
+        key, held = None, None
+        for b in batches:
+            for k, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                v = v.values.to_numpy(zero_copy_only=False)
+                if k == key:
+                    held = held + v
+                else:
+                    if held is not None:
+                        yield key, held
+                    key, held = k, v
+        if held is not None:
+            yield key, held
+
+    def lane_sums(batches):
+        for k, v in added(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([v.tolist()], pa.list_(pa.float64()))], names=["k", "v"])
+
+    def fitted(batches):
+        for k, v in added(batches):
+            rest = total - v
+            done = [fit(int(round(rest[0])), rest[1 : 1 + d], rest[1 + d :].reshape(d, d)) for fit in fits.values()] if rest[0] >= 0.5 else []
+            columns = [pa.array([k] * len(done), pa.int64()), pa.array(names[: len(done)]), pa.array([w.tolist() for w, _ in done], pa.list_(pa.float64())), pa.array([float(b) for _, b in done], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["_g", "fit", "w", "b"])
+
+    laid = both.mapInArrow(parts, "k bigint, v array<double>").withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(lanes)))
+    laid = laid.repartition("k", "lane").sortWithinPartitions("k").select("k", "v").mapInArrow(lane_sums, "k bigint, v array<double>")
+    table = durable(laid.repartition("k").sortWithinPartitions("k").mapInArrow(fitted, "_g bigint, fit string, w array<double>, b double"))
+    centre = F.array(*[F.lit(float(v)) for v in mean])
+    rows = both.select(F.col("k").alias("_g"), F.zip_with("v", centre, lambda a, b: a - b).alias("_v"))
+    guess = F.aggregate(F.zip_with(F.slice("_v", 1, d - 1), "w", lambda a, b: a * b), F.col("b"), lambda t, v: t + v)
+    scored = rows.join(table, "_g").select("_g", "fit", F.round(guess, 9).alias("_p"), F.element_at("_v", -1).alias("_y"))
+    rho = stats.spearman(scored, ["_g", "fit"], "_p", "_y", "rho")
+    return rho.withColumnRenamed("_g", group), table.select(F.col("_g").alias(group), "fit", "w")
+
+
+def group_folds(probe: DataFrame, fit, x: str = "x", y: str = "y", group: str = "grp", most: int = 50_000_000) -> tuple[DataFrame, np.ndarray]:
+    """fold_scores of one fit: (grp, rho), and the folds' weights (fold, dimension) in the driver, whose number is checked."""
+    rho, w = fold_scores(probe, {"": fit}, x, y, group)
+    if (size := w.agg(F.coalesce(F.sum(F.size("w")), F.lit(0))).first()[0]) > most:
+        raise ValueError(f"{size} weights; take fold_scores, which leaves them where they are")
+    return rho.drop("fit"), np.array([r["w"] for r in w.orderBy(group).collect()])
+
+
+def mean_scores(probe: DataFrame, fits: dict) -> dict[str, float | None]:
+    """The folds' mean correlation of each fit; all in one pass."""
+    got = dict(fold_scores(probe, fits)[0].groupBy("fit").agg(F.avg("rho")).collect())
+    return {name: got.get(name) for name in fits}
 
 
 def direction_stability(w: np.ndarray) -> float | None:

@@ -33,20 +33,50 @@ def ridge_logo_cv(spark, sf_dir):
     return M.group_folds(_probe(spark, sf_dir), lambda n, s, g: M.ridge(n, s, g, 10.0))[0].withColumn("rho", F.round("rho", 6))
 
 
-@query(None)
+def _few(spark, sf_dir):
+    """Measurements as probe rows: two explaining variables, one response; parts are elements and brands their loci."""
+    v = T.read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("elem"), (F.col("l_suppkey") % 7).alias("locus"), F.array("l_quantity", "l_discount").alias("x"), F.col("l_extendedprice").alias("y"))
+    return v
+
+
+def _ridge_sql(group: str, alpha: float = 10.0) -> str:
+    """Leave-one-group-out ridge over two variables in closed form: f_<group>(grp, rho)."""
+    sums = "count(*) AS n, sum(a) AS sa, sum(b) AS sb, sum(y) AS sy, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS by_"
+    less = ", ".join(f"t.{c} - s.{c} AS {c}" for c in ("n", "sa", "sb", "sy", "aa", "ab", "bb", "ay", "by_"))
+    return f"""d_{group} AS (SELECT {group} AS grp, l_quantity - (SELECT avg(l_quantity) FROM li) AS a, l_discount - (SELECT avg(l_discount) FROM li) AS b, l_extendedprice - (SELECT avg(l_extendedprice) FROM li) AS y FROM li),
+s_{group} AS (SELECT grp, {sums} FROM d_{group} GROUP BY 1), t_{group} AS (SELECT {sums} FROM d_{group}), r_{group} AS (SELECT s.grp, {less} FROM s_{group} s, t_{group} t),
+z_{group} AS (SELECT grp, n, sqrt(aa / n - sa * sa / n / n) + 1e-8 AS da, sqrt(bb / n - sb * sb / n / n) + 1e-8 AS db, aa / n - sa * sa / n / n AS caa, ab / n - sa * sb / n / n AS cab, bb / n - sb * sb / n / n AS cbb,
+  ay / n - sa * sy / n / n AS cay, by_ / n - sb * sy / n / n AS cby FROM r_{group}),
+k_{group} AS (SELECT grp, da, db, n * caa / da / da + {alpha} AS p, n * cab / da / db AS q, n * cbb / db / db + {alpha} AS r, n * cay / da AS u, n * cby / db AS v FROM z_{group}),
+w_{group} AS (SELECT grp, (r * u - q * v) / (p * r - q * q) / da AS wa, (p * v - q * u) / (p * r - q * q) / db AS wb FROM k_{group}),
+g_{group} AS (SELECT grp, y, round(wa * a + wb * b, 6) AS e FROM d_{group} JOIN w_{group} USING (grp)),
+e_{group} AS (SELECT grp, rank() OVER (PARTITION BY grp ORDER BY e) + (count(*) OVER (PARTITION BY grp, e) - 1) / 2.0::DOUBLE AS i, rank() OVER (PARTITION BY grp ORDER BY y) + (count(*) OVER (PARTITION BY grp, y) - 1) / 2.0::DOUBLE AS j FROM g_{group}),
+f_{group} AS (SELECT grp, CASE WHEN count(*) >= 3 AND var_pop(i) > 0 AND var_pop(j) > 0 THEN corr(i, j) ELSE 0.0 END AS rho FROM e_{group} GROUP BY 1)"""
+
+
+_LI = "WITH li AS (SELECT l_suppkey AS elem, l_suppkey % 7 AS locus, l_quantity, l_discount, l_extendedprice FROM lineitem)"
+
+
+@query(f"{_LI}, {_ridge_sql('locus')} SELECT grp, round(rho, 3) AS rho FROM f_locus")
+def ridge_two_variables(spark, sf_dir):
+    """M14 in so few dimensions that SQL can say it as well."""
+    rho, _ = M.fold_scores(_few(spark, sf_dir).withColumn("grp", F.col("locus")), {"ridge": lambda n, s, g: M.ridge(n, s, g, 10.0)})
+    return rho.select("grp", F.round("rho", 3).alias("rho"))
+
+
+@query(f"""{_LI}, {_ridge_sql('elem')}, {_ridge_sql('locus')}, m AS (SELECT (SELECT avg(rho) FROM f_elem) AS e, (SELECT avg(rho) FROM f_locus) AS l)
+SELECT name, round(value, 2) AS value FROM (SELECT 'element' AS name, e AS value FROM m UNION ALL SELECT 'locus', l FROM m)""")
 def paired_probe(spark, sf_dir):
-    """Rows as their own groups of ten, and by label; both mean correlations and their difference."""
-    p = _probe(spark, sf_dir)
-    fit = lambda n, s, g: M.ridge(n, s, g, 10.0)
-    fine = p.withColumn("grp", F.col("grp") * 3 + F.pmod(F.xxhash64("y"), F.lit(3)))
-    element, locus = (M.group_folds(d, fit)[0].agg(F.avg("rho")).first()[0] for d in (fine, p))
-    return _values(spark, {"element": element, "locus": locus, "delta": element - locus})
+    """Folds that leave out an element, and ones that leave out a whole locus; both mean correlations."""
+    rows, fits = _few(spark, sf_dir), {"ridge": lambda n, s, g: M.ridge(n, s, g, 10.0)}
+    values = {name: M.mean_scores(rows.withColumn("grp", F.col(c)), fits)["ridge"] for name, c in (("element", "elem"), ("locus", "locus"))}
+    return spark.createDataFrame([(k, None if v is None else round(float(v), 2)) for k, v in values.items()], "name string, value double")
 
 
 @query(None)
 def pls_rank_sweep(spark, sf_dir):
-    out = {f"rank_{r}": M.group_folds(_probe(spark, sf_dir), lambda n, s, g, r=r: M.pls(n, s, g, r))[0].agg(F.avg("rho")).first()[0] for r in (1, 2, 3, 5, 10)}
-    return _values(spark, out)
+    fits = {f"rank_{r}": lambda n, s, g, r=r: M.pls(n, s, g, r) for r in (1, 2, 3, 5, 10)}
+    return _values(spark, M.mean_scores(_probe(spark, sf_dir), fits))
 
 
 @query(None)

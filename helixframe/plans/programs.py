@@ -106,16 +106,12 @@ def calibration(align: DataFrame, reps: int = 100) -> DataFrame:
 
 def probe_report(probe: DataFrame, alphas=(1.0, 10.0, 100.0, 1000.0)) -> dict[str, float | None]:
     """Ridge under leave-one-group-out at the first best alpha, partial least squares by rank, and stability."""
-    best = None
-    for alpha in alphas:
-        rho, w = M.group_folds(probe, lambda n, s, g, alpha=alpha: M.ridge(n, s, g, alpha))
-        mean = rho.agg(F.avg("rho")).first()[0]
-        if best is None or mean is not None and mean > best[1]:
-            best = alpha, mean, M.direction_stability(w)
-    out = {"alpha": best[0], "ridge": best[1], "stability": best[2]}
-    for rank in (1, 2, 3):
-        out[f"pls_{rank}"] = M.group_folds(probe, lambda n, s, g, rank=rank: M.pls(n, s, g, rank))[0].agg(F.avg("rho")).first()[0]
-    return out
+    ridges = {f"ridge_{a}": lambda n, s, g, a=a: M.ridge(n, s, g, a) for a in alphas}
+    ranks = {f"pls_{r}": lambda n, s, g, r=r: M.pls(n, s, g, r) for r in (1, 2, 3)}
+    scores = M.mean_scores(probe, ridges | ranks)
+    alpha = max(alphas, key=lambda a: (-np.inf if scores[f"ridge_{a}"] is None else scores[f"ridge_{a}"], -a))
+    _, w = M.group_folds(probe, ridges[f"ridge_{alpha}"])
+    return {"alpha": alpha, "ridge": scores[f"ridge_{alpha}"], "stability": M.direction_stability(w)} | {name: scores[name] for name in ranks}
 
 
 def train_and_test(acts: DataFrame, width: int, k: int, epochs: int = 3, family: str = "topk", rate: float = 3e-3, seed: int = 0, batch: int = 256) -> dict[str, float]:
@@ -280,8 +276,8 @@ def probe_comparison(elements: DataFrame, model, layer: int, k: int = 3, alphas=
 
 
 def _best_ridge(blocks: DataFrame, alphas) -> tuple[float, float | None]:
-    fits = [(a, M.group_folds(blocks, lambda n, s, g, a=a: M.ridge(n, s, g, a))[0].agg(F.avg("rho")).first()[0]) for a in alphas]
-    return max(fits, key=lambda f: (-np.inf if f[1] is None else f[1], -f[0]))
+    scores = M.mean_scores(blocks, {str(a): lambda n, s, g, a=a: M.ridge(n, s, g, a) for a in alphas})
+    return max(((a, scores[str(a)]) for a in alphas), key=lambda f: (-np.inf if f[1] is None else f[1], -f[0]))
 
 
 def layer_sweep(elements: DataFrame, model, alphas=(1.0, 10.0, 100.0), mlp: bool = True) -> DataFrame:

@@ -2,6 +2,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helixframe.operators import models as M
 from helixframe.operators import vectors as V
@@ -72,6 +73,28 @@ def test_grouped_ridge_equals_fitting_each_fold(spark):
     assert 0.9 < M.direction_stability(w) <= 1 + 1e-9
 
 
+def test_folds_of_many_groups_stay_on_the_executors(spark, monkeypatch):
+    """All fits from one pass, groups of one row and a group that holds a third of all, without a group's matrix in the driver."""
+    rng = np.random.default_rng(5)
+    g = np.r_[np.repeat(7, 150), np.repeat(np.arange(100, 130), 10), -np.arange(1, 4)]
+    x = rng.random((len(g), 4))
+    y = x @ rng.random(4) + rng.normal(0, 0.3, len(g))
+    rows = [([float(v) for v in a], float(b), int(k)) for a, b, k in zip(x, y, g)] + [(None, 1.0, 7), ([1.0] * 4, None, 7), ([1.0] * 4, 1.0, None)]
+    d = spark.createDataFrame(rows, "x array<double>, y double, grp bigint").repartition(5)
+    summed = []
+    real = M.V.tree_sum
+    monkeypatch.setattr(M.V, "tree_sum", lambda *a, **k: summed.append(real(*a, **k)) or summed[-1])
+    rho, w = M.fold_scores(d, {str(a): lambda n, s, gr, a=a: M.ridge(n, s, gr, a) for a in (1.0, 10.0)}, lanes=3)
+    for alpha in (1.0, 10.0):
+        got = {r.grp: r.rho for r in rho.where(F.col("fit") == str(alpha)).collect()}
+        want = naive_folds(x, y, g, alpha)
+        assert got.keys() == set(g.tolist())
+        assert all(got[k] == (pytest.approx(want[k], abs=1e-6) if k > 0 else 0.0) for k in got)
+    assert [list(t) for t in summed] == [[0]] and w.count() == 2 * len(set(g.tolist()))
+    scores, _ = M.fold_scores(d.limit(0), {"a": lambda *a: None})
+    assert scores.count() == 0
+
+
 def test_pls_at_full_rank_is_least_squares():
     rng = np.random.default_rng(3)
     x = rng.random((100, 3))
