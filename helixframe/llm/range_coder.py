@@ -151,6 +151,8 @@ class _Coder:
                 return
             rows = go if rows is None else rows[go]
             low, width = low[go], np.where(agree[go], width[go], (~low[go] + _U64(1)) & _U64(_BOTTOM - 1))
+            # a whole cell would have a width of 2**64 next, which is one too many
+            width = np.minimum(width, _U64(_TOP - 1))
             self.shift(rows, low)
             self.low[rows] = low = low << _U64(16)
             self.range[rows] = width = width << _U64(16)

@@ -56,6 +56,22 @@ def test_blocks_stand_alone_and_are_checked():
         range_coder.pack(np.array([500], "<u4"), 500)
 
 
+def test_ranges_never_vanish():
+    """Just below a boundary a narrow range is cut to one number, and then grows to a whole cell."""
+    coder = range_coder._Writer(1, 10)
+    coder.low[:], coder.range[:] = (1 << 60) - 1, (1 << 44) - 1
+    coder.settle(1)
+    assert coder.range[0] >= 1 << 44 and coder.place[0] <= 4
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_steady_streams(seed):
+    """Long runs of sure proposals between surprises, where ranges shrink with their lower ends at rest."""
+    rng = np.random.default_rng(seed)
+    ids = np.concatenate([np.r_[np.full(rng.integers(1, 900), rng.integers(0, 40)), rng.integers(0, 49408, rng.integers(0, 9))] for _ in range(300)]).astype("<u4")
+    assert (range_coder.unpack(range_coder.pack(ids, 49408, block=2000)) == ids).all()
+
+
 def test_against_the_library(spark, tmp_path, awkward, monkeypatch):
     monkeypatch.setattr(token_output, "MEMO", 2000)
     texts = [*awkward, "don't STOP 123 <|endoftext|> é ́x a b c\u0085d \x1cy", "ΣΑΣ Σ İ ﬁ 漢字かな 👍🏽", "the cat. " * 4000, "a" * 300]
