@@ -19,8 +19,8 @@ LETTERS, OCCURRENCES, TIMES = 7, 2, 10
 NOISE = 31
 #: Bytes, roughly, of distinct words that a task counts before it passes the counts on.  Bounds memory, not results.
 HELD = 96_000_000
-#: The letters of each band.  Common and rare ones are dealt out in turn, so that no band holds all the common ones.
-BANDS = ("etiardmpbkxz", "nohlcgywjq", "suvf")
+#: The letters of each band, dealt out in order of their frequency.
+BANDS = ("eosdufpkq", "tihlmgbjz", "anrcwyvx")
 #: Bits of a band.  A code point outside a-z has a bit of the third band, by its remainder.
 WIDTH = 16
 
@@ -97,33 +97,29 @@ _masks.__annotations__ = {"words": pa.Array, "return": pa.Array}
 def near_pairs(words: DataFrame) -> DataFrame:
     """word, n, near, near_n: both directions of each pair of words that differ by one inserted, deleted or replaced code point.
 
-    words has word and n, each word once and no nulls; an empty table gives an empty one.  A bit of a mask is the parity of
-    its letters' number.  An edit flips at most two bits, of which three bands hold two untouched, or one and a
-    single flipped bit in each of the others.  So two words meet under equal bands in one of two ways: by two bands of
-    the three, at lengths that differ by one at most; or, at equal lengths, by one band and the next of one word
-    with one of its set bits cleared.  A pair met in several ways counts in the first.  Whole masks and then the words decide.
+    words has word and n, each word once and no nulls; an empty table gives an empty one.  A bit of a mask is the parity of its
+    letters' number.  An edit flips at most two bits, so one band of three stays as it is, and words meet under an equal band.
+    What they meet under says more, to spare them most of their meetings: the length of the shorter word, which is that of the other or
+    one less, and a half of the shorter word, as an edit leaves its first or its last half alone.  Of the ways in which a pair meets the
+    first counts; the other bits of the masks and then the words decide.
     """
     from pyspark.sql.functions import arrow_udf
 
     low = (1 << WIDTH) - 1
     w = stored(words.select("word", "n", arrow_udf(_masks, "bigint")("word").alias("mask"), F.char_length("word").alias("size")))
-    band = lambda mask, k: f"(shiftright({mask}, {k % 3 * WIDTH}) & {low})"
-    two = lambda mask, k: f"named_struct('way', {k}, 'at', {band(mask, k)} * {low + 1} + {band(mask, k + 1)})"
-    cleared = lambda k: f"""transform(filter(sequence(0, {WIDTH - 1}), b -> ({band('mask', k + 1)} & shiftleft(1, b)) <> 0),
-        b -> named_struct('way', {k + 3}, 'at', {band('mask', k)} * {low + 1} + {band('mask', k + 1)} - shiftleft(1, b)))"""
-    plain = [two("mask", k) for k in range(3)]
-    moved = [two("mask", k).replace(f"'way', {k}", f"'way', {k + 3}") for k in range(3)]
-    # the left side is the shorter word, or of equal sizes the smaller one, or, by a cleared bit, the one that has the bit
-    rows = lambda keys: w.select("word", "n", "mask", "size", F.explode(F.expr(keys)).alias("k")).select("word", "n", "mask", "size", "k.way", "k.at")
-    left = rows(f"concat(array({', '.join(plain)}), {', '.join(cleared(k) for k in range(3))})").select(*(F.col(c).alias(f"l_{c}") for c in ("word", "n", "mask", "size", "way", "at")))
-    right = rows(f"array({', '.join(plain + moved)})")
-    # for two bands the key holds the size that the left word must have: a word's own and the next smaller
-    right = right.withColumn("met", F.explode(F.expr("if(way < 3, array(size, size - 1), array(size))")))
-    agree = lambda k: f"({band('l_mask', k)} = {band('mask', k)} AND {band('l_mask', k + 1)} = {band('mask', k + 1)})"
-    first = f"(way >= 3 OR (way = 0) OR (way = 1 AND NOT {agree(0)}) OR (way = 2 AND NOT {agree(0)} AND NOT {agree(1)}))"
-    same = "(way >= 3 OR l_size < size OR l_word < word)"
-    pairs = left.join(
-        right, F.expr(f"l_way = way AND l_at = at AND l_size = met AND bit_count(l_mask ^ mask) <= 2 AND {same} AND {first} AND levenshtein(l_word, word, 1) = 1")
+    band = lambda mask, k: f"(shiftright({mask}, {k} * {WIDTH}) & {low})"
+    head, tail = "left(word, size_ div 2)", "right(word, size_ - size_ div 2)"
+    ways = [(k, h) for k in range(3) for h in (0, 1)]
+    meetings = lambda size: "array(" + ", ".join(f"xxhash64({k}, {h}, {size}, {band('mask', k)}, {(head, tail)[h]})".replace("size_", size) for k, h in ways) + ")"
+    shorter = w.select(*(F.col(c).alias(f"l_{c}") for c in w.columns), F.posexplode(F.expr(meetings("size"))).alias("l_way", "l_at"))
+    # the other word as one of equal length, and as one that is longer by one
+    longer = w.select("word", "n", "mask", "size", F.explode(F.array("size", F.col("size") - 1)).alias("met"))
+    longer = longer.select("*", F.posexplode(F.expr(meetings("met"))).alias("way", "at"))
+    same = " ".join(["CASE", *(f"WHEN {band('l_mask', k)} = {band('mask', k)} THEN {k}" for k in range(3)), "END"])
+    first = f"way div 2 = {same} AND (way % 2 = 0 OR left(l_word, met div 2) <> left(word, met div 2))"
+    pairs = shorter.join(
+        longer,
+        F.expr(f"l_at = at AND l_way = way AND l_size = met AND bit_count(l_mask ^ mask) <= 2 AND (met < size OR l_word < word) AND {first} AND levenshtein(l_word, word, 1) = 1"),
     ).select("l_word", "l_n", "word", "n")
     both = F.array(F.struct(F.col("l_word").alias("word"), F.col("l_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n")), F.struct("word", "n", F.col("l_word").alias("near"), F.col("l_n").alias("near_n")))
     return pairs.select(F.inline(both))
