@@ -21,16 +21,19 @@ BLOCK = "_block"
 def blocked(cells: DataFrame, value: str, cells_a_block: int = CELLS) -> DataFrame:
     """cells, written down once, with the block of each one's value, which isn't null; blocks are in order of the values.
 
-    Splitters are approximate quantiles, and no result hangs on which they are.
+    Splitters are approximate quantiles, and no result hangs on which they are.  Where one block holds all cells, there is no column
+    for it and running() takes each group in one go.
     """
     kept = durable(cells)
     at = F.col(value).cast("double")
-    n, marks = kept.agg(F.count(F.lit(1)), F.percentile_approx(at, F.array(*[F.lit(i / BLOCKS) for i in range(1, BLOCKS)]), F.lit(10 * BLOCKS))).first()
-    blocks = max(1, min(BLOCKS, -(-n // cells_a_block)))
-    ends = sorted({marks[i * BLOCKS // blocks - 1] + 0.0 for i in range(1, blocks)} - {float("inf"), float("-inf")}) if n else []
+    blocks = min(BLOCKS, -(-kept.count() // cells_a_block))
+    if blocks <= 1:
+        return kept
+    marks = kept.agg(F.percentile_approx(at, F.array(*[F.lit(i / blocks) for i in range(1, blocks)]), F.lit(10 * blocks))).first()[0]
+    ends = sorted({m + 0.0 for m in marks} - {float("inf"), float("-inf")})
     ends = [e for e in ends if e == e]
     if not ends:
-        return kept.withColumn(BLOCK, F.lit(0.0))
+        return kept
     split = Bucketizer(splits=[float("-inf"), *ends, float("inf")], inputCol="_at", outputCol=BLOCK, handleInvalid="keep")
     return split.transform(kept.withColumn("_at", at)).drop("_at")
 
@@ -42,7 +45,9 @@ def running(cells: DataFrame, by: list[str], value: str, column: str, out: str,
     """
     total, join = {"sum": (F.sum, lambda a, b: a + b), "min": (F.min, F.least), "max": (F.max, F.greatest)}[how]
     turn = (lambda c: c.desc()) if descending else (lambda c: c.asc())
-    own = Window.partitionBy(*by, BLOCK).orderBy(turn(F.col(value))).rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy(*by, *([BLOCK] if BLOCK in cells.columns else [])).orderBy(turn(F.col(value))).rowsBetween(Window.unboundedPreceding, 0)
+    if BLOCK not in cells.columns:  # CELLS or fewer in all
+        return cells.withColumn(out, total(column).over(own))
     blocks = cells.groupBy(*by, BLOCK).agg(total(column).alias("_total"))
     # at most BLOCKS rows a group
     before = Window.partitionBy(*by).orderBy(turn(F.col(BLOCK))).rowsBetween(Window.unboundedPreceding, -1)
