@@ -76,18 +76,19 @@ def percentile_of(df: DataFrame, value: str, q: float, by: tuple[str, ...] = (),
     return df.groupBy(*by).agg(F.coalesce(F.percentile(value, F.lit(q)), F.lit(0.0)).alias(out))
 
 
-def empirical_pvalue(df: DataFrame, value: str, null: DataFrame, null_value: str, upper: bool = True, out: str = "p_value") -> DataFrame:
+def empirical_pvalue(df: DataFrame, value: str, null: DataFrame, null_value: str, upper: bool = True, out: str = "p_value", by: tuple[str, ...] = ()) -> DataFrame:
     """(1 + null values at least (at most) as extreme) / (1 + null values); null for a null value or an empty null.
 
-    Counts come from one pass over the union of distinct values: no pairing of features with null values.
+    With `by`, columns of both sides, a row is held against its own group's null values.  Counts come from one pass over the union
+    of distinct values: no pairing of features with null values.
     """
-    v = F.col(value)
-    cells = df.where(v.isNotNull()).groupBy(v.alias("_v")).agg(F.lit(0).cast("bigint").alias("_n"))
-    cells = cells.unionByName(null.where(F.col(null_value).isNotNull()).groupBy(F.col(null_value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
-    cells = cells.groupBy("_v").agg(F.sum("_n").alias("_n"))
-    cells = prefix.running(prefix.blocked(cells, "_v"), [], "_v", "_n", "_k", descending=upper)
-    cells = prefix.totals(cells, [], "_n", "_all").select("_v", F.when(F.col("_all") > 0, (1 + F.col("_k")) / (1 + F.col("_all"))).alias(out))
-    return prefix.attach(df, cells, [], v, "_v", out)
+    by, v = list(by), F.col(value)
+    cells = df.where(v.isNotNull()).groupBy(*by, v.alias("_v")).agg(F.lit(0).cast("bigint").alias("_n"))
+    cells = cells.unionByName(null.where(F.col(null_value).isNotNull()).groupBy(*by, F.col(null_value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
+    cells = cells.groupBy(*by, "_v").agg(F.sum("_n").alias("_n"))
+    cells = prefix.running(prefix.blocked(cells, "_v"), by, "_v", "_n", "_k", descending=upper)
+    cells = prefix.totals(cells, by, "_n", "_all").select(*by, "_v", F.when(F.col("_all") > 0, (1 + F.col("_k")) / (1 + F.col("_all"))).alias(out))
+    return prefix.attach(df, cells, by, v, "_v", out)
 
 
 def harmonic(n: Column) -> Column:

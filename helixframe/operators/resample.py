@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.durable import durable
 from helixframe.functions import stats
 from helixframe.sources.tables import lcg
 
@@ -45,7 +46,7 @@ def subset_table(ids: DataFrame, key: str, sizes: list[int], reps: int) -> DataF
 
 def subsample_curve(align: DataFrame, loci: DataFrame, sizes: list[int], reps: int, threshold: float = 0.0) -> DataFrame:
     """Mean share of features above the threshold by number of loci, all replicates in one join."""
-    picked = align.join(F.broadcast(subset_table(loci, "locus", sizes, reps)), "locus")
+    picked = align.join(subset_table(loci, "locus", sizes, reps), "locus")
     a = stats.weighted_median(picked, ["size", "rep", "feature_id"], "a_f", "mass", "A_f")
     each = a.groupBy("size", "rep").agg(F.avg((F.col("A_f") > threshold).cast("double")).alias("share"))
     return each.groupBy("size").agg(F.avg("share").alias("mean_share"), F.min("share").alias("least"), F.max("share").alias("most"))
@@ -56,12 +57,54 @@ def split_half(align: DataFrame, loci: DataFrame, splits: int, threshold: float
     grid = loci.crossJoin(F.broadcast(loci.sparkSession.createDataFrame([(r,) for r in range(splits)], "rep int")))
     n = F.count(F.lit(1)).over(Window.partitionBy("rep"))
     half = F.floor(2 * (F.row_number().over(Window.partitionBy("rep").orderBy(F.expr(lcg("rep", "locus")), "locus")) - 1) / n)
-    a = stats.weighted_median(align.join(F.broadcast(grid.withColumn("half", half)), "locus"), ["rep", "half", "feature_id"], "a_f", "mass", "A_f")
+    a = stats.weighted_median(align.join(grid.withColumn("half", half), "locus"), ["rep", "half", "feature_id"], "a_f", "mass", "A_f")
     both = a.groupBy("rep", "feature_id").agg(F.count_if((F.col("A_f") > threshold) & (F.col("half") == 0)).alias("x"), F.count_if((F.col("A_f") > threshold) & (F.col("half") == 1)).alias("y"))
     j = both.groupBy("rep").agg(F.count_if((F.col("x") > 0) & (F.col("y") > 0)).alias("i"), F.count_if((F.col("x") > 0) | (F.col("y") > 0)).alias("u"))
     return j.where("u > 0").agg(F.avg(F.col("i") / F.col("u")).alias("mean"), F.stddev_pop(F.col("i") / F.col("u")).alias("sd"), F.count(F.lit(1)).alias("splits"))
 
 
+#: The comparisons of split_design: the run and half that stand against the first run's first half.
+CELLS = {"data": (0, 1), "run": (1, 0), "both": (1, 1)}
+
+
+def split_design(first: DataFrame, second: DataFrame, null: DataFrame, splits: int, q: float = 0.05, pairs: DataFrame | None = None) -> DataFrame:
+    """R7 and G17, the crossed design of runs and data: (cell, mean_jaccard, sd_jaccard, mean_rho, splits).
+
+    Each split deals the first run's loci in two halves of equal size, the odd one out.  A run's features of a half are tested
+    against the null's features of that half, and those with a q-value below `q` are its set.  Three comparisons with the first
+    run's first half: its second half ("data": noise of estimation alone), the second run on the same half ("run"), the second run on
+    the other half ("both"); the fourth cell compares a set with itself.  mean_jaccard and its sd (population) are over the
+    splits, as many as `splits` says, in which either set has a feature; null if there is none.  mean_rho is the mean rank
+    correlation of A_f over features known to both, of a second run's feature with its partner in pairs(first_id, second_id), or with
+    the feature of its own id without pairs; fewer than three features give 0, none give no rho.
+
+    All splits and cells are groups of the same few aggregations; the inputs are collapsed to loci (feature_id, locus, a_f, mass).
+    """
+    spark = first.sparkSession
+    grid = first.select("locus").distinct().crossJoin(F.broadcast(spark.createDataFrame([(r,) for r in range(splits)], "rep int")))
+    w = Window.partitionBy("rep")
+    place = F.row_number().over(w.orderBy(F.expr(lcg("rep", "locus")), "locus")) - 1
+    halves = grid.withColumn("half", F.floor(place / F.floor(F.count(F.lit(1)).over(w) / 2)).cast("int")).where("half < 2")
+    runs = [d.select(F.lit(i).alias("run"), "feature_id", "locus", "a_f", "mass") for i, d in enumerate((first, second, null))]
+    a = durable(stats.weighted_median(runs[0].unionByName(runs[1]).unionByName(runs[2]).join(halves, "locus"), ["run", "rep", "half", "feature_id"], "a_f", "mass", "A_f"))
+    tested = stats.empirical_pvalue(a.where("run < 2"), "A_f", a.where("run = 2"), "A_f", by=("rep", "half"))
+    # rounded, as a q-value is a product of quotients
+    hits = stats.bh_qvalue(tested, "p_value", by=("run", "rep", "half")).select("run", "rep", "half", "feature_id", "A_f", F.coalesce(F.round("q_value", 9) < q, F.lit(False)).alias("hit"))
+    hits = durable(hits)
+    base = hits.where("run = 0 AND half = 0").select("rep", F.explode(F.array(*map(F.lit, CELLS))).alias("cell"), "feature_id", F.col("hit").alias("x"), F.lit(False).alias("y"), F.col("A_f").alias("ax"), F.lit(None).cast("double").alias("ay"))
+    name = F.coalesce(*[F.when((F.col("run") == r) & (F.col("half") == h), c) for c, (r, h) in CELLS.items()])
+    other = hits.where("run > 0 OR half > 0").select("rep", name.alias("cell"), "feature_id", F.lit(False).alias("x"), F.col("hit").alias("y"), F.lit(None).cast("double").alias("ax"), F.col("A_f").alias("ay"))
+    met = lambda d: base.unionByName(d).groupBy("rep", "cell", "feature_id").agg(F.max("x").alias("x"), F.max("y").alias("y"), F.max("ax").alias("ax"), F.max("ay").alias("ay"))
+    by_id = met(other)
+    j = by_id.groupBy("rep", "cell").agg(F.count_if(F.col("x") & F.col("y")).alias("i"), F.count_if(F.col("x") | F.col("y")).alias("u"))
+    if pairs is not None:
+        named = other.where("cell <> 'data'").join(pairs.select(F.col("second_id").alias("feature_id"), "first_id"), "feature_id").drop("feature_id").withColumnRenamed("first_id", "feature_id")
+        by_id = met(other.where("cell = 'data'").unionByName(named))
+    rho = stats.spearman(by_id, ["rep", "cell"], "ax", "ay", "rho")
+    each = j.join(rho, ["rep", "cell"], "left").withColumn("jaccard", F.when(F.col("u") > 0, F.col("i") / F.col("u")))
+    return each.groupBy("cell").agg(F.avg("jaccard").alias("mean_jaccard"), F.stddev_pop("jaccard").alias("sd_jaccard"), F.avg("rho").alias("mean_rho"), F.count("jaccard").alias("splits"))
+
+
 def pair_bootstrap(pairs: DataFrame, reps: int) -> DataFrame:
     """Percentiles of the pair Jaccard over resampled pairs (pair_id 0..n-1, a_hit, b_hit)."""
     n = pairs.count()

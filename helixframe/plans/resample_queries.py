@@ -71,6 +71,29 @@ def noise_ceiling(spark, sf_dir):
     return R.split_half(*_loci(spark, sf_dir), 200).select(F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "splits")
 
 
+_DESIGN = f"""WITH {_LOCI}, gr AS (SELECT * FROM (SELECT locus, rep, (row_number() OVER (PARTITION BY rep ORDER BY {T.lcg('rep', 'locus')}, locus) - 1) // (count(*) OVER (PARTITION BY rep) // 2) AS half FROM (SELECT DISTINCT locus FROM rl), range(200) t(rep)) WHERE half < 2),
+rw AS (SELECT run, rep, half, feature_id, a_f AS v, mass AS w FROM (SELECT 0 AS run, * FROM rl UNION ALL SELECT 1, * FROM ol UNION ALL SELECT 2, * FROM nl) JOIN gr USING (locus)), {_medians_sql('md', 'rw', 'run, rep, half, feature_id')},
+nn AS (SELECT rep, half, count(*) AS n FROM md WHERE run = 2 GROUP BY ALL),
+ge AS (SELECT run, rep, half, feature_id, m, coalesce(sum(CAST(run = 2 AS INT)) OVER (PARTITION BY rep, half ORDER BY m DESC RANGE UNBOUNDED PRECEDING), 0) AS k FROM md),
+pv AS (SELECT run, rep, half, feature_id, m, (1.0::DOUBLE + k) / (1 + n) AS p FROM ge JOIN nn USING (rep, half) WHERE run < 2),
+rk AS (SELECT *, p * count(*) OVER g / row_number() OVER (PARTITION BY run, rep, half ORDER BY p, feature_id) AS raw, row_number() OVER (PARTITION BY run, rep, half ORDER BY p, feature_id) AS j FROM pv WINDOW g AS (PARTITION BY run, rep, half)),
+qv AS (SELECT *, round(least(min(raw) OVER (PARTITION BY run, rep, half ORDER BY j DESC ROWS UNBOUNDED PRECEDING), 1.0::DOUBLE), 9) < 0.9 AS hit FROM rk),
+ce AS (SELECT * FROM (VALUES ('data', 0, 1), ('run', 1, 0), ('both', 1, 1)) t(cell, run, half)),
+mt AS (SELECT coalesce(x.cell, y.cell) AS cell, coalesce(x.rep, y.rep) AS rep, coalesce(x.hit, false) AS x, coalesce(y.hit, false) AS y, x.m AS ax, y.m AS ay
+       FROM (SELECT cell, rep, feature_id, hit, m FROM qv, ce WHERE qv.run = 0 AND qv.half = 0) x FULL JOIN (SELECT cell, rep, feature_id, hit, m FROM qv JOIN ce USING (run, half)) y ON x.cell = y.cell AND x.rep = y.rep AND x.feature_id = y.feature_id),
+ja AS (SELECT cell, rep, count(*) FILTER (x AND y) AS i, count(*) FILTER (x OR y) AS u FROM mt GROUP BY ALL),
+rs AS (SELECT cell, rep, rank() OVER (PARTITION BY cell, rep ORDER BY ax) + (count(*) OVER (PARTITION BY cell, rep, ax) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY cell, rep ORDER BY ay) + (count(*) OVER (PARTITION BY cell, rep, ay) - 1) / 2.0::DOUBLE AS ry FROM mt WHERE ax IS NOT NULL AND ay IS NOT NULL),
+rh AS (SELECT cell, rep, CASE WHEN count(*) < 3 OR var_pop(rx) = 0 OR var_pop(ry) = 0 THEN 0.0::DOUBLE ELSE corr(rx, ry) END AS rho FROM rs GROUP BY ALL)
+SELECT cell, round(avg(i / u::DOUBLE) FILTER (u > 0), 6) AS mean_jaccard, round(stddev_pop(i / u::DOUBLE) FILTER (u > 0), 6) AS sd_jaccard, round(avg(rho), 6) AS mean_rho, count(*) FILTER (u > 0) AS splits FROM ja LEFT JOIN rh USING (cell, rep) GROUP BY 1"""
+
+
+@query(_DESIGN)
+def split_design(spark, sf_dir):
+    """R7 and G17 with the survey's 200 splits and a wide q, as these tables hold no signal."""
+    first, second, null = (A.collapse_to_loci(T.align(spark, sf_dir, f)) for f in "RAN")
+    return R.split_design(first, second, null, 200, 0.9).select("cell", *[F.round(c, 6).alias(c) for c in ("mean_jaccard", "sd_jaccard", "mean_rho")], "splits")
+
+
 @query(f"""WITH {_LOCI}, {_features_sql('rf', 'rl')}, {_features_sql('of', 'ol')}, pr AS (SELECT feature_id - 1 AS pair_id, rf.A_f > 0 AS a, of.A_f > 0 AS b FROM rf JOIN of USING (feature_id)),
 dr AS (SELECT rep, CAST(floor(CAST({T.lcg('rep', 'pair_id')} AS DOUBLE) * (SELECT count(*) FROM pr)) AS BIGINT) AS pair_id FROM pr, range(2000) t(rep)),
 j AS (SELECT rep, count(*) FILTER (a AND b) AS i, count(*) FILTER (a OR b) AS u FROM dr JOIN pr USING (pair_id) GROUP BY 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequences as S
@@ -230,3 +232,24 @@ def exact_batches(spark, sf_dir):
 SELECT o_orderkey AS token, seq_id, CAST(o_orderkey - (e - n) AS BIGINT) AS pos FROM orders LEFT JOIN s ON o_orderkey >= e - n AND o_orderkey < e""")
 def token_positions(spark, sf_dir):
     return Q.token_positions(T.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("token")), T.corpus(spark, sf_dir))
+
+
+_INTERVALS = "SELECT DISTINCT CASE l_returnflag WHEN 'R' THEN 'ccre' ELSE 'genic' END AS cls, l_partkey AS chrom, (l_suppkey * 37 + l_linenumber * 53 + l_orderkey) % 1500 AS start, (l_suppkey * 37 + l_linenumber * 53 + l_orderkey) % 1500 + CAST(l_quantity AS BIGINT) AS \"end\" FROM lineitem WHERE l_returnflag IN ('R', 'A')"
+_PICK = f"CAST(floor({T.lcg('chrom', 'start', '7')} * 2147483647) AS BIGINT)"
+_BACK = T.lcg("id", "0"), T.lcg("0", "id")
+
+
+@query(f"""{_C}, iv AS ({_INTERVALS}), pk AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY {_PICK}, cls || ':' || chrom || ':' || start || ':' || "end") AS i FROM iv),
+mid AS (SELECT DISTINCT cls, chrom, greatest((start + "end") // 2 - 32, 0) AS ws FROM pk WHERE i <= CASE cls WHEN 'ccre' THEN 200 ELSE 150 END),
+ct AS (SELECT seq_id AS chrom, length(seq) AS n, row_number() OVER (ORDER BY seq_id) AS r FROM corpus WHERE length(seq) > 64),
+dr AS (SELECT id, CAST(floor({_BACK[0]} * (SELECT count(*) FROM ct)) AS BIGINT) + 1 AS r, CAST({_BACK[1]} AS DOUBLE) AS u FROM range({64 * 120 + 4096}) t(id)),
+pl AS (SELECT id, chrom, CAST(floor(u * (n - 64)) AS BIGINT) AS ws FROM dr JOIN ct USING (r)),
+fr AS (SELECT chrom, ws, min(id) AS id FROM pl WHERE NOT EXISTS (SELECT 1 FROM iv WHERE iv.chrom = pl.chrom AND iv.start < pl.ws + 64 AND iv."end" > pl.ws) GROUP BY ALL),
+al AS (SELECT * FROM mid UNION ALL SELECT 'background', chrom, ws FROM (SELECT *, row_number() OVER (ORDER BY id) AS k FROM fr) WHERE k <= 120)
+SELECT al.cls, chrom, ws AS window_start, seq[ws + 1:ws + 64] AS seq FROM al JOIN corpus ON seq_id = chrom WHERE length(seq[ws + 1:ws + 64]) = 64""")
+def sampled_windows(spark, sf_dir):
+    """S5 with each document's bases as a contig and intervals that lineitem places on them."""
+    T.read(spark, sf_dir, "lineitem").createOrReplaceTempView(name := f"lineitem_{uuid.uuid4().hex}")
+    intervals = spark.sql(_INTERVALS.replace("FROM lineitem", f"FROM {name}").replace('"end"', "end"))
+    contigs = T.corpus(spark, sf_dir).select(F.col("seq_id").alias("chrom"), "seq")
+    return G.sampled_windows(intervals, contigs, 64, {"ccre": 200, "genic": 150}, 120, draw=F.expr(_PICK), order=F.col("chrom").cast("bigint"))

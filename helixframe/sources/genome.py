@@ -9,6 +9,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.durable import durable
 from helixframe.functions import prefix
 from helixframe.functions.sequences import MOTIFS
 from helixframe.sources.tables import lcg
@@ -77,11 +78,100 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bed_windows(bed: DataFrame, contigs: DataFrame, width: int, most_n: float = 0.05) -> DataFrame:
-    """Windows centred on the intervals' midpoints, from zero on; of full length and with few enough N."""
+    """Windows centred on the intervals' midpoints, from zero on; of full length and with few enough N (F11).  Other
+    columns of the intervals stay."""
     start = F.greatest(F.floor((F.col("start") + F.col("end")) / 2) - width // 2, F.lit(0))
-    d = bed.join(contigs, "chrom").withColumn("window_start", start).withColumn("seq", F.upper(F.expr(f"substring(seq, cast(window_start + 1 as int), {width})")))
+    d = bed.withColumn("window_start", start)
+    return with_bases(d, contigs, width, most_n).drop("start", "end")
+
+
+#: Bases of a piece that contigs are cut in, and positions of a tile of the interval index; windows wider than that touch more.
+PIECE = 4096
+
+
+def pieces(contigs: DataFrame, size: int = PIECE) -> DataFrame:
+    """(chrom, tile, piece): contigs (chrom, seq) in pieces of `size` upper-cased bases, the last one shorter."""
+    cut = contigs.select("chrom", "seq", F.explode(F.expr(f"sequence(0, cast((length(seq) - 1) div {size} as int))")).alias("tile")).where(F.length("seq") > 0)
+    return cut.select("chrom", "tile", F.upper(F.expr(f"substring(seq, tile * {size} + 1, {size})")).alias("piece"))
+
+
+def with_bases(windows: DataFrame, contigs: DataFrame, width: int, most_n: float = 0.05, size: int = PIECE) -> DataFrame:
+    """windows (chrom, window_start) with seq, those that lie within their contig and have less than most_n of N.
+
+    A window meets the one or two pieces it touches, never its contig, so a contig that most windows are on is many join keys.
+    Windows of equal place are looked up once.
+    """
+    places = windows.select("chrom", "window_start").where("window_start >= 0").distinct()
+    touched = places.withColumn("tile", F.explode(F.expr(f"sequence(cast(window_start div {size} as int), cast((window_start + {width - 1}) div {size} as int))")))
+    got = touched.join(pieces(contigs, size), ["chrom", "tile"])
+    # positions within the piece, which a window enters at its start or at the piece's
+    lo = f"greatest(window_start - tile * cast({size} as bigint), 0)"
+    part = F.expr(f"substring(piece, cast({lo} + 1 as int), cast(least(window_start + {width} - tile * cast({size} as bigint), {size}) - {lo} as int))")
+    whole = got.groupBy("chrom", "window_start").agg(F.array_sort(F.collect_list(F.struct("tile", part.alias("part")))).alias("parts"))
+    whole = whole.select("chrom", "window_start", F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("seq"))
     n = F.length("seq") - F.length(F.replace("seq", F.lit("N")))
-    return d.where((F.length("seq") == width) & (n < most_n * width)).select("chrom", "window_start", "seq")
+    return windows.join(whole.where((F.length("seq") == width) & (n < most_n * width)), ["chrom", "window_start"])
+
+
+def off_intervals(windows: DataFrame, intervals: DataFrame, width: int, size: int = PIECE) -> DataFrame:
+    """windows (chrom, window_start) that share no position with any interval (chrom, start, end), end left out; a tiled index.
+
+    Windows and intervals meet in the tiles they touch.  Intervals within a tile are told apart by a join on the tile; one that
+    covers a whole tile is said once for the tile, however many do, so stacked intervals don't multiply.
+    """
+    tiled = intervals.where("start < end").select("chrom", "start", "end").distinct()
+    tiled = tiled.withColumn("tile", F.explode(F.expr(f"sequence(cast(start div {size} as int), cast((end - 1) div {size} as int))")))
+    cut = tiled.select("chrom", "tile", F.greatest("start", F.col("tile").cast("bigint") * size).alias("a"), F.least("end", (F.col("tile").cast("bigint") + 1) * size).alias("b")).distinct()
+    touch = F.explode(F.expr(f"sequence(cast(window_start div {size} as int), cast((window_start + {width - 1}) div {size} as int))"))
+    places = windows.select("chrom", "window_start").distinct().withColumn("tile", touch)
+    w, i = places.alias("w"), cut.alias("i")
+    hit = (F.col("w.chrom") == F.col("i.chrom")) & (F.col("w.tile") == F.col("i.tile")) & (F.col("i.a") < F.col("w.window_start") + width) & (F.col("i.b") > F.col("w.window_start"))
+    bad = w.join(i, hit, "left_semi").select("chrom", "window_start").distinct()
+    return windows.join(bad, ["chrom", "window_start"], "left_anti")
+
+
+def sampled_windows(intervals: DataFrame, contigs: DataFrame, width: int, per_class: dict[str, int], background: int, seed: int = 0, most_n: float = 0.05, names: str = "^[^_]+$", size: int = PIECE, draw: Column | None = None, order: Column | None = None) -> DataFrame:
+    """(cls, chrom, window_start, seq) of sampled intervals and of background off all intervals.
+
+    intervals (cls, chrom, start, end): of each class exactly per_class[cls] different ones (all, if fewer), those of least draw,
+    and of these the midpoint windows that are whole and have few N, so a class can end up smaller.  Two intervals with
+    one midpoint give one window.  Background: draw i = 0, 1, ... takes a contig, each as likely, of a name that matches
+    `names`, isn't chrM or MT, and is longer than the window, and a start on it; draws that touch any interval, are cut short or
+    have many N are rejected, and the first `background` of those left are kept: fewer if 64 times as many draws as asked for,
+    and 4096 more, do not give them.  A start drawn twice counts once.  draw (of cls, chrom, start, end) and order (of chrom, its
+    contigs' order) are bigints, hashes if not given, so partitions don't matter.
+    """
+    spark = intervals.sparkSession
+    known = intervals.where("cls IS NOT NULL AND chrom IS NOT NULL AND start < end").select("cls", "chrom", "start", "end").distinct()
+    known = known.withColumn("_key", F.concat_ws(":", "cls", F.col("chrom").cast("string"), "start", "end"))
+    chosen = None
+    for cls, n in per_class.items():
+        one = sample_exact(known.where(F.col("cls") == cls), "_key", n, seed, draw)
+        chosen = one if chosen is None else chosen.unionByName(one)
+    lengths = contigs.select("chrom", F.length("seq").cast("bigint").alias("n")).where(F.col("chrom").cast("string").rlike(names) & ~F.col("chrom").cast("string").isin("chrM", "MT") & (F.col("n") > width))
+    ranked = durable(prefix.row_ranks(lengths.withColumn("_draw", F.xxhash64(F.col("chrom").cast("string"), F.lit(seed)) if order is None else order), "_draw", "chrom", "_rank").select("chrom", "n", "_rank"))
+    many, most, tried = ranked.count(), 64 * background + 4096, 0
+    kept = None
+    step = min(most, 2 * background + 64)
+    while many and tried < most and background:
+        # two multipliers of the draw's number: with one, the contig's draw would fix the start
+        draws = spark.range(tried, tried + step).select("id", F.expr(f"cast(floor({lcg('id', str(seed))} * {many}) as bigint) + 1").alias("_rank"), F.expr(f"cast({lcg(str(seed), 'id')} as double)").alias("u"))
+        placed = draws.join(ranked, "_rank").select("id", "chrom", F.floor(F.col("u") * (F.col("n") - width)).alias("window_start"))
+        free = durable(with_bases(off_intervals(placed, known, width, size), contigs, width, most_n, size))
+        kept = free if kept is None else kept.unionByName(free)
+        first = kept.groupBy("chrom", "window_start").agg(F.min("id").alias("id"), F.first("seq").alias("seq"))
+        tried += step
+        found = first.count()
+        if found >= background:
+            break
+        step = min(most - tried, max(step, int(1.2 * tried * (background - found) / max(found, 1))))
+    out = None
+    if chosen is not None:
+        out = bed_windows(chosen.drop("_key"), contigs, width, most_n).select("cls", "chrom", "window_start", "seq").distinct()
+    if kept is not None:
+        rest = prefix.least_rows(first, "id", "chrom", background).select(F.lit("background").alias("cls"), "chrom", "window_start", "seq")
+        out = rest if out is None else out.unionByName(rest)
+    return out
 
 
 def resolve_columns(columns: list[str]) -> dict[str, str]:
