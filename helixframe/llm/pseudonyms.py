@@ -15,10 +15,11 @@ ROUNDS = 8
 FIRST_DAY, DAYS, DAY_LEFT, DAY_RIGHT = "1800-01-01", 146_097, 27, 5411
 KINDS = ("email", "secret", "ip", "ssn", "phone", "date", "card")
 
-# The kinds' shapes.  What stands next to a match must not belong to it.  A domain has 127 labels at most: the bound is
-# the name system's own, and it keeps the matcher, which recurses once a label, from using up a task's stack.
+# The kinds' shapes.  What stands next to a match must not belong to it.  The matcher recurses once a label of a domain, which uses up
+# a task's stack on long ones, so what has more labels than the name system allows, 127, is looked for by its letters alone.
 _SHAPES = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]++\.){1,127}[A-Za-z]{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?!(?:[A-Za-z0-9-]++\.){128})(?:[A-Za-z0-9-]++\.){1,127}[A-Za-z]{2,}"
+    r"|(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?=(?:[A-Za-z0-9-]++\.){128})[A-Za-z0-9.-]++",
     "secret": r"(?<![\p{L}\p{N}])[0-9a-fA-F]{32,64}(?![\p{L}\p{N}])",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
     "phone": r"(?<![\d+])\+\d{1,3}[ -]?\(?\d{3}\)?[ -]?\d{3}[ -]?\d{4}(?!\d)|(?<![\p{L}\d(-])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])",
@@ -123,8 +124,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts: str
     yyyy-MM-dd, MM/dd/yyyy or dd.MM.yyyy.  Equal values get equal pseudonyms in all documents, different values different
     ones.  Numbers that don't validate stay, as do dates that the calendar lacks.  E-mail names and long hexadecimal secrets,
     which are no numbers, become keyed digests of the same length: equal ones stay equal, but names of a few letters may
-    meet, and a domain stays readable.  Null and empty texts stay as they are; rows that repeat are treated alike; an empty
-    table gives an empty one.  If docs has a column <counts>, underscores go in front of the new one's.
+    meet, and a domain stays readable, however many labels it has.  A secret has 32 to 64 digits; longer runs, as of dumps, stay.
+    Null and empty texts stay as they are; rows that repeat are treated alike; an empty table gives an empty one.  If docs has a column <counts>, underscores go in front of the new one's.
 
     All is done within the scan's stage: no shuffle, no join.
     """

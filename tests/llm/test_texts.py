@@ -370,6 +370,13 @@ def test_pseudonyms_of_very_long_matches(docs):
     assert len({r.text for r in same}) == 1 and len(same) == 3
 
 
+def test_pseudonyms_of_domains_of_any_length(docs):
+    texts = [f"to jane.doe@{'x.' * n}com, she" for n in (126, 127, 128, 131, 500_000)] + [f"to jane.doe@{'xy.' * 200}com"]
+    got = sorted(pseudonyms.pseudonymise(docs(texts), "k").collect(), key=lambda r: r.doc_id)
+    for r, t in zip(got, texts, strict=True):
+        assert list(r.found) == ["email"] and "jane" not in r.text and len(r.text) == len(t) and r.text[11:] == t[11:]
+
+
 def test_pseudonyms_are_permutations(spark):
     from pyspark.sql import functions as F
 
