@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from helixframe.durable import shared_dir
 from helixframe.functions import stats
 from helixframe.operators import metrics as M
 from helixframe.plans.registry import query
+from helixframe.sources import folders
 from helixframe.sources import genome as G
 from helixframe.sources import tables as T
 
@@ -91,11 +95,11 @@ _ASSAY = """WITH raw AS (SELECT CAST(l_suppkey AS VARCHAR) AS Element, CAST(l_pa
  'ACGT-'[CAST(l_orderkey % 5 AS INT) + 1] AS Alt, round(l_discount - 0.05, 2) AS Coefficient, (l_orderkey * 8 + l_linenumber) * 10000000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS row FROM lineitem WHERE l_returnflag = 'R'), a AS (SELECT * FROM raw WHERE Alt <> '-')"""
 
 
-def _assay(spark, sf_dir):
-    d = T.read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+def _assay(spark, sf_dir, rows="l_returnflag = 'R'", *more):
+    d = T.read(spark, sf_dir, "lineitem").where(rows)
     raw = d.select(
         F.col("l_suppkey").cast("string").alias("Element"), (F.col("l_partkey") % 40).alias("Position"), F.expr("substr('ACGT', cast(l_linenumber % 4 as int) + 1, 1)").alias("Ref"),
-        F.expr("substr('ACGT-', cast(l_orderkey % 5 as int) + 1, 1)").alias("Alt"), F.round(F.col("l_discount") - 0.05, 2).alias("Coefficient"), ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 10_000_000_000 + F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("order")
+        F.expr("substr('ACGT-', cast(l_orderkey % 5 as int) + 1, 1)").alias("Alt"), F.round(F.col("l_discount") - 0.05, 2).alias("Coefficient"), ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 10_000_000_000 + F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("order"), *more
     )
     table = G.assay_table(raw.drop("order"))
     # the driver's rows have an order of their own, which stands for the order in a file
@@ -116,3 +120,20 @@ def assay_pivot(spark, sf_dir):
     ordered = raw.where(F.col("Alt") != "-").select(F.col("Element").alias("element"), F.col("Position").cast("int").alias("pos"), F.col("Ref").alias("ref"), F.col("Alt").alias("alt"), F.col("Coefficient").alias("eff"), F.col("order").alias("row"))
     out = G.assay_elements(ordered)
     return out.select("element", "pos", "ref", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("e_mean", "e_signed", "e_max")])
+
+
+@query(f"""WITH raw AS (SELECT CAST(l_suppkey AS VARCHAR) AS element, CAST(l_partkey % 40 AS INT) AS pos, 'ACGT'[CAST(l_linenumber % 4 AS INT) + 1] AS ref, 'ACGT-'[CAST(l_orderkey % 5 AS INT) + 1] AS alt,
+ round(l_discount - 0.05, 2) AS eff, (l_orderkey * 8 + l_linenumber) * 10000000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS row, l_linestatus FROM lineitem WHERE l_returnflag <> 'A'),
+a AS (SELECT * FROM raw WHERE alt <> '-' AND l_linestatus = 'O'), c AS (SELECT element, pos, alt, arg_max(eff, row) AS eff, arg_max(ref, row) AS ref, max(row) AS row FROM a GROUP BY ALL),
+t AS (SELECT element, pos, sum(abs(eff)) / greatest(1, count(*) FILTER (eff <> 0)) AS e_mean, max(abs(eff)) AS e_max, sum(abs(eff)) AS size, arg_max(ref, row) AS ref FROM c GROUP BY ALL),
+g AS (SELECT element, CAST(unnest(range(min(pos), max(pos) + 1)) AS INT) AS pos FROM t GROUP BY element HAVING max(pos) - min(pos) + 1 >= 10)
+SELECT element AS elem_id, string_agg(coalesce(ref, 'A'), '' ORDER BY pos) AS seq, round(coalesce(sum(e_mean), 0), 6) AS e_mean, round(coalesce(max(e_max), 0), 6) AS e_max, round(coalesce(sum(size), 0), 6) AS e_alt FROM g LEFT JOIN t USING (element, pos) GROUP BY 1""")
+def assay_folder(spark, sf_dir):
+    """Line items as a folder of CSV tables of two releases, read back as elements by the source's name."""
+    _, raw = _assay(spark, sf_dir, "l_returnflag <> 'A'", F.when(F.col("l_linestatus") == "O", "GRCh38").otherwise("GRCh37").alias("Release"))
+    folder = f"{shared_dir(spark)}/assay-{uuid.uuid4().hex}"
+    # files follow one another by name as the driver's rows do by their order
+    raw.orderBy("order").drop("order").write.option("header", True).csv(folder)
+    out = folders.load_elements(spark, "assay", folder, "GRCh38")
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda t, x: t + x)
+    return out.select("elem_id", "seq", F.round(total("e_mean"), 6).alias("e_mean"), F.round(F.array_max("e_max"), 6).alias("e_max"), F.round(F.aggregate("e_alt", F.lit(0.0), lambda t, x: t + total(x)), 6).alias("e_alt"))

@@ -6,9 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from helixframe.durable import shared_dir
 from helixframe.functions import sequences as S
 from helixframe.operators import sequence as Q
 from helixframe.plans.registry import query
+from helixframe.sources import folders
 from helixframe.sources import genome as G
 from helixframe.sources import tables as T
 
@@ -253,3 +255,10 @@ def sampled_windows(spark, sf_dir):
     intervals = spark.sql(_INTERVALS.replace("FROM lineitem", f"FROM {name}").replace('"end"', "end"))
     contigs = T.corpus(spark, sf_dir).select(F.col("seq_id").alias("chrom"), "seq")
     return G.sampled_windows(intervals, contigs, 64, {"ccre": 200, "genic": 150}, 120, draw=F.expr(_PICK), order=F.col("chrom").cast("bigint"))
+
+
+@query(f"{_C} SELECT CAST(seq_id AS VARCHAR) AS seq_id, seq, cls, CAST(length(seq) AS INT) AS len FROM corpus WHERE length(seq) > 0")
+def fasta_corpus(spark, sf_dir):
+    """The documents' sequences as FASTA and metadata, read back and joined."""
+    d = T.corpus(spark, sf_dir).where(F.length("seq") > 0)
+    return folders.load_corpus(spark, f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}", lambda: d).select("seq_id", "seq", "cls", "len")

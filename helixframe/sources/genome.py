@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,13 +57,16 @@ def synthetic_corpus(spark: SparkSession, n: int, length: int, seed: int = 0, gc
 
 
 def write_fasta(corpus: DataFrame, path: str) -> None:
-    """One text record for each window, header `>id cls`; executors write their own parts."""
-    corpus.select(F.concat(F.lit(">"), "seq_id", F.lit(" "), "cls", F.lit("\n"), "seq").alias("value")).write.text(path)
+    """One text record for each window, header `>id cls`, in place of what the path holds; executors write their own parts."""
+    corpus.select(F.concat(F.lit(">"), F.col("seq_id").cast("string"), F.lit(" "), F.coalesce("cls", F.lit("")), F.lit("\n"), F.coalesce("seq", F.lit(""))).alias("value")).write.mode("overwrite").text(path)
 
 
 def read_fasta(spark: SparkSession, path: str, metadata: DataFrame | None = None) -> DataFrame:
-    """(seq_id, seq) of a FASTA file or folder, sequences of any number of lines; left-joined with metadata on seq_id."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
+    """(seq_id, seq) of a FASTA file or folder, sequences of any number of lines; left-joined with metadata on seq_id.
+
+    A record starts at a `>` that starts a line, so a header may hold others; large files are split between records.
+    """
+    records = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).where(F.length(F.trim("value")) > 0)
     head = F.substring_index("value", "\n", 1)
     body = F.expr("substring(value, length(substring_index(value, '\n', 1)) + 2)")
     out = records.select(F.split(F.trim(head), r"\s+")[0].alias("seq_id"), F.regexp_replace(body, r"\s", "").alias("seq"))
@@ -183,15 +185,16 @@ def resolve_columns(columns: list[str]) -> dict[str, str]:
     return {ours: name for ours, name in found.items() if name}
 
 
-def assay_table(raw: DataFrame, name: str = "element", release: str | None = None) -> DataFrame:
-    """(element, pos, ref, alt, eff, row) of an assay frame; a file without an element column is one element.
+def assay_table(raw: DataFrame, name: str = "element", release: str | None = None, default: Column | None = None, row: Column | None = None) -> DataFrame:
+    """(element, pos, ref, alt, eff, row) of an assay frame; a file without an element column is one element, called
+    `default`, or `name` if that isn't given.
 
-    Rows whose alt is no base go, and rows of other releases if one is asked for and the column is there.  `row` is the order
-    in which rows were read.
+    Rows whose alt is no base go, and rows of other releases if one is asked for and the column is there.  `row` orders the rows;
+    if it isn't given it is the order in which they were read, which holds for one file in one split.
     """
     c = resolve_columns(raw.columns)
-    element = F.col(f"`{c['element']}`") if "element" in c else F.lit(name)
-    d = raw.withColumn("row", F.monotonically_increasing_id())
+    element = F.col(f"`{c['element']}`") if "element" in c else F.lit(name) if default is None else default
+    d = raw.withColumn("row", F.monotonically_increasing_id() if row is None else row)
     if release and "release" in c:
         d = d.where(F.upper(F.col(f"`{c['release']}`").cast("string")) == release.upper())
     q = lambda k: F.col(f"`{c[k]}`")
@@ -199,13 +202,6 @@ def assay_table(raw: DataFrame, name: str = "element", release: str | None = Non
     return d.where(F.col("alt").isin("A", "C", "G", "T"))
 
 
-def read_assay(spark: SparkSession, path: str, release: str | None = None) -> DataFrame:
-    """An assay from tab-separated text, gzipped or not."""
-    stem = re.sub(r"\.(tsv|txt|csv)(\.gz)?$", "", path.rstrip("/").rsplit("/", 1)[-1])
-    sep = "," if re.search(r"\.csv(\.gz)?$", path) else "\t"
-    return assay_table(spark.read.option("header", True).option("sep", sep).option("comment", "#").csv(path), stem, release)
-
-
 def assay_elements(assay: DataFrame, least: int = 10) -> DataFrame:
     """(element, pos, ref, e_mean, e_signed, e_max) for each position from the first to the last.
 

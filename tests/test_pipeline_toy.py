@@ -44,6 +44,23 @@ def test_settings():
         settings.load(["nope=1"])
 
 
+def test_settings_file(tmp_path, monkeypatch):
+    (tmp_path / "a.yaml").write_text("k: 5\ngc: 0.3\nsmoke_values: {k: 7}\n")
+    (tmp_path / "b.json").write_text('{"window": 99}')
+    assert settings.load(path=str(tmp_path / "a.yaml")).k == 5
+    s = settings.load(["smoke=true", "windows=9"], {"gc": 0.6}, str(tmp_path / "a.yaml"))
+    assert (s.k, s.gc, s.windows, s.window) == (7, 0.6, 9, 256)
+    monkeypatch.setenv("HELIXFRAME_SETTINGS", str(tmp_path / "b.json"))
+    assert settings.load().window == 99
+    (tmp_path / "b.json").write_text("[1]")
+    with pytest.raises(ValueError):
+        settings.load()
+    (tmp_path / "b.json").write_text('{"nope": 1}')
+    with pytest.raises(ValueError):
+        settings.load()
+    assert settings.under("s3://x/", "a", "/b") == "s3://x/a/b"
+
+
 def test_layers():
     assert toy.layer_candidates(8) == [2, 4, 6] and toy.layer_candidates(2) == [1] and toy.layer_candidates(3) == [1, 2]
 

@@ -1,5 +1,8 @@
+import gzip
+
 import pytest
 
+from helixframe.sources import folders
 from helixframe.sources import genome as G
 from helixframe.streaming import incremental as I
 
@@ -37,7 +40,7 @@ def test_bed_windows(spark, tmp_path):
 def test_assay(spark, tmp_path):
     rows = [(p, r, a, v) for p, r, a, v in [(10, "A", "C", 0.1), (10, "A", "G", -0.2), (10, "A", "T", 0.0), (11, "C", "A", 0.3), (11, "C", "-", 9.0), (13, "G", "A", -2.0), (13, "G", "C", 1.0), (13, "G", "C", 3.0)]]
     (tmp_path / "toy.tsv").write_text("Position\tREF\tAlt\tlog2FC\n" + "\n".join("\t".join(map(str, r)) for r in rows))
-    a = G.read_assay(spark, str(tmp_path / "toy.tsv"))
+    a = folders.read_assay(spark, str(tmp_path / "toy.tsv"))
     assert a.count() == 7 and {r.element for r in a.collect()} == {"toy"}
     e = {r.pos: r for r in G.assay_elements(a, least=3).collect()}
     assert sorted(e) == [10, 11, 12, 13]
@@ -77,3 +80,72 @@ def test_running_density_equals_one_batch(spark, tmp_path):
     q.stop()
     got = sorted(map(tuple, I.state(spark, str(tmp_path / "out")).select("feature_id", "n_active", "max_z").collect()))
     assert got == sorted(map(tuple, I.partial_density(codes).collect()))
+
+
+def test_corpus_is_built_once_and_keeps_metadata(spark, tmp_path):
+    c = G.synthetic_corpus(spark, 30, 64)
+    built = []
+    for _ in range(2):
+        got = folders.load_corpus(spark, str(tmp_path / "a"), lambda: built.append(1) or c)
+    assert len(built) == 1
+    want = {r.seq_id: (r.cls, r.seq, [tuple(p) for p in r.planted]) for r in c.collect()}
+    assert {r.seq_id: (r.cls, r.seq, [tuple(p) for p in r.planted]) for r in got.collect()} == want and got.where("len <> 64").count() == 0
+    with pytest.raises(FileNotFoundError):
+        folders.load_corpus(spark, str(tmp_path / "none"))
+    # '>' inside a header, Windows line ends, a last line without an end
+    (tmp_path / "m.fa").write_bytes(b">a x>y\r\nAC\r\nGT\r\n>b\r\n\r\nTT>\r\n>c z\r\nA")
+    assert {r.seq_id: r.seq for r in G.read_fasta(spark, str(tmp_path / "m.fa")).collect()} == {"a": "ACGT", "b": "TT>", "c": "A"}
+
+
+def test_assay_folder_precedence(spark, tmp_path):
+    row = "Pos\tRef\tAlt\tValue\tElement\n1\tA\tC\t0.5\t{}\n"
+    for name in ("x.tsv", "my_elements_v2.tsv", "elements.tsv"):
+        (tmp_path / name).write_text(row.format(name))
+    (tmp_path / "note.md").write_text("not a table")
+    with gzip.open(tmp_path / "elements.tsv.gz", "wt") as f:
+        f.write(row.format("gz"))
+    for want in ("gz", "elements.tsv", "my_elements_v2.tsv", "x.tsv"):
+        assert [r.element for r in folders.read_assay(spark, str(tmp_path)).collect()] == [want]
+        (tmp_path / ("elements.tsv.gz" if want == "gz" else want)).unlink()
+    with pytest.raises(FileNotFoundError):
+        folders.read_assay(spark, str(tmp_path))
+
+
+def test_assay_files_of_several_headers(spark, tmp_path):
+    (tmp_path / "a one.tsv").write_text("# made by hand\nposition\tref\talt\tscore\n1\tA\tC\t0.5\n1\tA\tC\t0.7\n")
+    (tmp_path / "b.csv").write_text('Release,Position,Ref,Alt,"log2FC",Region\nGRCh38,1,a,c,-1.5,e\nGRCh37,2,A,C,9,e\nGRCh38,2,A,-,9,e\n')
+    (tmp_path / "c.csv").write_text("Release,Position,Ref,Alt,log2FC,Region\ngrch38,1,A,C,2.5,e\n")
+    got = folders.read_assay(spark, str(tmp_path), "GRCh38")
+    assert sorted((r.element, r.pos, r.alt, r.eff) for r in got.collect()) == [("a one", 1, "C", 0.5), ("a one", 1, "C", 0.7), ("e", 1, "C", -1.5), ("e", 1, "C", 2.5)]
+    # the last row of a file and the last file win
+    last = {r.element: r.e_signed for r in G.assay_elements(got, least=1).collect()}
+    assert last == {"a one": 0.7, "e": 2.5}
+
+
+def test_last_row_wins_in_a_split_file(spark, tmp_path):
+    n = 4000
+    (tmp_path / "big.tsv").write_text("pos\tref\talt\teffect\telement\n" + "".join(f"{i % 20}\tA\tC\t{i}\te\n" for i in range(n)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        a = folders.read_assay(spark, str(tmp_path / "big.tsv"))
+        assert a.rdd.getNumPartitions() > 3
+        got = {r.pos: r.e_signed for r in G.assay_elements(a.repartition(5)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {p: float(n - 20 + p) for p in range(20)}
+
+
+def test_sources_of_elements(spark, tmp_path):
+    (tmp_path / "t.tsv").write_text("pos\tref\talt\teffect\n" + "".join(f"{p}\t{'ACGT'[p % 4]}\t{'CGTA'[p % 4]}\t{p - 6}\n" for p in range(5, 17) if p != 9))
+    got = folders.load_elements(spark, "assay", str(tmp_path / "t.tsv")).collect()
+    assert len(got) == 1 and got[0].elem_id == "t" and got[0].seq == "CGTAACGTACGTA"[0:4] + "A" + "GTACGTA"
+    assert got[0].e_signed == [-1.0, 0.0, 1.0, 2.0, 0.0, 4.0, 5.0, 6.0, 7.0, 8.0, 9.0, 10.0] and got[0].e_alt[0] == [0.0, 0.0, 1.0, 0.0] and got[0].e_alt[4] == [0.0] * 4
+    s = folders.load_elements(spark, "synthetic", n=3, length=64)
+    folders.write_elements(s, str(tmp_path / "p"))
+    assert sorted(folders.load_elements(spark, "table", str(tmp_path / "p")).collect()) == sorted(s.collect())
+    folders.write_elements(s.drop("e_alt"), str(tmp_path / "p"))
+    assert folders.load_elements(spark, "table", str(tmp_path / "p")).where("e_alt IS NULL").count() == 3
+    for bad in (("nope", ""), ("assay", "")):
+        with pytest.raises(ValueError):
+            folders.load_elements(spark, *bad)
