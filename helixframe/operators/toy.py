@@ -156,7 +156,10 @@ def _spearman(i: np.ndarray, e: np.ndarray) -> float:
 
 
 def alignments(elements: DataFrame, model, encode, layer: int, metric: str = "spearman_all", alts: str = "all", summary: str = "max", every: bool = False) -> DataFrame:
-    """The alignment fact (feature_id, elem_id, a_f, mass) of the features active on each element, or of all."""
+    """The alignment fact (feature_id, elem_id, a_f, mass) of the features active on each element, or of all.
+
+    Effects of another length than the sequence, as of a shuffled partner, count over the positions that both have.
+    """
     from helixframe.operators.metrics import get_metric
     from helixframe.plans.programs import _weighted_precision
 
@@ -170,7 +173,8 @@ def alignments(elements: DataFrame, model, encode, layer: int, metric: str = "sp
     def one(seq, e_mean):
         x, e = S.codes(seq), np.array(e_mean)
         d, z = sensitivity(x, model, encode, layer, alts, summary)
-        i = d.mean(axis=1)
+        n = min(len(d), len(e))
+        i, e = d.mean(axis=1)[:n], e[:n]
         return ([{"feature_id": int(f), "a_f": score(i[:, f], e), "mass": float(z[:, f].sum())} for f in range(z.shape[1]) if every or z[:, f].max() > 0],)
 
     u = row_struct(one, "a array<struct<feature_id:int,a_f:double,mass:double>>")

@@ -30,6 +30,7 @@ class Settings:
     seeds: int = 3
     replicates: int = 1000
     q: float = 0.10
+    match: float = 0.5
     source: str = "synthetic"
     path: str = ""
     release: str = "GRCh38"
@@ -40,7 +41,7 @@ class Settings:
         return self.d_model * self.expansion
 
 
-SMOKE = {"windows": 300, "window": 256, "elements": 12, "element": 120, "d_model": 32, "layers": 2, "epochs": 2, "k": 8, "null_directions": 40}
+SMOKE = {"windows": 300, "window": 256, "elements": 12, "element": 120, "d_model": 32, "layers": 2, "epochs": 2, "k": 8, "null_directions": 40, "replicates": 100}
 
 
 #: Names the settings file where `load` is given none.

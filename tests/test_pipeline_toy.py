@@ -76,12 +76,56 @@ def test_activations_and_annotation(spark):
     assert got[1] == "dead" and got[0] in ("motif", "element", "unannotated")
 
 
+SMALL = ["smoke=true", "windows=40", "window=64", "elements=5", "element=64", "expansion=1", "null_directions=10", "epochs=1", "d_model=16", "seeds=2", "replicates=20"]
+
+
 def test_pipeline_smoke(spark, tmp_path):
-    s = settings.load(["smoke=true", "windows=40", "window=64", "elements=5", "element=64", "expansion=1", "null_directions=10", "epochs=1", "d_model=16"])
+    s = settings.load(SMALL)
     out = pipeline.run(spark, s, str(tmp_path))
-    assert out["elements"] == 5 and sum(out["seed_0"]["labels"].values()) > 0
-    assert "layer" in pipeline.report(out)
-    assert pipeline.run(spark, s, str(tmp_path))["seed_0"]["labels"] == out["seed_0"]["labels"]  # from the written tables
+    assert out["elements"] == 5 and all(sum(out[f"seed_{i}"]["labels"].values()) > 0 for i in range(2)) and not out["power"]["enough"]
+    again = pipeline.run(spark, s, str(tmp_path))  # from the written tables
+    assert again == out
+    read = lambda name: spark.read.parquet(str(tmp_path / name))
+    f = read("features-0")
+    assert {"A_f", "threshold", "q_value", "lo", "ci_robust", "high_confidence", "note", "top_motif", "label"} <= set(f.columns)
+    assert f.where("label = 'causal'").count() == f.where("A_f > threshold").count() == out["seed_0"]["labels"].get("causal", 0)
+    assert f.where("high_confidence AND NOT ci_robust").count() == 0 and f.where("note IS NULL").count() == 0
+    got = {r.control: r for r in read("controls").collect()}
+    assert set(got) == {"null", "loglik", "shuffle", "seeds", "matched null"}
+    n = f.where("A_f IS NOT NULL").count()
+    assert got["null"].value == pytest.approx(f.where(f"A_f > {out['threshold']!r}").count() / n)
+    assert got["loglik"].verdict in ("OK", "WEAK") and got["shuffle"].verdict in ("OK", "CHECK") and got["seeds"].verdict in ("OK", "unstable", "no match")
+    assert read("classes").agg(F.sum("n")).first()[0] == n
+    text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "report")).collect())
+    assert "## Controls" in text and "matched null" in text
+
+
+def test_pipeline_on_an_assay_folder(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    rng = np.random.default_rng(3)
+    for name in ("x", "y"):
+        rows = [f"{p}\t{'ACGT'[b]}\t{'ACGT'[(b + 1) % 4]}\t{rng.normal():.3f}" for p, b in enumerate(rng.integers(0, 4, 70))]
+        (tmp_path / "in" / f"{name}.tsv").write_text("\n".join(["pos\tref\talt\teffect", *rows]))
+    s = settings.load([*SMALL, "source=assay", f"path={tmp_path / 'in'}", "seeds=1"])
+    out = pipeline.run(spark, s, str(tmp_path / "out"))
+    assert out["elements"] == 2 and out["controls"]["seeds"] == (None, "one seed") and out["power"]["n_nonzero"] > 100
+
+
+def test_matched_runs_and_verdicts(spark):
+    w = {0: [[1.0, 0.0], [0.0, 1.0], [-1.0, 0.0]], 1: [[0.0, 2.0], [3.0, 0.1], [0.1, 1.0]]}
+    weights = {s: spark.createDataFrame([(i, v) for i, v in enumerate(m)], "feature_id bigint, w array<double>") for s, m in w.items()}
+    tested = {0: [(0, 0.4), (1, 0.2), (2, 0.9)], 1: [(0, 0.2), (1, 0.6), (2, None)]}
+    tested = {s: spark.createDataFrame(r, "feature_id bigint, A_f double") for s, r in tested.items()}
+    values, pairs = pipeline.matched_runs(tested, weights)
+    # feature 2 points away from all of the second run; the second run's third direction is nobody's nearest
+    assert sorted((r.feature_id, r.seed, r.a) for r in values.collect()) == [(0, 0, 0.4), (0, 1, 0.6), (1, 0, 0.2), (1, 1, 0.2)] and pairs.count() == 2
+    rows = {r["control"]: r for r in pipeline.controls(tested[0], 0.3, 0.95, 0.5, tested[1], tested, weights)}
+    assert rows["null"]["value"] == pytest.approx(2 / 3) and rows["null"]["verdict"] == "OK"
+    assert rows["loglik"]["value"] == 0.5 and rows["loglik"]["verdict"] == "WEAK"
+    assert rows["shuffle"]["value"] == 0.5 and rows["shuffle"]["verdict"] == "CHECK"
+    assert rows["seeds"]["value"] == pytest.approx(0.1) and rows["seeds"]["verdict"] == "OK"
+    alone = pipeline.controls(tested[0], 0.95, 0.95, None, tested[1].limit(0), {0: tested[0]}, weights)
+    assert [r["verdict"] for r in alone] == ["-", "WEAK", "OK", "one seed"]
 
 
 def test_substitution_alignment_and_tracks(spark):
