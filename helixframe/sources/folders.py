@@ -7,7 +7,7 @@ import csv
 import re
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.sources import genome as G
@@ -97,15 +97,22 @@ def assay_sequences(assay: DataFrame, least: int = 10) -> DataFrame:
     The sequence is the reference bases in order of position; e_alt has the size of each effect by position and base A, C, G, T.
     Null effects count as none.  An element is one row, so its length is what a row holds.
     """
-    last = assay.where("element IS NOT NULL AND pos IS NOT NULL").groupBy("element", "pos", "alt").agg(F.max_by("eff", "row").alias("eff"))
-    size = [F.coalesce(F.max(F.when(F.col("alt") == b, F.abs("eff"))), F.lit(0.0)) for b in "ACGT"]
-    by_base = last.groupBy("element", "pos").agg(F.array(*size).alias("e_alt"))
-    known = assay.where("element IS NOT NULL AND pos IS NOT NULL")
-    whole = G.assay_elements(known, least).join(by_base, ["element", "pos"], "left").withColumn("e_alt", F.coalesce("e_alt", F.array(*[F.lit(0.0)] * 4)))
-    fields = ("ref", "e_mean", "e_signed", "e_max", "e_alt")
-    rows = whole.groupBy("element").agg(F.array_sort(F.collect_list(F.struct("pos", *fields))).alias("p"))
+    last = assay.where("element IS NOT NULL AND pos IS NOT NULL").groupBy("element", "pos", "alt").agg(F.max_by(F.struct("eff", "ref"), "row").alias("v"), F.max("row").alias("row"))
+    eff, n = F.col("v.eff"), F.greatest(F.lit(1), F.count_if(F.col("v.eff") != 0))
+    zero = F.lit(0.0)
+    size = [F.coalesce(F.max(F.when(F.col("alt") == b, F.abs(eff))), zero) for b in "ACGT"]
+    at = last.groupBy("element", "pos").agg(
+        F.coalesce(F.max_by("v.ref", "row"), F.lit("A")).alias("ref"), F.coalesce(F.sum(F.abs(eff)) / n, zero).alias("e_mean"), F.coalesce(F.sum(eff) / n, zero).alias("e_signed"),
+        F.coalesce(F.max(F.abs(eff)), zero).alias("e_max"), F.array(*size).alias("e_alt"),
+    )
+    # positions up to the next known one have base A and no effect
+    after = F.coalesce(F.lead("pos").over(Window.partitionBy("element").orderBy("pos")) - 1, F.col("pos"))
+    own = F.struct("ref", "e_mean", "e_signed", "e_max", "e_alt")
+    none = F.struct(F.lit("A").alias("ref"), zero.alias("e_mean"), zero.alias("e_signed"), zero.alias("e_max"), F.array(*[zero] * 4).alias("e_alt"))
+    run = at.select("element", F.struct("pos", F.concat(F.array(own), F.array_repeat(none, after - F.col("pos"))).alias("v")).alias("r"))
+    rows = run.groupBy("element").agg(F.array_sort(F.collect_list("r")).alias("r")).select("element", F.flatten(F.transform("r", lambda x: x["v"])).alias("p")).where(F.size("p") >= least)
     take = lambda name: F.transform("p", lambda x: x[name])
-    return rows.select(F.col("element").alias("elem_id"), F.array_join(F.transform("p", lambda x: F.substring(x["ref"], 1, 1)), "").alias("seq"), *[take(c).alias(c) for c in fields[1:]])
+    return rows.select(F.col("element").alias("elem_id"), F.array_join(F.transform("p", lambda x: F.substring(x["ref"], 1, 1)), "").alias("seq"), *[take(c).alias(c) for c in ("e_mean", "e_signed", "e_max", "e_alt")])
 
 
 def synthetic_elements(spark: SparkSession, n: int, length: int, gc: float = 0.42, seed: int = 0) -> DataFrame:
