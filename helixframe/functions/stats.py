@@ -76,17 +76,17 @@ def percentile_of(df: DataFrame, value: str, q: float, by: tuple[str, ...] = (),
     return df.groupBy(*by).agg(F.coalesce(F.percentile(value, F.lit(q)), F.lit(0.0)).alias(out))
 
 
-def empirical_pvalue(df: DataFrame, value: str, null: DataFrame, null_value: str, upper: bool = True, out: str = "p_value", by: tuple[str, ...] = ()) -> DataFrame:
+def empirical_pvalue(df: DataFrame, value: str, null: DataFrame, null_value: str, upper: bool = True, out: str = "p_value", by: tuple[str, ...] = (), times: str | None = None, cells_a_block: int = prefix.CELLS) -> DataFrame:
     """(1 + null values at least (at most) as extreme) / (1 + null values); null for a null value or an empty null.
 
     With `by`, columns of both sides, a row is held against its own group's null values.  Counts come from one pass over the union
-    of distinct values: no pairing of features with null values.
+    of distinct values: no pairing of features with null values.  A null row stands for as many as its `times` says, if that is given.
     """
     by, v = list(by), F.col(value)
-    cells = df.where(v.isNotNull()).groupBy(*by, v.alias("_v")).agg(F.lit(0).cast("bigint").alias("_n"))
-    cells = cells.unionByName(null.where(F.col(null_value).isNotNull()).groupBy(*by, F.col(null_value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
+    cells = df.where(v.isNotNull()).select(*by, v.alias("_v"), F.lit(0).cast("bigint").alias("_n"))
+    cells = cells.unionByName(null.where(F.col(null_value).isNotNull()).select(*by, F.col(null_value).alias("_v"), (F.col(times) if times else F.lit(1)).cast("bigint").alias("_n")))
     cells = cells.groupBy(*by, "_v").agg(F.sum("_n").alias("_n"))
-    cells = prefix.running(prefix.blocked(cells, "_v"), by, "_v", "_n", "_k", descending=upper)
+    cells = prefix.running(prefix.blocked(cells, "_v", cells_a_block), by, "_v", "_n", "_k", descending=upper)
     cells = prefix.totals(cells, by, "_n", "_all").select(*by, "_v", F.when(F.col("_all") > 0, (1 + F.col("_k")) / (1 + F.col("_all"))).alias(out))
     return prefix.attach(df, cells, by, v, "_v", out)
 
@@ -98,14 +98,15 @@ def harmonic(n: Column) -> Column:
     return F.when(n <= 64, few).otherwise(F.log(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * F.pow(x, F.lit(4))))
 
 
-def bh_qvalue(df: DataFrame, p: str, out: str = "q_value", dependent: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+def bh_qvalue(df: DataFrame, p: str, out: str = "q_value", dependent: bool = False, by: tuple[str, ...] = (), times: str | None = None, cells_a_block: int = prefix.CELLS) -> DataFrame:
     """X3 (X4 with dependent): least of p_j n / j over j from the row's rank on, clipped to 0..1; null for a null p.
 
     A q-value depends on p alone, so both scans, of ranks upwards and of minima downwards, go over distinct p-values, block by block.
+    A row stands for as many as its `times` says, if that is given.
     """
     by = list(by)
-    cells = df.where(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
-    cells = prefix.totals(prefix.running(prefix.blocked(cells, "_p"), by, "_p", "_c", "_j"), by, "_c", "_n")
+    cells = df.where(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("_p")).agg((F.sum(times) if times else F.count(F.lit(1))).alias("_c"))
+    cells = prefix.totals(prefix.running(prefix.blocked(cells, "_p", cells_a_block), by, "_p", "_c", "_j"), by, "_c", "_n")
     raw = F.col("_p") * F.col("_n") / F.col("_j") * (harmonic(F.col("_n")) if dependent else F.lit(1.0))
     cells = prefix.running(cells.withColumn("_raw", raw), by, "_p", "_raw", "_q", how="min", descending=True)
     return prefix.attach(df, cells.withColumn(out, F.least(F.greatest("_q", F.lit(0.0)), F.lit(1.0))), by, F.col(p), "_p", out)

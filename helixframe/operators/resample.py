@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.durable import durable
-from helixframe.functions import stats
+from helixframe.functions import prefix, stats
 from helixframe.sources.tables import lcg
 
 
@@ -36,30 +38,96 @@ def studentised(features: DataFrame, ci: DataFrame, by: str = "feature_id", leas
     return features.join(ci.select(by, "se"), by).withColumn("t", F.when(ok, F.col("A_f") / F.col("se")))
 
 
-def subset_table(ids: DataFrame, key: str, sizes: list[int], reps: int) -> DataFrame:
-    """(size, rep, key): for every replicate the `size` ids of least hash."""
-    grid = ids.crossJoin(F.broadcast(ids.sparkSession.createDataFrame([(r,) for r in range(reps)], "rep int")))
-    w = Window.partitionBy("rep").orderBy(F.expr(lcg("rep", key)), key)
-    ranked = grid.withColumn("i", F.row_number().over(w))
-    return ranked.select(key, "rep", "i", F.explode(F.array(*map(F.lit, sizes))).alias("size")).where("i <= size").drop("i")
+#: Features whose medians over all parts are worked out at once, as rows of a matrix.
+TOGETHER = 256
+
+
+def _deal_medians(a: np.ndarray, w: np.ndarray, deal: np.ndarray, letter: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted medians (feature, split) of the cells dealt the letter, and where there are any; a, w (feature, cell) by value, deal (feature, cell, split)."""
+    features, cells, splits = deal.shape
+    mine = [deal[:, i] == letter for i in range(cells)]
+    total, known = np.zeros((features, splits)), np.zeros((features, splits), bool)
+    for i in range(cells):
+        total += w[:, i, None] * mine[i]
+        known |= mine[i]
+    cum, out, left = np.zeros_like(total), np.zeros_like(total), total > 0
+    for i in range(cells):
+        cum += w[:, i, None] * mine[i]
+        now = left & (cum >= total / 2)
+        if i + 1 < cells:
+            now &= (a[:, i] != a[:, i + 1])[:, None]  # equal values are one cell
+        out = np.where(now, a[:, i, None], out)
+        left &= ~now
+    for f, s in np.argwhere(known & ~(total > 0)):
+        out[f, s] = np.median(a[f, deal[f, :, s] == letter])
+    return out, known
+
+
+def deal_medians(values: DataFrame, deals: DataFrame, by: list[str], parts: int) -> DataFrame:
+    """(by, m0, m1, ...): weighted medians of a_f by mass over the loci of each part of every split, null for a part without any.
+
+    deals (locus, deal): a letter for each split, which names the locus's part, or another one.  A group's few loci come
+    together once, however many splits there are, and what leaves is one array of `splits` numbers a part.
+    """
+    rows = values.where("a_f IS NOT NULL").join(deals, "locus").groupBy(*by).agg(F.collect_list(F.struct("a_f", "locus", "mass", "deal")).alias("_s"))
+    rows = rows.select(*by, F.sort_array("_s").alias("_s"))
+    at = len(by)
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held, size = b.column(at).flatten(), b.column(at).value_lengths().to_numpy(zero_copy_only=False)
+            first = np.concatenate([[0], np.cumsum(size)[:-1]])
+            a = held.field("a_f").to_numpy(zero_copy_only=False)
+            w = np.nan_to_num(held.field("mass").to_numpy(zero_copy_only=False).astype(float))
+            text = held.field("deal").to_pylist()
+            deal = np.frombuffer("".join(text).encode(), np.uint8).reshape(len(text), -1)
+            out, known = np.zeros((parts, b.num_rows, deal.shape[1])), np.zeros((parts, b.num_rows, deal.shape[1]), bool)
+            for n in np.unique(size):
+                same = np.flatnonzero(size == n)
+                for k in range(0, len(same), TOGETHER):
+                    f = same[k : k + TOGETHER]
+                    cell = first[f][:, None] + np.arange(n)
+                    for part in range(parts):
+                        out[part, f], known[part, f] = _deal_medians(a[cell], w[cell], deal[cell], ord("0") + part)
+            ends = pa.array(np.arange(b.num_rows + 1) * deal.shape[1], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(out[i].ravel(), mask=~known[i].ravel())) for i in range(parts)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], *lists], names=[*by, *names])
+
+    names = [f"m{i}" for i in range(parts)]
+    schema = ", ".join([f"{c} {rows.schema[c].dataType.simpleString()}" for c in by] + [f"{n} array<double>" for n in names])
+    return rows.mapInArrow(run, schema)
+
+
+def _places(loci: DataFrame, reps: int) -> DataFrame:
+    """(locus, rep, place, n): for every replicate the loci's places from 0 on in order of a draw, and their number."""
+    grid = loci.select("locus").distinct().crossJoin(F.broadcast(loci.sparkSession.range(reps).select(F.col("id").cast("int").alias("rep"))))
+    w = Window.partitionBy("rep")
+    return grid.withColumns({"place": F.row_number().over(w.orderBy(F.expr(lcg("rep", "locus")), "locus")) - 1, "n": F.count(F.lit(1)).over(w)})
+
+
+def _deals(placed: DataFrame, *letters: Column) -> DataFrame:
+    """(locus, deal): of each of letters, columns of a locus's place, one letter a replicate."""
+    held = placed.groupBy("locus").agg(F.array_sort(F.collect_list(F.struct("rep", *[c.alias(f"l{i}") for i, c in enumerate(letters)]))).alias("r"))
+    return held.select("locus", F.concat(*[F.array_join(F.col(f"r.l{i}"), "") for i in range(len(letters))]).alias("deal"))
 
 
 def subsample_curve(align: DataFrame, loci: DataFrame, sizes: list[int], reps: int, threshold: float = 0.0) -> DataFrame:
-    """Mean share of features above the threshold by number of loci, all replicates in one join."""
-    picked = align.join(subset_table(loci, "locus", sizes, reps), "locus")
-    a = stats.weighted_median(picked, ["size", "rep", "feature_id"], "a_f", "mass", "A_f")
-    each = a.groupBy("size", "rep").agg(F.avg((F.col("A_f") > threshold).cast("double")).alias("share"))
+    """Mean share of features above the threshold by number of loci: for every replicate the `size` loci of least draw."""
+    deals = _deals(_places(loci, reps), *[F.when(F.col("place") < s, "0").otherwise("-") for s in sizes])
+    a = deal_medians(align, deals, ["feature_id"], 1).select(F.posexplode("m0").alias("at", "A_f")).where("A_f IS NOT NULL")
+    size = F.element_at(F.array(*map(F.lit, sizes)), (F.floor(F.col("at") / reps) + 1).cast("int"))
+    each = a.groupBy(size.alias("size"), (F.col("at") % reps).alias("rep")).agg(F.avg((F.col("A_f") > threshold).cast("double")).alias("share"))
     return each.groupBy("size").agg(F.avg("share").alias("mean_share"), F.min("share").alias("least"), F.max("share").alias("most"))
 
 
 def split_half(align: DataFrame, loci: DataFrame, splits: int, threshold: float = 0.0) -> DataFrame:
     """Jaccard of the features above the threshold in the two halves of each split, and its summary (population sd)."""
-    grid = loci.crossJoin(F.broadcast(loci.sparkSession.createDataFrame([(r,) for r in range(splits)], "rep int")))
-    n = F.count(F.lit(1)).over(Window.partitionBy("rep"))
-    half = F.floor(2 * (F.row_number().over(Window.partitionBy("rep").orderBy(F.expr(lcg("rep", "locus")), "locus")) - 1) / n)
-    a = stats.weighted_median(align.join(grid.withColumn("half", half), "locus"), ["rep", "half", "feature_id"], "a_f", "mass", "A_f")
-    both = a.groupBy("rep", "feature_id").agg(F.count_if((F.col("A_f") > threshold) & (F.col("half") == 0)).alias("x"), F.count_if((F.col("A_f") > threshold) & (F.col("half") == 1)).alias("y"))
-    j = both.groupBy("rep").agg(F.count_if((F.col("x") > 0) & (F.col("y") > 0)).alias("i"), F.count_if((F.col("x") > 0) | (F.col("y") > 0)).alias("u"))
+    deals = _deals(_places(loci, splits), F.floor(2 * F.col("place") / F.col("n")).cast("string"))
+    both = deal_medians(align, deals, ["feature_id"], 2).select(F.posexplode(F.arrays_zip("m0", "m1")).alias("rep", "m"))
+    x, y = (F.coalesce(F.col(f"m.m{i}") > threshold, F.lit(False)) for i in range(2))
+    j = both.groupBy("rep").agg(F.count_if(x & y).alias("i"), F.count_if(x | y).alias("u"))
     return j.where("u > 0").agg(F.avg(F.col("i") / F.col("u")).alias("mean"), F.stddev_pop(F.col("i") / F.col("u")).alias("sd"), F.count(F.lit(1)).alias("splits"))
 
 
@@ -78,29 +146,46 @@ def split_design(first: DataFrame, second: DataFrame, null: DataFrame, splits: i
     correlation of A_f over features known to both, of a second run's feature with its partner in pairs(first_id, second_id), or with
     the feature of its own id without pairs; fewer than three features give 0, none give no rho.
 
-    All splits and cells are groups of the same few aggregations; the inputs are collapsed to loci (feature_id, locus, a_f, mass).
+    A feature's medians of all splits are worked out at once and kept as two arrays a run.  What is tested are distinct values of
+    A_f with their counts: a set is all features from some value of A_f on, as q falls with it, so all that comes back to the features
+    is one number for each run, half and split.  Inputs are collapsed to loci (feature_id, locus, a_f, mass).
     """
-    spark = first.sparkSession
-    grid = first.select("locus").distinct().crossJoin(F.broadcast(spark.createDataFrame([(r,) for r in range(splits)], "rep int")))
-    w = Window.partitionBy("rep")
-    place = F.row_number().over(w.orderBy(F.expr(lcg("rep", "locus")), "locus")) - 1
-    halves = grid.withColumn("half", F.floor(place / F.floor(F.count(F.lit(1)).over(w) / 2)).cast("int")).where("half < 2")
+    deals = _deals(_places(first, splits), F.coalesce(F.least(F.floor(F.try_divide("place", F.floor(F.col("n") / 2))), F.lit(2)), F.lit(2)).cast("string"))
     runs = [d.select(F.lit(i).alias("run"), "feature_id", "locus", "a_f", "mass") for i, d in enumerate((first, second, null))]
-    a = durable(stats.weighted_median(runs[0].unionByName(runs[1]).unionByName(runs[2]).join(halves, "locus"), ["run", "rep", "half", "feature_id"], "a_f", "mass", "A_f"))
-    tested = stats.empirical_pvalue(a.where("run < 2"), "A_f", a.where("run = 2"), "A_f", by=("rep", "half"))
+    wide = durable(deal_medians(runs[0].unionByName(runs[1]).unionByName(runs[2]), deals, ["run", "feature_id"], 2))
+    cells = wide.select("run", F.posexplode(F.concat("m0", "m1")).alias("at", "A_f")).where("A_f IS NOT NULL")
+    cells = cells.groupBy("run", (F.col("at") % splits).alias("rep"), F.floor(F.col("at") / splits).cast("int").alias("half"), "A_f").agg(F.count(F.lit(1)).alias("times"))
+    cells = durable(cells)
+    # splits are many groups of like size, so each is scanned by one window, which sorts outside memory
+    many = prefix.CELLS * 2 * splits
+    tested = stats.empirical_pvalue(cells.where("run < 2"), "A_f", cells.where("run = 2"), "A_f", by=("rep", "half"), times="times", cells_a_block=many)
     # rounded, as a q-value is a product of quotients
-    hits = stats.bh_qvalue(tested, "p_value", by=("run", "rep", "half")).select("run", "rep", "half", "feature_id", "A_f", F.coalesce(F.round("q_value", 9) < q, F.lit(False)).alias("hit"))
-    hits = durable(hits)
-    base = hits.where("run = 0 AND half = 0").select("rep", F.explode(F.array(*map(F.lit, CELLS))).alias("cell"), "feature_id", F.col("hit").alias("x"), F.lit(False).alias("y"), F.col("A_f").alias("ax"), F.lit(None).cast("double").alias("ay"))
-    name = F.coalesce(*[F.when((F.col("run") == r) & (F.col("half") == h), c) for c, (r, h) in CELLS.items()])
-    other = hits.where("run > 0 OR half > 0").select("rep", name.alias("cell"), "feature_id", F.lit(False).alias("x"), F.col("hit").alias("y"), F.lit(None).cast("double").alias("ax"), F.col("A_f").alias("ay"))
-    met = lambda d: base.unionByName(d).groupBy("rep", "cell", "feature_id").agg(F.max("x").alias("x"), F.max("y").alias("y"), F.max("ax").alias("ax"), F.max("ay").alias("ay"))
-    by_id = met(other)
-    j = by_id.groupBy("rep", "cell").agg(F.count_if(F.col("x") & F.col("y")).alias("i"), F.count_if(F.col("x") | F.col("y")).alias("u"))
+    hits = stats.bh_qvalue(tested, "p_value", by=("run", "rep", "half"), times="times", cells_a_block=many).where(F.round("q_value", 9) < q)
+    least = lambda r, h: F.min(F.when((F.col("run") == r) & (F.col("half") == h), F.col("A_f")))
+    cut = hits.groupBy("rep").agg(*[least(r, h).alias(f"c{r}{h}") for r in range(2) for h in range(2)]).withColumnRenamed("rep", "_rep")
+    side = lambda r: wide.where(F.col("run") == r).select("feature_id", F.col("m0").alias(f"a{r}0"), F.col("m1").alias(f"a{r}1"))
+    names = ["a00", "a01", "a10", "a11"]
+    nothing = F.array_repeat(F.lit(None).cast("double"), splits)
+
+    def met(other):
+        both = side(0).join(other, "feature_id", "full").select(*[F.coalesce(c, nothing).alias(c) for c in names])
+        return both.select(F.posexplode(F.arrays_zip(*names)).alias("rep", "a")).select("rep", "a.*")
+
+    hit = lambda r, h: F.coalesce(F.col(f"a{r}{h}") >= F.col(f"c{r}{h}"), F.lit(False))
+    counts = []
+    for c, (r, h) in CELLS.items():
+        counts += [F.count_if(hit(0, 0) & hit(r, h)).alias(f"{c}_i"), F.count_if(hit(0, 0) | hit(r, h)).alias(f"{c}_u"), F.count_if(F.col("a00").isNotNull() | F.col(f"a{r}{h}").isNotNull()).alias(f"{c}_n")]
+    by_id = met(side(1))
+    j = by_id.join(F.broadcast(cut), F.col("rep") == F.col("_rep"), "left").groupBy("rep").agg(*counts)
+    j = j.select("rep", F.inline(F.array(*[F.struct(F.lit(c).alias("cell"), F.col(f"{c}_i").alias("i"), F.col(f"{c}_u").alias("u"), F.col(f"{c}_n").alias("n")) for c in CELLS]))).where("n > 0")
     if pairs is not None:
-        named = other.where("cell <> 'data'").join(pairs.select(F.col("second_id").alias("feature_id"), "first_id"), "feature_id").drop("feature_id").withColumnRenamed("first_id", "feature_id")
-        by_id = met(other.where("cell = 'data'").unionByName(named))
-    rho = stats.spearman(by_id, ["rep", "cell"], "ax", "ay", "rho")
+        named = side(1).join(pairs.select(F.col("second_id").alias("feature_id"), "first_id"), "feature_id").groupBy(F.col("first_id").alias("feature_id"))
+        most = lambda c: F.reduce(F.collect_list(c), nothing, lambda s, x: F.zip_with(s, x, lambda a, b: F.greatest(a, b))).alias(c)
+        by_id = met(named.agg(most("a10"), most("a11")))
+    values = by_id.select("rep", F.inline(F.array(*[F.struct(F.lit(c).alias("cell"), F.col("a00").alias("ax"), F.col(f"a{r}{h}").alias("ay")) for c, (r, h) in CELLS.items()]))).where("ax IS NOT NULL AND ay IS NOT NULL")
+    group = Window.partitionBy("rep", "cell")
+    rank = lambda c: F.rank().over(group.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy("rep", "cell", c)) - 1) / F.lit(2.0)
+    rho = stats.correlation(["rep", "cell"], values.withColumn("rx", rank("ax")).withColumn("ry", rank("ay")), "rx", "ry", "rho")
     each = j.join(rho, ["rep", "cell"], "left").withColumn("jaccard", F.when(F.col("u") > 0, F.col("i") / F.col("u")))
     return each.groupBy("cell").agg(F.avg("jaccard").alias("mean_jaccard"), F.stddev_pop("jaccard").alias("sd_jaccard"), F.avg("rho").alias("mean_rho"), F.count("jaccard").alias("splits"))
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from helixframe.functions import stats
 from helixframe.operators import resample as R
@@ -137,3 +138,27 @@ def test_sampled_windows(spark):
     found = {r[1:3] for r in run(10**3) if r[0] == "background"}
     assert {r[1:3] for r in got if r[0] == "background"} <= found <= free and len(found) > 0.9 * len(free)
     assert run(0, iv.limit(0)) == [] and [r for r in run(5, iv, contigs.limit(0)) if r[0] == "background"] == []
+
+
+def test_medians_of_all_parts_at_once(spark):
+    """One row a feature, however many splits: equal to the median of each part's rows, with ties, zero weights and missing loci."""
+    rng = random.Random(5)
+    rows = [(f, e, rng.choice([-0.5, 0.0, 0.25, 0.5, 1.0]), rng.choice([0.0, 0.5, 1.5, None])) for f in range(20) for e in range(7) if rng.random() < 0.7]
+    values = spark.createDataFrame([*rows, (3, 1, None, 1.0)], "feature_id bigint, locus bigint, a_f double, mass double")
+    deals = [(e, "".join(rng.choice("012") for _ in range(9))) for e in range(7)]
+    got = R.deal_medians(values, spark.createDataFrame(deals, "locus bigint, deal string"), ["feature_id"], 2).collect()
+    assert sorted(r.feature_id for r in got) == sorted({r[0] for r in rows})
+    long = [(e, s, int(part)) for e, text in deals for s, part in enumerate(text) if part != "2"]
+    parts = values.join(spark.createDataFrame(long, "locus bigint, split int, part int"), "locus")
+    want = {(r.feature_id, r.split, r.part): r.m for r in stats.weighted_median(parts, ["feature_id", "split", "part"], "a_f", "mass", "m").collect() if r.m is not None}
+    assert {(r.feature_id, s, p): m for r in got for p in (0, 1) for s, m in enumerate(r[f"m{p}"]) if m is not None} == want
+
+
+def test_counted_rows_give_the_same_p_and_q(spark):
+    df = spark.createDataFrame([("a", 1.0, 3), ("a", 3.0, 1), ("a", 0.0, 2), ("b", 1.0, 2)], "g string, v double, n bigint")
+    null = spark.createDataFrame([("a", 2.0, 2), ("a", 1.0, 5), ("b", 0.0, 4)], "g string, v double, n bigint")
+    each = lambda d: d.withColumn("i", F.explode(F.expr("sequence(1, n)"))).select("g", "v")
+    plain = stats.bh_qvalue(stats.empirical_pvalue(each(df), "v", each(null), "v", by=("g",)), "p_value", by=("g",))
+    counted = stats.bh_qvalue(stats.empirical_pvalue(df, "v", null, "v", by=("g",), times="n"), "p_value", by=("g",), times="n")
+    columns = ("g", "v", "p_value", "q_value")
+    assert sorted(plain.select(*columns).distinct().collect()) == sorted(counted.select(*columns).collect())
