@@ -22,10 +22,15 @@ def _rank(v: np.ndarray) -> np.ndarray:
     return (end - (n - 1) / 2)[inverse]
 
 
-def _weighted_precision(i: np.ndarray, e: np.ndarray) -> float:
+def _ranked_precision(i: np.ndarray, rank: np.ndarray) -> float:
+    """X8 of weights against the average ranks of the effects."""
     if len(i) < 3 or i.sum() <= 0:
         return 0.0
-    return float(2 * (i * (_rank(e) - 1) / (len(e) - 1 + 1e-12)).sum() / i.sum() - 1)
+    return float(2 * (i * (rank - 1) / (len(rank) - 1 + 1e-12)).sum() / i.sum() - 1)
+
+
+def _weighted_precision(i: np.ndarray, e: np.ndarray) -> float:
+    return _ranked_precision(i, _rank(e))
 
 
 def ism_alignment(corpus: DataFrame, masked: bool = False) -> DataFrame:
@@ -39,14 +44,14 @@ def ism_alignment(corpus: DataFrame, masked: bool = False) -> DataFrame:
     def one(seq):
         x, out = S.codes(seq), []
         planted = [(int(i), name) for name, (c, _) in S.MOTIFS.items() for i in np.flatnonzero(S.matches(x, c) == len(c))]
-        keep = ~S.repeat_mask(seq) if masked else np.ones(len(x), bool)
+        keep = ~S.repeat_mask(seq) if masked and planted else np.ones(len(x), bool)
         if planted and keep.sum() >= (10 if masked else 3):
-            e = S.motif_effect(x, planted).sum(axis=1) / 3.0
+            rank = _rank((S.motif_effect(x, planted).sum(axis=1) / 3.0)[keep])  # of all channels
             for k, (_, (consensus, _)) in enumerate(S.MOTIFS.items()):
                 z = np.maximum(S.motif_scan(x, consensus), 0.0)
                 if len(z) and z.max() > 0:
                     i = S.sensitivity(x, consensus).mean(axis=1)
-                    out.append({"feature_id": k, "a_f": _weighted_precision(i[keep], e[keep]), "mass": float(z.sum())})
+                    out.append({"feature_id": k, "a_f": _ranked_precision(i[keep], rank), "mass": float(z.sum())})
         return (out,)
 
     r = corpus.select("seq_id", row_struct(one, "a array<struct<feature_id:int,a_f:double,mass:double>>")(F.col("seq")).alias("s"))
