@@ -162,8 +162,7 @@ def ism_sensitivity(spark, sf_dir):
 
 @query(f"{_ISM} SELECT motif, CAST(strpos('ACGT', alt) - 1 AS INT) AS alt, count(*) AS n, round(avg(delta), 6) AS mean_delta FROM dl WHERE delta > 1e-9 GROUP BY ALL")
 def ism_per_alt(spark, sf_dir):
-    p = Q.ism_profiles(T.corpus(spark, sf_dir))
-    return p.groupBy("motif", "alt").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("delta"), 6).alias("mean_delta"))
+    return Q.ism_by_alt(T.corpus(spark, sf_dir)).withColumn("mean_delta", F.round("mean_delta", 6))
 
 
 @query(f"""{_C}, {_BI}, ch AS (SELECT seq_id, p, length(seq) AS n, strpos('ACGT', seq[p]) - 1 AS x, CASE WHEN p > 1 THEN strpos('ACGT', seq[p - 1]) - 1 END AS l, CASE WHEN p < length(seq) THEN strpos('ACGT', seq[p + 1]) - 1 END AS r FROM (SELECT seq_id, seq, unnest(range(1, length(seq) + 1)) AS p FROM corpus)),

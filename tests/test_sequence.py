@@ -75,3 +75,30 @@ def test_enrichment(spark):
 
     d = spark.createDataFrame([("M", True, i < 8) for i in range(10)] + [("M", False, i < 1) for i in range(50)], "motif string, fg boolean, has boolean")
     assert Q.motif_enrichment(d, F.col("fg")).first().p_value < 1e-4
+
+
+def test_kmers_are_counted_by_runs_of_sequences(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    seqs = ["".join(rng.choice("ACGT") for _ in range(rng.randrange(60))) for _ in range(30)]
+    corpus = spark.createDataFrame([(i, "en", s) for i, s in enumerate([*seqs, None, ""])], "seq_id int, cls string, seq string").coalesce(1)
+    monkeypatch.setattr(Q, "BASES", 100)
+    want: dict[int, int] = {}
+    for s in seqs:
+        for c in S.kmer_codes(S.codes(s), 5).tolist():
+            want[c] = want.get(c, 0) + 1
+    assert dict(Q.kmer_histogram(corpus, 5).collect()) == want
+
+
+def test_sensitivities_by_alternative_are_those_of_the_positions(spark):
+    import random
+
+    rng = random.Random(3)
+    seqs = ["".join(rng.choice("ACGT") for _ in range(n)) for n in (0, 3, 6, 9, 10, 80)] + ["ACTATAAACCACGTGA", None]
+    corpus = spark.createDataFrame(list(enumerate(seqs)), "seq_id int, seq string")
+    want: dict[tuple, list[float]] = {}
+    for r in Q.ism_profiles(corpus).collect():
+        want.setdefault((r.motif, r.alt), []).append(r.delta)
+    got = {(r.motif, r.alt): (r.n, r.mean_delta) for r in Q.ism_by_alt(corpus).collect()}
+    assert got == {k: (len(v), pytest.approx(sum(v) / len(v))) for k, v in want.items()}
