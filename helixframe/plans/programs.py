@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.durable import durable
 from helixframe.functions import sequences as S
 from helixframe.functions import stats
 from helixframe.functions.arrow import row_struct
@@ -308,8 +309,10 @@ def corpus_power(elements: DataFrame, least: int = 20, nonzero: int = 1000) -> D
 def headline(real: DataFrame, null: DataFrame, q: float = 0.10) -> DataFrame:
     """At element and at locus level the features, threshold, share above and below, survivors on both sides, and the shift."""
     out = []
+    real, null = durable(real), durable(null)
     for level, up in (("element", lambda d: d.select("feature_id", F.col("elem_id").alias("locus"), "a_f", "mass")), ("locus", A.collapse_to_loci)):
-        f, n = A.aggregate_features(up(real)), A.aggregate_features(up(null))
+        # a row a feature, which eight figures are made of
+        f, n = durable(A.aggregate_features(up(real))), durable(A.aggregate_features(up(null)))
         upper, lower = (stats.bh_qvalue(stats.empirical_pvalue(f, "A_f", n, "A_f", side), "p_value").agg(F.count_if(F.col("q_value") < q).alias(c)) for side, c in ((True, "n_upper"), (False, "n_lower")))
         size = f.agg(F.lit(level).alias("level"), F.count(F.lit(1)).alias("n"), F.percentile("A_f", F.lit(0.5)).alias("median_A"))
         out.append(size.crossJoin(stats.percentile_of(n, "A_f", 0.95)).crossJoin(A.tail_symmetry(f, n)).crossJoin(upper).crossJoin(lower).crossJoin(A.mann_whitney(f, n).select("prob_greater")))

@@ -119,3 +119,14 @@ def test_gate_headline_nulls_and_deep_dive(spark):
     assert len(rows) == 4 and all(0 < r.n_high <= min(r.n_fdr, r.n_robust) for r in rows)
     assert 0 <= share.first().reproduced <= 1
     assert A.loci_per_feature(real).first().n_loci == 6
+
+
+def test_headline_reads_its_tables_once(spark, tmp_path):
+    from helixframe.plans import programs as P
+
+    rows = [(f, e, e % 3, ((f * 7 + e * 5) % 11 - 5) / 5, 1.0 + (f + e) % 3) for f in range(12) for e in range(6)]
+    for name in ("real", "null"):
+        spark.createDataFrame(rows, "feature_id bigint, elem_id bigint, locus bigint, a_f double, mass double").write.parquet(f"{tmp_path}/{name}")
+    out = P.headline(*(spark.read.parquet(f"{tmp_path}/{name}") for name in ("real", "null")))
+    assert not out.inputFiles()  # what eight figures are made of is worked out once
+    assert {(r.level, r.n, r.prob_greater) for r in out.collect()} == {("element", 12, 0.5), ("locus", 12, 0.5)}
