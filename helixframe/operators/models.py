@@ -133,22 +133,31 @@ def direction_stability(w: np.ndarray) -> float | None:
     return float(c[np.triu_indices(len(u), 1)].mean())
 
 
+#: Rows of a network's batch whose layers are held at once; gradients of all rows are added up.
+ROWS = 4096
+
+
 def mlp_fit_predict(x: np.ndarray, y: np.ndarray, test: np.ndarray, hidden: int = 64, rounds: int = 200, seed: int = 0) -> np.ndarray:
-    """One ReLU layer on standardised inputs, full-batch Adam."""
+    """One ReLU layer on standardised inputs, full-batch Adam; hidden layers exist for `ROWS` rows at a time."""
     rng, mean, sd = np.random.default_rng(seed), x.mean(axis=0), x.std(axis=0) + 1e-8
-    x, test, centre = (x - mean) / sd, (test - mean) / sd, y.mean()
+    x, test, centre = x - mean, (test - mean) / sd, y.mean()
+    x /= sd
     p = [rng.normal(0, np.sqrt(2 / x.shape[1]), (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, np.sqrt(1 / hidden), hidden), np.zeros(1)]
     m, v = [0 * a for a in p], [0 * a for a in p]
     for t in range(1, rounds + 1):
-        z = x @ p[0] + p[1]
-        a = np.maximum(z, 0)
-        e = (a @ p[2] + p[3] - (y - centre)) / len(y)
-        back = np.outer(e, p[2]) * (z > 0)
-        grad = [x.T @ back + 1e-4 * p[0], back.sum(axis=0), a.T @ e + 1e-4 * p[2], np.array([e.sum()])]
+        grad = [1e-4 * p[0], 0 * p[1], 1e-4 * p[2], 0 * p[3]]
+        for at in range(0, len(y), ROWS):
+            part = x[at : at + ROWS]
+            z = part @ p[0] + p[1]
+            a = np.maximum(z, 0)
+            e = (a @ p[2] + p[3] - (y[at : at + ROWS] - centre)) / len(y)
+            back = np.outer(e, p[2]) * (z > 0)
+            for g, d in zip(grad, (part.T @ back, back.sum(axis=0), a.T @ e, e.sum()), strict=True):
+                g += d
         for i, g in enumerate(grad):
             m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
             p[i] = p[i] - 0.01 * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
-    return np.maximum(test @ p[0] + p[1], 0) @ p[2] + p[3] + centre
+    return np.concatenate([np.zeros(0), *(np.maximum(test[at : at + ROWS] @ p[0] + p[1], 0) @ p[2] + p[3] + centre for at in range(0, len(test), ROWS))])
 
 
 def mlp_folds(probe: DataFrame, most: int = 200_000) -> DataFrame:

@@ -174,3 +174,21 @@ def test_every_family_trains(spark, family):
     assert losses[-1] < losses[0]
     with pytest.raises(ValueError):
         M.encoder_start("other", 2, 2)
+
+
+def test_network_holds_few_rows_of_its_layers():
+    import tracemalloc
+
+    import numpy as np
+
+    from helixframe.operators import models as M
+
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((60_000, 8))
+    y = np.maximum(x[:, 0], 0) - x[:, 1]
+    tracemalloc.start()
+    p = M.mlp_fit_predict(x[:-9000], y[:-9000], x[-9000:], rounds=30)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(p) == 9000 and np.corrcoef(p, y[-9000:])[0, 1] > 0.9
+    assert peak < 30e6  # a layer of all rows alone is 26 MB, and there were five
