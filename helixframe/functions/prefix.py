@@ -75,9 +75,12 @@ def attach(df: DataFrame, cells: DataFrame, by: list[str], value: Column, at: st
     return df.join(held, on, "left").drop("_v", *[f"_k{i}" for i in range(len(by))])
 
 
-def average_rank(df: DataFrame, by: list[str], value: str, out: str, cells_a_block: int = CELLS) -> DataFrame:
-    """df with the rank of each row's value in its group, ties sharing their mean rank; null for a null value."""
-    cells = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+def average_rank(df: DataFrame, by: list[str], value: str, out: str, cells_a_block: int = CELLS, times: str | None = None) -> DataFrame:
+    """df with the rank of each row's value in its group, ties sharing their mean rank; null for a null value.
+
+    A row stands for as many as its `times` says, if that is given.
+    """
+    cells = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_c")).agg((F.sum(times) if times else F.count(F.lit(1))).alias("_n"))
     cells = running(blocked(cells, "_c", cells_a_block), by, "_c", "_n", "_to")
     return attach(df, cells.withColumn("_rank", F.col("_to") - (F.col("_n") - 1) / F.lit(2.0)), by, F.col(value), "_c", "_rank").withColumnRenamed("_rank", out)
 

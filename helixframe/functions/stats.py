@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.durable import durable
 from helixframe.functions import prefix
 
 def weighted_median(df: DataFrame, by: list[str], value: str, weight: str, out: str = "wmedian") -> DataFrame:
@@ -21,9 +22,9 @@ def weighted_median(df: DataFrame, by: list[str], value: str, weight: str, out:
     )
 
 
-def average_rank(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
+def average_rank(df: DataFrame, by: list[str], value: str, out: str, times: str | None = None) -> DataFrame:
     """Rank within the group, ties sharing their mean rank; null for a null value.  A hot group is ranked by several tasks."""
-    return prefix.average_rank(df, by, value, out)
+    return prefix.average_rank(df, by, value, out, times=times)
 
 
 def _correlation(n: Column, x: Column, y: Column, xx: Column, yy: Column, xy: Column) -> Column:
@@ -31,17 +32,25 @@ def _correlation(n: Column, x: Column, y: Column, xx: Column, yy: Column, xy: Co
     return F.when((n >= 3) & (vx > 0) & (vy > 0), (n * xy - x * y) / (F.sqrt(vx) * F.sqrt(vy))).otherwise(F.lit(0.0))
 
 
-def correlation(by: list[str], df: DataFrame, x: str, y: str, out: str) -> DataFrame:
-    """Pearson's correlation by sums; fewer than 3 rows or a constant side gives 0.  Sums of ranks are exact."""
-    c = F.col
-    sums = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.sum(c(x)).alias("_x"), F.sum(c(y)).alias("_y"), F.sum(c(x) * c(x)).alias("_xx"), F.sum(c(y) * c(y)).alias("_yy"), F.sum(c(x) * c(y)).alias("_xy"))
+def correlation(by: list[str], df: DataFrame, x: str, y: str, out: str, times: str | None = None) -> DataFrame:
+    """Pearson's correlation by sums; fewer than 3 rows or a constant side gives 0.  Sums of ranks are exact.
+
+    A row counts as often as its `times` says, if that is given.
+    """
+    c, n = F.col, F.col(times) if times else F.lit(1)
+    sums = df.groupBy(*by).agg(F.sum(n).alias("_n"), F.sum(n * c(x)).alias("_x"), F.sum(n * c(y)).alias("_y"), F.sum(n * c(x) * c(x)).alias("_xx"), F.sum(n * c(y) * c(y)).alias("_yy"), F.sum(n * c(x) * c(y)).alias("_xy"))
     return sums.select(*by, _correlation(*(c(k) for k in ("_n", "_x", "_y", "_xx", "_yy", "_xy"))).alias(out))
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str, out: str = "rho") -> DataFrame:
-    """Rank correlation of the rows where both sides are known; degenerate groups give 0."""
+    """Rank correlation of the rows where both sides are known; degenerate groups give 0.
+
+    What is ranked are distinct pairs with their counts, made once: rows of a group with equal pairs travel as one.
+    """
     known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return correlation(by, average_rank(average_rank(known, by, x, "_rx"), by, y, "_ry"), "_rx", "_ry", out)
+    pairs = durable(known.groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_times")))
+    ranked = average_rank(average_rank(pairs, by, "_x", "_rx", "_times"), by, "_y", "_ry", "_times")
+    return correlation(by, ranked, "_rx", "_ry", out, "_times")
 
 
 def precision_weighted(df: DataFrame, by: list[str], i: str, e: str, out: str = "score") -> DataFrame:

@@ -94,3 +94,17 @@ def test_moving_average_same(spark):
     for w in (3, 4, 11):
         got = [r.s for r in stats.moving_average_same(d, ["g"], "pos", "v", w, "s").orderBy("pos").collect()]
         assert np.allclose(got, np.convolve(v, np.ones(w) / w, mode="same"))
+
+
+def test_rank_correlation_ranks_distinct_pairs(spark, monkeypatch):
+    from helixframe.functions import prefix
+
+    seen, plain = [], prefix.average_rank
+    monkeypatch.setattr(prefix, "average_rank", lambda df, *a, **k: seen.append(df.count()) or plain(df, *a, **k))
+    rows = [("a", 1.0, 2.0), ("a", 2.0, 1.0), ("a", 3.0, 5.0), ("a", 3.0, 4.0), (None, 1.0, 1.0), (None, 2.0, 2.0)] * 5 + [("a", None, 1.0)]
+    got = dict(stats.spearman(spark.createDataFrame(rows, "g string, x double, y double"), ["g"], "x", "y").collect())
+    assert seen == [6, 6]
+    rank = lambda v: [sum(b < a for b in v) + (sum(b == a for b in v) + 1) / 2 for a in v]
+    for g in ("a", None):
+        x, y = (rank([r[i] for r in rows if r[0] == g and r[1] is not None]) for i in (1, 2))
+        assert got[g] == pytest.approx(np.corrcoef(x, y)[0, 1])
