@@ -212,16 +212,10 @@ def hungarian(cost: np.ndarray) -> np.ndarray:
 
 
 def match_features(a: DataFrame, b: DataFrame) -> DataFrame:
-    """L5 on signed cosine: (a_id, b_id, cosine), one to one, of greatest total cosine."""
-    ka, wa = V.matrix(a)
-    kb, wb = V.matrix(b)
-    unit = lambda w: w / (np.linalg.norm(w, axis=1, keepdims=True) + 1e-9)
-    c = unit(wa) @ unit(wb).T
-    if len(ka) > len(kb):
-        rows = [(int(ka[j]), int(kb[i]), float(c[j, i])) for i, j in enumerate(hungarian(-c.T))]
-    else:
-        rows = [(int(ka[i]), int(kb[j]), float(c[i, j])) for i, j in enumerate(hungarian(-c))]
-    return a.sparkSession.createDataFrame(rows, "a_id bigint, b_id bigint, cosine double")
+    """L5 on signed cosine: (a_id, b_id, cosine), one to one, of greatest total cosine; no matrix of all pairs exists."""
+    from helixframe.operators import assignment
+
+    return assignment.match(a, b)
 
 
 def wilcoxon(values, centre: float = 0.5) -> float | None:

@@ -39,6 +39,30 @@ def test_hungarian_equals_brute_force():
         assert len(set(got)) == n and c[np.arange(n), got].sum() == pytest.approx(best)
 
 
+@pytest.mark.parametrize("n, m, copies", [(40, 40, 1), (23, 41, 1), (41, 23, 1), (60, 60, 4), (50, 33, 3)])
+def test_matching_holds_no_matrix_and_equals_brute_force(spark, monkeypatch, n, m, copies):
+    """Whole vectors never come to the driver; few partners at a time, small blocks and several parts give the same total."""
+    from helixframe.operators import assignment
+
+    for name, value in (("BLOCK", 7), ("PARTNERS", 5), ("PART", 25), ("PIECE", 2)):
+        monkeypatch.setattr(assignment, name, value)
+    monkeypatch.setattr(V, "matrix", None)
+    rng = np.random.default_rng(n)
+    x, y = (rng.standard_normal((k // copies + 1, 6)).repeat(copies, 0)[:k] for k in (n, m))
+    if copies > 1:
+        y[0] = 0.0
+    got = sorted(map(tuple, M.match_features(weights(spark, x).repartition(3), weights(spark, y)).collect()))
+    unit = lambda w: w / (np.linalg.norm(w, axis=1, keepdims=True) + 1e-9)
+    c = unit(x) @ unit(y).T
+    assert len({r[0] for r in got}) == len({r[1] for r in got}) == len(got) == min(n, m)
+    assert all(c[i, j] == pytest.approx(v, abs=1e-9) for i, j, v in got)
+    want = M.hungarian(-c) if n <= m else M.hungarian(-c.T)
+    assert sum(r[2] for r in got) == pytest.approx((c if n <= m else c.T)[np.arange(len(want)), want].sum(), abs=1e-9)
+    if copies == 1:
+        assert [r[:2] for r in got] == sorted((i, int(j)) if n <= m else (int(j), i) for i, j in enumerate(want))
+    assert M.match_features(weights(spark, x[:0]), weights(spark, y)).isEmpty()
+
+
 def test_wilcoxon_exact():
     v = [0.6, 0.7, 0.45, 0.9, 0.52]
     d = np.array(v) - 0.5
