@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,6 +134,42 @@ def off_intervals(windows: DataFrame, intervals: DataFrame, width: int, size: in
     return windows.join(bad, ["chrom", "window_start"], "left_anti")
 
 
+#: Halvings of a class among which _chosen looks for a bound, and how finely ranks are told apart there.
+HALVINGS, RANKS = 20, 10_000
+
+
+def _chosen(known: DataFrame, per_class: dict[str, int], seed: int, draw: Column | None) -> DataFrame:
+    """per_class[cls] different rows (all, if fewer) of each class of known(cls, chrom, start, end), those of least draw; written down.
+
+    One pass finds a draw for each class that about four times as many rows as asked for are below; another one takes those rows,
+    which alone are made distinct.  A class that has too few different rows among them takes half as many halvings, up to none: all rows.
+    """
+    key = F.concat_ws(":", "cls", F.col("chrom").cast("string"), "start", "end")
+    drawn = known.where(F.col("cls").isin(*per_class)).withColumn("_key", key)
+    drawn = drawn.withColumn("_draw", F.xxhash64("_key", F.lit(seed)) if draw is None else draw).where("_draw IS NOT NULL")
+    shares = F.array(*[F.lit(0.5**h) for h in range(1, HALVINGS + 1)])
+    marks = {r["cls"]: r for r in drawn.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_draw", shares, F.lit(RANKS)).alias("at")).collect()}
+    out, open_ = None, {}
+    for cls, n in per_class.items():
+        if cls in marks:
+            open_[cls] = sum(marks[cls]["n"] * 0.5**h >= 4 * n + 16 for h in range(1, HALVINGS + 1))
+    while open_:
+        # no halving: all rows
+        below = [(F.col("cls") == c) & (F.lit(True) if not h else F.col("_draw") <= marks[c]["at"][h - 1]) for c, h in open_.items()]
+        some = durable(drawn.where(reduce(or_, below)).select("cls", "chrom", "start", "end", "_key", "_draw").distinct())
+        found = dict(some.groupBy("cls").count().collect())
+        for cls, h in list(open_.items()):
+            if h and found.get(cls, 0) < per_class[cls]:
+                at = marks[cls]["at"]
+                # of one draw that many rows have, more halvings give no more
+                open_[cls] = next((k for k in range(h // 2, 0, -1) if at[k - 1] > at[h - 1]), 0)
+                continue
+            one = prefix.least_rows(some.where(F.col("cls") == cls), "_draw", "_key", per_class[cls]).select("cls", "chrom", "start", "end")
+            out = one if out is None else out.unionByName(one)
+            del open_[cls]
+    return durable(out if out is not None else known.limit(0))
+
+
 def sampled_windows(intervals: DataFrame, contigs: DataFrame, width: int, per_class: dict[str, int], background: int, seed: int = 0, most_n: float = 0.05, names: str = "^[^_]+$", size: int = PIECE, draw: Column | None = None, order: Column | None = None) -> DataFrame:
     """(cls, chrom, window_start, seq) of sampled intervals and of background off all intervals.
 
@@ -144,13 +182,13 @@ def sampled_windows(intervals: DataFrame, contigs: DataFrame, width: int, per_cl
     contigs' order) are bigints, hashes if not given, so partitions don't matter.
     """
     spark = intervals.sparkSession
-    known = intervals.where("cls IS NOT NULL AND chrom IS NOT NULL AND start < end").select("cls", "chrom", "start", "end").distinct()
-    known = known.withColumn("_key", F.concat_ws(":", "cls", F.col("chrom").cast("string"), "start", "end"))
-    chosen = None
-    for cls, n in per_class.items():
-        one = sample_exact(known.where(F.col("cls") == cls), "_key", n, seed, draw)
-        chosen = one if chosen is None else chosen.unionByName(one)
+    # intervals may repeat: only the few that matter are made distinct
+    known = intervals.where("cls IS NOT NULL AND chrom IS NOT NULL AND start < end").select("cls", "chrom", "start", "end")
+    chosen = _chosen(known, per_class, seed, draw) if per_class else None
+    # a window needs its own contig alone, and intervals on it
+    on = lambda df, places: df.join(F.broadcast(places.select("chrom").distinct()), "chrom", "left_semi")
     lengths = contigs.select("chrom", F.length("seq").cast("bigint").alias("n")).where(F.col("chrom").cast("string").rlike(names) & ~F.col("chrom").cast("string").isin("chrM", "MT") & (F.col("n") > width))
+    lengths = durable(lengths)
     ranked = durable(prefix.row_ranks(lengths.withColumn("_draw", F.xxhash64(F.col("chrom").cast("string"), F.lit(seed)) if order is None else order), "_draw", "chrom", "_rank").select("chrom", "n", "_rank"))
     many, most, tried = ranked.count(), 64 * background + 4096, 0
     kept = None
@@ -158,8 +196,9 @@ def sampled_windows(intervals: DataFrame, contigs: DataFrame, width: int, per_cl
     while many and tried < most and background:
         # two multipliers of the draw's number: with one, the contig's draw would fix the start
         draws = spark.range(tried, tried + step).select("id", F.expr(f"cast(floor({lcg('id', str(seed))} * {many}) as bigint) + 1").alias("_rank"), F.expr(f"cast({lcg(str(seed), 'id')} as double)").alias("u"))
-        placed = draws.join(ranked, "_rank").select("id", "chrom", F.floor(F.col("u") * (F.col("n") - width)).alias("window_start"))
-        free = durable(with_bases(off_intervals(placed, known, width, size), contigs, width, most_n, size))
+        placed = durable(draws.join(ranked, "_rank").select("id", "chrom", F.floor(F.col("u") * (F.col("n") - width)).alias("window_start")))
+        off = durable(off_intervals(placed, on(known, placed), width, size))
+        free = durable(with_bases(off, on(contigs, off), width, most_n, size))
         kept = free if kept is None else kept.unionByName(free)
         first = kept.groupBy("chrom", "window_start").agg(F.min("id").alias("id"), F.first("seq").alias("seq"))
         tried += step
@@ -169,7 +208,7 @@ def sampled_windows(intervals: DataFrame, contigs: DataFrame, width: int, per_cl
         step = min(most - tried, max(step, int(1.2 * tried * (background - found) / max(found, 1))))
     out = None
     if chosen is not None:
-        out = bed_windows(chosen.drop("_key"), contigs, width, most_n).select("cls", "chrom", "window_start", "seq").distinct()
+        out = bed_windows(chosen, on(contigs, chosen), width, most_n).select("cls", "chrom", "window_start", "seq").distinct()
     if kept is not None:
         rest = prefix.least_rows(first, "id", "chrom", background).select(F.lit("background").alias("cls"), "chrom", "window_start", "seq")
         out = rest if out is None else out.unionByName(rest)

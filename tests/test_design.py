@@ -140,6 +140,32 @@ def test_sampled_windows(spark):
     assert run(0, iv.limit(0)) == [] and [r for r in run(5, iv, contigs.limit(0)) if r[0] == "background"] == []
 
 
+def test_sampled_windows_read_intervals_few_times(spark):
+    """Of intervals that repeat, those of least draw as brute force has them; one pass for a bound, one for rows below it, one for the background."""
+    rng = random.Random(8)
+    rows = [(rng.choice("ab"), "c1", rng.randrange(3000), 3000 + rng.randrange(9)) for _ in range(300)] * 5 + [("b", "c1", 1, 3001)] * 2000 + [("x", "c1", 0, 3000)]
+    contigs = spark.createDataFrame([("c1", "ACGT" * 1000), ("c2", "GATTACA" * 500)], "chrom string, seq string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    schema = "cls string, chrom string, start bigint, end bigint"
+    iv = spark.createDataFrame(rows, schema).repartition(3).mapInArrow(look, schema)
+    # rows of start 1 come first, so the bound that counts repeats has too few different ones of b
+    draw = F.when(F.col("start") == 1, F.lit(0)).otherwise(F.col("start") * 7919 % 3001)
+    got = G._chosen(iv, {"a": 12, "b": 40, "none": 3}, 0, draw)
+    value = lambda r: (0 if r[2] == 1 else r[2] * 7919 % 3001, ":".join(map(str, r)))
+    want = [r for c, n in (("a", 12), ("b", 40)) for r in sorted({r for r in rows if r[0] == c}, key=value)[:n]]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    seen.value = 0
+    windows = G.sampled_windows(iv, contigs, 20, {"a": 12, "b": 4}, 5, draw=draw).collect()
+    assert sum(r.cls == "background" for r in windows) == 5
+    assert seen.value <= 4 * len(rows)
+
+
 def test_medians_of_all_parts_at_once(spark):
     """One row a feature, however many splits: equal to the median of each part's rows, with ties, zero weights and missing loci."""
     rng = random.Random(5)
