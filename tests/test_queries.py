@@ -59,6 +59,23 @@ def test_two_sets_hold_all_vectors(spark):
     assert len({r.a_id for r in rows} | {r.b_id for r in rows}) == 2 * len(rows) == n
 
 
+def test_matched_jaccard_without_a_matrix_in_the_driver(spark, monkeypatch):
+    import numpy as np
+
+    from helixframe.operators import models, vectors
+    from helixframe.plans import model_queries
+
+    (ka, wa), (kb, wb) = (vectors.matrix(d) for d in model_queries._two(spark, SF))
+    monkeypatch.setattr(vectors, "matrix", None)
+    monkeypatch.setattr(models, "hungarian", None, raising=False)
+    got = catalog.QUERIES["matched_jaccard"](spark, SF).first()
+    monkeypatch.undo()
+    unit = lambda w: w / (np.linalg.norm(w, axis=1, keepdims=True) + 1e-9)
+    a, b = wa[:, 0] > 0, wb[models.hungarian(-(unit(wa) @ unit(wb).T)), 0] > 0
+    assert got.pair_jaccard == pytest.approx((a & b).sum() / (a | b).sum())
+    assert got.hybrid_jaccard == pytest.approx((a & b).sum() / (a.sum() + (wb[:, 0] > 0).sum()))
+
+
 def test_replicates_of_the_survey(spark, monkeypatch):
     from helixframe.plans import resample_queries
 
