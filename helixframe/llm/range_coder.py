@@ -1,10 +1,11 @@
 """Adaptive context-mixing range coder for token ids, in independently reset, checksummed blocks.
 
-A block's ids are coded one after the other.  The last two ids and the last one each propose the id that followed them most
-steadily before; how steadily, and how frequent the proposed id is by itself, are three predictions whose log odds a
-small online mixer weighs into the probability that the proposal is right.  A second mixer does so for the order-1 proposal
-where it differs.  An id that is neither is coded by adaptive order-0 frequencies.  Many blocks are coded in step, as
-NumPy rows, one id of each at a time.  All of it is integer arithmetic, so every machine decodes alike.
+A block's ids are cut into lanes, which are coded in step, one id of each at a time, as NumPy rows; they share one model.
+The last two ids and the last one each propose the id that followed them most steadily before; how steadily, and how frequent
+the proposed id is by itself, are three predictions whose log odds a small online mixer weighs into the probability that
+the proposal is right.  A second mixer does so for the order-1 proposal where it differs.  An id that is neither is coded
+by adaptive order-0 frequencies.  Predictions have few states, so mixers work out all their answers at once, and learn from
+some steps at a time.  All of it is integer arithmetic, so every machine decodes alike.
 """
 
 from __future__ import annotations
@@ -14,120 +15,128 @@ from zlib import crc32
 
 import numpy as np
 
-#: Ids of a block, and blocks that are coded in step.
-BLOCK, STREAMS = 8192, 512
+#: Ids of a block; lanes of a block at most, and ids of a lane at least, where there is more than one.
+BLOCK, LANES, LANE = 1 << 21, 4096, 256
 #: What a block begins with: mark, version, number of ids, of the vocabulary's ids, crc32 of the ids, 16-bit words that follow.
 HEADER = struct.Struct("<4sBIIII")
-MARK, VERSION = b"HXRC", 1
+MARK, VERSION = b"HXRC", 2
+#: Most ids of a block and of a vocabulary.
+_LONGEST, _WIDEST = 1 << 24, 1 << 18
 
 _TOP, _BOTTOM = 1 << 48, 1 << 44
-_SLOTS1, _SLOTS2, _STATES, _GAIN = 12, 13, 32, 24
+_SLOTS2, _SHARES = 16, 1 << 16
+#: Steps after which mixers learn, and after which frequencies are summed up, once many steps are over.
+_LEARN, _SUM = 8, 32
 _p = (np.arange(4096) + 0.5) / 4096
-_STRETCH = np.clip(np.rint(256 * np.log(_p / (1 - _p))), -2047, 2047).astype(np.int32)
-_SQUASH = np.clip(np.rint(4096 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 1, 4095).astype(np.int32)
-_SIZE = np.minimum(np.array([n.bit_length() for n in range(1 << 16)]), 15).astype(np.int32)
+_STRETCH = np.clip(np.rint(256 * np.log(_p / (1 - _p))), -2047, 2047).astype(np.int64)
+_SQUASH = np.clip(np.rint(4096 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 1, 4095).astype(np.uint64)
 _U64 = np.uint64
+#: What an entry's steadiness, or 16 and it where its proposal was right, changes by; and whether the entry stays.
+_f = np.arange(16)
+_CHANGE = np.concatenate([(_f >> 1) - _f, _f < 15]).astype(np.int32)
+_STAYS = np.concatenate([_f > 1, _f > 0])
 
 
 class _Mixer:
-    """Probability, of 4096, that a proposal is right: log odds of adaptive predictions under weights learnt as it goes."""
-
-    def __init__(self, streams: int, inputs: int):
-        self.p = [np.full(streams * _STATES, 1 << 14, np.int32) for _ in range(inputs)]
-        self.w = [np.full(streams, 28_000, np.int32) for _ in range(inputs)]
-
-    def predict(self, base: np.ndarray, rows, states: list[np.ndarray]) -> np.ndarray:
-        """base: where the rows' states begin; rows: an index of the streams' arrays."""
-        self.rows, self.at = rows, [base + s for s in states]
-        self.held = [p.take(at) for p, at in zip(self.p, self.at, strict=True)]
-        self.odds = [_STRETCH.take(h >> 4) for h in self.held]
-        self.weights = [w[rows] for w in self.w]
-        total = self.weights[0] * self.odds[0]
-        for w, o in zip(self.weights[1:], self.odds[1:], strict=True):
-            total += w * o
-        total >>= 16
-        total += 2047
-        self.out = _SQUASH.take(total, mode="clip")
-        return self.out
-
-    def update(self, hit: np.ndarray) -> None:
-        miss, target = (hit << 12) - self.out, hit * 65535
-        for p, w, at, h, o, old in zip(self.p, self.w, self.at, self.held, self.odds, self.weights, strict=True):
-            w[self.rows] = old + (o * miss >> 10)
-            p[at] = h + (target - h >> 5)
+    """Probability, of 4096, that a proposal is right, for every combination of some predictions' states: their log odds
+    are weighed by weights which, like the predictions, are learnt as it goes."""
+
+    def __init__(self, *states: int):
+        self.states = states
+        self.p = [np.full(n, 1 << 14, np.int64) for n in states]
+        self.w = [28_000] * len(states)
+        self.told: list[np.ndarray] = []
+        self._mix()
+
+    def _mix(self) -> None:
+        self.odds = [_STRETCH[p >> 4].reshape([-1 if i == k else 1 for k in range(len(self.p))]) for i, p in enumerate(self.p)]
+        total = sum(w * o for w, o in zip(self.w, self.odds, strict=True)) >> 16
+        self.table = _SQUASH.take(total + 2047, mode="clip").ravel()
+
+    def tell(self, state: np.ndarray, hit: np.ndarray) -> None:
+        """The proposals in these states were right or not."""
+        self.told.append(state * 2 + hit)
+
+    def learn(self) -> None:
+        told, self.told = np.concatenate(self.told) if self.told else (), []
+        if not len(told):
+            return
+        seen = np.bincount(told, minlength=2 * len(self.table)).reshape(*self.states, 2)
+        hits, n = seen[..., 1], seen.sum(-1)
+        miss = (hits << 12) - n * self.table.reshape(self.states).astype(np.int64)
+        for i, (p, o) in enumerate(zip(self.p, self.odds, strict=True)):
+            self.w[i] += int((miss * o).sum()) // len(told) >> 3
+            rest = tuple(k for k in range(len(self.p)) if k != i)
+            m = n.sum(rest)
+            p += (65535 * hits.sum(rest) - m * p) // (m + 64)
+        self._mix()
 
 
 class _Model:
-    """What the streams have seen; the encoder and the decoder take the same steps.
+    """What the lanes have seen; the encoder and the decoder take the same steps.
 
-    A step is for the first k streams, as blocks that are shorter come last; in it, r are the numbers of some of these.
+    A step is for the first k lanes, as lanes that are shorter come last; in it, r are the numbers of some of these.
     """
 
-    def __init__(self, streams: int, ids: int):
-        self.width = -(-ids // 256) * 256
-        self.one, self.two = np.zeros(streams << _SLOTS1, np.int32), np.zeros(streams << _SLOTS2, np.int32)
-        self.last, self.before = np.zeros(streams, np.uint32), np.zeros(streams, np.uint32)
-        self.seen = np.zeros(streams * self.width, np.uint16)
-        self.below = np.empty((streams, self.width + 1), np.int32)
-        self.flat = self.below.reshape(-1)
-        every = np.arange(streams)
-        self.base1, self.base2, self.states, self.row, self.start = every << _SLOTS1, every << _SLOTS2, every * _STATES, every * self.width, every * (self.width + 1)
-        self.first, self.second = _Mixer(streams, 3), _Mixer(streams, 2)
+    def __init__(self, lanes: int, ids: int):
+        self.ids = ids
+        self.one, self.two = np.zeros(ids, np.int32), np.zeros(1 << _SLOTS2, np.int32)
+        self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        self.seen, self.new = np.zeros(ids, np.int64), []
+        self.first, self.second = _Mixer(16, 32, 16), _Mixer(16, 16)
         self.steps = 0
         self._sum()
 
     def _sum(self) -> None:
-        """Frequencies below each id: _GAIN for each time it was seen and one besides."""
-        self.below[:, 0] = 0
-        for seen, below in zip(self.seen.reshape(-1, self.width), self.below, strict=True):
-            np.cumsum(seen.astype(np.int32) * _GAIN + 1, out=below[1:])
-        # every 256th sum, each stream's in a range of its own, in one sorted row
-        self.coarse = (self.below[:, :-1:256].astype(np.int64) + (np.arange(len(self.below)) << 32)[:, None]).ravel()
+        """Frequencies, and those below each id: a share of about _SHARES for the times it was seen, and one besides."""
+        if self.new:
+            self.seen += np.bincount(np.concatenate(self.new), minlength=self.ids)
+            self.new = []
+        self.share = 1 + self.seen * _SHARES // max(int(self.seen.sum()), _SHARES >> 5)
+        ends = np.cumsum(self.share)
+        self.total = _U64(ends[-1])
+        self.below, self.share = (ends - self.share).astype(_U64), self.share.astype(_U64)
+        self.size = np.minimum(np.frexp(self.seen.astype(float))[1], 15).astype(np.int32)
+        self.slots = None
 
     def propose(self, k: int):
         """The proposals of a step, the first mixer's probability, and where the second one has a say."""
-        a, b = self.last[:k] * np.uint32(2654435761), self.before[:k] * np.uint32(2246822519)
-        self.at1 = self.base1[:k] + (a >> 32 - _SLOTS1)
-        self.at2 = self.base2[:k] + (a + b >> 32 - _SLOTS2)
-        self.e1, self.e2 = self.one.take(self.at1), self.two.take(self.at2)
-        c1, self.f1, c2, self.f2 = self.e1 >> 4, self.e1 & 15, self.e2 >> 4, self.e2 & 15
+        mixed = self.last[:k] * np.uint32(2654435761) + self.before[:k] * np.uint32(2246822519) >> np.uint32(32 - _SLOTS2)
+        self.at1, self.at2 = self.last[:k].astype(np.int64), mixed.astype(np.int64)
+        self.e1, self.e2 = self.one.take(self.at1, mode="clip"), self.two.take(self.at2, mode="clip")
+        self.c1, self.c2 = self.e1 >> 4, self.e2 >> 4
+        self.f1, self.f2 = self.e1 & 15, self.e2 & 15
         with2 = self.f2 > 0
-        c = np.where(with2, c2, c1)
-        same = c == c1
-        p = self.first.predict(self.states[:k], slice(0, k), [self.f2, self.f1 + same * 16, _SIZE.take(self.seen.take(self.row[:k] + c))])
-        return c, c1, p, with2 & (self.f1 > 0) & ~same
+        c = np.where(with2, self.c2, self.c1)
+        same = c == self.c1
+        self.state = (self.f2 << 9) + (same.astype(np.int32) << 8) + (self.f1 << 4) + self.size.take(c, mode="clip")
+        return c, self.first.table.take(self.state, mode="clip"), (self.f1 > 0) & ~same
 
     def again(self, r: np.ndarray, c1: np.ndarray) -> np.ndarray:
-        """The second mixer's probability for some streams."""
-        return self.second.predict(self.states[r], r, [self.f1[r], _SIZE.take(self.seen.take(self.row[r] + c1))])
-
-    def share(self, r: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Frequencies below an id, and its own."""
-        at = self.start[r] + x
-        below = self.flat.take(at)
-        return below, self.flat.take(at + 1) - below
-
-    def total(self, r: np.ndarray) -> np.ndarray:
-        return self.below[r, -1].astype(_U64)
+        """The second mixer's probability for some lanes."""
+        self.state2 = (self.f1.take(r) << 4) + self.size.take(c1)
+        return self.second.table.take(self.state2)
 
     def update(self, k: int, x: np.ndarray) -> None:
-        for table, at, e, f in ((self.one, self.at1, self.e1, self.f1), (self.two, self.at2, self.e2, self.f2)):
-            table[at] = np.where((e >> 4 == x) & (f > 0), e + (f < 15), np.where(f > 1, e - f + (f >> 1), x << 4 | 1))
-        self.seen[self.row[:k] + x] += 1
+        fresh = x << 4 | 1
+        for table, at, e, c, f in ((self.one, self.at1, self.e1, self.c1, self.f1), (self.two, self.at2, self.e2, self.c2, self.f2)):
+            f += (c == x).astype(np.int32) << 4
+            table[at] = np.where(_STAYS.take(f, mode="clip"), e + _CHANGE.take(f, mode="clip"), fresh)
         self.before[:k] = self.last[:k]
         self.last[:k] = x
+        self.new.append(x)
         self.steps += 1
-        if self.steps % 1024 == 0 or self.steps in (64, 128, 256, 512):
+        if self.steps < 16 or self.steps % _LEARN == 0:
+            self.first.learn()
+            self.second.learn()
+        if self.steps % _SUM == 0 or self.steps & (self.steps - 1) == 0:
             self._sum()
 
-    def find(self, r: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def find(self, at: np.ndarray) -> np.ndarray:
         """The id whose share of the frequencies has place `at`."""
-        x = (np.searchsorted(self.coarse, (r << 32) + at, "right") - 1 - r * (self.width // 256)) * 256
-        start, at = self.start[r], at.astype(np.int32)[:, None]
-        for step in (16, 1):
-            near = self.flat.take((start + x)[:, None] + np.arange(0, 16 * step, step))
-            x = x + (np.count_nonzero(near <= at, axis=1) - 1) * step
-        return x
+        if self.slots is None:
+            self.slots = np.repeat(np.arange(self.ids, dtype=np.min_scalar_type(self.ids)), self.share.astype(np.int64))
+        return self.slots.take(at).astype(np.int32)
 
 
 class _Coder:
@@ -137,160 +146,188 @@ class _Coder:
         self.low, self.range = np.zeros(streams, _U64), np.full(streams, (1 << 64) - 1, _U64)
         self.place = np.zeros(streams, np.int64)
 
-    def narrow(self, rows, below: np.ndarray, share: np.ndarray, unit: np.ndarray) -> None:
-        self.low[rows] += unit * below.astype(_U64)
-        self.range[rows] = unit * share.astype(_U64)
-
     def settle(self, k: int) -> None:
         """Leaves at least _BOTTOM of each range, so that a token's decisions never use it up."""
-        rows, low, width = None, self.low[:k], self.range[:k]
-        while rows is None or len(rows):
-            agree = (low ^ (low + (width - _U64(1)))) < _TOP
-            go = np.flatnonzero(agree | (width < _BOTTOM))
+        rows = np.flatnonzero(self.range[:k] <= _U64(_TOP))
+        low, width = self.low.take(rows), self.range.take(rows)
+        while len(rows):
+            agree = (low ^ (low + (width - _U64(1)))) < _U64(_TOP)
+            go = np.flatnonzero(agree | (width < _U64(_BOTTOM)))
             if not len(go):
                 return
-            rows = go if rows is None else rows[go]
-            low, width = low[go], np.where(agree[go], width[go], (~low[go] + _U64(1)) & _U64(_BOTTOM - 1))
+            if len(go) < len(rows):
+                rows, low, width, agree = rows.take(go), low.take(go), width.take(go), agree.take(go)
+            if not agree.all():
+                width = np.where(agree, width, (~low + _U64(1)) & _U64(_BOTTOM - 1))
             # a whole cell would have a width of 2**64 next, which is one too many
             width = np.minimum(width, _U64(_TOP - 1))
             self.shift(rows, low)
-            self.low[rows] = low = low << _U64(16)
-            self.range[rows] = width = width << _U64(16)
+            low, width = low << _U64(16), width << _U64(16)
+            self.low[rows], self.range[rows] = low, width
+            left = np.flatnonzero(width <= _U64(_TOP))
+            rows, low, width = rows.take(left), low.take(left), width.take(left)
 
 
 class _Writer(_Coder):
     def __init__(self, streams: int, longest: int):
         super().__init__(streams)
         self.words = np.zeros((streams, 4 * longest + 16), "<u2")
+        self.flat, self.row = self.words.reshape(-1), np.arange(streams) * self.words.shape[1]
 
     def shift(self, rows: np.ndarray, low: np.ndarray) -> None:
-        self.words[rows, self.place[rows]] = low >> _U64(48)
-        self.place[rows] += 1
-
-    def put(self, rows, below: np.ndarray, share: np.ndarray, of) -> None:
-        self.narrow(rows, below, share, self.range[rows] // of)
+        at = self.place.take(rows)
+        self.flat[self.row.take(rows) + at] = low >> _U64(48)
+        self.place[rows] = at + 1
+
+    def decide(self, rows, p: np.ndarray, hit: np.ndarray) -> None:
+        """Codes whether proposals are right."""
+        width = self.range[rows]
+        cut = (width >> _U64(12)) * p
+        self.low[rows] += cut * ~hit
+        self.range[rows] = np.where(hit, cut, width - cut)
+
+    def put(self, rows: np.ndarray, below: np.ndarray, share: np.ndarray, of) -> None:
+        unit = self.range.take(rows) // of
+        self.low[rows] += unit * below
+        self.range[rows] = unit * share
 
     def finish(self) -> list[bytes]:
+        """Two words tell a number in any range of _BOTTOM; zeros follow, and none that end a stream are kept."""
         every = np.arange(len(self.low))
-        for _ in range(4):
+        self.low = self.low + _U64((1 << 32) - 1) & ~_U64((1 << 32) - 1)
+        for _ in range(2):
             self.shift(every, self.low)
             self.low = self.low << _U64(16)
-        return [w[:n].tobytes() for w, n in zip(self.words, self.place.tolist(), strict=True)]
+        sizes = np.where(self.words.any(axis=1), self.words.shape[1] - np.argmax(self.words[:, ::-1] > 0, axis=1), 0)
+        return [w[:n].tobytes() for w, n in zip(self.words, sizes.tolist(), strict=True)]
 
 
 class _Reader(_Coder):
-    def __init__(self, streams: list[bytes]):
-        super().__init__(len(streams))
-        self.words = np.zeros((len(streams), max(map(len, streams)) // 2 + 8), _U64)
-        for row, s in zip(self.words, streams, strict=True):
-            row[: len(s) // 2] = np.frombuffer(s, "<u2")
-        self.code = np.zeros(len(streams), _U64)
+    def __init__(self, words: np.ndarray, sizes: np.ndarray):
+        """words: those of all streams, one after the other; sizes: how many each has."""
+        super().__init__(len(sizes))
+        width = int(sizes.max()) + 8
+        self.flat, self.row = np.zeros(len(sizes) * width, _U64), np.arange(len(sizes)) * width
+        self.flat[np.arange(len(words)) + np.repeat(self.row - (np.cumsum(sizes) - sizes), sizes)] = words
+        self.most = width - 1
+        self.code = np.zeros(len(sizes), _U64)
         for i in range(4):
-            self.code = self.code << _U64(16) | self.words[:, i]
+            self.code = self.code << _U64(16) | self.flat[self.row + i]
         self.place += 4
 
     def shift(self, rows: np.ndarray, low: np.ndarray) -> None:
-        at = np.minimum(self.place[rows], self.words.shape[1] - 1)
-        self.code[rows] = self.code[rows] << _U64(16) | self.words[rows, at]
-        self.place[rows] += 1
-
-    def get(self, rows, of) -> tuple[np.ndarray, np.ndarray]:
-        unit = self.range[rows] // of
-        return np.minimum((self.code[rows] - self.low[rows]) // unit, of - _U64(1)), unit
-
-
-def _columns(blocks: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros((len(blocks[0]), len(blocks)), np.int32)
-    for i, b in enumerate(blocks):
-        out[: len(b), i] = b
-    return out
-
-
-_ONE = _U64(4096)
-
-
-def _encode(blocks: list[np.ndarray], ids: int) -> list[bytes]:
-    """Words of blocks whose lengths don't grow."""
-    columns, sizes = _columns(blocks), -np.array([len(b) for b in blocks])
-    model, coder = _Model(len(blocks), ids), _Writer(len(blocks), len(columns))
-    for t, column in enumerate(columns):
-        k = int(np.searchsorted(sizes, -t))
-        x = column[:k]
-        c, c1, p, more = model.propose(k)
+        at = self.place.take(rows)
+        self.code[rows] = self.code.take(rows) << _U64(16) | self.flat.take(self.row.take(rows) + np.minimum(at, self.most))
+        self.place[rows] = at + 1
+
+    def decide(self, rows, p: np.ndarray) -> np.ndarray:
+        """Whether proposals are right."""
+        width, low = self.range[rows], self.low[rows]
+        cut = (width >> _U64(12)) * p
+        hit = self.code[rows] - low < cut
+        self.low[rows] = low + cut * ~hit
+        self.range[rows] = np.where(hit, cut, width - cut)
+        return hit
+
+    def get(self, rows: np.ndarray, of) -> tuple[np.ndarray, np.ndarray]:
+        unit = self.range.take(rows) // of
+        return np.minimum((self.code.take(rows) - self.low.take(rows)) // unit, of - _U64(1)), unit
+
+    def narrow(self, rows: np.ndarray, below: np.ndarray, share: np.ndarray, unit: np.ndarray) -> None:
+        self.low[rows] += unit * below
+        self.range[rows] = unit * share
+
+
+def _lanes(n: int) -> tuple[int, int]:
+    """Lanes of a block of n ids, and ids of each but the last ones."""
+    length = -(-n // min(LANES, max(1, n // LANE)))
+    return -(-n // length), length
+
+
+def _encode(ids: np.ndarray, vocabulary: int) -> bytes:
+    lanes, length = _lanes(len(ids))
+    table = np.zeros(lanes * length, np.int32)
+    table[: len(ids)] = ids
+    columns, short = np.ascontiguousarray(table.reshape(lanes, length).T), len(ids) - (lanes - 1) * length
+    model, coder = _Model(lanes, vocabulary), _Writer(lanes, length)
+    for t in range(length):
+        k = lanes - (t >= short)
+        x = columns[t, :k]
+        c, p, more = model.propose(k)
         hit = (c == x) & (model.f1 + model.f2 > 0)
-        coder.put(slice(0, k), np.where(hit, 0, p), np.where(hit, p, 4096 - p), _ONE)
-        model.first.update(hit.astype(np.int32))
+        coder.decide(slice(0, k), p, hit)
+        model.first.tell(model.state, hit)
         left = ~hit
         if len(r := np.flatnonzero(left & more)):
-            p = model.again(r, c1[r])
-            hit = c1[r] == x[r]
-            coder.put(r, np.where(hit, 0, p), np.where(hit, p, 4096 - p), _ONE)
-            model.second.update(hit.astype(np.int32))
+            c1 = model.c1.take(r)
+            p, hit = model.again(r, c1), c1 == x.take(r)
+            coder.decide(r, p, hit)
+            model.second.tell(model.state2, hit)
             left[r] = ~hit
         if len(r := np.flatnonzero(left)):
-            coder.put(r, *model.share(r, x[r]), model.total(r))
+            y = x.take(r)
+            coder.put(r, model.below.take(y), model.share.take(y), model.total)
         coder.settle(k)
         model.update(k, x)
-    return coder.finish()
-
-
-def _decode(streams: list[bytes], sizes: np.ndarray, ids: int) -> list[np.ndarray]:
-    model, coder = _Model(len(streams), ids), _Reader(streams)
-    columns = np.zeros((int(sizes[0]), len(streams)), np.int32)
-    for t in range(len(columns)):
-        k = int(np.searchsorted(-sizes, -t))
-        c, c1, p, more = model.propose(k)
-        at, unit = coder.get(slice(0, k), _ONE)
-        hit = at < p.astype(_U64)
-        coder.narrow(slice(0, k), np.where(hit, 0, p), np.where(hit, p, 4096 - p), unit)
-        model.first.update(hit.astype(np.int32))
-        x, left = c.copy(), ~hit
+    words = coder.finish()
+    return np.array([len(w) // 2 for w in words], "<u2").tobytes() + b"".join(words)
+
+
+def _decode(words: bytes, n: int, vocabulary: int) -> np.ndarray:
+    lanes, length = _lanes(n)
+    sizes = np.frombuffer(words[: 2 * lanes], "<u2").astype(np.int64)
+    if len(words) != 2 * lanes + 2 * sizes.sum():
+        raise ValueError("a block's lanes hold other numbers of words than it says")
+    model, coder = _Model(lanes, vocabulary), _Reader(np.frombuffer(words, "<u2", offset=2 * lanes), sizes)
+    columns, short = np.zeros((length, lanes), np.int32), n - (lanes - 1) * length
+    for t in range(length):
+        k = lanes - (t >= short)
+        c, p, more = model.propose(k)
+        hit = coder.decide(slice(0, k), p)
+        model.first.tell(model.state, hit)
+        x, left = columns[t, :k], ~hit
+        x[:] = c
         if len(r := np.flatnonzero(left & more)):
-            p = model.again(r, c1[r])
-            at, unit = coder.get(r, _ONE)
-            hit = at < p.astype(_U64)
-            coder.narrow(r, np.where(hit, 0, p), np.where(hit, p, 4096 - p), unit)
-            model.second.update(hit.astype(np.int32))
-            x[r], left[r] = c1[r], ~hit
+            c1 = model.c1.take(r)
+            hit = coder.decide(r, model.again(r, c1))
+            model.second.tell(model.state2, hit)
+            x[r] = c1
+            left[r] = ~hit
         if len(r := np.flatnonzero(left)):
-            at, unit = coder.get(r, model.total(r))
-            x[r] = found = model.find(r, at.astype(np.int64))
-            coder.narrow(r, *model.share(r, found), unit)
+            at, unit = coder.get(r, model.total)
+            x[r] = y = model.find(at.astype(np.int64))
+            coder.narrow(r, model.below.take(y), model.share.take(y), unit)
         coder.settle(k)
         model.update(k, x)
-        columns[t, :k] = x
-    return [columns[:n, i].astype("<u4") for i, n in enumerate(sizes.tolist())]
+    return columns.T.reshape(-1)[:n].astype("<u4")
 
 
-def pack(ids: np.ndarray, vocabulary: int, block: int = BLOCK) -> list[bytes]:
+def pack(ids: np.ndarray, vocabulary: int, block: int | None = None) -> list[bytes]:
     """Blocks of ids below `vocabulary`; no ids make no block.  An id outside the vocabulary is an error."""
+    block = BLOCK if block is None else block
     if len(ids) and int(ids.max()) >= vocabulary:
         raise ValueError(f"id {int(ids.max())} is outside a vocabulary of {vocabulary}")
-    if not 0 < block < 1 << 16:
-        raise ValueError("a block has 1 to 65535 ids")
-    cut, out = [ids[i : i + block] for i in range(0, len(ids), block)], []
-    for i in range(0, len(cut), STREAMS):
-        part = cut[i : i + STREAMS]
-        for b, words in zip(part, _encode(part, vocabulary), strict=True):
-            out.append(HEADER.pack(MARK, VERSION, len(b), vocabulary, crc32(b.astype("<u4").tobytes()), len(words) // 2) + words)
+    if not 0 < block <= _LONGEST or vocabulary > _WIDEST:
+        raise ValueError(f"a block has 1 to {_LONGEST} ids, a vocabulary up to {_WIDEST}")
+    out = []
+    for i in range(0, len(ids), block):
+        part = ids[i : i + block]
+        words = _encode(part, vocabulary)
+        out.append(HEADER.pack(MARK, VERSION, len(part), vocabulary, crc32(part.astype("<u4").tobytes()), len(words) // 2) + words)
     return out
 
 
 def unpack(blocks: list[bytes]) -> np.ndarray:
-    """Ids of any blocks, of one vocabulary, each of which can be read without the others; a damaged block is an error."""
-    heads = []
+    """Ids of any blocks, each of which can be read without the others; a damaged block is an error."""
+    out = []
     for b in blocks:
-        mark, version, *rest = HEADER.unpack_from(b)
-        if (mark, version) != (MARK, VERSION) or len(b) != HEADER.size + 2 * rest[3]:
+        if len(b) < HEADER.size:
+            raise ValueError("not a block of this format")
+        mark, version, n, vocabulary, check, words = HEADER.unpack_from(b)
+        if (mark, version) != (MARK, VERSION) or len(b) != HEADER.size + 2 * words or not 0 < n <= _LONGEST or not 0 < vocabulary <= _WIDEST:
             raise ValueError("not a block of this format")
-        heads.append(rest)
-    out: list = [None] * len(blocks)
-    order = sorted(range(len(blocks)), key=lambda i: -heads[i][0])
-    for i in range(0, len(order), STREAMS):
-        part = order[i : i + STREAMS]
-        sizes = np.array([heads[k][0] for k in part])
-        for k, ids in zip(part, _decode([blocks[k][HEADER.size :] for k in part], sizes, heads[part[0]][1]), strict=True):
-            if crc32(ids.tobytes()) != heads[k][2]:
-                raise ValueError("a block's ids differ from its checksum")
-            out[k] = ids
+        ids = _decode(b[HEADER.size :], n, vocabulary)
+        if crc32(ids.tobytes()) != check:
+            raise ValueError("a block's ids differ from its checksum")
+        out.append(ids)
     return np.concatenate(out) if out else np.zeros(0, "<u4")

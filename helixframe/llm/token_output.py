@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from uuid import uuid4
 
@@ -15,55 +16,124 @@ from pyspark.sql import functions as F
 from helixframe.llm import range_coder
 from helixframe.llm.common import remove_at_exit, shared_dir, small_batches, table, utf8
 
-#: Ids that a row of the files holds, but for the rest of its last document: as many blocks as are coded in step.
-ROW = range_coder.BLOCK * range_coder.STREAMS
+#: Ids that a row of the files holds, but for the rest of its last document.
+ROW = 2 * range_coder.BLOCK
 #: Bytes, roughly, of words and their ids that a worker remembers, and of the longest such word.  Bounds memory, not results.
-MEMO, WORD = 96_000_000, 64
+MEMO, WORD = 200_000_000, 64
+#: Texts whose new words are encoded together.
+TOGETHER = 64
 FILES = "shard int, first bigint, n bigint, doc_ids array<string>, sizes array<bigint>, blocks array<binary>"
 
-_tokenizers: dict[str, object] = {}
+#: A word of Latin-1 letters, which is one pre-token, and the ASCII marks behind it, which are one as well.
+_SIMPLE = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*)([!-/:-@\[-`{-~]*)")
+
+#: Bytes of plain texts, and what nevertheless makes one not plain: marks that meet, and two that are no letters.
+_PLAIN = bytes(b for b in range(128) if chr(b).isalnum()) + b" \t\n\r\x0b\x0c.,\xc3" + bytes(range(128, 192))
+_APART = b"..", b".,", b",.", b",,", b"\xc3\x97", b"\xc3\xb7"
+
+_encoders: dict[str, _Encoder] = {}
 
 
 class _Encoder:
-    """Ids of texts by a tokenizer file whose normal form drops white space, so that what lies between blanks is encoded by itself."""
+    """Ids of texts by a tokenizer file whose normal form drops white space, so that what lies between blanks is encoded by itself.
+
+    If it is a BPE with an end mark, of a normal form in small letters that splits letters from marks, as CLIP's does, then letters and the
+    marks behind them are encoded by themselves too, and many of them, between blanks, in one call: the end marks tell them apart.
+    """
 
     def __init__(self, path: str):
-        if path not in _tokenizers:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-            _tokenizers[path] = Tokenizer.from_file(path)
-        self.tokenizer, self.known, self.size = _tokenizers[path], {}, 0
+        self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.known, self.size = {}, 0
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = None
+        if suffix and self.encode(PROBE) == self.encode(SPLIT):
+            self.ends = np.zeros(self.vocabulary, bool)
+            self.ends[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith(suffix)]] = True
+
+    def encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
+    def _single(self, words: list[bytes]) -> list[bytes]:
         many = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in many]
 
+    def _joined(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of words that are one pre-token each."""
+        ids = np.array(self.encode(b" ".join(words).decode()), "<u4")
+        cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+        if len(cuts) != len(words) or cuts and cuts[-1] != 4 * len(ids):
+            return self._single(words)
+        packed = ids.tobytes()
+        return [packed[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
+    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        if self.ends is None:
+            return dict(zip(words, self._single(words), strict=True))
+        plain = [w for w in words if w.isalpha()]
+        ids = dict(zip(plain, self._joined(plain), strict=True))
+        if len(plain) < len(words):
+            # letters and the marks behind them, of which either may be all there is
+            other = [w for w in words if w not in ids]
+            parts = {w: (m[1].lower(), m[2]) for w in other if (m := _SIMPLE.fullmatch(w))}
+            cores = list({c for p in parts.values() for c in p if c})
+            made = dict(zip(cores, self._joined(cores), strict=True)) | {b"": b""}
+            ids.update((w, made[a] + made[b]) for w, (a, b) in parts.items())
+            rest = [w for w in other if w not in parts]
+            ids.update(zip(rest, self._single(rest), strict=True))
+        return ids
+
+    def _words(self, text: bytes) -> list[bytes]:
+        """What to encode by itself.  In a text of Latin-1 letters, digits, blanks, points and commas these marks stand apart where no two meet."""
+        if self.ends is None or text.translate(None, _PLAIN) or any(p in text for p in _APART):
+            return text.split()
+        return text.lower().replace(b".", b" . ").replace(b",", b" , ").split()
+
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
         """Packed ids of each text.  Blanks, tabs and line ends never take part in a token, so the words between them suffice."""
-        for text in texts:
-            words = text.split()
-            known = self.known
-            if new := list({w for w in words if w not in known}):
-                if self.size > MEMO:
-                    self.known = known = {}
-                    self.size, new = 0, list(set(words))
-                made = dict(zip(new, self._encode(new), strict=True))
-                keep = {w: ids for w, ids in made.items() if len(w) <= WORD}
-                known.update(keep)
-                self.size += sum(len(w) + len(ids) + 150 for w, ids in keep.items())
-                if len(keep) < len(made):
-                    yield b"".join([known[w] if w in known else made[w] for w in words])
-                    continue
-            yield b"".join(map(known.__getitem__, words))
+        for at in range(0, len(texts), TOGETHER):
+            yield from self._some([self._words(text) for text in texts[at : at + TOGETHER]])
+
+    def _some(self, texts: list[list[bytes]]) -> list[bytes]:
+        if self.size > MEMO:
+            self.known, self.size = {}, 0
+        found = [list(map(self.known.get, words)) for words in texts]
+        gaps = []
+        for words, ids in zip(texts, found, strict=True):
+            at = -1
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                gaps.append((ids, at, words[at]))
+        if gaps:
+            made = self._encode(list({w for _, _, w in gaps}))
+            for ids, at, w in gaps:
+                ids[at] = made[w]
+            if max(map(len, made)) > WORD:
+                made = {w: ids for w, ids in made.items() if len(w) <= WORD}
+            self.known.update(made)
+            self.size += sum(map(len, made)) + sum(map(len, made.values())) + 150 * len(made)
+        return [b"".join(ids) for ids in found]
+
+
+#: A text, and the same in small letters with blanks between letters and marks, that tell whether a tokenizer splits there.
+PROBE, SPLIT = "Word, ÉTÉ.Ça don't) it's; x!? \"Who\"'; a-b", "word , été . ça don 't ) it 's ; x !? \" who \"'; a - b"
+
+
+def _encoder(path: str) -> _Encoder:
+    """The worker's own, which goes on to know words from one task to the next."""
+    if path not in _encoders:
+        _encoders[path] = _Encoder(path)
+    return _encoders[path]
 
 
 def _rows(tokenizer: str, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard = _Encoder(tokenizer), TaskContext.get().partitionId()
+        encode, shard = _encoder(tokenizer), TaskContext.get().partitionId()
         first, held, ids, sizes = 0, [], [], []
 
         def out() -> pa.RecordBatch:

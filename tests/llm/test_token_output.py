@@ -99,3 +99,21 @@ def test_rows_of_the_files_hold_whole_documents(spark, tmp_path, monkeypatch):
     assert len(parts) > 3
     got = [r for p in parts for b in token_output._documents(iter([p])) for r in b.to_pylist()]
     assert [(int(r["doc"]), r["place"], len(r["ids"]) // 4, zlib.crc32(r["ids"])) for r in got] == brute(rows)
+
+
+def test_new_words_of_many_texts_are_encoded_in_one_call_and_kept():
+    encode = token_output._Encoder(token_output.vocabulary())
+    texts = [b"Alpha, beta. GAMMA\tdelta\n", "café Été, ça va.".encode(), b'wait... "what?" (yes), it\'s 3.14. a.b,c', "2×3 é J̌ İx.".encode(), b""]
+    want = [np.array(encode.encode(t.decode()), "<u4").tobytes() for t in texts]
+    calls, real = [], encode.encode
+    encode.encode = lambda text: calls.append(text) or real(text)
+    assert list(encode(texts * 20)) == want * 20 and len(calls) <= 2
+    assert list(encode(texts[:2])) == want[:2] and len(calls) <= 2
+    assert token_output._encoder(token_output.vocabulary()) is token_output._encoder(token_output.vocabulary())
+
+
+@pytest.mark.parametrize("n", [255, 256, 511, 513, 5_000, 70_001])
+def test_lanes_share_a_model_and_may_be_uneven(n):
+    ids = np.minimum(np.random.default_rng(n).zipf(1.2, n), 49407).astype("<u4")
+    blocks = range_coder.pack(ids, 49408)
+    assert len(blocks) == 1 and (range_coder.unpack(blocks) == ids).all()
