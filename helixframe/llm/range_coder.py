@@ -16,7 +16,7 @@ from zlib import crc32
 import numpy as np
 
 #: Ids of a block; lanes of a block at most, and ids of a lane at least, where there is more than one.
-BLOCK, LANES, LANE = 1 << 21, 4096, 256
+BLOCK, LANES, LANE = 1 << 22, 8192, 256
 #: What a block begins with: mark, version, number of ids, of the vocabulary's ids, crc32 of the ids, 16-bit words that follow.
 HEADER = struct.Struct("<4sBIIII")
 MARK, VERSION = b"HXRC", 2
@@ -26,7 +26,7 @@ _LONGEST, _WIDEST = 1 << 24, 1 << 18
 _TOP, _BOTTOM = 1 << 48, 1 << 44
 _SLOTS2, _SHARES = 16, 1 << 16
 #: Steps after which mixers learn, and after which frequencies are summed up, once many steps are over.
-_LEARN, _SUM = 8, 32
+_LEARN, _SUM = 16, 32
 _p = (np.arange(4096) + 0.5) / 4096
 _STRETCH = np.clip(np.rint(256 * np.log(_p / (1 - _p))), -2047, 2047).astype(np.int64)
 _SQUASH = np.clip(np.rint(4096 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 1, 4095).astype(np.uint64)

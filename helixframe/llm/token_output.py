@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Iterator
@@ -17,7 +18,7 @@ from helixframe.llm import range_coder
 from helixframe.llm.common import remove_at_exit, shared_dir, small_batches, table, utf8
 
 #: Ids that a row of the files holds, but for the rest of its last document.
-ROW = 2 * range_coder.BLOCK
+ROW = range_coder.BLOCK
 #: Bytes, roughly, of words and their ids that a worker remembers, and of the longest such word.  Bounds memory, not results.
 MEMO, WORD = 200_000_000, 64
 #: Texts whose new words are encoded together.
@@ -43,27 +44,33 @@ class _Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # small ASCII letters are in normal form, and byte for byte what the model takes
+        self.letters.normalizer, self.letters.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.known, self.size = {}, 0
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends = None
-        if suffix and self.encode(PROBE) == self.encode(SPLIT):
+        if suffix and self.encode(PROBE) == self.encode(SPLIT) and self.encode(LETTERS) == self._letters(LETTERS):
             self.ends = np.zeros(self.vocabulary, bool)
             self.ends[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith(suffix)]] = True
 
     def encode(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    def _letters(self, text: str) -> list[int]:
+        return self.letters.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def _single(self, words: list[bytes]) -> list[bytes]:
         many = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in many]
 
-    def _joined(self, words: list[bytes]) -> list[bytes]:
+    def _joined(self, words: list[bytes], letters: bool = False) -> list[bytes]:
         """Packed ids of words that are one pre-token each."""
-        ids = np.array(self.encode(b" ".join(words).decode()), "<u4")
+        text = b" ".join(words).decode()
+        ids = np.array(self._letters(text) if letters else self.encode(text), "<u4")
         cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
         if len(cuts) != len(words) or cuts and cuts[-1] != 4 * len(ids):
             return self._single(words)
@@ -74,7 +81,7 @@ class _Encoder:
         if self.ends is None:
             return dict(zip(words, self._single(words), strict=True))
         plain = [w for w in words if w.isalpha()]
-        ids = dict(zip(plain, self._joined(plain), strict=True))
+        ids = dict(zip(plain, self._joined([w.lower() for w in plain], True), strict=True))
         if len(plain) < len(words):
             # letters and the marks behind them, of which either may be all there is
             other = [w for w in words if w not in ids]
@@ -95,22 +102,32 @@ class _Encoder:
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
         """Packed ids of each text.  Blanks, tabs and line ends never take part in a token, so the words between them suffice."""
         for at in range(0, len(texts), TOGETHER):
-            yield from self._some([self._words(text) for text in texts[at : at + TOGETHER]])
+            # no cycles arise here; collections would walk all these lists again and again
+            on = gc.isenabled()
+            gc.disable()
+            try:
+                done = self._some([self._words(text) for text in texts[at : at + TOGETHER]])
+            finally:
+                if on:
+                    gc.enable()
+            yield from done
 
     def _some(self, texts: list[list[bytes]]) -> list[bytes]:
         if self.size > MEMO:
             self.known, self.size = {}, 0
         found = [list(map(self.known.get, words)) for words in texts]
-        gaps = []
+        gaps, missing = [], set()
         for words, ids in zip(texts, found, strict=True):
-            at = -1
+            at, here = -1, []
             for _ in range(ids.count(None)):
-                at = ids.index(None, at + 1)
-                gaps.append((ids, at, words[at]))
-        if gaps:
-            made = self._encode(list({w for _, _, w in gaps}))
-            for ids, at, w in gaps:
-                ids[at] = made[w]
+                here.append(at := ids.index(None, at + 1))
+            gaps.append(here)
+            missing.update(map(words.__getitem__, here))
+        if missing:
+            made = self._encode(list(missing))
+            for words, ids, here in zip(texts, found, gaps, strict=True):
+                for at in here:
+                    ids[at] = made[words[at]]
             if max(map(len, made)) > WORD:
                 made = {w: ids for w, ids in made.items() if len(w) <= WORD}
             self.known.update(made)
@@ -118,6 +135,8 @@ class _Encoder:
         return [b"".join(ids) for ids in found]
 
 
+#: Words of letters alone.
+LETTERS = "the quick brown fox jumps over a lazy dog and onthetionsh thereof zz"
 #: A text, and the same in small letters with blanks between letters and marks, that tell whether a tokenizer splits there.
 PROBE, SPLIT = "Word, ÉTÉ.Ça don't) it's; x!? \"Who\"'; a-b", "word , été . ça don 't ) it 's ; x !? \" who \"'; a - b"
 
