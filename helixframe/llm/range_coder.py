@@ -4,8 +4,9 @@ A block's ids are cut into lanes, which are coded in step, one id of each at a t
 The last two ids and the last one each propose the id that followed them most steadily before; how steadily, and how frequent
 the proposed id is by itself, are three predictions whose log odds a small online mixer weighs into the probability that
 the proposal is right.  A second mixer does so for the order-1 proposal where it differs.  An id that is neither is coded
-by adaptive order-0 frequencies.  Predictions have few states, so mixers work out all their answers at once, and learn from
-some steps at a time.  All of it is integer arithmetic, so every machine decodes alike.
+by adaptive order-0 frequencies.  What is true of an id is one part of the whole, so that it narrows its lane's range once.
+Predictions have few states, so mixers work out all their answers at once, and learn from some steps at a time.  All of it
+is integer arithmetic, so every machine decodes alike.
 """
 
 from __future__ import annotations
@@ -19,22 +20,19 @@ import numpy as np
 BLOCK, LANES, LANE = 1 << 22, 8192, 256
 #: What a block begins with: mark, version, number of ids, of the vocabulary's ids, crc32 of the ids, 16-bit words that follow.
 HEADER = struct.Struct("<4sBIIII")
-MARK, VERSION = b"HXRC", 2
+MARK, VERSION = b"HXRC", 3
 #: Most ids of a block and of a vocabulary.
 _LONGEST, _WIDEST = 1 << 24, 1 << 18
 
-_TOP, _BOTTOM = 1 << 48, 1 << 44
+#: Ranges have this at least between ids; parts are out of _WHOLE, of which _ROOM at least is left to frequencies.
+_TOP, _WHOLE, _ROOM = 1 << 48, 1 << 31, 1 << 19
 _SLOTS2, _SHARES = 16, 1 << 16
 #: Steps after which mixers learn, and after which frequencies are summed up, once many steps are over.
-_LEARN, _SUM = 16, 32
+_LEARN, _SUM = 32, 64
 _p = (np.arange(4096) + 0.5) / 4096
 _STRETCH = np.clip(np.rint(256 * np.log(_p / (1 - _p))), -2047, 2047).astype(np.int64)
-_SQUASH = np.clip(np.rint(4096 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 1, 4095).astype(np.uint64)
-_U64 = np.uint64
-#: What an entry's steadiness, or 16 and it where its proposal was right, changes by; and whether the entry stays.
-_f = np.arange(16)
-_CHANGE = np.concatenate([(_f >> 1) - _f, _f < 15]).astype(np.int32)
-_STAYS = np.concatenate([_f > 1, _f > 0])
+_SQUASH = np.clip(np.rint(4096 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 1, 4094).astype(np.uint32)
+_U64, _U32 = np.uint64, np.uint32
 
 
 class _Mixer:
@@ -52,6 +50,7 @@ class _Mixer:
         self.odds = [_STRETCH[p >> 4].reshape([-1 if i == k else 1 for k in range(len(self.p))]) for i, p in enumerate(self.p)]
         total = sum(w * o for w, o in zip(self.w, self.odds, strict=True)) >> 16
         self.table = _SQUASH.take(total + 2047, mode="clip").ravel()
+        self.part = self.table * _U32(_WHOLE >> 12)
 
     def tell(self, state: np.ndarray, hit: np.ndarray) -> None:
         """The proposals in these states were right or not."""
@@ -94,34 +93,43 @@ class _Model:
             self.new = []
         self.share = 1 + self.seen * _SHARES // max(int(self.seen.sum()), _SHARES >> 5)
         ends = np.cumsum(self.share)
-        self.total = _U64(ends[-1])
-        self.below, self.share = (ends - self.share).astype(_U64), self.share.astype(_U64)
+        self.total = _U32(ends[-1])
+        self.below, self.share = (ends - self.share).astype(_U32), self.share.astype(_U32)
         self.size = np.minimum(np.frexp(self.seen.astype(float))[1], 15).astype(np.int32)
         self.slots = None
 
     def propose(self, k: int):
-        """The proposals of a step, the first mixer's probability, and where the second one has a say."""
+        """The proposals of a step, and the part of the whole in which they are right, which begins it."""
         mixed = self.last[:k] * np.uint32(2654435761) + self.before[:k] * np.uint32(2246822519) >> np.uint32(32 - _SLOTS2)
         self.at1, self.at2 = self.last[:k].astype(np.int64), mixed.astype(np.int64)
         self.e1, self.e2 = self.one.take(self.at1, mode="clip"), self.two.take(self.at2, mode="clip")
         self.c1, self.c2 = self.e1 >> 4, self.e2 >> 4
         self.f1, self.f2 = self.e1 & 15, self.e2 & 15
-        with2 = self.f2 > 0
-        c = np.where(with2, self.c2, self.c1)
+        c = np.where(self.f2 > 0, self.c2, self.c1)
         same = c == self.c1
         self.state = (self.f2 << 9) + (same.astype(np.int32) << 8) + (self.f1 << 4) + self.size.take(c, mode="clip")
-        return c, self.first.table.take(self.state, mode="clip"), (self.f1 > 0) & ~same
+        self.more = (self.f1 > 0) & ~same
+        return c, self.first.part.take(self.state, mode="clip")
 
-    def again(self, r: np.ndarray, c1: np.ndarray) -> np.ndarray:
-        """The second mixer's probability for some lanes."""
-        self.state2 = (self.f1.take(r) << 4) + self.size.take(c1)
-        return self.second.table.take(self.state2)
+    def again(self, r: np.ndarray, first: np.ndarray):
+        """For lanes whose proposal is wrong: where that leaves off, whether there is an order-1 proposal, which, the part in which
+        it is right, and the unit of the frequencies, which have the rest."""
+        begin, more, c1 = first.take(r), self.more.take(r), self.c1.take(r)
+        room = _U32(_WHOLE) - begin
+        self.state2 = (self.f1.take(r) << 4) + self.size.take(c1, mode="clip")
+        part = np.minimum((room >> _U32(12)) * self.second.table.take(self.state2, mode="clip"), room - _U32(_ROOM)) * more
+        return begin, more, c1, part, (room - part) // self.total
+
+    def tell_again(self, more: np.ndarray, hit: np.ndarray) -> None:
+        self.second.tell(self.state2[more], hit[more])
 
     def update(self, k: int, x: np.ndarray) -> None:
         fresh = x << 4 | 1
         for table, at, e, c, f in ((self.one, self.at1, self.e1, self.c1, self.f1), (self.two, self.at2, self.e2, self.c2, self.f2)):
-            f += (c == x).astype(np.int32) << 4
-            table[at] = np.where(_STAYS.take(f, mode="clip"), e + _CHANGE.take(f, mode="clip"), fresh)
+            # one steadier where the proposal was right, else half as steady; it stays as long as it is steady at all
+            hit = (c == x).astype(np.int32)
+            g = np.minimum(f + hit >> (1 - hit), 15)
+            table[at] = np.where(g > 0, e - f + g, fresh)
         self.before[:k] = self.last[:k]
         self.last[:k] = x
         self.new.append(x)
@@ -140,102 +148,93 @@ class _Model:
 
 
 class _Coder:
-    """64-bit ranges.  Once a token 16-bit words leave or enter, when the ends agree in them or when the range gets too narrow."""
+    """64-bit ranges, of which an id leaves a part.  16-bit words leave or enter when a range gets narrower than _TOP, two an id at most."""
 
-    def __init__(self, streams: int):
-        self.low, self.range = np.zeros(streams, _U64), np.full(streams, (1 << 64) - 1, _U64)
-        self.place = np.zeros(streams, np.int64)
+    def __init__(self, streams: int, width: int):
+        self.range = np.full(streams, (1 << 64) - 1, _U64)
+        #: Where the words of the streams begin, and where the next ones are.
+        self.row = np.arange(streams) * width
+        self.place = self.row.copy()
 
     def settle(self, k: int) -> None:
-        """Leaves at least _BOTTOM of each range, so that a token's decisions never use it up."""
-        rows = np.flatnonzero(self.range[:k] <= _U64(_TOP))
-        low, width = self.low.take(rows), self.range.take(rows)
-        while len(rows):
-            agree = (low ^ (low + (width - _U64(1)))) < _U64(_TOP)
-            go = np.flatnonzero(agree | (width < _U64(_BOTTOM)))
-            if not len(go):
-                return
-            if len(go) < len(rows):
-                rows, low, width, agree = rows.take(go), low.take(go), width.take(go), agree.take(go)
-            if not agree.all():
-                width = np.where(agree, width, (~low + _U64(1)) & _U64(_BOTTOM - 1))
-            # a whole cell would have a width of 2**64 next, which is one too many
-            width = np.minimum(width, _U64(_TOP - 1))
-            self.shift(rows, low)
-            low, width = low << _U64(16), width << _U64(16)
-            self.low[rows], self.range[rows] = low, width
-            left = np.flatnonzero(width <= _U64(_TOP))
-            rows, low, width = rows.take(left), low.take(left), width.take(left)
+        """Leaves at least _TOP of each range."""
+        small = self.range[:k] < _U64(_TOP)
+        bits = small.astype(_U64) << _U64(4)
+        self.shift(slice(0, k), bits, small)
+        self.range[:k] <<= bits
+        if len(r := np.flatnonzero(self.range[:k] < _U64(_TOP))):
+            self.shift(r, _U64(16), np.True_)
+            self.range[r] <<= _U64(16)
 
 
 class _Writer(_Coder):
+    """Lower ends go up; what goes beyond 64 bits is carried into the words that left before."""
+
     def __init__(self, streams: int, longest: int):
-        super().__init__(streams)
-        self.words = np.zeros((streams, 4 * longest + 16), "<u2")
-        self.flat, self.row = self.words.reshape(-1), np.arange(streams) * self.words.shape[1]
-
-    def shift(self, rows: np.ndarray, low: np.ndarray) -> None:
-        at = self.place.take(rows)
-        self.flat[self.row.take(rows) + at] = low >> _U64(48)
-        self.place[rows] = at + 1
-
-    def decide(self, rows, p: np.ndarray, hit: np.ndarray) -> None:
-        """Codes whether proposals are right."""
-        width = self.range[rows]
-        cut = (width >> _U64(12)) * p
-        self.low[rows] += cut * ~hit
-        self.range[rows] = np.where(hit, cut, width - cut)
-
-    def put(self, rows: np.ndarray, below: np.ndarray, share: np.ndarray, of) -> None:
-        unit = self.range.take(rows) // of
-        self.low[rows] += unit * below
-        self.range[rows] = unit * share
+        self.width = 2 * longest + 16
+        super().__init__(streams, self.width)
+        self.low, self.words = np.zeros(streams, _U64), np.zeros(streams * self.width, "<u2")
+
+    def shift(self, rows, bits, moved) -> None:
+        at, low = self.place[rows], self.low[rows]
+        # where none leaves, a later one takes the place
+        self.words[at] = low >> _U64(48)
+        self.low[rows] = low << bits
+        self.place[rows] = at + moved
+
+    def raised(self, k: int, by: np.ndarray) -> None:
+        low = self.low[:k]
+        low += by
+        at = self.place[np.flatnonzero(low < by)] - 1
+        while len(at):
+            self.words[at] = w = self.words.take(at) + np.uint16(1)
+            at = at[w == 0] - 1
+
+    def put(self, k: int, begin: np.ndarray, part: np.ndarray) -> None:
+        unit = self.range[:k] >> _U64(31)
+        self.raised(k, unit * begin)
+        self.range[:k] = unit * part
 
     def finish(self) -> list[bytes]:
-        """Two words tell a number in any range of _BOTTOM; zeros follow, and none that end a stream are kept."""
-        every = np.arange(len(self.low))
-        self.low = self.low + _U64((1 << 32) - 1) & ~_U64((1 << 32) - 1)
-        for _ in range(2):
-            self.shift(every, self.low)
-            self.low = self.low << _U64(16)
-        sizes = np.where(self.words.any(axis=1), self.words.shape[1] - np.argmax(self.words[:, ::-1] > 0, axis=1), 0)
-        return [w[:n].tobytes() for w, n in zip(self.words, sizes.tolist(), strict=True)]
+        """One word tells a number in any range of _TOP; zeros follow, and none that end a stream are kept."""
+        self.raised(len(self.low), np.full(len(self.low), _TOP - 1, _U64))
+        self.shift(slice(None), _U64(16), np.True_)
+        flat = self.words.tobytes()
+        kept = [flat[a:b].rstrip(b"\0") for a, b in zip((2 * self.row).tolist(), (2 * self.place).tolist(), strict=True)]
+        return [w + bytes(len(w) % 2) for w in kept]
 
 
 class _Reader(_Coder):
+    """Holds by how much the words exceed the lower ends."""
+
     def __init__(self, words: np.ndarray, sizes: np.ndarray):
         """words: those of all streams, one after the other; sizes: how many each has."""
-        super().__init__(len(sizes))
         width = int(sizes.max()) + 8
-        self.flat, self.row = np.zeros(len(sizes) * width, _U64), np.arange(len(sizes)) * width
-        self.flat[np.arange(len(words)) + np.repeat(self.row - (np.cumsum(sizes) - sizes), sizes)] = words
-        self.most = width - 1
+        super().__init__(len(sizes), width)
+        self.words = np.zeros(len(sizes) * width, np.uint16)
+        self.words[np.arange(len(words)) + np.repeat(self.row - (np.cumsum(sizes) - sizes), sizes)] = words
+        self.most = self.row + width - 1
         self.code = np.zeros(len(sizes), _U64)
         for i in range(4):
-            self.code = self.code << _U64(16) | self.flat[self.row + i]
+            self.code = self.code << _U64(16) | self.words[self.row + i]
         self.place += 4
 
-    def shift(self, rows: np.ndarray, low: np.ndarray) -> None:
-        at = self.place.take(rows)
-        self.code[rows] = self.code.take(rows) << _U64(16) | self.flat.take(self.row.take(rows) + np.minimum(at, self.most))
-        self.place[rows] = at + 1
+    def shift(self, rows, bits, moved) -> None:
+        at = self.place[rows]
+        self.code[rows] = self.code[rows] << bits | self.words.take(at) * moved
+        self.place[rows] = np.minimum(at + moved, self.most[rows])
 
-    def decide(self, rows, p: np.ndarray) -> np.ndarray:
-        """Whether proposals are right."""
-        width, low = self.range[rows], self.low[rows]
-        cut = (width >> _U64(12)) * p
-        hit = self.code[rows] - low < cut
-        self.low[rows] = low + cut * ~hit
-        self.range[rows] = np.where(hit, cut, width - cut)
-        return hit
+    def within(self, k: int, part: np.ndarray) -> np.ndarray:
+        """Whether it is in the part that begins the whole."""
+        self.unit = self.range[:k] >> _U64(31)
+        return self.code[:k] < self.unit * part
 
-    def get(self, rows: np.ndarray, of) -> tuple[np.ndarray, np.ndarray]:
-        unit = self.range.take(rows) // of
-        return np.minimum((self.code.take(rows) - self.low.take(rows)) // unit, of - _U64(1)), unit
+    def where(self, r: np.ndarray) -> np.ndarray:
+        return np.minimum(self.code.take(r) // self.unit.take(r), _U64(_WHOLE - 1)).astype(_U32)
 
-    def narrow(self, rows: np.ndarray, below: np.ndarray, share: np.ndarray, unit: np.ndarray) -> None:
-        self.low[rows] += unit * below
-        self.range[rows] = unit * share
+    def narrow(self, k: int, begin: np.ndarray, part: np.ndarray) -> None:
+        self.code[:k] -= self.unit * begin
+        self.range[:k] = self.unit * part
 
 
 def _lanes(n: int) -> tuple[int, int]:
@@ -253,20 +252,18 @@ def _encode(ids: np.ndarray, vocabulary: int) -> bytes:
     for t in range(length):
         k = lanes - (t >= short)
         x = columns[t, :k]
-        c, p, more = model.propose(k)
+        c, part = model.propose(k)
         hit = (c == x) & (model.f1 + model.f2 > 0)
-        coder.decide(slice(0, k), p, hit)
         model.first.tell(model.state, hit)
-        left = ~hit
-        if len(r := np.flatnonzero(left & more)):
-            c1 = model.c1.take(r)
-            p, hit = model.again(r, c1), c1 == x.take(r)
-            coder.decide(r, p, hit)
-            model.second.tell(model.state2, hit)
-            left[r] = ~hit
-        if len(r := np.flatnonzero(left)):
+        begin = np.zeros(k, _U32)
+        if len(r := np.flatnonzero(~hit)):
             y = x.take(r)
-            coder.put(r, model.below.take(y), model.share.take(y), model.total)
+            at, more, c1, second, unit = model.again(r, part)
+            hit = more & (c1 == y)
+            model.tell_again(more, hit)
+            begin[r] = np.where(hit, at, at + second + unit * model.below.take(y))
+            part[r] = np.where(hit, second, unit * model.share.take(y))
+        coder.put(k, begin, part)
         coder.settle(k)
         model.update(k, x)
     words = coder.finish()
@@ -282,21 +279,20 @@ def _decode(words: bytes, n: int, vocabulary: int) -> np.ndarray:
     columns, short = np.zeros((length, lanes), np.int32), n - (lanes - 1) * length
     for t in range(length):
         k = lanes - (t >= short)
-        c, p, more = model.propose(k)
-        hit = coder.decide(slice(0, k), p)
+        c, part = model.propose(k)
+        hit = coder.within(k, part)
         model.first.tell(model.state, hit)
-        x, left = columns[t, :k], ~hit
+        x, begin = columns[t, :k], np.zeros(k, _U32)
         x[:] = c
-        if len(r := np.flatnonzero(left & more)):
-            c1 = model.c1.take(r)
-            hit = coder.decide(r, model.again(r, c1))
-            model.second.tell(model.state2, hit)
-            x[r] = c1
-            left[r] = ~hit
-        if len(r := np.flatnonzero(left)):
-            at, unit = coder.get(r, model.total)
-            x[r] = y = model.find(at.astype(np.int64))
-            coder.narrow(r, model.below.take(y), model.share.take(y), unit)
+        if len(r := np.flatnonzero(~hit)):
+            at, more, c1, second, unit = model.again(r, part)
+            place = coder.where(r) - at
+            hit = more & (place < second)
+            model.tell_again(more, hit)
+            x[r] = y = np.where(hit, c1, model.find(np.minimum((place - second) // unit, model.total - _U32(1))))
+            begin[r] = np.where(hit, at, at + second + unit * model.below.take(y))
+            part[r] = np.where(hit, second, unit * model.share.take(y))
+        coder.narrow(k, begin, part)
         coder.settle(k)
         model.update(k, x)
     return columns.T.reshape(-1)[:n].astype("<u4")

@@ -117,3 +117,50 @@ def test_lanes_share_a_model_and_may_be_uneven(n):
     ids = np.minimum(np.random.default_rng(n).zipf(1.2, n), 49407).astype("<u4")
     blocks = range_coder.pack(ids, 49408)
     assert len(blocks) == 1 and (range_coder.unpack(blocks) == ids).all()
+
+
+def test_letters_marks_and_digits_are_pieces_of_their_own_in_any_text():
+    encode = token_output._Encoder(token_output.vocabulary())
+    marks = "!!!", "###", "*** ", "? ", "\"(", ")-"
+    texts = [f"Alpha{m}été{n}beta{m}{n}| ’".encode() for m in marks for n in range(50)] + [f"alpha{m}ÉTÉ{n}beta{m}".encode() for m in marks for n in range(50)]
+    assert list(encode(texts)) == [np.array(encode.encode(t.decode()), "<u4").tobytes() for t in texts]
+    assert len(encode.known) < 100
+    awkward = ["H\u0331! a\u0301,b", "x<|endoftext|>, y <|ENDOFTEXT|> <|a", "12\u0301 3½4", "’s!'S ''t", "a\x1c,b \x7f. \u00a0,\u0085.", "×,é÷.", "=\u0338a", "", " \n", "İ, ǅ. ß!"]
+    assert list(encode([t.encode() for t in awkward])) == [np.array(encode.encode(t), "<u4").tobytes() for t in awkward]
+
+
+def test_long_groups_of_texts_are_cut(monkeypatch):
+    monkeypatch.setattr(token_output, "TOGETHER", 10)
+    encode = token_output._Encoder(token_output.vocabulary())
+    texts = [b"one two, three", b"", b"four", b"  ", b"five. six", b""]
+    assert list(encode(texts)) == [np.array(encode.encode(t.decode()), "<u4").tobytes() for t in texts]
+
+
+def test_a_carry_goes_back_through_full_words():
+    coder = range_coder._Writer(1, 10)
+    coder.words[:3], coder.place[:], coder.low[:] = (5, 0xFFFF, 0xFFFF), 3, (1 << 64) - 1
+    coder.raised(1, np.ones(1, np.uint64))
+    assert coder.words[:3].tolist() == [6, 0, 0] and coder.low[0] == 0
+
+
+def test_rare_ids_after_sure_proposals_keep_a_part():
+    """The narrowest parts: proposals are as sure as can be, and what comes instead was never seen, in the widest vocabulary."""
+    ids = np.tile(np.arange(5), 40_000)
+    ids[::997] = range_coder._WIDEST - 1 - np.arange(len(ids[::997]))
+    blocks = range_coder.pack(ids.astype("<u4"), range_coder._WIDEST)
+    assert (range_coder.unpack(blocks) == ids).all()
+
+
+def test_reading_leaves_the_sessions_batches_and_small_ones_are_encoded_together(spark, docs, tmp_path):
+    import pyarrow as pa
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "1000")
+        result(spark, docs(["one", "two"]), str(tmp_path / "a"))
+        assert spark.conf.get(key) == "1000"
+    finally:
+        spark.conf.set(key, before)
+    batches = [pa.RecordBatch.from_pydict({"doc": [str(i)], "text": [b"some text"]}) for i in range(50)]
+    assert [len(texts) for _, texts in token_output._groups(iter(batches))] == [50]
