@@ -25,17 +25,22 @@ def blocked(cells: DataFrame, value: str, cells_a_block: int = CELLS) -> DataFra
     for it and running() takes each group in one go.
     """
     kept = durable(cells)
+    return cut(kept, value, kept.count(), cells_a_block)
+
+
+def cut(df: DataFrame, value: str, rows: int, rows_a_block: int = CELLS) -> DataFrame:
+    """df, of about so many rows, with the block of each one's value, as blocked() has it; df is read once more for the splitters."""
     at = F.col(value).cast("double")
-    blocks = min(BLOCKS, -(-kept.count() // cells_a_block))
+    blocks = min(BLOCKS, -(-rows // rows_a_block))
     if blocks <= 1:
-        return kept
-    marks = kept.agg(F.percentile_approx(at, F.array(*[F.lit(i / blocks) for i in range(1, blocks)]), F.lit(10 * blocks))).first()[0]
-    ends = sorted({m + 0.0 for m in marks} - {float("inf"), float("-inf")})
+        return df
+    marks = df.agg(F.percentile_approx(at, F.array(*[F.lit(i / blocks) for i in range(1, blocks)]), F.lit(10 * blocks))).first()[0]
+    ends = sorted({m + 0.0 for m in marks or ()} - {float("inf"), float("-inf")})
     ends = [e for e in ends if e == e]
     if not ends:
-        return kept
+        return df
     split = Bucketizer(splits=[float("-inf"), *ends, float("inf")], inputCol="_at", outputCol=BLOCK, handleInvalid="keep")
-    return split.transform(kept.withColumn("_at", at)).drop("_at")
+    return split.transform(df.withColumn("_at", at)).drop("_at")
 
 
 def running(cells: DataFrame, by: list[str], value: str, column: str, out: str, how: str = "sum", descending: bool = False) -> DataFrame:

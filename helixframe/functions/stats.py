@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from helixframe.durable import durable
 from helixframe.functions import prefix
 
+#: Rows of a table that is sent to all tasks, at most.
+FEW = 100_000
+
+
 def weighted_median(df: DataFrame, by: list[str], value: str, weight: str, out: str = "wmedian") -> DataFrame:
     """A1: the lowest value whose cumulative weight reaches half the total; a total of zero or less gives the plain median."""
     cells = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.sum(weight).alias("_w"), F.count(F.lit(1)).alias("_n"))
@@ -53,6 +57,45 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str, out: str = "rho") ->
     return correlation(by, ranked, "_rx", "_ry", out, "_times")
 
 
+def spearman_windows(df: DataFrame, by: list[str], x: str, y: str, out: str = "rho", times: str | None = None) -> DataFrame:
+    """spearman of groups of prefix.CELLS rows at most, none null: a group is ranked in one task, all of it after one shuffle."""
+
+    def rank(value: str) -> Column:
+        to = Window.partitionBy(*by).orderBy(value)  # up to the last row of an equal value
+        if times is None:
+            return (F.rank().over(to) + F.count(F.lit(1)).over(to)) / F.lit(2.0)
+        return F.sum(times).over(to) - (F.sum(times).over(Window.partitionBy(*by, value)) - 1) / F.lit(2.0)
+
+    return correlation(by, df.withColumn("_rx", rank(x)).withColumn("_ry", rank(y)), "_rx", "_ry", out, times)
+
+
+def spearman_blocks(df: DataFrame, by: list[str], x: str, y: str, rows: int, out: str = "rho", times: str | None = None) -> DataFrame:
+    """spearman of groups of any size, about so many rows in all, none null; df is read three times.
+
+    Rows get their rank in x alone.  The sums need, of a group's rows of one y, only their number and the sum of those ranks: such cells
+    are cut in blocks by y and scanned there, and what a block adds follows from the ranks within it and the number of rows in earlier ones.
+    """
+    c, n = F.col, F.col(times) if times else F.lit(1)
+    xs = prefix.running(prefix.blocked(df.groupBy(*by, c(x).alias("_c")).agg(F.sum(n).alias("_n")), "_c", prefix.CELLS), by, "_c", "_n", "_to")
+    xs = durable(xs.select(*by, "_c", "_n", (c("_to") - (c("_n") - 1) / F.lit(2.0)).alias("_rx")))
+    few = xs.count() <= FEW
+    kept = df.select(*by, c(x).alias("_x"), c(y).alias("_y"), n.alias("_t"))
+    joined = prefix.attach(prefix.cut(kept, "_y", rows, prefix.CELLS), F.broadcast(xs) if few else xs, by, c("_x"), "_c", "_rx")
+    block = [prefix.BLOCK] if prefix.BLOCK in joined.columns else []
+    cells = joined.groupBy(*by, *block, "_y").agg(F.sum("_t").alias("_n"), F.sum(c("_t") * c("_rx")).alias("_s"))
+    to = F.sum("_n").over(Window.partitionBy(*by, *block).orderBy("_y").rowsBetween(Window.unboundedPreceding, 0))
+    cells = cells.withColumn("_r", to - (c("_n") - 1) / F.lit(2.0))
+    part = cells.groupBy(*by, *block).agg(F.sum("_n").alias("_n"), F.sum(c("_n") * c("_r")).alias("_y"), F.sum(c("_n") * c("_r") * c("_r")).alias("_yy"), F.sum("_s").alias("_x"), F.sum(c("_s") * c("_r")).alias("_xy"))
+    # at most prefix.BLOCKS rows a group
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) if block else F.lit(0)
+    part = part.withColumn("_o", before.cast("double"))
+    o = c("_o")
+    sums = part.groupBy(*by).agg(F.sum("_n").alias("_n"), F.sum("_x").alias("_x"), F.sum(c("_y") + o * c("_n")).alias("_y"), F.sum(c("_yy") + 2 * o * c("_y") + o * o * c("_n")).alias("_yy"), F.sum(c("_xy") + o * c("_x")).alias("_xy"))
+    squares = xs.groupBy(*by).agg(F.sum(c("_n") * c("_rx") * c("_rx")).alias("_xx")).select(*[c(k).alias(f"_k{i}") for i, k in enumerate(by)], "_xx")
+    sums = sums.join(squares, [c(k).eqNullSafe(c(f"_k{i}")) for i, k in enumerate(by)]) if by else sums.crossJoin(squares)
+    return sums.select(*by, _correlation(*(c(k) for k in ("_n", "_x", "_y", "_xx", "_yy", "_xy"))).alias(out))
+
+
 def precision_weighted(df: DataFrame, by: list[str], i: str, e: str, out: str = "score") -> DataFrame:
     """2 sum(i r(e)) / sum(i) - 1, r the average rank scaled to 0..1; fewer than 3 rows or no weight gives 0."""
     ranked = average_rank(df.where(F.col(i).isNotNull() & F.col(e).isNotNull()), by, e, "_r")

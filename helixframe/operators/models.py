@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.durable import durable
-from helixframe.functions import stats
+from helixframe.functions import prefix, stats
 from helixframe.operators import vectors as V
 
 
@@ -45,33 +45,116 @@ def pls(n: int, s: np.ndarray, g: np.ndarray, rank: int) -> tuple[np.ndarray, fl
     return coef, float(mean[d] - coef @ mean[:d])
 
 
+#: Up to so many features a group's sums are columns, which Spark adds up; beyond, matrices that tasks add up.
+NARROW = 3
+
+
 def fold_scores(probe: DataFrame, fits: dict, x: str = "x", y: str = "y", group: str = "grp", lanes: int = 16) -> tuple[DataFrame, DataFrame]:
     """(grp, fit, rho) of leave-one-group-out predictions by Spearman, and the folds' weights (grp, fit, w).
 
     fits names functions of a fold's row count, sums and Gram matrix, all fitted in one pass: a fold's are the total, which the
-    driver knows, less the group's.  A group's matrix stays on the executors: tasks add up what they have of it, lanes of tasks are added
-    up next, and whoever has a group's sum fits its fold.  Weights meet the rows by a join on the group, so a hot group is
-    split there.  Values are centred by the grand mean first.  Null groups, features and responses don't count.
+    driver knows, less the group's.  A group's sums stay on the executors, which fit its fold.  Weights meet the rows by a join on the
+    group.  Groups of bounded size are predicted and ranked by one task each after one shuffle; larger ones are few, so their weights
+    go to the rows, and several tasks rank such a group.  Values are centred by the grand mean first.  Null groups, features and responses
+    don't count.
     """
     spark = probe.sparkSession
     known = probe.where(F.col(group).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull())
-    both = known.select(F.col(group).cast("bigint").alias("k"), F.concat(x, F.array(F.col(y))).alias("v"))
+    first = known.select(F.size(x)).first()
+    if first is None:
+        return spark.createDataFrame([], f"{group} bigint, fit string, rho double"), spark.createDataFrame([], f"{group} bigint, fit string, w array<double>")
+    narrow, names = first[0] <= NARROW, list(fits)
+    if narrow:
+        vs = [*(F.get(F.col(x), F.lit(i)).cast("double") for i in range(first[0])), F.col(y).cast("double")]
+        both = known.select(F.col(group).cast("bigint").alias("k"), *[v.alias(f"v{i}") for i, v in enumerate(vs)]).dropna()
+        sums, total, mean = _narrow_sums(both, len(vs))
+    else:
+        both = known.select(F.col(group).cast("bigint").alias("k"), F.concat(x, F.array(F.col(y))).alias("v"))
+        sums, total, mean = _wide_sums(both, lanes)
+    if total is None:
+        return spark.createDataFrame([], f"{group} bigint, fit string, rho double"), spark.createDataFrame([], f"{group} bigint, fit string, w array<double>")
+    d = len(mean)
+
+    def fitted(batches):
+        for batch in batches:
+            out = []
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = v.values.to_numpy(zero_copy_only=False)[: len(total)]
+                rest = total - own
+                if rest[0] >= 0.5:
+                    out += [(k, i, int(round(own[0])), w.tolist(), float(b)) for i, (w, b) in enumerate(fit(int(round(rest[0])), rest[1 : 1 + d], rest[1 + d :].reshape(d, d)) for fit in fits.values())]
+            k, i, n, w, b = zip(*out, strict=True) if out else ((),) * 5
+            columns = [pa.array(k, pa.int64()), pa.array(i, pa.int32()), pa.array(n, pa.int64()), pa.array(w, pa.list_(pa.float64())), pa.array(b, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["_g", "_fit", "_rows", "w", "b"])
+
+    table = durable(sums.mapInArrow(fitted, "_g bigint, _fit int, _rows bigint, w array<double>, b double"))
+    sizes = table.where("_fit = 0").agg(F.count_if(F.col("_rows") <= prefix.CELLS), F.sum(F.when(F.col("_rows") > prefix.CELLS, F.col("_rows"))))
+    small, large = sizes.first()
+    over = F.col("_rows") > prefix.CELLS
+
+    def predicted(rows: DataFrame, folds: DataFrame) -> DataFrame:
+        folds = folds.select("_g", "_fit", "w", "b")
+        if narrow:
+            guess = F.col("b")
+            for i in range(d - 1):
+                guess = guess + (F.col(f"v{i}") - F.lit(float(mean[i]))) * F.col("w")[i]
+            # so that rounding of sums makes no difference between equal predictions
+            guess, at = F.rint(guess * 1e9), F.col(f"v{d - 1}")
+        else:
+            centred = F.zip_with("v", F.array(*[F.lit(float(v)) for v in mean]), lambda a, b: a - b)
+            rows = rows.select("k", centred.alias("v"))
+            guess = F.aggregate(F.zip_with(F.slice("v", 1, d - 1), "w", lambda a, b: a * b), F.col("b"), lambda t, v: t + v)
+            guess, at = F.round(guess, 9), F.element_at("v", -1)
+        return rows.join(folds, F.col("k") == F.col("_g")).select("_g", "_fit", guess.alias("_p"), at.alias("_y")).where("_p IS NOT NULL AND _y IS NOT NULL")
+
+    parts, by = [], ["_g", "_fit"]
+    if small:
+        folds = table.where(~over)
+        folds = F.broadcast(folds) if small * len(names) * d <= stats.FEW else folds.hint("shuffle_hash")
+        rows = both.join(F.broadcast(table.where(over & (F.col("_fit") == 0)).select("_g")), F.col("k") == F.col("_g"), "left_anti") if large else both
+        parts.append(stats.spearman_windows(predicted(rows, folds), by, "_p", "_y"))
+    if large:  # a group for each CELLS rows at most
+        parts.append(stats.spearman_blocks(predicted(both, F.broadcast(table.where(over))), by, "_p", "_y", large * len(names)))
+    named = F.element_at(F.array(*[F.lit(name) for name in names]), F.col("_fit") + 1).alias("fit")
+    if not parts:
+        parts.append(spark.createDataFrame([], "_g bigint, _fit int, rho double"))
+    rho = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return rho.select(F.col("_g").alias(group), named, "rho"), table.select(F.col("_g").alias(group), named, "w")
+
+
+def _narrow_sums(both: DataFrame, d: int) -> tuple[DataFrame, np.ndarray | None, np.ndarray]:
+    """(k, v): rows, sums and Gram matrix of each group of (k, v0, v1, ...), centred; the same of all rows; the centre."""
+    known = both.agg(*[F.avg(f"v{i}") for i in range(d)]).first()
+    if known[0] is None:
+        return both, None, np.zeros(0)
+    mean = np.array(known, float)
+    c = [F.col(f"v{i}") - F.lit(float(m)) for i, m in enumerate(mean)]
+    upper = [(i, j) for i in range(d) for j in range(i, d)]
+    sums = [F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(v).alias(f"s{i}") for i, v in enumerate(c)], *[F.sum(c[i] * c[j]).alias(f"g{i}_{j}") for i, j in upper]]
+    found = durable(both.groupBy("k").agg(*sums))
+    laid = ["n", *[f"s{i}" for i in range(d)], *[f"g{min(i, j)}_{max(i, j)}" for i in range(d) for j in range(d)]]
+    total = found.agg(*[F.sum(name).alias(f"_{i}") for i, name in enumerate(laid)]).first()
+    return found.select("k", F.array(*laid).alias("v")), np.array(total, float), mean
+
+
+def _wide_sums(both: DataFrame, lanes: int) -> tuple[DataFrame, np.ndarray | None, np.ndarray]:
+    """_narrow_sums of (k, v): tasks add up what they have of a group's matrix, lanes of tasks are added up next, and then the lanes."""
     whole = V.gram(both, "v").get(0)
     if whole is None:
-        return spark.createDataFrame([], f"{group} bigint, fit string, rho double"), spark.createDataFrame([], f"{group} bigint, fit string, w array<double>")
+        return both, None, np.zeros(0)
     n, s, g = whole
     mean = s / n
     # sums of centred values
     total = np.concatenate([[n], np.zeros(len(s)), (g - n * np.outer(mean, mean)).ravel()])
-    d, names = len(s), list(fits)
 
     def parts(batches):
         for b in batches:
             if b.num_rows:
                 v, keys = V._dense(b.column(1)) - mean, b.column(0).to_numpy()
-                found = [(k, v[keys == k]) for k in np.unique(keys)]
-                rows = [np.concatenate([[len(p)], p.sum(axis=0), (p.T @ p).ravel()]).tolist() for _, p in found]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array(rows, pa.list_(pa.float64()))], names=["k", "v"])
+                order = np.argsort(keys, kind="stable")
+                found, begin = np.unique(keys[order], return_index=True)
+                rows = [np.concatenate([[len(p)], p.sum(axis=0), (p.T @ p).ravel()]).tolist() for p in np.split(v[order], begin[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(rows, pa.list_(pa.float64()))], names=["k", "v"])
 
     def added(batches):
         """Sums of runs of equal keys, which come one after the other."""
@@ -88,26 +171,14 @@ def fold_scores(probe: DataFrame, fits: dict, x: str = "x", y: str = "y", group:
         if held is not None:
             yield key, held
 
-    def lane_sums(batches):
+    def run_sums(batches):
         for k, v in added(batches):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([v.tolist()], pa.list_(pa.float64()))], names=["k", "v"])
 
-    def fitted(batches):
-        for k, v in added(batches):
-            rest = total - v
-            done = [fit(int(round(rest[0])), rest[1 : 1 + d], rest[1 + d :].reshape(d, d)) for fit in fits.values()] if rest[0] >= 0.5 else []
-            columns = [pa.array([k] * len(done), pa.int64()), pa.array(names[: len(done)]), pa.array([w.tolist() for w, _ in done], pa.list_(pa.float64())), pa.array([float(b) for _, b in done], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["_g", "fit", "w", "b"])
-
     laid = both.mapInArrow(parts, "k bigint, v array<double>").withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(lanes)))
-    laid = laid.repartition("k", "lane").sortWithinPartitions("k").select("k", "v").mapInArrow(lane_sums, "k bigint, v array<double>")
-    table = durable(laid.repartition("k").sortWithinPartitions("k").mapInArrow(fitted, "_g bigint, fit string, w array<double>, b double"))
-    centre = F.array(*[F.lit(float(v)) for v in mean])
-    rows = both.select(F.col("k").alias("_g"), F.zip_with("v", centre, lambda a, b: a - b).alias("_v"))
-    guess = F.aggregate(F.zip_with(F.slice("_v", 1, d - 1), "w", lambda a, b: a * b), F.col("b"), lambda t, v: t + v)
-    scored = rows.join(table, "_g").select("_g", "fit", F.round(guess, 9).alias("_p"), F.element_at("_v", -1).alias("_y"))
-    rho = stats.spearman(scored, ["_g", "fit"], "_p", "_y", "rho")
-    return rho.withColumnRenamed("_g", group), table.select(F.col("_g").alias(group), "fit", "w")
+    for key in (["k", "lane"], ["k"]):
+        laid = laid.repartition(*key).sortWithinPartitions("k").select("k", "v").mapInArrow(run_sums, "k bigint, v array<double>")
+    return laid, total, mean
 
 
 def group_folds(probe: DataFrame, fit, x: str = "x", y: str = "y", group: str = "grp", most: int = 50_000_000) -> tuple[DataFrame, np.ndarray]:

@@ -153,6 +153,25 @@ def test_folds_of_many_groups_stay_on_the_executors(spark, monkeypatch):
     assert scores.count() == 0
 
 
+def test_folds_of_few_features_take_one_shuffle_of_rows(spark, monkeypatch):
+    """Groups below and above what one task ranks, ties and zeros of both signs; no matrices in Python, no copy of the rows."""
+    from helixframe.functions import stats
+
+    monkeypatch.setattr(M.V, "gram", None)
+    monkeypatch.setattr(stats.prefix, "CELLS", 40)
+    monkeypatch.setattr(stats, "durable", lambda df, real=stats.durable: real(df) if {"_c", "_n"} <= set(df.columns) else pytest.fail("rows written down"))
+    rng = np.random.default_rng(8)
+    g = np.r_[np.repeat(7, 300), np.repeat(8, 90), np.repeat(np.arange(100, 130), 10), -1]
+    x = rng.integers(-2, 3, (len(g), 2)).astype(float) * rng.choice([1.0, -1.0], (len(g), 2))
+    y = np.round(x @ [1.0, 0.5] + rng.normal(0, 1, len(g)), 1) * 1.0
+    y[::9] = -0.0
+    d = spark.createDataFrame([([float(v) for v in a], float(b), int(k)) for a, b, k in zip(x, y, g)], "x array<double>, y double, grp bigint").repartition(5)
+    got = {r.grp: r.rho for r in M.fold_scores(d, {"": lambda n, s, gr: M.ridge(n, s, gr, 10.0)})[0].collect()}
+    want = naive_folds(x, y, g, 10.0)
+    assert got.keys() == want.keys() and got[-1] == 0.0
+    assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in got if k > 0)
+
+
 def test_pls_at_full_rank_is_least_squares():
     rng = np.random.default_rng(3)
     x = rng.random((100, 3))

@@ -108,3 +108,24 @@ def test_rank_correlation_ranks_distinct_pairs(spark, monkeypatch):
     for g in ("a", None):
         x, y = (rank([r[i] for r in rows if r[0] == g and r[1] is not None]) for i in (1, 2))
         assert got[g] == pytest.approx(np.corrcoef(x, y)[0, 1])
+
+
+@pytest.mark.parametrize("times", [None, "n"])
+def test_spearman_by_windows_and_by_blocks(spark, monkeypatch, times):
+    """Both equal the definition: several blocks and one, a null group, a hot value, ties and zeros of both signs."""
+    monkeypatch.setattr(stats.prefix, "CELLS", 30)
+    rng = np.random.default_rng(3)
+    rows = [(k, float(a) * int(s), float(b), 1) for k, n in (("a", 400), ("b", 60), (None, 80), ("c", 12), ("d", 2)) for a, b, s in zip(rng.integers(0, 50, n) * (rng.random(n) < 0.7), rng.integers(-30, 30, n), rng.choice([1, -1], n))]
+    if times:
+        rows = [(*r[:3], int(k)) for r, k in zip(rows, rng.integers(1, 4, len(rows)))]
+    d = spark.createDataFrame(rows, "g string, x double, y double, n bigint").repartition(4)
+    rank = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+    for got in (stats.spearman_windows(d, ["g"], "x", "y", times=times), stats.spearman_blocks(d, ["g"], "x", "y", len(rows), times=times)):
+        got = dict(got.collect())
+        for k in ("a", "b", None, "c"):
+            v = np.array([r[1:3] for r in rows if r[0] == k for _ in range(r[3])])
+            assert got[k] == pytest.approx(np.corrcoef(rank(v[:, 0]), rank(v[:, 1]))[0, 1])
+        assert times or got["d"] == 0.0
+    few = d.where("g = 'c'").drop("g")
+    v = np.array([r[1:3] for r in rows if r[0] == "c" for _ in range(r[3])])
+    assert stats.spearman_blocks(few, [], "x", "y", 12, times=times).first()[0] == pytest.approx(np.corrcoef(rank(v[:, 0]), rank(v[:, 1]))[0, 1])
